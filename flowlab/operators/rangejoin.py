@@ -1,0 +1,99 @@
+"""Point-in-range lookup of IPv4 addresses.
+
+A plain ``ip BETWEEN lo AND hi`` join plans as a nested-loop join. Here each
+range is exploded over the /16 prefixes it covers and joined on that prefix,
+with ``BETWEEN`` as the residual: a hash join. Ranges covering 256 or more /16
+prefixes (a whole /8 or wider) are exploded over /8 prefixes instead, so a
+huge range never multiplies into tens of thousands of rows.
+
+Strategy by size of the exploded range table (counted on the driver, one
+number):
+
+* up to ``max_broadcast_rows``: broadcast hash join directly against the rows
+  to enrich. No shuffle of the big side at all.
+* larger: de-duplicate the addresses first, shuffle-join the distinct
+  addresses with the ranges on the bucket (a /16 bucket holds at most 65,536
+  distinct addresses, so no bucket is unboundedly hot), and join the result
+  back on the address; AQE splits skewed address partitions.
+
+Ranges must be disjoint, so an address matches at most one range; the
+lookup keeps one row per input row either way.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import net
+
+NARROW_SHIFT = 16
+WIDE_SHIFT = 24
+WIDE_MIN_BUCKETS = 256
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def explode_ranges(ranges: DataFrame, value_col: str) -> tuple[DataFrame, DataFrame]:
+    """Split ranges into (narrow by /16 bucket, wide by /8 bucket) tables."""
+    n_buckets = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
+    tagged = ranges.select("lo", "hi", value_col, (n_buckets >= WIDE_MIN_BUCKETS).alias("wide"))
+    narrow = tagged.where(~F.col("wide")).select(
+        F.explode(F.sequence(F.shiftright("lo", NARROW_SHIFT), F.shiftright("hi", NARROW_SHIFT))).alias("bucket"),
+        "lo", "hi", value_col)
+    wide = tagged.where(F.col("wide")).select(
+        F.explode(F.sequence(F.shiftright("lo", WIDE_SHIFT), F.shiftright("hi", WIDE_SHIFT))).alias("bucket"),
+        "lo", "hi", value_col)
+    return narrow, wide
+
+
+def _probe(df: DataFrame, num_col: str, narrow: DataFrame, wide: DataFrame,
+           value_col: str, out_col: str, broadcast: bool) -> DataFrame:
+    """Left-join ``df`` (with an integer address column) to both range tables."""
+    def side(tbl: DataFrame, shift: int, tag: str) -> DataFrame:
+        t = tbl.select(F.col("bucket").alias(f"_b{tag}"), F.col("lo").alias(f"_lo{tag}"),
+                       F.col("hi").alias(f"_hi{tag}"), F.col(value_col).alias(f"_v{tag}"))
+        return F.broadcast(t) if broadcast else t
+
+    n_side, w_side = side(narrow, NARROW_SHIFT, "n"), side(wide, WIDE_SHIFT, "w")
+    num = F.col(num_col)
+    probe = (df.withColumn("_kn", F.shiftright(num, NARROW_SHIFT))
+               .withColumn("_kw", F.shiftright(num, WIDE_SHIFT)))
+    joined = probe.join(
+        n_side, (F.col("_kn") == F.col("_bn")) & num.between(F.col("_lon"), F.col("_hin")), "left"
+    ).join(
+        w_side, (F.col("_kw") == F.col("_bw")) & num.between(F.col("_low"), F.col("_hiw")), "left"
+    )
+    return joined.select(*df.columns, F.coalesce(F.col("_vn"), F.col("_vw")).alias(out_col))
+
+
+def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
+                 out_col: str, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                 force_shuffle: bool = False) -> DataFrame:
+    """Append ``out_col``: the ``value_col`` of the range holding ``ip_col``.
+
+    No match (or a malformed address) gives null.
+    """
+    narrow, wide = explode_ranges(ranges, value_col)
+    if not force_shuffle:
+        # Size check of the small side: two counts over the range table only.
+        n_rows = narrow.count() + wide.count()
+        if n_rows <= max_broadcast_rows:
+            with_num = df.withColumn("_num", net.ip_to_num(ip_col))
+            out = _probe(with_num, "_num", narrow, wide, value_col, out_col, broadcast=True)
+            return out.drop("_num")
+    # Large range table: look up each distinct address once, then join back.
+    addrs = df.select(F.col(ip_col).alias("_addr")).distinct().withColumn("_num", net.ip_to_num("_addr"))
+    looked = _probe(addrs, "_num", narrow, wide, value_col, out_col, broadcast=False).drop("_num")
+    return df.join(looked, df[ip_col].eqNullSafe(looked["_addr"]), "left").drop("_addr")
+
+
+def geo_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR, **kw) -> DataFrame:
+    """``dst_cc``: null for internal destinations, '' for unknown external."""
+    looked = range_lookup(flows, "dst_ip", geo, "cc", "_cc", **kw)
+    internal = F.coalesce(net.in_cidr("dst_ip", cidr), F.lit(False))
+    return looked.withColumn("dst_cc", F.when(~internal, F.coalesce(F.col("_cc"), F.lit("")))).drop("_cc")
+
+
+def geo_org(flows: DataFrame, asn: DataFrame, **kw) -> DataFrame:
+    """``dst_org``: the organisation of the destination, null if unknown."""
+    return range_lookup(flows, "dst_ip", asn, "org", "dst_org", **kw)
