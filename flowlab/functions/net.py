@@ -59,10 +59,17 @@ def num_to_ip(num) -> Column:
     return F.concat_ws(".", *[p.cast("string") for p in parts])
 
 
-def in_cidr(ip, cidr: str = DEFAULT_CIDR) -> Column:
+def addr_num(df, ip: str) -> Column:
+    """The integer form of address column ``ip``: the stored ``<ip>_num``
+    column when the frame has one (parsed once at ingest), else parsed here."""
+    stored = f"{ip}_num"
+    return F.col(stored) if stored in df.columns else ip_to_num(ip)
+
+
+def in_cidr(ip, cidr: str = DEFAULT_CIDR, num: Column | None = None) -> Column:
     """Address arithmetic; null for a malformed address."""
     lo, hi = cidr_bounds(cidr)
-    return ip_to_num(ip).between(lo, hi)
+    return (ip_to_num(ip) if num is None else num).between(lo, hi)
 
 
 def in_prefix(ip, prefix: str = DEFAULT_NET) -> Column:
@@ -76,17 +83,17 @@ def startswith_any(ip, prefixes=RFC1918_PREFIXES) -> Column:
     return reduce(lambda a, b: a | b, [ip.startswith(p) for p in prefixes])
 
 
-def is_private(ip) -> Column:
+def is_private(ip, num: Column | None = None) -> Column:
     """The CPython ``is_private`` ranges as one OR of integer ranges."""
-    num = ip_to_num(ip)
+    num = ip_to_num(ip) if num is None else num
     ranges = [num.between(*cidr_bounds(c)) for c in PRIVATE_NETWORKS]
     carved = num.isin(*[int(ipaddress.IPv4Address(a)) for a in PRIVATE_EXCEPTIONS])
     return reduce(lambda a, b: a | b, ranges) & ~carved
 
 
-def is_public(ip, cidr: str = DEFAULT_CIDR) -> Column:
+def is_public(ip, cidr: str = DEFAULT_CIDR, num: Column | None = None) -> Column:
     """B10 ``pub``: not in the internal CIDR; malformed text counts as public."""
-    return ~F.coalesce(in_cidr(ip, cidr), F.lit(False))
+    return ~F.coalesce(in_cidr(ip, cidr, num), F.lit(False))
 
 
 def ptr_name(ip) -> Column:

@@ -189,13 +189,13 @@ def hourly_bytes(flows: DataFrame) -> DataFrame:
 
 def internal_dst_count(flows: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
     """Flows per internal destination (``count('proto')``)."""
-    inside = flows.where(~net.is_public("dst_ip", cidr))
+    inside = flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
     return count_by(inside, ["dst_ip"], counted="proto")
 
 
 def internal_fanout(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -> DataFrame:
     """Distinct internal destinations per source."""
-    inside = _restrict(flows.where(~net.is_public("dst_ip", cidr)), "src_ip", hosts)
+    inside = _restrict(flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip"))), "src_ip", hosts)
     return inside.groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("n_peers"))
 
 
@@ -214,7 +214,7 @@ def internal_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -
 
 
 def internal_peer_pairs(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -> DataFrame:
-    inside = _restrict(flows.where(~net.is_public("dst_ip", cidr)), "src_ip", hosts)
+    inside = _restrict(flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip"))), "src_ip", hosts)
     return inside.select("src_ip", "dst_ip").distinct()
 
 
@@ -265,7 +265,7 @@ def edge_conns_bytes(flows: DataFrame, where=None) -> DataFrame:
 
 def edge_conns_public(flows: DataFrame, hosts=None, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
     """Per (src, dst): connections to public addresses."""
-    sel = _restrict(flows.where(net.is_public("dst_ip", cidr)), "src_ip", hosts)
+    sel = _restrict(flows.where(net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip"))), "src_ip", hosts)
     return count_by(sel, ["src_ip", "dst_ip"], name="conns", counted="port")
 
 
@@ -304,7 +304,7 @@ def udp443_bytes_by_src(flows: DataFrame) -> DataFrame:
 def host_profile(flows: DataFrame) -> DataFrame:
     """Per-source profile in one keyed aggregate (Q1 fixed: no positional
     alignment; a host without e.g. UDP flows gets 0, not a neighbour's value)."""
-    private = net.is_private("dst_ip")
+    private = net.is_private("dst_ip", net.addr_num(flows, "dst_ip"))
     n = F.count(F.lit(1))
     agg = flows.groupBy("src_ip").agg(
         n.alias("flows"),

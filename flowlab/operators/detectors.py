@@ -21,8 +21,12 @@ from . import joins as J
 from . import rangejoin as RJ
 from . import setops as G
 
-_IS_BASE = F.col("period") == BASELINE
-_IS_TEST = F.col("period") == TEST
+def _is_base():
+    return F.col("period") == BASELINE
+
+
+def _is_test():
+    return F.col("period") == TEST
 
 
 def _host_internet_avgs(flows: DataFrame, net_prefix: str) -> DataFrame:
@@ -35,8 +39,8 @@ def _host_internet_avgs(flows: DataFrame, net_prefix: str) -> DataFrame:
 
 def _mean_rule(flows: DataFrame, col: str, threshold: float, net_prefix: str) -> DataFrame:
     per = _host_internet_avgs(flows, net_prefix)
-    means = per.agg(F.avg(F.when(_IS_BASE, F.col(col))).alias("normal_mean"),
-                    F.avg(F.when(_IS_TEST, F.col(col))).alias("test_mean"))
+    means = per.agg(F.avg(F.when(_is_base(), F.col(col))).alias("normal_mean"),
+                    F.avg(F.when(_is_test(), F.col(col))).alias("test_mean"))
     return means.select("normal_mean", "test_mean",
                         F.coalesce(F.col("test_mean") > F.col("normal_mean") * threshold,
                                    F.lit(False)).alias("detected"))
@@ -152,11 +156,11 @@ def detect_quic_exfil(flows: DataFrame, min_ratio: float = 1.0, period: str | No
 def detect_tcp_exfil(flows: DataFrame, min_ratio: float = 0.3, min_edge_ratio: float = 1.0,
                      period: str | None = TEST) -> DataFrame:
     """Sources whose TCP up/down ratio exceeds ``min_ratio``, then their
-    edges whose up/down ratio exceeds ``min_edge_ratio``, with connections and
-    upload per edge."""
-    sel = B.in_period(flows, period)
-    suspects = B.having_threshold(D.ratio_by_src(sel, F.col("proto") == "tcp"), "ratio", min_ratio)
-    edges = _restrict_src(sel, suspects).groupBy("src_ip", "dst_ip").agg(
+    TCP edges whose up/down ratio exceeds ``min_edge_ratio``, with connections
+    and upload per edge."""
+    tcp = B.in_period(flows, period).where(F.col("proto") == "tcp")
+    suspects = B.having_threshold(D.ratio_by_src(tcp), "ratio", min_ratio)
+    edges = _restrict_src(tcp, suspects).groupBy("src_ip", "dst_ip").agg(
         F.count(F.lit(1)).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
         arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
     return edges.where(F.coalesce(F.col("ratio") > min_edge_ratio, F.lit(False)))

@@ -70,12 +70,12 @@ def rfc1918_flows(flows: DataFrame, prefixes=net.RFC1918_PREFIXES) -> DataFrame:
 
 def public_flag(flows: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
     """Append ``pub`` (destination outside ``cidr`` by address arithmetic)."""
-    return flows.withColumn("pub", net.is_public("dst_ip", cidr))
+    return flows.withColumn("pub", net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
 
 
 def private_split(flows: DataFrame) -> DataFrame:
     """``(flow_id, is_private)`` by the CPython ``is_private`` ranges."""
-    return flows.select("flow_id", net.is_private("dst_ip").alias("is_private"))
+    return flows.select("flow_id", net.is_private("dst_ip", net.addr_num(flows, "dst_ip")).alias("is_private"))
 
 
 def host_in_list(flows: DataFrame, col: str, hosts, flag=None) -> DataFrame:
@@ -88,7 +88,7 @@ def host_in_list(flows: DataFrame, col: str, hosts, flag=None) -> DataFrame:
 
 def host_or_chain(flows: DataFrame, hosts, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
     """The reference's OR chain of equalities AND not public, as ``IN``."""
-    return flows.where(F.col("src_ip").isin(*hosts) & ~net.is_public("dst_ip", cidr))
+    return flows.where(F.col("src_ip").isin(*hosts) & ~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
 
 
 def time_range(flows: DataFrame, lo: int, hi: int) -> DataFrame:

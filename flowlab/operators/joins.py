@@ -15,8 +15,13 @@ from ..functions import arith, net
 from ..schema import BASELINE, TEST
 from . import filters as B
 
-_IS_BASE = F.col("period") == BASELINE
-_IS_TEST = F.col("period") == TEST
+
+def _is_base():
+    return F.col("period") == BASELINE
+
+
+def _is_test():
+    return F.col("period") == TEST
 
 
 def _endpoints(flows: DataFrame, net_prefix: str, extra=()) -> DataFrame:
@@ -41,7 +46,7 @@ def host_activity(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFr
 def host_activity_by_period(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     ep = _endpoints(flows, net_prefix, extra=["period"])
     return ep.groupBy("ip").agg(
-        F.count_if(_IS_BASE).alias("counts_normal"), F.count_if(_IS_TEST).alias("counts_test"))
+        F.count_if(_is_base()).alias("counts_normal"), F.count_if(_is_test()).alias("counts_test"))
 
 
 def top_hosts_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = 10) -> DataFrame:
@@ -75,7 +80,7 @@ def server_contact_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -
     """
     inside = flows.where(net.in_prefix("dst_ip", net_prefix))
     agg = inside.groupBy("src_ip").agg(
-        F.count_if(_IS_BASE).alias("counts"), F.count_if(_IS_TEST).alias("counts_test"))
+        F.count_if(_is_base()).alias("counts"), F.count_if(_is_test()).alias("counts_test"))
     return agg.withColumn("increase", arith.pct_increase("counts", "counts_test"))
 
 
@@ -101,11 +106,11 @@ def period_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataF
     """Per source, average internet bytes per flow in each period; sources
     present in both periods only (the reference's inner merge, Q18)."""
     agg = B.to_internet_flows(flows, net_prefix).groupBy("src_ip").agg(
-        F.count_if(_IS_BASE).alias("counts_normal"), F.count_if(_IS_TEST).alias("counts_test"),
-        F.sum(F.when(_IS_BASE, F.col("up_bytes"))).alias("up_normal"),
-        F.sum(F.when(_IS_BASE, F.col("down_bytes"))).alias("down_normal"),
-        F.sum(F.when(_IS_TEST, F.col("up_bytes"))).alias("up_test"),
-        F.sum(F.when(_IS_TEST, F.col("down_bytes"))).alias("down_test"))
+        F.count_if(_is_base()).alias("counts_normal"), F.count_if(_is_test()).alias("counts_test"),
+        F.sum(F.when(_is_base(), F.col("up_bytes"))).alias("up_normal"),
+        F.sum(F.when(_is_base(), F.col("down_bytes"))).alias("down_normal"),
+        F.sum(F.when(_is_test(), F.col("up_bytes"))).alias("up_test"),
+        F.sum(F.when(_is_test(), F.col("down_bytes"))).alias("down_test"))
     both = agg.where((F.col("counts_normal") > 0) & (F.col("counts_test") > 0))
     return both.select(
         "src_ip",

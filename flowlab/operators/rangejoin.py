@@ -78,7 +78,7 @@ def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
         # Size check of the small side: two counts over the range table only.
         n_rows = narrow.count() + wide.count()
         if n_rows <= max_broadcast_rows:
-            with_num = df.withColumn("_num", net.ip_to_num(ip_col))
+            with_num = df.withColumn("_num", net.addr_num(df, ip_col))
             out = _probe(with_num, "_num", narrow, wide, value_col, out_col, broadcast=True)
             return out.drop("_num")
     # Large range table: look up each distinct address once, then join back.
@@ -90,7 +90,7 @@ def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
 def geo_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR, **kw) -> DataFrame:
     """``dst_cc``: null for internal destinations, '' for unknown external."""
     looked = range_lookup(flows, "dst_ip", geo, "cc", "_cc", **kw)
-    internal = F.coalesce(net.in_cidr("dst_ip", cidr), F.lit(False))
+    internal = F.coalesce(net.in_cidr("dst_ip", cidr, net.addr_num(flows, "dst_ip")), F.lit(False))
     return looked.withColumn("dst_cc", F.when(~internal, F.coalesce(F.col("_cc"), F.lit("")))).drop("_cc")
 
 

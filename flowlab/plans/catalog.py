@@ -23,7 +23,7 @@ from ..operators import rangejoin as RJ
 from ..operators import setops as G
 from ..operators import sorts as S
 from ..operators import windows as E
-from ..schema import BASELINE, TEST
+from ..schema import BASELINE, NUM_COLUMNS, TEST
 from ..sources import (blocklist, detections, fixture_asn_ranges, fixture_dns_cache,
                        fixture_geo_ranges, load_flows)
 
@@ -37,9 +37,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round doubles to 6 decimals and join arrays with ',' for comparison."""
+    """Round doubles to 6 decimals and join arrays with ',' for comparison;
+    the stored integer address columns are not part of any result."""
     cols = []
     for f in df.schema.fields:
+        if f.name in NUM_COLUMNS:
+            continue
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c, 6)

@@ -482,7 +482,7 @@ ORACLE: dict[str, str] = {
     "detect_tcp_exfil": with_flows(
         f"""SELECT src_ip, dst_ip, count(*) AS conns, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
                   {_ratio('sum(up_bytes)', 'sum(down_bytes)')} AS ratio
-           FROM flows WHERE period = 'test' AND src_ip IN (
+           FROM flows WHERE period = 'test' AND proto = 'tcp' AND src_ip IN (
              SELECT src_ip FROM flows WHERE period = 'test' AND proto = 'tcp'
              GROUP BY src_ip HAVING CAST(sum(up_bytes) AS DOUBLE) / sum(down_bytes) > 0.3)
            GROUP BY src_ip, dst_ip HAVING CAST(sum(up_bytes) AS DOUBLE) / sum(down_bytes) > 1.0"""),

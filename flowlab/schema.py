@@ -21,8 +21,15 @@ FLOW_FILE_SCHEMA = T.StructType([
     T.StructField("down_bytes", T.LongType(), True),
 ])
 
-# A period-partitioned flow dataset: file columns plus the partition column.
-FLOW_SCHEMA = T.StructType(FLOW_FILE_SCHEMA.fields + [T.StructField("period", T.StringType(), True)])
+# Integer forms of the addresses, parsed once when a flow table is stored.
+NUM_COLUMNS = ["src_ip_num", "dst_ip_num"]
+
+# A stored, period-partitioned flow dataset: file columns, the parsed
+# addresses, and the partition column.
+FLOW_SCHEMA = T.StructType(
+    FLOW_FILE_SCHEMA.fields
+    + [T.StructField(c, T.LongType(), True) for c in NUM_COLUMNS]
+    + [T.StructField("period", T.StringType(), True)])
 
 GEO_SCHEMA = T.StructType([
     T.StructField("lo", T.LongType(), False),

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A5: header, no index; ``\\N`` marks null so '' and 'NA' stay distinct."""
     (df.write.mode(mode).option("header", True).option("nullValue", "\\N")
-     .option("emptyValue", "").csv(path))
+     .option("emptyValue", '""').csv(path))
 
 
 def read_csv_result(spark, path: str, schema) -> DataFrame:
     return (spark.read.schema(schema).option("header", True)
-            .option("nullValue", "\\N").csv(path))
+            .option("nullValue", "\\N").option("emptyValue", "").csv(path))
 
 
 def detections(df: DataFrame, reason: str, ip_col: str = "src_ip") -> DataFrame:

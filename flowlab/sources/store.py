@@ -18,11 +18,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import FLOW_COLUMNS, FLOW_SCHEMA
+from ..functions.net import ip_to_num
+from ..schema import FLOW_COLUMNS, FLOW_SCHEMA, NUM_COLUMNS
 from ..session import ensure_checkpoint_dir
 from .flows import events_path, flows_from_events, write_flows
 
-ADAPTER_VERSION = "1"
+ADAPTER_VERSION = "2"
 _LOCK = threading.Lock()
 _PATHS: dict[tuple[str, str], str] = {}
 
@@ -60,13 +61,19 @@ def flows_table_path(spark: SparkSession, sf_dir: str) -> str:
                 # an interrupted write: never reuse it, take a fresh name
                 path = f"{path}-{uuid.uuid4().hex[:8]}"
             events = spark.read.parquet(src).select("event_id", "ts", "user_id", "value")
-            write_flows(flows_from_events(events), path)
+            write_flows(with_address_numbers(flows_from_events(events)), path)
         _PATHS[(base, key)] = path
         return path
 
 
+def with_address_numbers(flows: DataFrame) -> DataFrame:
+    """Parse both addresses once, at ingest; CIDR and range predicates then
+    compare integers (and reach Parquet's min/max statistics)."""
+    return flows.withColumns({f"{c}_num": ip_to_num(c) for c in ("src_ip", "dst_ip")})
+
+
 def read_flow_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FLOW_SCHEMA).parquet(path).select(*FLOW_COLUMNS)
+    return spark.read.schema(FLOW_SCHEMA).parquet(path).select(*FLOW_COLUMNS, *NUM_COLUMNS)
 
 
 def flows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
