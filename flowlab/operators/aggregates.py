@@ -91,9 +91,9 @@ def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
     ``bins``-row range joined on the bin number. With min = max the edges are
     ``min - 0.5 .. max + 0.5`` as in numpy, so every value falls in the middle bin.
     """
-    stats = values.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
+    # one scalar subquery (a struct), reused for both fields
+    bounds = values.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx")).alias("b")).scalar()
+    mn, mx = bounds.getField("mn"), bounds.getField("mx")
     x = F.col(col)
     same = mn == mx
     raw = F.least(idiv((x - mn) * bins, F.when(same, F.lit(1)).otherwise(mx - mn)), F.lit(bins - 1))

@@ -208,8 +208,8 @@ def alerts(flows: DataFrame, geo: DataFrame, net_prefix: str = net.DEFAULT_NET,
     parts = [
         detect_exfiltration(flows, net_prefix).select(
             F.lit("exfiltration").alias("rule"), F.col("src_ip").alias("subject"),
-            F.greatest(F.col("avg_up_bytes_test") / F.col("avg_up_bytes_normal"),
-                       F.col("avg_down_bytes_test") / F.col("avg_down_bytes_normal")).alias("metric"),
+            F.greatest(arith.safe_ratio("avg_up_bytes_test", "avg_up_bytes_normal"),
+                       arith.safe_ratio("avg_down_bytes_test", "avg_down_bytes_normal")).alias("metric"),
             F.lit(1.5).alias("threshold")),
         detect_c2_growth(flows, net_prefix).select(
             F.lit("c2_growth").alias("rule"), F.col("src_ip").alias("subject"),

@@ -4,16 +4,18 @@ Spark's exact ``percentile`` merges every distinct value into one buffer for a
 global aggregate. Here the rank of each distinct value is found across
 partitions instead:
 
-1. ``groupBy(x).count()``: distinct values with multiplicities (partial
-   aggregation, so a value repeated a billion times is one row).
-2. ``repartitionByRange(x)``: partitions hold disjoint, ordered value ranges;
-   each partition's total count (one row per partition) gives its rank offset.
+1. ``groupBy(series, x).count()``: distinct values with multiplicities
+   (partial aggregation, so a value repeated a billion times is one row).
+2. ``repartitionByRange(series, x)``: partitions hold disjoint, ordered value
+   ranges; each partition's count per series (a few rows per partition)
+   gives its rank offset.
 3. A running sum inside each range partition gives every distinct value its
-   rank interval ``[start, end)``.
+   rank interval ``[start, end)`` within its series.
 4. The target ranks (``p * (n - 1)``, floor and ceiling) are driver-side
    scalars; a filter keeps the at most two rows per quantile that hold them.
 
 Linear interpolation between the two ranks, as pandas ``quantile`` does.
+Several columns are ranked in the same pass by stacking them as series.
 """
 
 from __future__ import annotations
@@ -26,66 +28,83 @@ from pyspark.sql import functions as F
 DESCRIBE_PERCENTILES = (0.25, 0.5, 0.75)
 
 
-def rank_intervals(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """Distinct non-null values of ``col`` with their rank interval ``[start, end)``."""
-    vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+def rank_intervals(df: DataFrame, cols, partitions: int | None = None) -> DataFrame:
+    """``(series, v, c, start, end)``: distinct non-null values of each column
+    in ``cols`` with their rank interval ``[start, end)`` inside the column."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s"))
+    vc = (stacked.select("s.series", "s.v").where(F.col("v").isNotNull())
+          .groupBy("series", "v").agg(F.count(F.lit(1)).alias("c")))
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = vc.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id())
-    # one row per partition: its offset is the count of all earlier partitions
-    per_part = ranged.groupBy("pid").agg(F.sum("c").alias("pc"))
+    ranged = vc.repartitionByRange(parts, "series", "v").withColumn("pid", F.spark_partition_id())
+    # a few rows per partition: the offset of a partition inside each series
+    per_part = ranged.groupBy("series", "pid").agg(F.sum("c").alias("pc"))
     offsets = per_part.select(
-        "pid", (F.sum("pc").over(Window.orderBy("pid")) - F.col("pc")).alias("off"))
-    within = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.join(F.broadcast(offsets), "pid")
-            .select("v", "c", (F.col("off") + F.sum("c").over(within) - F.col("c")).alias("start"))
+        "series", "pid",
+        (F.sum("pc").over(Window.partitionBy("series").orderBy("pid")) - F.col("pc")).alias("off"))
+    within = Window.partitionBy("pid", "series").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.join(F.broadcast(offsets), ["series", "pid"])
+            .select("series", "v", "c", (F.col("off") + F.sum("c").over(within) - F.col("c")).alias("start"))
             .withColumn("end", F.col("start") + F.col("c")))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, n: int | None = None) -> dict[float, float | None]:
-    """Exact linear-interpolated quantiles of ``col`` (pandas semantics)."""
-    if n is None:
-        n = df.where(F.col(col).isNotNull()).count()
-    if n == 0:
-        return {p: None for p in probs}
-    targets = {}
+def _targets(n: int, probs):
+    out = {}
     for p in probs:
         pos = p * (n - 1)
         lo = math.floor(pos)
-        targets[p] = (lo, min(lo + 1, n - 1), pos - lo)
-    ranks = sorted({r for lo, hi, _ in targets.values() for r in (lo, hi)})
-    iv = rank_intervals(df, col)
-    hit = None
-    for r in ranks:
-        cond = (F.col("start") <= r) & (F.col("end") > r)
-        hit = cond if hit is None else hit | cond
-    picks = iv.where(hit).agg(*[
-        F.max(F.when((F.col("start") <= r) & (F.col("end") > r), F.col("v"))).alias(f"r{r}")
-        for r in ranks]).first()
-    out = {}
-    for p, (lo, hi, frac) in targets.items():
-        a, b = float(picks[f"r{lo}"]), float(picks[f"r{hi}"])
-        out[p] = a + (b - a) * frac
+        out[p] = (lo, min(lo + 1, n - 1), pos - lo)
     return out
 
 
+def exact_quantiles_multi(df: DataFrame, cols, probs, counts: dict[str, int]) -> dict[str, dict[float, float | None]]:
+    """Exact linear-interpolated quantiles of several columns in one pass."""
+    live = [c for c in cols if counts[c] > 0]
+    result = {c: {p: None for p in probs} for c in cols}
+    if not live:
+        return result
+    targets = {c: _targets(counts[c], probs) for c in live}
+    iv = rank_intervals(df, live)
+    hit, picks = None, []
+    for c in live:
+        for r in sorted({r for lo, hi, _ in targets[c].values() for r in (lo, hi)}):
+            cond = (F.col("series") == c) & (F.col("start") <= r) & (F.col("end") > r)
+            hit = cond if hit is None else hit | cond
+            picks.append(F.max(F.when(cond, F.col("v"))).alias(f"{c}__{r}"))
+    row = iv.where(hit).agg(*picks).first()
+    for c in live:
+        for p, (lo, hi, frac) in targets[c].items():
+            a, b = row[f"{c}__{lo}"], row[f"{c}__{hi}"]
+            result[c][p] = a + (b - a) * frac
+    return result
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, n: int | None = None) -> dict[float, float | None]:
+    """Exact linear-interpolated quantiles of one column (pandas semantics)."""
+    if n is None:
+        n = df.where(F.col(col).isNotNull()).count()
+    return exact_quantiles_multi(df, [col], probs, {col: n})[col]
+
+
 def describe(df: DataFrame, cols) -> DataFrame:
     """Count, mean, std, min, quartiles, max per column, as rows
-    ``(stat, <col>...)`` like pandas ``describe``."""
+    ``(stat, <col>...)`` like pandas ``describe``. Two passes: one for the
+    moments, one ranking every column together for the quartiles."""
     moments = df.agg(*[e for c in cols for e in (
         F.count(c).alias(f"count_{c}"), F.avg(c).alias(f"mean_{c}"),
         F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"),
         F.max(c).alias(f"max_{c}"))]).first()
+    counts = {c: moments[f"count_{c}"] for c in cols}
+    q = exact_quantiles_multi(df, cols, DESCRIBE_PERCENTILES, counts)
     stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     table = {s: {} for s in stats}
     for c in cols:
-        n = moments[f"count_{c}"]
-        q = exact_quantiles(df, c, DESCRIBE_PERCENTILES, n=n)
-        table["count"][c] = float(n)
+        table["count"][c] = float(counts[c])
         for s in ("mean", "std", "min", "max"):
             v = moments[f"{s}_{c}"]
             table[s][c] = None if v is None else float(v)
         for p, label in zip(DESCRIBE_PERCENTILES, ("25%", "50%", "75%")):
-            table[label][c] = q[p]
+            table[label][c] = q[c][p]
     rows = [(s, *[table[s][c] for c in cols]) for s in stats]
     schema = "stat string, " + ", ".join(f"{c} double" for c in cols)
     return df.sparkSession.createDataFrame(rows, schema)

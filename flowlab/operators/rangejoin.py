@@ -33,6 +33,21 @@ WIDE_MIN_BUCKETS = 256
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
+_SIZE_CACHE: dict[int, int] = {}
+
+
+def exploded_size(ranges: DataFrame) -> int:
+    """Rows of the exploded range tables, from one aggregate over the ranges
+    (no explode). Memoised per range-table plan within the session."""
+    key = ranges.semanticHash()
+    if key not in _SIZE_CACHE:
+        n16 = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
+        n8 = F.shiftright("hi", WIDE_SHIFT) - F.shiftright("lo", WIDE_SHIFT) + 1
+        total = ranges.agg(F.sum(F.when(n16 >= WIDE_MIN_BUCKETS, n8).otherwise(n16))).first()[0]
+        _SIZE_CACHE[key] = int(total or 0)
+    return _SIZE_CACHE[key]
+
+
 def explode_ranges(ranges: DataFrame, value_col: str) -> tuple[DataFrame, DataFrame]:
     """Split ranges into (narrow by /16 bucket, wide by /8 bucket) tables."""
     n_buckets = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
@@ -75,9 +90,8 @@ def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
     """
     narrow, wide = explode_ranges(ranges, value_col)
     if not force_shuffle:
-        # Size check of the small side: two counts over the range table only.
-        n_rows = narrow.count() + wide.count()
-        if n_rows <= max_broadcast_rows:
+        # Size check of the small side: one aggregate over the range table.
+        if exploded_size(ranges) <= max_broadcast_rows:
             with_num = df.withColumn("_num", net.addr_num(df, ip_col))
             out = _probe(with_num, "_num", narrow, wide, value_col, out_col, broadcast=True)
             return out.drop("_num")

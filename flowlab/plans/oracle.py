@@ -506,3 +506,27 @@ ORACLE["up443_histogram"] = _hist(
     "vals AS (SELECT src_ip, sum(up_bytes) AS up_bytes FROM flows WHERE port = 443 GROUP BY src_ip)", "up_bytes")
 ORACLE["upload_histogram_time"] = _hist(
     "vals AS (SELECT timestamp, sum(up_bytes) AS up_bytes FROM flows GROUP BY timestamp)", "up_bytes")
+
+
+ORACLE["alerts"] = with_flows_cc(
+    f"""SELECT 'exfiltration' AS rule, src_ip AS subject,
+              round(greatest({_ratio('avg_up_bytes_test', 'avg_up_bytes_normal')},
+                             {_ratio('avg_down_bytes_test', 'avg_down_bytes_normal')}), 6) AS metric,
+              CAST(1.5 AS DOUBLE) AS threshold FROM exfil
+       UNION ALL SELECT 'c2_growth', src_ip, round(increase, 6), CAST(250 AS DOUBLE) FROM c2
+       UNION ALL SELECT 'botnet', src_ip, CAST(n_peers AS DOUBLE), CAST(4 AS DOUBLE) FROM botnet
+       UNION ALL SELECT 'many_countries', src_ip, CAST(count(DISTINCT dst_cc) AS DOUBLE), CAST(5 AS DOUBLE)
+         FROM flows_cc WHERE period = 'test' AND dst_cc <> '' GROUP BY src_ip HAVING count(DISTINCT dst_cc) > 5
+       UNION ALL SELECT 'country_transfer', src_ip, CAST(sum(up_bytes) AS DOUBLE), CAST(1000000 AS DOUBLE)
+         FROM flows_cc WHERE period = 'test' AND dst_cc IN ('CN', 'RU') GROUP BY src_ip HAVING sum(up_bytes) > 1000000
+       UNION ALL SELECT 'dns_c2', src_ip, CAST(conns AS DOUBLE), CAST(1.25 AS DOUBLE) FROM dns_src
+         WHERE conns > (SELECT avg(conns) FROM dns_src) * 1.25
+           AND CAST(up_bytes AS DOUBLE) / down_bytes BETWEEN 0.41 AND 0.45
+       UNION ALL SELECT 'quic_exfil', src_ip, {_ratio('u', 'd')}, CAST(1.0 AS DOUBLE) FROM (
+         SELECT src_ip, sum(up_bytes) AS u, sum(down_bytes) AS d FROM flows
+         WHERE period = 'test' AND proto = 'udp' AND port = 443 GROUP BY src_ip)
+         WHERE CAST(u AS DOUBLE) / d > 1.0
+       UNION ALL SELECT 'dns_exfil', src_ip, CAST(up_bytes AS DOUBLE), CAST(1.5 AS DOUBLE) FROM dns_src
+         WHERE up_bytes > (SELECT avg(up_bytes) FROM dns_src) * 1.5
+           AND CAST(up_bytes AS DOUBLE) / down_bytes BETWEEN 0.41 AND 0.45""",
+    PERIOD_COMPARE, GROWTH, BOTNET, DNS_PER_SRC)

@@ -1,0 +1,7 @@
+"""Structured Streaming versions of the per-host detector aggregates."""
+
+from .live import (baseline_profile, flag_windows, live_exfiltration, read_flow_stream,
+                   windowed_host_rates, with_event_time)
+
+__all__ = ["baseline_profile", "flag_windows", "live_exfiltration", "read_flow_stream",
+           "windowed_host_rates", "with_event_time"]
