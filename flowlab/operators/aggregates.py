@@ -86,27 +86,30 @@ def down_up_ratio_443(flows: DataFrame, port: int = 443) -> DataFrame:
 def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins over ``[min, max]``, last bin closed (Q9).
 
-    ``min``/``max`` come in as scalar subqueries (one row each, no cross
-    join); bin numbers use exact integer division; the empty bins come from a
-    ``bins``-row range joined on the bin number. With min = max the edges are
+    ``min``/``max`` are two scalars fetched by one aggregate job; bin numbers
+    then use exact integer division on literals, and the empty bins come from
+    a ``bins``-row range joined on the bin number. With min = max the edges are
     ``min - 0.5 .. max + 0.5`` as in numpy, so every value falls in the middle bin.
     """
-    # one scalar subquery (a struct), reused for both fields
-    bounds = values.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx")).alias("b")).scalar()
-    mn, mx = bounds.getField("mn"), bounds.getField("mx")
-    x = F.col(col)
-    same = mn == mx
-    raw = F.least(idiv((x - mn) * bins, F.when(same, F.lit(1)).otherwise(mx - mn)), F.lit(bins - 1))
-    bin_no = F.when(same, F.lit(bins // 2)).otherwise(raw)
-    counts = values.where(x.isNotNull()).groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    mn, mx = values.agg(F.min(col), F.max(col)).first()
     spark = values.sparkSession
-    first = F.when(same, mn - 0.5).otherwise(mn.cast("double"))
-    width = F.when(same, F.lit(1.0)).otherwise((mx - mn).cast("double")) / bins
-    edges = spark.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (first + F.col("id") * width).alias("lo"),
-        (first + (F.col("id") + 1) * width).alias("hi"))
-    return edges.join(counts, "bin", "left").select(
+    x = F.col(col)
+    if mn is None:
+        first, width = None, None
+        bin_no = F.lit(None).cast("int")
+    elif mn == mx:
+        first, width = mn - 0.5, 1.0 / bins
+        bin_no = F.lit(bins // 2)
+    else:
+        first, width = float(mn), float(mx - mn) / bins
+        bin_no = F.least(idiv((x - F.lit(mn)) * bins, mx - mn), F.lit(bins - 1))
+    counts = (values.where(x.isNotNull()).select(bin_no.cast("int").alias("bin"))
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
+    i = F.col("id")
+    lo = F.lit(first).cast("double") + i * F.lit(width).cast("double")
+    hi = F.lit(first).cast("double") + (i + 1) * F.lit(width).cast("double")
+    edges = spark.range(bins).select(i.cast("int").alias("bin"), lo.alias("lo"), hi.alias("hi"))
+    return edges.join(F.broadcast(counts), "bin", "left").select(
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 

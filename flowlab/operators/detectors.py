@@ -20,6 +20,7 @@ from . import filters as B
 from . import joins as J
 from . import rangejoin as RJ
 from . import setops as G
+from .summary import checkpointed_summary, n_flows
 
 def _is_base():
     return F.col("period") == BASELINE
@@ -131,7 +132,7 @@ def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int
 def _dns_per_src(flows: DataFrame) -> DataFrame:
     dns = B.proto_port_flows(flows, "udp", 53)
     return dns.groupBy("src_ip").agg(
-        F.count(F.lit(1)).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
+        n_flows(flows).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
         arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
 
 
@@ -202,8 +203,15 @@ def burst_window(flows: DataFrame, lo: int = 80000, hi: int = 90000, k: int = 30
 
 
 def alerts(flows: DataFrame, geo: DataFrame, net_prefix: str = net.DEFAULT_NET,
-           cidr: str = net.DEFAULT_CIDR) -> DataFrame:
-    """All per-host detectors as ``(rule, subject, metric, threshold)`` rows."""
+           cidr: str = net.DEFAULT_CIDR, summarize: bool = True) -> DataFrame:
+    """All per-host detectors as ``(rule, subject, metric, threshold)`` rows.
+
+    The detectors run over one checkpointed edge summary (``summarize=True``):
+    flows are scanned and shuffled once, and the country lookup runs once per
+    distinct edge instead of once per flow.
+    """
+    if summarize:
+        flows = checkpointed_summary(flows)
     fcc = enrich_country(flows, geo, cidr)
     parts = [
         detect_exfiltration(flows, net_prefix).select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import arith, net
 from ..schema import BASELINE, TEST
 from . import filters as B
+from .summary import n_flows, n_flows_if
 
 
 def _is_base():
@@ -80,7 +81,7 @@ def server_contact_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -
     """
     inside = flows.where(net.in_prefix("dst_ip", net_prefix))
     agg = inside.groupBy("src_ip").agg(
-        F.count_if(_is_base()).alias("counts"), F.count_if(_is_test()).alias("counts_test"))
+        n_flows_if(flows, _is_base()).alias("counts"), n_flows_if(flows, _is_test()).alias("counts_test"))
     return agg.withColumn("increase", arith.pct_increase("counts", "counts_test"))
 
 
@@ -106,7 +107,7 @@ def period_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataF
     """Per source, average internet bytes per flow in each period; sources
     present in both periods only (the reference's inner merge, Q18)."""
     agg = B.to_internet_flows(flows, net_prefix).groupBy("src_ip").agg(
-        F.count_if(_is_base()).alias("counts_normal"), F.count_if(_is_test()).alias("counts_test"),
+        n_flows_if(flows, _is_base()).alias("counts_normal"), n_flows_if(flows, _is_test()).alias("counts_test"),
         F.sum(F.when(_is_base(), F.col("up_bytes"))).alias("up_normal"),
         F.sum(F.when(_is_base(), F.col("down_bytes"))).alias("down_normal"),
         F.sum(F.when(_is_test(), F.col("up_bytes"))).alias("up_test"),

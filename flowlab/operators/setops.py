@@ -1,8 +1,8 @@
 """Set operations on countries.
 
-Country sets are tiny (bounded by the range table's distinct codes), so the
-semi/anti joins against them broadcast; the flows side is never shuffled for
-them.
+Country sets are tiny: every value is a code of the range table (or ''), so
+their size is bounded by the range table's distinct codes, and the semi/anti
+joins against them broadcast; the flows side is never shuffled for them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def period_countries(flows_cc: DataFrame, period: str) -> DataFrame:
 def new_countries(flows_cc: DataFrame) -> DataFrame:
     """G1: test countries minus baseline countries."""
     return period_countries(flows_cc, TEST).join(
-        period_countries(flows_cc, BASELINE), "dst_cc", "left_anti")
+        F.broadcast(period_countries(flows_cc, BASELINE)), "dst_cc", "left_anti")
 
 
 def new_country_flows(flows_cc: DataFrame) -> DataFrame:

@@ -114,3 +114,13 @@ def test_country_values_kept_apart(spark, flows_of):
     assert D.country_count(cc).first().n_countries == 3  # null skipped, '' counted
     assert sorted(r.dst_cc for r in D.distinct_countries(cc).collect()) == ["", "NA", "US"]
     assert D.country_fanout(cc).first().n_countries == 2  # known only
+
+
+def test_alerts_on_edge_summary_equal_alerts_on_flows(spark):
+    from flowlab.sources import fixture_geo_ranges, load_flows
+    from tests.conftest import SF_SMALL
+    flows = load_flows(spark, "/root/testdata/sf0.01")
+    geo = fixture_geo_ranges(spark)
+    a = sorted((r.rule, r.subject, round(r.metric, 6)) for r in R.alerts(flows, geo, summarize=True).collect())
+    b = sorted((r.rule, r.subject, round(r.metric, 6)) for r in R.alerts(flows, geo, summarize=False).collect())
+    assert a == b and len(a) > 5
