@@ -17,7 +17,7 @@ from .common import as_col
 DEFAULT_NET = "192.168.109."
 DEFAULT_CIDR = "192.168.109.0/24"
 
-# RFC 1918 prefixes listed by the monitoring script.
+# The RFC 1918 prefix list of the internal-services query.
 RFC1918_PREFIXES = (
     "192.168.", "10.", "172.16.", "172.17.", "172.18.", "172.19.", "172.20.",
     "172.21.", "172.22.", "172.23.", "172.24.", "172.25.", "172.26.", "172.27.",
@@ -66,6 +66,17 @@ def addr_num(df, ip: str) -> Column:
     return F.col(stored) if stored in df.columns else ip_to_num(ip)
 
 
+def with_addr_num(df, ip: str):
+    """``(frame, column)``: the frame with ``<ip>_num`` parsed once if it is not
+    stored, and that column. A projected column is evaluated once per row even
+    when many predicates read it (Catalyst does not inline a non-trivial
+    expression that is referenced several times)."""
+    stored = f"{ip}_num"
+    if stored not in df.columns:
+        df = df.withColumn(stored, ip_to_num(ip))
+    return df, F.col(stored)
+
+
 def in_cidr(ip, cidr: str = DEFAULT_CIDR, num: Column | None = None) -> Column:
     """Address arithmetic; null for a malformed address."""
     lo, hi = cidr_bounds(cidr)

@@ -307,7 +307,8 @@ def udp443_bytes_by_src(flows: DataFrame) -> DataFrame:
 def host_profile(flows: DataFrame) -> DataFrame:
     """Per-source profile in one keyed aggregate (Q1 fixed: no positional
     alignment; a host without e.g. UDP flows gets 0, not a neighbour's value)."""
-    private = net.is_private("dst_ip", net.addr_num(flows, "dst_ip"))
+    flows, dnum = net.with_addr_num(flows, "dst_ip")
+    private = net.is_private("dst_ip", dnum)
     n = F.count(F.lit(1))
     agg = flows.groupBy("src_ip").agg(
         n.alias("flows"),

@@ -75,7 +75,8 @@ def public_flag(flows: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
 
 def private_split(flows: DataFrame) -> DataFrame:
     """``(flow_id, is_private)`` by the CPython ``is_private`` ranges."""
-    return flows.select("flow_id", net.is_private("dst_ip", net.addr_num(flows, "dst_ip")).alias("is_private"))
+    parsed, dnum = net.with_addr_num(flows, "dst_ip")
+    return parsed.select("flow_id", net.is_private("dst_ip", dnum).alias("is_private"))
 
 
 def host_in_list(flows: DataFrame, col: str, hosts, flag=None) -> DataFrame:

@@ -89,6 +89,20 @@ def _a2(spark, sf):
         F.sum("down_bytes").alias("down_bytes"), F.sum("timestamp").alias("ts_sum"))
 
 
+@query("csv_sink")
+def _a5(spark, sf):
+    """A5: R16's distinct new-country flows written as CSV to the shared
+    folder and read back (header, '\\N' for null, '' kept)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import read_csv_result, write_csv
+    out = G.new_country_flows(flows_cc(spark, sf))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlab-out/new_country_ips-{uuid.uuid4().hex[:12]}"
+    write_csv(out, path)
+    return read_csv_result(spark, path, out.schema)
+
+
 @query("blocklist")
 def _a6(spark, sf):
     f = flows(spark, sf)

@@ -530,3 +530,5 @@ ORACLE["alerts"] = with_flows_cc(
          WHERE up_bytes > (SELECT avg(up_bytes) FROM dns_src) * 1.5
            AND CAST(up_bytes AS DOUBLE) / down_bytes BETWEEN 0.41 AND 0.45""",
     PERIOD_COMPARE, GROWTH, BOTNET, DNS_PER_SRC)
+
+ORACLE["csv_sink"] = with_flows_cc("SELECT src_ip, dst_ip, dst_cc FROM new_cc_flows", NEW_COUNTRY)

@@ -23,7 +23,7 @@ from ..schema import FLOW_COLUMNS, FLOW_SCHEMA, NUM_COLUMNS
 from ..session import ensure_checkpoint_dir
 from .flows import events_path, flows_from_events, write_flows
 
-ADAPTER_VERSION = "2"
+ADAPTER_VERSION = "3"
 _LOCK = threading.Lock()
 _PATHS: dict[tuple[str, str], str] = {}
 
