@@ -34,7 +34,9 @@ PRIVATE_NETWORKS = (
 )
 PRIVATE_EXCEPTIONS = ("192.0.0.9", "192.0.0.10")
 
-_DOTTED_QUAD = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
+# four decimal octets without leading zeros (CPython rejects "01.2.3.4")
+_OCTET = r"(0|[1-9][0-9]{0,2})"
+_DOTTED_QUAD = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:

@@ -49,5 +49,5 @@ def country_list_diff(a: DataFrame, b: DataFrame, col: str = "cc", order_col: st
     A true set difference (Q5), not the reference's remove-while-iterating
     loop, which skips the element after each removal.
     """
-    out = a.join(b.select(col).distinct(), col, "left_anti")
+    out = a.join(F.broadcast(b.select(col).distinct()), col, "left_anti")
     return out.orderBy(order_col) if order_col else out

@@ -23,11 +23,19 @@ from pyspark.sql import functions as F
 
 from ..functions.common import idiv
 
-DEFAULT_BUCKET = 1 << 20
+DEFAULT_BUCKET = 1 << 20       # flow ids per bucket: at most this many flows per window partition
+TIMESTAMP_BUCKET = 1 << 10     # ticks per bucket (about 10 s) when ordering by time
 
 
-def flow_gap(flows: DataFrame, order_by: str = "flow_id", bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
-    """``(flow_id, src_ip, gap)``; gap to the previous flow of the source."""
+def flow_gap(flows: DataFrame, order_by: str = "flow_id", bucket_size: int | None = None) -> DataFrame:
+    """``(flow_id, src_ip, gap)``; gap to the previous flow of the source.
+
+    In flow_id order a bucket holds at most ``bucket_size`` flows (ids are
+    unique). In time order (``order_by='timestamp'``) ticks repeat, so a
+    bucket holds one source's flows of ``bucket_size`` ticks; keep it small.
+    """
+    if bucket_size is None:
+        bucket_size = TIMESTAMP_BUCKET if order_by == "timestamp" else DEFAULT_BUCKET
     if order_by == "timestamp":
         # total order: (timestamp, flow_id); bucket on the timestamp
         key = F.struct("timestamp", "flow_id")

@@ -23,6 +23,7 @@ from ..operators import rangejoin as RJ
 from ..operators import setops as G
 from ..operators import sorts as S
 from ..operators import windows as E
+from ..operators.summary import checkpointed_summary
 from ..schema import BASELINE, NUM_COLUMNS, TEST
 from ..sources import (blocklist, detections, fixture_asn_ranges, fixture_dns_cache,
                        fixture_geo_ranges, load_flows)
@@ -105,7 +106,7 @@ def _a5(spark, sf):
 
 @query("blocklist")
 def _a6(spark, sf):
-    f = flows(spark, sf)
+    f = checkpointed_summary(flows(spark, sf))  # three detectors, one pass over the flows
     return blocklist(detections(R.detect_exfiltration(f), "exfiltration"),
                      detections(R.detect_c2_growth(f), "c2_growth"),
                      detections(R.detect_botnet(f), "botnet"))

@@ -76,7 +76,8 @@ def _asn_values() -> str:
 
 # dotted quad -> integer, null when malformed (mirrors functions.net.ip_to_num)
 def ip_num_sql(col: str) -> str:
-    pat = r"'^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$'"
+    octet = "(0|[1-9][0-9]{0,2})"
+    pat = rf"'^{octet}\.{octet}\.{octet}\.{octet}$'"
     parts = [f"CAST(regexp_extract({col}, {pat}, {i}) AS BIGINT)" for i in range(1, 5)]
     valid = " AND ".join([f"regexp_full_match({col}, {pat})"] + [f"{p} <= 255" for p in parts])
     return (f"(CASE WHEN {valid} THEN {parts[0]} * 16777216 + {parts[1]} * 65536 "

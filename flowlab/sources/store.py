@@ -7,7 +7,7 @@ pushed filters and ``period`` prunes whole directories. The derived table is
 written once per source file (keyed by path, size and modification time) to
 ``spark.checkpoint.dir``, a folder every executor can read, and reused by all
 later queries and sessions; a partial write has no ``_SUCCESS`` marker and is
-rebuilt under a fresh name.
+never read.
 """
 
 from __future__ import annotations
@@ -46,8 +46,21 @@ def _source_key(spark: SparkSession, src: str) -> str:
     return hashlib.sha1(ident.encode()).hexdigest()[:16]
 
 
+def _completed(spark: SparkSession, pattern: str) -> list[str]:
+    """Table folders matching ``pattern`` whose write committed (``_SUCCESS``)."""
+    fs, p = _fs(spark, f"{pattern}/_SUCCESS")
+    found = fs.globStatus(p) or []
+    return sorted(st.getPath().getParent().toString() for st in found)
+
+
 def flows_table_path(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the materialised flows of ``sf_dir``; written on first use."""
+    """Path of the materialised flows of ``sf_dir``; written on first use.
+
+    Every writer uses its own folder ``flows-<key>-<id>``; a reader takes any
+    committed one. Concurrent sessions can at worst write the table twice,
+    never into each other's files, and an interrupted write (no
+    ``_SUCCESS``) is never read.
+    """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     src = events_path(sf_dir)
     key = _source_key(spark, src)
@@ -55,11 +68,11 @@ def flows_table_path(spark: SparkSession, sf_dir: str) -> str:
         cached = _PATHS.get((base, key))
         if cached and _exists(spark, f"{cached}/_SUCCESS"):
             return cached
-        path = f"{base}/flowlab-tables/flows-{key}"
-        if not _exists(spark, f"{path}/_SUCCESS"):
-            if _exists(spark, path):
-                # an interrupted write: never reuse it, take a fresh name
-                path = f"{path}-{uuid.uuid4().hex[:8]}"
+        done = _completed(spark, f"{base}/flowlab-tables/flows-{key}-*")
+        if done:
+            path = done[0]
+        else:
+            path = f"{base}/flowlab-tables/flows-{key}-{uuid.uuid4().hex[:12]}"
             events = spark.read.parquet(src).select("event_id", "ts", "user_id", "value")
             write_flows(with_address_numbers(flows_from_events(events)), path)
         _PATHS[(base, key)] = path

@@ -11,7 +11,7 @@ ADDRS = ["10.1.1.1", "100.64.0.1", "192.0.0.9", "192.0.0.10", "192.0.0.11", "203
 
 
 def test_ip_to_num_and_malformed(spark):
-    df = spark.createDataFrame([(a,) for a in ADDRS + ["x.y", "1.2.3", "1.2.3.256", "", None]], "ip string")
+    df = spark.createDataFrame([(a,) for a in ADDRS + ["x.y", "1.2.3", "1.2.3.256", "01.2.3.4", "1.2.3.4.5", " 1.2.3.4", "", None]], "ip string")
     rows = df.select("ip", net.ip_to_num("ip").alias("n")).collect()
     for r in rows:
         if r.ip in ADDRS:

@@ -62,3 +62,13 @@ def test_describe_matches_pandas(spark, flows_of):
     for stat in pdf.index:
         for j, c in enumerate(("up_bytes", "down_bytes")):
             assert abs(got[stat][j] - pdf.loc[stat, c]) < 1e-9
+
+
+def test_bucketed_gap_in_time_order_equals_plain_window(spark):
+    f = _random_flows(spark)
+    w = Window.partitionBy("src_ip").orderBy("timestamp", "flow_id")
+    plain = {r.flow_id: r.gap for r in f.select(
+        "flow_id", F.coalesce(F.col("timestamp") - F.lag("timestamp").over(w), F.lit(0)).alias("gap")).collect()}
+    for bucket in (3, 100, None):
+        got = {r.flow_id: r.gap for r in E.flow_gap(f, order_by="timestamp", bucket_size=bucket).collect()}
+        assert got == plain
