@@ -72,7 +72,7 @@ def flows_cc(spark, sf) -> DataFrame:
     return RJ.geo_country(flows(spark, sf), fixture_geo_ranges(spark))
 
 
-def test_flows(spark, sf) -> DataFrame:
+def period_test_flows(spark, sf) -> DataFrame:
     return B.in_period(flows(spark, sf), TEST)
 
 
@@ -231,13 +231,13 @@ def _j3(spark, sf):
 
 @query("flows_to_known_hosts")
 def _j4(spark, sf):
-    t = test_flows(spark, sf)
+    t = period_test_flows(spark, sf)
     return J.flows_to_known_hosts(t, J.host_activity(t))
 
 
 @query("bytes_with_counts")
 def _j5(spark, sf):
-    return J.bytes_with_counts(test_flows(spark, sf))
+    return J.bytes_with_counts(period_test_flows(spark, sf))
 
 
 @query("geo_country")

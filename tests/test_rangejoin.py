@@ -56,3 +56,23 @@ def test_plan_is_hash_join_not_nested_loop(spark):
             ._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
         assert "HashJoin" in plan or "SortMergeJoin" in plan
+
+
+def test_range_tables_from_csv_and_parquet(spark, flows_of):
+    import tempfile
+
+    from flowlab.operators.rangejoin import geo_country, geo_org
+    from flowlab.sources import read_asn, read_geo
+    d = tempfile.mkdtemp(prefix="flowlab-ranges-")
+    with open(f"{d}/geo.csv", "w") as fh:
+        fh.write("lo,hi,cc\n335544320,352321535,US\n352321536,369098751,\n369098752,369164287,\\N\n")
+    geo = read_geo(spark, f"{d}/geo.csv", fmt="csv")
+    spark.createDataFrame([(335544320, 352321535, "AS20 X")], "lo bigint, hi bigint, org string") \
+        .write.parquet(f"{d}/asn")
+    asn = read_asn(spark, f"{d}/asn")
+    f = flows_of([dict(dst_ip="20.1.1.1"), dict(dst_ip="21.0.0.1"), dict(dst_ip="22.0.0.5"), dict(dst_ip="9.9.9.9")])
+    cc = {r.dst_ip: r.dst_cc for r in geo_country(f, geo).collect()}
+    # a range whose code is '' or null still reads as unknown external: ''
+    assert cc == {"20.1.1.1": "US", "21.0.0.1": "", "22.0.0.5": "", "9.9.9.9": ""}
+    org = {r.dst_ip: r.dst_org for r in geo_org(f, asn).collect()}
+    assert org == {"20.1.1.1": "AS20 X", "21.0.0.1": None, "22.0.0.5": None, "9.9.9.9": None}
