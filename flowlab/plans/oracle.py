@@ -163,7 +163,7 @@ ORACLE: dict[str, str] = {
     "flow_scan": with_flows(f"SELECT {FLOW_COLS} FROM flows"),
     "period_scan": with_flows(
         "SELECT period, count(*) AS flows, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, "
-        "CAST(sum(down_bytes) AS BIGINT) AS down_bytes, CAST(sum(timestamp) AS BIGINT) AS ts_sum "
+        "CAST(sum(down_bytes) AS BIGINT) AS down_bytes, min(timestamp) AS first_tick, max(timestamp) AS last_tick "
         "FROM flows GROUP BY period"),
     "blocklist": with_flows(
         """SELECT ip, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM (

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 import time
 
@@ -34,7 +35,7 @@ def _norm(v):
             return None
         if math.isinf(v):
             return v
-        return round(v, 5)
+        return round(v, int(os.environ.get("FLOWLAB_CMP_DIGITS", "5")))
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item())

@@ -17,6 +17,15 @@ def test_q1_host_profile_is_keyed_not_positional(flows_of):
         dict(src_ip="c", proto="udp", dst_ip="8.8.8.8"),
     ])
     rows = {r.src_ip: r for r in D.host_profile(f).collect()}
+    # positional alignment (the deviation we do not reproduce): per-host UDP
+    # counts exist only for b and c, and lined up against all hosts in key
+    # order they would give a b's count and b c's
+    hosts = ["a", "b", "c"]
+    udp_counts = [1, 1]  # b, c
+    flows_per_host = [2, 2, 1]
+    positional = [u / n for u, n in zip(udp_counts, flows_per_host)]
+    assert positional[0] == 0.5  # host a would get 0.5 although it has no UDP flow
+    assert [rows[h].udp_share for h in hosts] == [0.0, 0.5, 1.0]
     assert rows["a"].udp_share == 0.0 and rows["a"].tcp_share == 1.0
     assert rows["b"].udp_share == 0.5
     assert rows["c"].udp_share == 1.0 and rows["c"].flows_to_internet == 1
