@@ -20,9 +20,15 @@ def period_countries(flows_cc: DataFrame, period: str) -> DataFrame:
 
 
 def new_countries(flows_cc: DataFrame) -> DataFrame:
-    """G1: test countries minus baseline countries."""
-    return period_countries(flows_cc, TEST).join(
-        F.broadcast(period_countries(flows_cc, BASELINE)), "dst_cc", "left_anti")
+    """G1: test countries minus baseline countries.
+
+    One pass: a conditional aggregate per country records whether it was seen
+    in each period, instead of two distinct scans and an anti join.
+    """
+    seen = B.drop_null_cc(flows_cc).groupBy("dst_cc").agg(
+        F.bool_or(F.col("period") == TEST).alias("_in_test"),
+        F.bool_or(F.col("period") == BASELINE).alias("_in_base"))
+    return seen.where(F.col("_in_test") & ~F.col("_in_base")).select("dst_cc")
 
 
 def new_country_flows(flows_cc: DataFrame) -> DataFrame:
