@@ -40,9 +40,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _source_key(spark: SparkSession, src: str) -> str:
+    """Identity of the source data: a file by size and mtime; a directory (a
+    multi-file dataset) by total bytes, file count and newest file."""
     fs, p = _fs(spark, src)
     st = fs.getFileStatus(p)
-    ident = f"{fs.makeQualified(p).toString()}|{st.getLen()}|{st.getModificationTime()}|{ADAPTER_VERSION}"
+    if st.isDirectory():
+        summary = fs.getContentSummary(p)
+        newest, files = 0, fs.listFiles(p, True)
+        while files.hasNext():
+            newest = max(newest, files.next().getModificationTime())
+        stamp = f"{summary.getLength()}|{summary.getFileCount()}|{newest}"
+    else:
+        stamp = f"{st.getLen()}|{st.getModificationTime()}"
+    ident = f"{fs.makeQualified(p).toString()}|{stamp}|{ADAPTER_VERSION}"
     return hashlib.sha1(ident.encode()).hexdigest()[:16]
 
 

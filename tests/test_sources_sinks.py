@@ -38,3 +38,17 @@ def test_blocklist_merge_is_idempotent(spark, flows_of):
     again = blocklist(detections(a, "exfiltration"), existing=first)
     rows = {r.ip: r.reasons for r in again.collect()}
     assert rows == {"1.1.1.1": ["botnet", "exfiltration"], "2.2.2.2": ["exfiltration"]}
+
+
+def test_flow_table_from_a_directory_source(spark):
+    import os
+
+    from flowlab.sources.store import flows_table
+    d = tempfile.mkdtemp(prefix="flowlab-evdir-")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ev.repartition(3).write.parquet(f"{d}/events.parquet")
+    assert os.path.isdir(f"{d}/events.parquet")
+    a = flows_table(spark, d)
+    b = flows_table(spark, "/root/testdata/sf0.001")
+    cols = ["flow_id", "period", "timestamp", "src_ip", "dst_ip", "proto", "port", "up_bytes", "down_bytes"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
