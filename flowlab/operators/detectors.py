@@ -203,7 +203,11 @@ def burst_window(flows: DataFrame, lo: int = 80000, hi: int = 90000, k: int = 30
 
 
 def alerts(flows: DataFrame, geo: DataFrame, net_prefix: str = net.DEFAULT_NET,
-           cidr: str = net.DEFAULT_CIDR, summarize: bool = True) -> DataFrame:
+           cidr: str = net.DEFAULT_CIDR, summarize: bool = True, exfil_factor: float = 1.5,
+           c2_min_increase: float = 250, c2_min_baseline: int = 50, botnet_min_fanout: int = 4,
+           max_countries: int = 5, transfer_countries=("CN", "RU"), transfer_bytes: int = 1_000_000,
+           dns_c2_volume: float = 1.25, quic_min_ratio: float = 1.0, dns_exfil_volume: float = 1.5,
+           dns_ratio_lo: float = 0.41, dns_ratio_hi: float = 0.45) -> DataFrame:
     """All per-host detectors as ``(rule, subject, metric, threshold)`` rows.
 
     The detectors run over one checkpointed edge summary (``summarize=True``):
@@ -213,32 +217,25 @@ def alerts(flows: DataFrame, geo: DataFrame, net_prefix: str = net.DEFAULT_NET,
     if summarize:
         flows = checkpointed_summary(flows)
     fcc = enrich_country(flows, geo, cidr)
+
+    def rows(df: DataFrame, rule: str, metric, threshold: float) -> DataFrame:
+        return df.select(F.lit(rule).alias("rule"), F.col("src_ip").alias("subject"),
+                         metric.cast("double").alias("metric"), F.lit(float(threshold)).alias("threshold"))
+
     parts = [
-        detect_exfiltration(flows, net_prefix).select(
-            F.lit("exfiltration").alias("rule"), F.col("src_ip").alias("subject"),
-            F.greatest(arith.safe_ratio("avg_up_bytes_test", "avg_up_bytes_normal"),
-                       arith.safe_ratio("avg_down_bytes_test", "avg_down_bytes_normal")).alias("metric"),
-            F.lit(1.5).alias("threshold")),
-        detect_c2_growth(flows, net_prefix).select(
-            F.lit("c2_growth").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("increase").alias("metric"), F.lit(250.0).alias("threshold")),
-        detect_botnet(flows, cidr).select(
-            F.lit("botnet").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("n_peers").cast("double").alias("metric"), F.lit(4.0).alias("threshold")),
-        rule_many_countries(fcc).select(
-            F.lit("many_countries").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("n_countries").cast("double").alias("metric"), F.lit(5.0).alias("threshold")),
-        rule_country_transfer(fcc).select(
-            F.lit("country_transfer").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("up_bytes").cast("double").alias("metric"), F.lit(1e6).alias("threshold")),
-        detect_dns_c2(flows).select(
-            F.lit("dns_c2").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("conns").cast("double").alias("metric"), F.lit(1.25).alias("threshold")),
-        detect_quic_exfil(flows).select(
-            F.lit("quic_exfil").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("ratio").alias("metric"), F.lit(1.0).alias("threshold")),
-        detect_dns_exfil(flows).select(
-            F.lit("dns_exfil").alias("rule"), F.col("src_ip").alias("subject"),
-            F.col("up_bytes").cast("double").alias("metric"), F.lit(1.5).alias("threshold")),
+        rows(detect_exfiltration(flows, net_prefix, exfil_factor), "exfiltration",
+             F.greatest(arith.safe_ratio("avg_up_bytes_test", "avg_up_bytes_normal"),
+                        arith.safe_ratio("avg_down_bytes_test", "avg_down_bytes_normal")), exfil_factor),
+        rows(detect_c2_growth(flows, net_prefix, c2_min_increase, c2_min_baseline), "c2_growth",
+             F.col("increase"), c2_min_increase),
+        rows(detect_botnet(flows, cidr, botnet_min_fanout), "botnet", F.col("n_peers"), botnet_min_fanout),
+        rows(rule_many_countries(fcc, max_countries), "many_countries", F.col("n_countries"), max_countries),
+        rows(rule_country_transfer(fcc, transfer_countries, transfer_bytes), "country_transfer",
+             F.col("up_bytes"), transfer_bytes),
+        rows(detect_dns_c2(flows, dns_c2_volume, dns_ratio_lo, dns_ratio_hi), "dns_c2",
+             F.col("conns"), dns_c2_volume),
+        rows(detect_quic_exfil(flows, quic_min_ratio), "quic_exfil", F.col("ratio"), quic_min_ratio),
+        rows(detect_dns_exfil(flows, dns_exfil_volume, dns_ratio_lo, dns_ratio_hi), "dns_exfil",
+             F.col("up_bytes"), dns_exfil_volume),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -1,7 +1,9 @@
 """Structured Streaming versions of the per-host detector aggregates."""
 
-from .live import (baseline_profile, flag_windows, live_exfiltration, read_flow_stream,
-                   windowed_host_rates, with_event_time)
+from .live import (baseline_contact_rate, baseline_profile, flag_contact_growth, flag_windows,
+                   live_c2_growth, live_exfiltration, live_fanout, read_flow_stream,
+                   windowed_fanout, windowed_host_rates, windowed_internal_contacts, with_event_time)
 
-__all__ = ["baseline_profile", "flag_windows", "live_exfiltration", "read_flow_stream",
-           "windowed_host_rates", "with_event_time"]
+__all__ = ["baseline_contact_rate", "baseline_profile", "flag_contact_growth", "flag_windows",
+           "live_c2_growth", "live_exfiltration", "live_fanout", "read_flow_stream",
+           "windowed_fanout", "windowed_host_rates", "windowed_internal_contacts", "with_event_time"]

@@ -1,10 +1,16 @@
 """Per-host detector aggregates on Structured Streaming.
 
-Test-period flows arrive as files; each source's internet traffic is
-aggregated per event-time tumbling window (with a watermark, so window state
-is dropped once late data can no longer arrive) and compared with that
-source's baseline profile, a static frame computed once from stored baseline
-flows (a stream-static join in each micro-batch).
+Test-period flows arrive as files; per event-time tumbling window (with a
+watermark, so window state is dropped once late data can no longer arrive)
+each source's traffic is aggregated and compared with that source's baseline
+profile, a static frame computed once from stored baseline flows (a
+stream-static join):
+
+* exfiltration: average internet bytes per flow above ``factor`` x baseline;
+* C2 growth: flows to internal hosts above the baseline rate for the window
+  length by more than ``min_increase`` %;
+* fan-out: more distinct internal destinations than ``min_fanout`` (the set
+  per window and source is bounded by the size of the internal block).
 
 Event time is ``period_start + ticks / 100`` seconds. The query checkpoint
 lives under the session's shared ``spark.checkpoint.dir``, so a restarted
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import arith, net
 from ..functions.timeparts import TICKS_PER_SECOND
 from ..operators import filters as B
-from ..schema import BASELINE, FLOW_COLUMNS, FLOW_FILE_SCHEMA
+from ..schema import BASELINE, FLOW_COLUMNS, FLOW_FILE_SCHEMA, TEST
 from ..session import ensure_checkpoint_dir
 
 
@@ -70,6 +76,64 @@ def flag_windows(rates: DataFrame, profile: DataFrame, factor: float = 1.5) -> D
                         | (F.col("avg_down_bytes") > F.col("avg_down_bytes_normal") * factor))
 
 
+def windowed_internal_contacts(flows: DataFrame, period_start: str, window: str = "1 minute",
+                               watermark: str = "10 minutes", net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+    """Flows to internal hosts per (window, source)."""
+    timed = with_event_time(flows.where(net.in_prefix("dst_ip", net_prefix)), period_start)
+    agg = (timed.withWatermark("event_time", watermark)
+           .groupBy(F.window("event_time", window).alias("w"), "src_ip")
+           .agg(F.count(F.lit(1)).alias("counts_window")))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                      "src_ip", "counts_window")
+
+
+def baseline_contact_rate(baseline: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+    """Static per-source baseline: flows to internal hosts and flows per second
+    of the baseline's observed span."""
+    base = B.in_period(baseline, BASELINE)
+    span = base.agg(((F.max("timestamp") - F.min("timestamp")) / TICKS_PER_SECOND + 1).alias("s"))
+    seconds = span.select("s").scalar()
+    inside = base.where(net.in_prefix("dst_ip", net_prefix)).groupBy("src_ip").agg(
+        F.count(F.lit(1)).alias("counts"))
+    return inside.select("src_ip", "counts", (F.col("counts") / seconds).alias("rate_per_second"))
+
+
+def flag_contact_growth(contacts: DataFrame, rates: DataFrame, window_seconds: int,
+                        min_increase: float = 250, min_baseline: int = 50) -> DataFrame:
+    """Windows whose internal contacts exceed the baseline rate for the window
+    by more than ``min_increase`` %; baseline counts above ``min_baseline``."""
+    joined = contacts.join(rates, "src_ip")
+    expected = F.col("rate_per_second") * window_seconds
+    return (joined.withColumn("increase", (F.col("counts_window") - expected) / expected * 100)
+            .where((F.col("increase") > min_increase) & (F.col("counts") > min_baseline)))
+
+
+def windowed_fanout(flows: DataFrame, period_start: str, window: str = "1 minute",
+                    watermark: str = "10 minutes", cidr: str = net.DEFAULT_CIDR) -> DataFrame:
+    """Distinct internal destinations per (window, source). The per-group set
+    holds addresses of ``cidr`` only, so its size is bounded by the block."""
+    lo, hi = net.cidr_bounds(cidr)
+    if hi - lo + 1 > 65536:
+        raise ValueError(f"{cidr} is wider than /16")
+    inside = flows.where(~net.is_public("dst_ip", cidr))
+    timed = with_event_time(inside, period_start)
+    agg = (timed.withWatermark("event_time", watermark)
+           .groupBy(F.window("event_time", window).alias("w"), "src_ip")
+           .agg(F.size(F.collect_set("dst_ip")).alias("n_peers")))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                      "src_ip", F.col("n_peers").cast("bigint").alias("n_peers"))
+
+
+def _start(df: DataFrame, spark: SparkSession, sink_table: str, available_now: bool,
+           checkpoint: str | None):
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlab-streams/{sink_table}"
+    writer = (df.writeStream.outputMode("append").format("memory").queryName(sink_table)
+              .option("checkpointLocation", ckpt))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def live_exfiltration(spark: SparkSession, stream_path: str, baseline: DataFrame, period_start: str,
                       sink_table: str, factor: float = 1.5, window: str = "1 minute",
                       watermark: str = "10 minutes", net_prefix: str = net.DEFAULT_NET,
@@ -78,12 +142,26 @@ def live_exfiltration(spark: SparkSession, stream_path: str, baseline: DataFrame
     to the in-memory table ``sink_table`` (use ``foreachBatch`` or a file
     sink for production)."""
     profile = baseline_profile(baseline, net_prefix).cache()
-    rates = windowed_host_rates(read_flow_stream(spark, stream_path), period_start, window,
+    rates = windowed_host_rates(read_flow_stream(spark, stream_path, TEST), period_start, window,
                                 watermark, net_prefix)
-
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlab-streams/{sink_table}"
-    writer = (flag_windows(rates, profile, factor).writeStream.outputMode("append")
-              .format("memory").queryName(sink_table).option("checkpointLocation", ckpt))
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return _start(flag_windows(rates, profile, factor), spark, sink_table, available_now, checkpoint)
+
+
+def live_c2_growth(spark: SparkSession, stream_path: str, baseline: DataFrame, period_start: str,
+                   sink_table: str, window_seconds: int = 60, watermark: str = "10 minutes",
+                   min_increase: float = 250, min_baseline: int = 50, net_prefix: str = net.DEFAULT_NET,
+                   available_now: bool = False, checkpoint: str | None = None):
+    """Start the streaming C2-growth detector (see ``flag_contact_growth``)."""
+    rates = baseline_contact_rate(baseline, net_prefix).cache()
+    contacts = windowed_internal_contacts(read_flow_stream(spark, stream_path, TEST), period_start,
+                                          f"{window_seconds} seconds", watermark, net_prefix)
+    flagged = flag_contact_growth(contacts, rates, window_seconds, min_increase, min_baseline)
+    return _start(flagged, spark, sink_table, available_now, checkpoint)
+
+
+def live_fanout(spark: SparkSession, stream_path: str, period_start: str, sink_table: str,
+                min_fanout: int = 4, window: str = "1 minute", watermark: str = "10 minutes",
+                cidr: str = net.DEFAULT_CIDR, available_now: bool = False, checkpoint: str | None = None):
+    """Start the streaming fan-out (botnet) detector."""
+    fan = windowed_fanout(read_flow_stream(spark, stream_path, TEST), period_start, window, watermark, cidr)
+    return _start(fan.where(F.col("n_peers") > min_fanout), spark, sink_table, available_now, checkpoint)

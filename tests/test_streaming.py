@@ -33,3 +33,41 @@ def test_stream_matches_batch(spark):
     closed = {(s, src) for s, e, src in expected if e <= watermark}
     assert closed and closed <= got
     assert got <= {(s, src) for s, e, src in expected}
+
+
+def _closed(expected, watermark):
+    return {(s, src) for s, e, src in expected if e <= watermark}
+
+
+def test_stream_c2_growth_and_fanout_match_batch(spark):
+    import datetime
+
+    from flowlab.streaming import (baseline_contact_rate, flag_contact_growth, live_c2_growth,
+                                   live_fanout, windowed_fanout, windowed_internal_contacts)
+    flows = load_flows(spark, "/root/testdata/sf0.01")
+    d = tempfile.mkdtemp(prefix="flowlab-stream2-")
+    test = B.in_period(flows, "test")
+    test.drop("period", "src_ip_num", "dst_ip_num").repartition(4).write.parquet(f"{d}/test")
+    timed = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(START))) + F.col("timestamp") / 100)
+    watermark = test.agg(F.max(timed)).first()[0] - datetime.timedelta(hours=1)
+
+    q1 = live_c2_growth(spark, f"{d}/test", flows, START, "live_c2", window_seconds=3600,
+                        watermark="1 hour", min_increase=100, min_baseline=10, available_now=True,
+                        checkpoint=f"{d}/c1")
+    q2 = live_fanout(spark, f"{d}/test", START, "live_fan", min_fanout=4, window="1 day",
+                     watermark="1 hour", available_now=True, checkpoint=f"{d}/c2")
+    q1.awaitTermination(300)
+    q2.awaitTermination(300)
+
+    batch_c2 = flag_contact_growth(windowed_internal_contacts(test, START, "3600 seconds", "1 hour"),
+                                   baseline_contact_rate(flows), 3600, 100, 10)
+    exp_c2 = {(r.window_start, r.window_end, r.src_ip) for r in batch_c2.collect()}
+    got_c2 = {(r.window_start, r.src_ip) for r in spark.table("live_c2").collect()}
+    assert _closed(exp_c2, watermark) <= got_c2 <= {(s, src) for s, e, src in exp_c2}
+    assert got_c2
+
+    batch_fan = windowed_fanout(test, START, "1 day", "1 hour").where(F.col("n_peers") > 4)
+    exp_fan = {(r.window_start, r.window_end, r.src_ip) for r in batch_fan.collect()}
+    got_fan = {(r.window_start, r.src_ip) for r in spark.table("live_fan").collect()}
+    assert _closed(exp_fan, watermark) <= got_fan <= {(s, src) for s, e, src in exp_fan}
+    assert got_fan and {src for _, src in got_fan} <= {"192.168.109.4", "192.168.109.12", "192.168.109.18"}
