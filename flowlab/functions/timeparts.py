@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_col, idiv
+from .common import idiv
 
 TICKS_PER_SECOND = 100
 
@@ -35,7 +35,3 @@ def minute_of_day(ts="timestamp") -> Column:
     """H3: ``HH:MM``, wrapping at 24."""
     sec = ts_seconds(ts)
     return F.format_string("%02d:%02d", idiv(sec, 3600) % 24, idiv(sec % 3600, 60))
-
-
-def tick(ts="timestamp") -> Column:
-    return as_col(ts)

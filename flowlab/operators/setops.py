@@ -14,11 +14,6 @@ from ..schema import BASELINE, TEST
 from . import filters as B
 
 
-def period_countries(flows_cc: DataFrame, period: str) -> DataFrame:
-    """Distinct countries of a period; null (internal) dropped, '' kept (section 1.5)."""
-    return B.drop_null_cc(B.in_period(flows_cc, period).select("dst_cc")).distinct()
-
-
 def new_countries(flows_cc: DataFrame) -> DataFrame:
     """G1: test countries minus baseline countries.
 

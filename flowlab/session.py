@@ -1,7 +1,8 @@
 """SparkSession construction and the shared checkpoint folder.
 
 On a cluster the session comes from the launcher; ``get_spark`` only fills in
-settings that are still unset, so cluster-wide values always win.
+settings the launcher has not set (spark-defaults.conf, ``--conf``), so
+cluster-wide values win; explicit arguments (tests, bench) are applied as given.
 """
 
 from __future__ import annotations
@@ -22,16 +23,22 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # delete reliable-checkpoint files (edge summaries) once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_spark(app: str = "flowlab", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
+    from pyspark import SparkConf
+
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    # settings the launcher already has (spark-defaults.conf, --conf) are kept
+    preset = SparkConf()
+    conf = {k: v for k, v in DEFAULT_CONF.items() if not preset.contains(k)}
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
