@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import as_col
 
-DEFAULT_NET = "192.168.109."
-DEFAULT_CIDR = "192.168.109.0/24"
+from ..defaults import INTERNAL_CIDR as DEFAULT_CIDR
+from ..defaults import INTERNAL_PREFIX as DEFAULT_NET
 
 # The RFC 1918 prefix list of the internal-services query.
 RFC1918_PREFIXES = (

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as K
 from ..functions import arith, net, timeparts
 from ..functions.common import idiv
 from . import filters as B
@@ -83,7 +84,7 @@ def down_up_ratio_443(flows: DataFrame, port: int = 443) -> DataFrame:
     return ratio_by(B.port_flows(flows, port), ["src_ip"], num="down_bytes", den="up_bytes")
 
 
-def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
+def histogram(values: DataFrame, col: str, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
     """``bins`` equal-width bins over ``[min, max]``, last bin closed (Q9).
 
     ``min``/``max`` are two scalars fetched by one aggregate job; bin numbers
@@ -113,7 +114,7 @@ def histogram(values: DataFrame, col: str, bins: int = 10) -> DataFrame:
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def up443_histogram(flows: DataFrame, bins: int = 10) -> DataFrame:
+def up443_histogram(flows: DataFrame, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
     """Histogram of D4."""
     return histogram(sum_by(B.port_flows(flows, 443), ["src_ip"], ["up_bytes"]), "up_bytes", bins)
 
@@ -351,7 +352,7 @@ def up_by_minute(flows: DataFrame) -> DataFrame:
     return sum_by(flows.withColumn("minute", timeparts.minute_of_day("timestamp")), ["minute"], ["up_bytes"])
 
 
-def dst_up_with_sources(flows: DataFrame, k: int = 2) -> DataFrame:
+def dst_up_with_sources(flows: DataFrame, k: int = K.TOP_DESTINATIONS) -> DataFrame:
     """The ``k`` destinations with most upload, each with its sources.
 
     One row per (destination, distinct source) instead of a list per
@@ -377,7 +378,7 @@ def country_fanout(flows_cc: DataFrame) -> DataFrame:
     return known.groupBy("src_ip").agg(F.count_distinct("dst_cc").alias("n_countries"))
 
 
-def country_bytes(flows_cc: DataFrame, countries=("CN", "RU")) -> DataFrame:
+def country_bytes(flows_cc: DataFrame, countries=K.TRANSFER_COUNTRIES) -> DataFrame:
     """Uploaded bytes per source to listed countries."""
     return sum_by(flows_cc.where(F.col("dst_cc").isin(*countries)), ["src_ip"], ["up_bytes"])
 
@@ -397,6 +398,6 @@ def country_count(flows_cc: DataFrame) -> DataFrame:
     return flows_cc.agg(F.count_distinct("dst_cc").alias("n_countries"))
 
 
-def upload_histogram_time(flows: DataFrame, bins: int = 10) -> DataFrame:
+def upload_histogram_time(flows: DataFrame, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
     """Histogram of the per-tick upload sums."""
     return histogram(bytes_by_second(flows, by="tick"), "up_bytes", bins)

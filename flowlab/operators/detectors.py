@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as K
 from ..functions import arith, net
 from ..schema import BASELINE, TEST
 from . import aggregates as D
@@ -47,17 +48,17 @@ def _mean_rule(flows: DataFrame, col: str, threshold: float, net_prefix: str) ->
                                    F.lit(False)).alias("detected"))
 
 
-def rule_high_upload(flows: DataFrame, threshold: float = 1.5, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def rule_high_upload(flows: DataFrame, threshold: float = K.PERIOD_FACTOR, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """Mean over hosts of average upload per flow, test > threshold x baseline."""
     return _mean_rule(flows, "avg_up_bytes", threshold, net_prefix)
 
 
-def rule_high_download(flows: DataFrame, threshold: float = 1.5, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def rule_high_download(flows: DataFrame, threshold: float = K.PERIOD_FACTOR, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """R2: the same for download."""
     return _mean_rule(flows, "avg_down_bytes", threshold, net_prefix)
 
 
-def rule_external_connections(flows: DataFrame, threshold: int = 37, net_prefix: str = net.DEFAULT_NET,
+def rule_external_connections(flows: DataFrame, threshold: int = K.EXTERNAL_FLOWS_THRESHOLD, net_prefix: str = net.DEFAULT_NET,
                               period: str | None = TEST) -> DataFrame:
     """Total (not per host) test flows to the internet above a threshold."""
     n = B.to_internet_flows(B.in_period(flows, period), net_prefix).agg(
@@ -69,23 +70,23 @@ def enrich_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CID
     return RJ.geo_country(flows, geo, cidr, **kw)
 
 
-def rule_many_countries(flows_cc: DataFrame, threshold: int = 5, period: str | None = TEST) -> DataFrame:
+def rule_many_countries(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES, period: str | None = TEST) -> DataFrame:
     """Sources reaching more than ``threshold`` distinct known countries."""
     return B.having_threshold(D.country_fanout(B.in_period(flows_cc, period)), "n_countries", threshold)
 
 
-def rule_country_transfer(flows_cc: DataFrame, countries=("CN", "RU"), threshold: int = 1_000_000,
+def rule_country_transfer(flows_cc: DataFrame, countries=K.TRANSFER_COUNTRIES, threshold: int = K.TRANSFER_BYTES,
                           period: str | None = TEST) -> DataFrame:
     """Sources uploading more than ``threshold`` bytes to listed countries."""
     return B.having_threshold(D.country_bytes(B.in_period(flows_cc, period), countries), "up_bytes", threshold)
 
 
-def many_countries_bytes(flows_cc: DataFrame, threshold: int = 5, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def many_countries_bytes(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """Test internet bytes of R4's sources (chart data)."""
     return J.candidate_bytes(flows_cc, rule_many_countries(flows_cc, threshold), net_prefix)
 
 
-def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, factor: float = 1.5) -> DataFrame:
+def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, factor: float = K.PERIOD_FACTOR) -> DataFrame:
     """Average up or down bytes per internet flow grew past ``factor`` x
     baseline; sources present in both periods. One scan, one shuffle."""
     cmp = J.period_compare(flows, net_prefix)
@@ -93,13 +94,13 @@ def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, fac
                      | (F.col("avg_down_bytes_test") > F.col("avg_down_bytes_normal") * factor))
 
 
-def exfiltration_bytes(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, factor: float = 1.5) -> DataFrame:
+def exfiltration_bytes(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, factor: float = K.PERIOD_FACTOR) -> DataFrame:
     """Test internet bytes of R7's sources."""
     return J.candidate_bytes(flows, detect_exfiltration(flows, net_prefix, factor), net_prefix)
 
 
-def detect_c2_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, min_increase: float = 250,
-                     min_baseline: int = 50, include_new_hosts: bool = False) -> DataFrame:
+def detect_c2_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, min_increase: float = K.C2_MIN_INCREASE,
+                     min_baseline: int = K.C2_MIN_BASELINE, include_new_hosts: bool = False) -> DataFrame:
     """Flows to internal hosts grew more than ``min_increase`` % and the
     baseline had more than ``min_baseline`` such flows.
 
@@ -116,13 +117,13 @@ def detect_c2_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, min_in
     return g.where(F.coalesce(cond, F.lit(False)))
 
 
-def detect_botnet(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int = 4,
+def detect_botnet(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int = K.MIN_FANOUT,
                   period: str | None = TEST) -> DataFrame:
     """Sources with more distinct internal destinations than ``min_fanout``."""
     return B.having_threshold(D.internal_fanout(B.in_period(flows, period), cidr), "n_peers", min_fanout)
 
 
-def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int = 4,
+def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int = K.MIN_FANOUT,
                  period: str | None = TEST) -> DataFrame:
     """The internal peers of R10's sources."""
     sel = B.in_period(flows, period)
@@ -136,8 +137,8 @@ def _dns_per_src(flows: DataFrame) -> DataFrame:
         arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
 
 
-def detect_dns_c2(flows: DataFrame, volume_factor: float = 1.25, ratio_lo: float = 0.41,
-                  ratio_hi: float = 0.45, period: str | None = TEST) -> DataFrame:
+def detect_dns_c2(flows: DataFrame, volume_factor: float = K.DNS_C2_VOLUME,
+                  ratio_lo: float = K.DNS_RATIO_RANGE[0], ratio_hi: float = K.DNS_RATIO_RANGE[1], period: str | None = TEST) -> DataFrame:
     """Many DNS connections (above ``volume_factor`` x the mean over
     hosts) with a normal up/down ratio: command and control over DNS."""
     per = _dns_per_src(B.in_period(flows, period))
@@ -147,14 +148,15 @@ def detect_dns_c2(flows: DataFrame, volume_factor: float = 1.25, ratio_lo: float
             .select("src_ip", "conns", "ratio"))
 
 
-def detect_quic_exfil(flows: DataFrame, min_ratio: float = 1.0, period: str | None = TEST) -> DataFrame:
+def detect_quic_exfil(flows: DataFrame, min_ratio: float = K.QUIC_MIN_RATIO, period: str | None = TEST) -> DataFrame:
     """UDP/443 upload/download ratio above ``min_ratio`` (normal ~0.1)."""
     per = D.udp443_bytes_by_src(B.in_period(flows, period))
     return (per.withColumn("ratio", arith.safe_ratio("up_bytes", "down_bytes"))
             .where(F.coalesce(F.col("ratio") > min_ratio, F.lit(False))))
 
 
-def detect_tcp_exfil(flows: DataFrame, min_ratio: float = 0.3, min_edge_ratio: float = 1.0,
+def detect_tcp_exfil(flows: DataFrame, min_ratio: float = K.TCP_MIN_RATIO,
+                     min_edge_ratio: float = K.TCP_MIN_EDGE_RATIO,
                      period: str | None = TEST) -> DataFrame:
     """Sources whose TCP up/down ratio exceeds ``min_ratio``, then their
     TCP edges whose up/down ratio exceeds ``min_edge_ratio``, with connections
@@ -171,8 +173,8 @@ def _restrict_src(flows: DataFrame, hosts: DataFrame) -> DataFrame:
     return flows.join(hosts.select("src_ip").distinct(), "src_ip", "left_semi")
 
 
-def detect_dns_exfil(flows: DataFrame, volume_factor: float = 1.5, ratio_lo: float = 0.41,
-                     ratio_hi: float = 0.45, period: str | None = TEST) -> DataFrame:
+def detect_dns_exfil(flows: DataFrame, volume_factor: float = K.DNS_EXFIL_VOLUME,
+                     ratio_lo: float = K.DNS_RATIO_RANGE[0], ratio_hi: float = K.DNS_RATIO_RANGE[1], period: str | None = TEST) -> DataFrame:
     """Normal DNS up/down ratio but DNS upload above ``volume_factor`` x
     the mean over hosts: data leaving inside DNS queries."""
     per = _dns_per_src(B.in_period(flows, period))
@@ -189,13 +191,14 @@ def detect_new_countries(flows_cc: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def discover_servers(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = 5,
+def discover_servers(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = K.TOP_SERVERS,
                      period: str | None = TEST) -> DataFrame:
     """The k busiest internal addresses by total activity."""
     return J.host_activity(B.in_period(flows, period), net_prefix).limit(k)
 
 
-def burst_window(flows: DataFrame, lo: int = 80000, hi: int = 90000, k: int = 30,
+def burst_window(flows: DataFrame, lo: int = K.BURST_SECONDS[0], hi: int = K.BURST_SECONDS[1],
+                 k: int = K.BURST_TOP,
                  period: str | None = TEST) -> DataFrame:
     """The k largest uploads with ``lo < second < hi``."""
     sel = B.time_range(B.in_period(flows, period), lo, hi)
@@ -203,11 +206,13 @@ def burst_window(flows: DataFrame, lo: int = 80000, hi: int = 90000, k: int = 30
 
 
 def alerts(flows: DataFrame, geo: DataFrame, net_prefix: str = net.DEFAULT_NET,
-           cidr: str = net.DEFAULT_CIDR, summarize: bool = True, exfil_factor: float = 1.5,
-           c2_min_increase: float = 250, c2_min_baseline: int = 50, botnet_min_fanout: int = 4,
-           max_countries: int = 5, transfer_countries=("CN", "RU"), transfer_bytes: int = 1_000_000,
-           dns_c2_volume: float = 1.25, quic_min_ratio: float = 1.0, dns_exfil_volume: float = 1.5,
-           dns_ratio_lo: float = 0.41, dns_ratio_hi: float = 0.45) -> DataFrame:
+           cidr: str = net.DEFAULT_CIDR, summarize: bool = True,
+           exfil_factor: float = K.PERIOD_FACTOR, c2_min_increase: float = K.C2_MIN_INCREASE,
+           c2_min_baseline: int = K.C2_MIN_BASELINE, botnet_min_fanout: int = K.MIN_FANOUT,
+           max_countries: int = K.MAX_COUNTRIES, transfer_countries=K.TRANSFER_COUNTRIES,
+           transfer_bytes: int = K.TRANSFER_BYTES, dns_c2_volume: float = K.DNS_C2_VOLUME,
+           quic_min_ratio: float = K.QUIC_MIN_RATIO, dns_exfil_volume: float = K.DNS_EXFIL_VOLUME,
+           dns_ratio_lo: float = K.DNS_RATIO_RANGE[0], dns_ratio_hi: float = K.DNS_RATIO_RANGE[1]) -> DataFrame:
     """All per-host detectors as ``(rule, subject, metric, threshold)`` rows.
 
     The detectors run over one checkpointed edge summary (``summarize=True``):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import TOP_HOSTS
 from ..functions import arith, net
 from ..schema import BASELINE, TEST
 from . import filters as B
@@ -50,7 +51,7 @@ def host_activity_by_period(flows: DataFrame, net_prefix: str = net.DEFAULT_NET)
         F.count_if(_is_base()).alias("counts_normal"), F.count_if(_is_test()).alias("counts_test"))
 
 
-def top_hosts_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = 10) -> DataFrame:
+def top_hosts_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = TOP_HOSTS) -> DataFrame:
     """Baseline activity of the test period's top-k hosts (inner join:
     hosts absent from the baseline drop out)."""
     per = host_activity_by_period(flows, net_prefix)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as K
 from ..functions import net
 from . import aggregates as D
 from . import joins as J
@@ -29,7 +30,7 @@ def sort_asc(df: DataFrame, col: str, keys=()) -> DataFrame:
     return df.orderBy(*_order(col, keys, False))
 
 
-def top_k_hosts(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = 10) -> DataFrame:
+def top_k_hosts(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = K.TOP_HOSTS) -> DataFrame:
     """the k most active internal addresses."""
     return J.host_activity(flows, net_prefix).limit(k)
 
@@ -65,6 +66,6 @@ def skip_first_n(agg: DataFrame, col: str, skip: int) -> DataFrame:
     return agg.orderBy(F.col(col).asc()).offset(skip)
 
 
-def last_seconds(flows: DataFrame, n: int = 60) -> DataFrame:
+def last_seconds(flows: DataFrame, n: int = K.LAST_SECONDS) -> DataFrame:
     """F7 variant: uploaded bytes of the last n seconds (``[-60:]`` by key)."""
     return D.bytes_by_second(flows).orderBy(F.col("second").desc()).limit(n)

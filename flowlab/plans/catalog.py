@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import defaults as K
 from ..functions import arith, net, timeparts
 from ..operators import aggregates as D
 from ..operators import detectors as R
@@ -183,7 +184,7 @@ def _b13(spark, sf):
 
 @query("time_range")
 def _b14(spark, sf):
-    return B.time_range(flows(spark, sf), 80000, 90000)
+    return B.time_range(flows(spark, sf), *K.BURST_SECONDS)
 
 
 @query("having_threshold")
@@ -566,7 +567,7 @@ def _f6(spark, sf):
 
 @query("skip_first_n")
 def _f7(spark, sf):
-    return S.skip_first_n(D.bytes_by_minute(flows(spark, sf)), "minute", 500)
+    return S.skip_first_n(D.bytes_by_minute(flows(spark, sf)), "minute", K.SKIP_MINUTES)
 
 
 @query("last_seconds")
@@ -757,7 +758,7 @@ def _r17(spark, sf):
 
 @query("burst_window")
 def _r18(spark, sf):
-    return R.burst_window(flows(spark, sf), 80000, 90000, k=30)
+    return R.burst_window(flows(spark, sf))
 
 
 @query("alerts")

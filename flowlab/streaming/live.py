@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import defaults as K
 from ..functions import arith, net
 from ..functions.timeparts import TICKS_PER_SECOND
 from ..operators import filters as B
@@ -68,7 +69,7 @@ def baseline_profile(baseline: DataFrame, net_prefix: str = net.DEFAULT_NET) ->
                       arith.per_flow("d", "n").alias("avg_down_bytes_normal"))
 
 
-def flag_windows(rates: DataFrame, profile: DataFrame, factor: float = 1.5) -> DataFrame:
+def flag_windows(rates: DataFrame, profile: DataFrame, factor: float = K.PERIOD_FACTOR) -> DataFrame:
     """Windows whose average up or down bytes per flow exceed ``factor`` x the
     source's baseline (sources without a baseline drop out, as in R7)."""
     joined = rates.join(profile, "src_ip")
@@ -99,7 +100,8 @@ def baseline_contact_rate(baseline: DataFrame, net_prefix: str = net.DEFAULT_NET
 
 
 def flag_contact_growth(contacts: DataFrame, rates: DataFrame, window_seconds: int,
-                        min_increase: float = 250, min_baseline: int = 50) -> DataFrame:
+                        min_increase: float = K.C2_MIN_INCREASE,
+                        min_baseline: int = K.C2_MIN_BASELINE) -> DataFrame:
     """Windows whose internal contacts exceed the baseline rate for the window
     by more than ``min_increase`` %; baseline counts above ``min_baseline``."""
     joined = contacts.join(rates, "src_ip")
@@ -135,7 +137,7 @@ def _start(df: DataFrame, spark: SparkSession, sink_table: str, available_now: b
 
 
 def live_exfiltration(spark: SparkSession, stream_path: str, baseline: DataFrame, period_start: str,
-                      sink_table: str, factor: float = 1.5, window: str = "1 minute",
+                      sink_table: str, factor: float = K.PERIOD_FACTOR, window: str = "1 minute",
                       watermark: str = "10 minutes", net_prefix: str = net.DEFAULT_NET,
                       available_now: bool = False, checkpoint: str | None = None):
     """Start the streaming exfiltration detector; flagged windows are appended
@@ -149,7 +151,8 @@ def live_exfiltration(spark: SparkSession, stream_path: str, baseline: DataFrame
 
 def live_c2_growth(spark: SparkSession, stream_path: str, baseline: DataFrame, period_start: str,
                    sink_table: str, window_seconds: int = 60, watermark: str = "10 minutes",
-                   min_increase: float = 250, min_baseline: int = 50, net_prefix: str = net.DEFAULT_NET,
+                   min_increase: float = K.C2_MIN_INCREASE, min_baseline: int = K.C2_MIN_BASELINE,
+                   net_prefix: str = net.DEFAULT_NET,
                    available_now: bool = False, checkpoint: str | None = None):
     """Start the streaming C2-growth detector (see ``flag_contact_growth``)."""
     rates = baseline_contact_rate(baseline, net_prefix).cache()
@@ -160,7 +163,7 @@ def live_c2_growth(spark: SparkSession, stream_path: str, baseline: DataFrame, p
 
 
 def live_fanout(spark: SparkSession, stream_path: str, period_start: str, sink_table: str,
-                min_fanout: int = 4, window: str = "1 minute", watermark: str = "10 minutes",
+                min_fanout: int = K.MIN_FANOUT, window: str = "1 minute", watermark: str = "10 minutes",
                 cidr: str = net.DEFAULT_CIDR, available_now: bool = False, checkpoint: str | None = None):
     """Start the streaming fan-out (botnet) detector."""
     fan = windowed_fanout(read_flow_stream(spark, stream_path, TEST), period_start, window, watermark, cidr)
