@@ -16,13 +16,14 @@ number):
   distinct addresses, so no bucket is unboundedly hot), and join the result
   back on the address; AQE splits skewed address partitions.
 
-Ranges must be disjoint, so an address matches at most one range; the
-lookup keeps one row per input row either way.
+Ranges must be disjoint (``assert_disjoint`` checks it, distributed, once per
+range table), so an address matches at most one range and the lookup keeps
+one row per input row either way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -48,6 +49,32 @@ def exploded_size(ranges: DataFrame) -> int:
     return _SIZE_CACHE[key]
 
 
+_DISJOINT_CHECKED: set[int] = set()
+
+
+def assert_disjoint(ranges: DataFrame) -> None:
+    """Raise if two ranges overlap (then a lookup could match twice).
+
+    Distributed: every range is listed under each /8 block it touches (a
+    range narrower than a /8 under at most two), and inside each block a
+    window ordered by ``lo`` compares every range with the largest ``hi``
+    before it. Overlapping ranges share a block, so every overlap is seen.
+    Runs once per range-table plan in a session.
+    """
+    key = ranges.semanticHash()
+    if key in _DISJOINT_CHECKED:
+        return
+    blocks = ranges.select("lo", "hi", F.explode(F.sequence(
+        F.shiftright("lo", WIDE_SHIFT), F.shiftright("hi", WIDE_SHIFT))).alias("blk"))
+    before = Window.partitionBy("blk").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    bad = (blocks.select("lo", "hi", F.max("hi").over(before).alias("prev_hi"))
+           .where((F.col("hi") < F.col("lo")) | (F.col("prev_hi") >= F.col("lo"))))
+    example = bad.first()
+    if example is not None:
+        raise ValueError(f"range table is not disjoint or has hi < lo near lo={example.lo}, hi={example.hi}")
+    _DISJOINT_CHECKED.add(key)
+
+
 def explode_ranges(ranges: DataFrame, value_col: str) -> tuple[DataFrame, DataFrame]:
     """Split ranges into (narrow by /16 bucket, wide by /8 bucket) tables."""
     n_buckets = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
@@ -83,11 +110,14 @@ def _probe(df: DataFrame, num_col: str, narrow: DataFrame, wide: DataFrame,
 
 def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
                  out_col: str, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                 force_shuffle: bool = False) -> DataFrame:
+                 force_shuffle: bool = False, validate: bool = True) -> DataFrame:
     """Append ``out_col``: the ``value_col`` of the range holding ``ip_col``.
 
-    No match (or a malformed address) gives null.
+    No match (or a malformed address) gives null. Ranges must be disjoint
+    (checked once per range table).
     """
+    if validate:
+        assert_disjoint(ranges)
     narrow, wide = explode_ranges(ranges, value_col)
     if not force_shuffle:
         # Size check of the small side: one aggregate over the range table.

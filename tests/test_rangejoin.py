@@ -76,3 +76,20 @@ def test_range_tables_from_csv_and_parquet(spark, flows_of):
     assert cc == {"20.1.1.1": "US", "21.0.0.1": "", "22.0.0.5": "", "9.9.9.9": ""}
     org = {r.dst_ip: r.dst_org for r in geo_org(f, asn).collect()}
     assert org == {"20.1.1.1": "AS20 X", "21.0.0.1": None, "22.0.0.5": None, "9.9.9.9": None}
+
+
+def test_overlapping_ranges_are_rejected(spark):
+    import pytest
+
+    from flowlab.sources import ranges_from_cidrs
+    df = spark.createDataFrame([(1, "21.5.1.1")], "id int, ip string")
+    bad = ranges_from_cidrs(spark, [("21.0.0.0/8", "A"), ("21.5.0.0/16", "B")])
+    with pytest.raises(ValueError, match="not disjoint"):
+        RJ.range_lookup(df, "ip", bad, "cc", "cc")
+    inverted = spark.createDataFrame([(10, 5, "X")], "lo bigint, hi bigint, cc string")
+    with pytest.raises(ValueError):
+        RJ.assert_disjoint(inverted)
+    far = ranges_from_cidrs(spark, [("64.0.0.0/6", "W"), ("66.1.0.0/16", "N")])  # wide range hides a /16
+    with pytest.raises(ValueError):
+        RJ.assert_disjoint(far)
+    RJ.assert_disjoint(ranges_from_cidrs(spark, CIDRS))  # the fixture table is disjoint
