@@ -15,7 +15,7 @@ from ..defaults import TOP_HOSTS
 from ..functions import arith, net
 from ..schema import BASELINE, TEST
 from . import filters as B
-from .summary import n_flows, n_flows_if
+from .summary import n_flows_if
 
 
 def _is_base():

@@ -1,7 +1,6 @@
 import ipaddress
 
 import pytest
-from pyspark.sql import functions as F
 
 from flowlab.functions import arith, net, timeparts
 

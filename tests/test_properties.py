@@ -1,7 +1,6 @@
 """Properties from the survey's test plan: equivalence with the reference's
 join forms, and invariance to row order and partitioning."""
 
-import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st

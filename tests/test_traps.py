@@ -1,6 +1,5 @@
 """Hand-made frames for the semantic traps."""
 
-from pyspark.sql import functions as F
 
 from flowlab.operators import aggregates as D
 from flowlab.operators import detectors as R
@@ -127,7 +126,7 @@ def test_country_values_kept_apart(spark, flows_of):
 
 def test_alerts_on_edge_summary_equal_alerts_on_flows(spark):
     from flowlab.sources import fixture_geo_ranges, load_flows
-    from tests.conftest import SF_SMALL
+
     flows = load_flows(spark, "/root/testdata/sf0.01")
     geo = fixture_geo_ranges(spark)
     a = sorted((r.rule, r.subject, round(r.metric, 6)) for r in R.alerts(flows, geo, summarize=True).collect())
