@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import idiv
-from ..schema import BASELINE, FLOW_COLUMNS, FLOW_FILE_SCHEMA, TEST
+from ..functions.net import ip_to_num
+from ..schema import BASELINE, FLOW_COLUMNS, FLOW_FILE_SCHEMA, NUM_COLUMNS, TEST
 
 
 def read_flows(spark: SparkSession, path: str, period: str | None = None) -> DataFrame:
@@ -26,7 +27,7 @@ def read_flows(spark: SparkSession, path: str, period: str | None = None) -> Dat
         missing = [c for c in FLOW_COLUMNS if c not in df.columns]
         if missing:
             raise ValueError(f"flow dataset {path} lacks columns {missing}")
-        return df.select(*FLOW_COLUMNS)
+        return df.select(*FLOW_COLUMNS, *[c for c in NUM_COLUMNS if c in df.columns])
     df = reader.schema(FLOW_FILE_SCHEMA).parquet(path)
     return df.withColumn("period", F.lit(period)).select(*FLOW_COLUMNS)
 
@@ -37,14 +38,22 @@ def read_periods(spark: SparkSession, baseline_path: str, test_path: str) -> Dat
         read_flows(spark, test_path, TEST))
 
 
+def with_address_numbers(flows: DataFrame) -> DataFrame:
+    """Parse both addresses once, at ingest; CIDR and range predicates then
+    compare integers (and reach Parquet's min/max statistics)."""
+    todo = {f"{c}_num": ip_to_num(c) for c in ("src_ip", "dst_ip") if f"{c}_num" not in flows.columns}
+    return flows.withColumns(todo) if todo else flows
+
+
 def write_flows(flows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store flows partitioned by period (the layout ``read_flows`` prunes).
+    """Store flows partitioned by period (the layout ``read_flows`` prunes),
+    with the addresses parsed into ``src_ip_num``/``dst_ip_num``.
 
     Rows are sorted by (src_ip, dst_ip) inside each task before writing (no
     shuffle; the writer sorts by period anyway), so Parquet row-group min/max
     statistics let host ``IN`` and prefix filters skip row groups.
     """
-    (flows.sortWithinPartitions("period", "src_ip", "dst_ip")
+    (with_address_numbers(flows).sortWithinPartitions("period", "src_ip", "dst_ip")
      .write.mode(mode).partitionBy("period").parquet(path))
 
 

@@ -18,6 +18,7 @@ def test_read_periods_and_partitioned_layout(spark):
     assert {r.period: r["count"] for r in both.groupBy("period").count().collect()} == {"baseline": 2, "test": 3}
     write_flows(both, f"{d}/part")
     stored = read_flows(spark, f"{d}/part")
+    assert {"src_ip_num", "dst_ip_num"} <= set(stored.columns)  # parsed at ingest, kept on read
     plan = stored.where(F.col("period") == "test")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "period" in plan
     assert stored.where(F.col("period") == "test").count() == 3
