@@ -28,10 +28,32 @@ def read_flows(spark: SparkSession, path: str, period: str | None = None) -> Dat
         if missing:
             raise ValueError(f"flow dataset {path} lacks columns {missing}")
         return df.select(*FLOW_COLUMNS, *[c for c in NUM_COLUMNS if c in df.columns])
-    df = reader.schema(FLOW_FILE_SCHEMA).parquet(path)
+    present = set(reader.parquet(path).columns)  # footer only
+    if "flow_id" in present:
+        df = reader.schema(FLOW_FILE_SCHEMA).parquet(path)
+    else:
+        df = _with_file_order_id(reader, path, present)
     return df.withColumn("period", F.lit(period)).select(*FLOW_COLUMNS)
 
 
+# Where pandas keeps a frame's row index in Parquet, in order of preference.
+PANDAS_INDEX_COLUMNS = ("__index_level_0__", "index")
+
+
+def _with_file_order_id(reader, path: str, present: set[str]) -> DataFrame:
+    """A file written by pandas has no ``flow_id``: take the row index pandas
+    stored, or else the position in file order (``monotonically_increasing_id``
+    grows with the split offset inside a file, so it follows file order)."""
+    fields = [f for f in FLOW_FILE_SCHEMA.fields if f.name != "flow_id"]
+    index_col = next((c for c in PANDAS_INDEX_COLUMNS if c in present), None)
+    cols = [f.name for f in fields]
+    if index_col:
+        df = reader.parquet(path).select(F.col(index_col).cast("bigint").alias("flow_id"), *cols)
+    else:
+        df = reader.parquet(path).select(F.monotonically_increasing_id().alias("flow_id"), *cols)
+    return df.select("flow_id", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read_periods(spark: SparkSession, baseline_path: str, test_path: str) -> DataFrame:
     """A2: baseline and test files as one frame with a ``period`` column."""
     return read_flows(spark, baseline_path, BASELINE).unionByName(

@@ -53,3 +53,24 @@ def test_flow_table_from_a_directory_source(spark):
     b = flows_table(spark, "/root/testdata/sf0.001")
     cols = ["flow_id", "period", "timestamp", "src_ip", "dst_ip", "proto", "port", "up_bytes", "down_bytes"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_pandas_written_flow_files(spark):
+    """Files as the reference's pandas scripts hold them: no flow_id, a row
+    index (named or not), int64 ports."""
+    import pandas as pd
+
+    d = tempfile.mkdtemp(prefix="flowlab-pd-")
+    pdf = pd.DataFrame({"timestamp": [500, 100, 900], "src_ip": ["192.168.109.1"] * 3,
+                        "dst_ip": ["8.8.8.8", "192.168.109.224", "8.8.4.4"], "proto": ["udp", "tcp", "udp"],
+                        "port": [53, 443, 53], "up_bytes": [10, 20, 30], "down_bytes": [40, 50, 60]},
+                       index=[946563, 946564, 946565])
+    pdf.to_parquet(f"{d}/with_index.parquet")                       # stored as __index_level_0__
+    pdf.reset_index().to_parquet(f"{d}/index_col.parquet", index=False)   # stored as "index"
+    pdf.reset_index(drop=True).to_parquet(f"{d}/no_index.parquet", index=False)
+    for name, ids in (("with_index", [946563, 946564, 946565]), ("index_col", [946563, 946564, 946565])):
+        got = read_flows(spark, f"{d}/{name}.parquet", "test").orderBy("flow_id").collect()
+        assert [r.flow_id for r in got] == ids and [r.timestamp for r in got] == [500, 100, 900]
+    got = read_flows(spark, f"{d}/no_index.parquet", "test").orderBy("flow_id").collect()
+    assert [r.timestamp for r in got] == [500, 100, 900]  # file order kept
+    assert got[0].port == 53 and got[0].period == "test"
