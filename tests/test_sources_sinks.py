@@ -74,3 +74,24 @@ def test_pandas_written_flow_files(spark):
     got = read_flows(spark, f"{d}/no_index.parquet", "test").orderBy("flow_id").collect()
     assert [r.timestamp for r in got] == [500, 100, 900]  # file order kept
     assert got[0].port == 53 and got[0].period == "test"
+
+
+def test_cli_runs_detectors_on_period_files(spark, capsys):
+    from flowlab import cli
+    from flowlab.sources import load_flows
+
+    d = tempfile.mkdtemp(prefix="flowlab-cli-")
+    flows = load_flows(spark, "/root/testdata/sf0.01")
+    for p in ("baseline", "test"):
+        flows.where(F.col("period") == p).drop("period", "src_ip_num", "dst_ip_num").toPandas() \
+            .set_index("flow_id").to_parquet(f"{d}/{p}.parquet")
+    spark.createDataFrame([(o << 24, ((o + 1) << 24) - 1, cc) for o, cc in ((20, "US"), (30, "CN"), (31, "RU"))],
+                          "lo bigint, hi bigint, cc string").write.parquet(f"{d}/geo")
+    cli.main(["run", "detect_exfiltration", "--baseline", f"{d}/baseline.parquet", "--test", f"{d}/test.parquet"])
+    out = capsys.readouterr().out
+    assert "192.168.109.6" in out and "192.168.109.15" in out and "192.168.109.8" in out
+    cli.main(["run", "rule_country_transfer", "--baseline", f"{d}/baseline.parquet", "--test",
+              f"{d}/test.parquet", "--geo", f"{d}/geo", "--param", "threshold=1000000",
+              "--csv", f"{d}/transfer"])
+    back = spark.read.option("header", True).csv(f"{d}/transfer").collect()
+    assert [(r.src_ip, r.up_bytes) for r in back] == [("192.168.109.15", "2559700")]
