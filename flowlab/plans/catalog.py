@@ -756,6 +756,11 @@ def _r17(spark, sf):
     return R.discover_servers(flows(spark, sf), k=5)
 
 
+@query("server_roles")
+def _r17b(spark, sf):
+    return R.server_roles(flows(spark, sf))
+
+
 @query("burst_window")
 def _r18(spark, sf):
     return R.burst_window(flows(spark, sf))

@@ -532,3 +532,11 @@ ORACLE["alerts"] = with_flows_cc(
     PERIOD_COMPARE, GROWTH, BOTNET, DNS_PER_SRC)
 
 ORACLE["csv_sink"] = with_flows_cc("SELECT src_ip, dst_ip, dst_cc FROM new_cc_flows", NEW_COUNTRY)
+
+ORACLE["server_roles"] = with_flows(
+    """SELECT t.ip, t.flows, array_to_string(list_sort(list(DISTINCT f.proto || '/' || CAST(f.port AS VARCHAR))), ',')
+              AS services
+       FROM (SELECT ip, count(*) AS flows FROM endpoints WHERE period = 'test'
+             GROUP BY ip ORDER BY flows DESC, ip LIMIT 5) t
+       LEFT JOIN flows f ON f.dst_ip = t.ip AND f.period = 'test' AND starts_with(f.dst_ip, '192.168.109.')
+       GROUP BY t.ip, t.flows""", ENDPOINTS)

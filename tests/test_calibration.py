@@ -47,3 +47,9 @@ def test_numbers(spark):
         set(hosts(spark, "discover_servers", "ip")) >= {H + "224", H + "225", H + "227", H + "230"}
     assert rows(spark, "port53_non_udp")[0]["violations"] == 0
     assert rows(spark, "port443_non_udp")[0]["violations"] == 5750
+
+
+def test_server_roles_from_ports(spark):
+    roles = {r["ip"]: r["services"] for r in rows(spark, "server_roles")}
+    assert roles[H + "224"] == roles[H + "227"] == "udp/53"
+    assert roles[H + "225"] == roles[H + "230"] == "tcp/443"
