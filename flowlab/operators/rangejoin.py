@@ -34,45 +34,53 @@ WIDE_MIN_BUCKETS = 256
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-_SIZE_CACHE: dict[int, int] = {}
+_CHECKED: dict[int, int] = {}
 
 
-def exploded_size(ranges: DataFrame) -> int:
-    """Rows of the exploded range tables, from one aggregate over the ranges
-    (no explode). Memoised per range-table plan within the session."""
-    key = ranges.semanticHash()
-    if key not in _SIZE_CACHE:
-        n16 = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
-        n8 = F.shiftright("hi", WIDE_SHIFT) - F.shiftright("lo", WIDE_SHIFT) + 1
-        total = ranges.agg(F.sum(F.when(n16 >= WIDE_MIN_BUCKETS, n8).otherwise(n16))).first()[0]
-        _SIZE_CACHE[key] = int(total or 0)
-    return _SIZE_CACHE[key]
+def check_ranges(ranges: DataFrame) -> int:
+    """Validate a range table and return the row count of its exploded form.
 
+    One distributed job, memoised per range-table plan in the session:
 
-_DISJOINT_CHECKED: set[int] = set()
+    * disjointness: every range is listed under each /8 block it touches (a
+      range narrower than a /8 under at most two) and, inside each block, a
+      window ordered by ``lo`` compares it with the largest ``hi`` before it;
+      overlapping ranges share a block, so every overlap (or ``hi < lo``) is
+      found and raises ``ValueError``;
+    * size: each range's /16 bucket count (its /8 block count for ranges of
+      256 /16 buckets or more), summed once per range, is the size of the
+      tables the lookup joins against, checked before broadcasting them.
+    """
+    key = ranges.semanticHash()
+    if key in _CHECKED:
+        return _CHECKED[key]
+    n16 = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
+    n8 = F.shiftright("hi", WIDE_SHIFT) - F.shiftright("lo", WIDE_SHIFT) + 1
+    blocks = ranges.select(
+        "lo", "hi", F.when(n16 >= WIDE_MIN_BUCKETS, n8).otherwise(n16).alias("n"),
+        F.explode(F.sequence(F.shiftright("lo", WIDE_SHIFT), F.shiftright("hi", WIDE_SHIFT))).alias("blk"))
+    before = Window.partitionBy("blk").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    flagged = blocks.select(
+        "lo", "hi", "n", (F.col("blk") == F.shiftright("lo", WIDE_SHIFT)).alias("first_blk"),
+        ((F.col("hi") < F.col("lo")) | (F.max("hi").over(before) >= F.col("lo"))).alias("bad"))
+    row = flagged.agg(
+        F.sum(F.when(F.col("first_blk"), F.col("n"))).alias("size"),
+        F.min(F.when(F.col("bad"), F.struct("lo", "hi"))).alias("example")).first()
+    if row.example is not None:
+        raise ValueError(f"range table is not disjoint or has hi < lo near "
+                         f"lo={row.example.lo}, hi={row.example.hi}")
+    _CHECKED[key] = int(row.size or 0)
+    return _CHECKED[key]
 
 
 def assert_disjoint(ranges: DataFrame) -> None:
-    """Raise if two ranges overlap (then a lookup could match twice).
+    """Raise if two ranges overlap (then a lookup could match twice)."""
+    check_ranges(ranges)
 
-    Distributed: every range is listed under each /8 block it touches (a
-    range narrower than a /8 under at most two), and inside each block a
-    window ordered by ``lo`` compares every range with the largest ``hi``
-    before it. Overlapping ranges share a block, so every overlap is seen.
-    Runs once per range-table plan in a session.
-    """
-    key = ranges.semanticHash()
-    if key in _DISJOINT_CHECKED:
-        return
-    blocks = ranges.select("lo", "hi", F.explode(F.sequence(
-        F.shiftright("lo", WIDE_SHIFT), F.shiftright("hi", WIDE_SHIFT))).alias("blk"))
-    before = Window.partitionBy("blk").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    bad = (blocks.select("lo", "hi", F.max("hi").over(before).alias("prev_hi"))
-           .where((F.col("hi") < F.col("lo")) | (F.col("prev_hi") >= F.col("lo"))))
-    example = bad.first()
-    if example is not None:
-        raise ValueError(f"range table is not disjoint or has hi < lo near lo={example.lo}, hi={example.hi}")
-    _DISJOINT_CHECKED.add(key)
+
+def exploded_size(ranges: DataFrame) -> int:
+    """Rows of the exploded range tables (validated first)."""
+    return check_ranges(ranges)
 
 
 def explode_ranges(ranges: DataFrame, value_col: str) -> tuple[DataFrame, DataFrame]:
@@ -116,12 +124,11 @@ def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
     No match (or a malformed address) gives null. Ranges must be disjoint
     (checked once per range table).
     """
-    if validate:
-        assert_disjoint(ranges)
+    size = check_ranges(ranges) if validate or not force_shuffle else None
     narrow, wide = explode_ranges(ranges, value_col)
     if not force_shuffle:
-        # Size check of the small side: one aggregate over the range table.
-        if exploded_size(ranges) <= max_broadcast_rows:
+        # Size check of the small side (from the same validation job).
+        if size <= max_broadcast_rows:
             with_num = df.withColumn("_num", net.addr_num(df, ip_col))
             out = _probe(with_num, "_num", narrow, wide, value_col, out_col, broadcast=True)
             return out.drop("_num")
