@@ -48,18 +48,20 @@ def _mean_rule(flows: DataFrame, col: str, threshold: float, net_prefix: str) ->
                                    F.lit(False)).alias("detected"))
 
 
-def rule_high_upload(flows: DataFrame, threshold: float = K.PERIOD_FACTOR, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def rule_high_upload(flows: DataFrame, threshold: float = K.PERIOD_FACTOR,
+                     net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """Mean over hosts of average upload per flow, test > threshold x baseline."""
     return _mean_rule(flows, "avg_up_bytes", threshold, net_prefix)
 
 
-def rule_high_download(flows: DataFrame, threshold: float = K.PERIOD_FACTOR, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def rule_high_download(flows: DataFrame, threshold: float = K.PERIOD_FACTOR,
+                       net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """R2: the same for download."""
     return _mean_rule(flows, "avg_down_bytes", threshold, net_prefix)
 
 
-def rule_external_connections(flows: DataFrame, threshold: int = K.EXTERNAL_FLOWS_THRESHOLD, net_prefix: str = net.DEFAULT_NET,
-                              period: str | None = TEST) -> DataFrame:
+def rule_external_connections(flows: DataFrame, threshold: int = K.EXTERNAL_FLOWS_THRESHOLD,
+                              net_prefix: str = net.DEFAULT_NET, period: str | None = TEST) -> DataFrame:
     """Total (not per host) test flows to the internet above a threshold."""
     n = B.to_internet_flows(B.in_period(flows, period), net_prefix).agg(
         F.count(F.lit(1)).alias("external_flows"))
@@ -70,23 +72,26 @@ def enrich_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CID
     return RJ.geo_country(flows, geo, cidr, **kw)
 
 
-def rule_many_countries(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES, period: str | None = TEST) -> DataFrame:
+def rule_many_countries(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES,
+                        period: str | None = TEST) -> DataFrame:
     """Sources reaching more than ``threshold`` distinct known countries."""
     return B.having_threshold(D.country_fanout(B.in_period(flows_cc, period)), "n_countries", threshold)
 
 
-def rule_country_transfer(flows_cc: DataFrame, countries=K.TRANSFER_COUNTRIES, threshold: int = K.TRANSFER_BYTES,
-                          period: str | None = TEST) -> DataFrame:
+def rule_country_transfer(flows_cc: DataFrame, countries=K.TRANSFER_COUNTRIES,
+                          threshold: int = K.TRANSFER_BYTES, period: str | None = TEST) -> DataFrame:
     """Sources uploading more than ``threshold`` bytes to listed countries."""
     return B.having_threshold(D.country_bytes(B.in_period(flows_cc, period), countries), "up_bytes", threshold)
 
 
-def many_countries_bytes(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def many_countries_bytes(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES,
+                         net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """Test internet bytes of R4's sources (chart data)."""
     return J.candidate_bytes(flows_cc, rule_many_countries(flows_cc, threshold), net_prefix)
 
 
-def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, factor: float = K.PERIOD_FACTOR) -> DataFrame:
+def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
+                        factor: float = K.PERIOD_FACTOR) -> DataFrame:
     """Average up or down bytes per internet flow grew past ``factor`` x
     baseline; sources present in both periods. One scan, one shuffle."""
     cmp = J.period_compare(flows, net_prefix)
@@ -94,7 +99,8 @@ def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, fac
                      | (F.col("avg_down_bytes_test") > F.col("avg_down_bytes_normal") * factor))
 
 
-def exfiltration_bytes(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, factor: float = K.PERIOD_FACTOR) -> DataFrame:
+def exfiltration_bytes(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
+                       factor: float = K.PERIOD_FACTOR) -> DataFrame:
     """Test internet bytes of R7's sources."""
     return J.candidate_bytes(flows, detect_exfiltration(flows, net_prefix, factor), net_prefix)
 
@@ -138,7 +144,8 @@ def _dns_per_src(flows: DataFrame) -> DataFrame:
 
 
 def detect_dns_c2(flows: DataFrame, volume_factor: float = K.DNS_C2_VOLUME,
-                  ratio_lo: float = K.DNS_RATIO_RANGE[0], ratio_hi: float = K.DNS_RATIO_RANGE[1], period: str | None = TEST) -> DataFrame:
+                  ratio_lo: float = K.DNS_RATIO_RANGE[0], ratio_hi: float = K.DNS_RATIO_RANGE[1],
+                  period: str | None = TEST) -> DataFrame:
     """Many DNS connections (above ``volume_factor`` x the mean over
     hosts) with a normal up/down ratio: command and control over DNS."""
     per = _dns_per_src(B.in_period(flows, period))
@@ -148,7 +155,8 @@ def detect_dns_c2(flows: DataFrame, volume_factor: float = K.DNS_C2_VOLUME,
             .select("src_ip", "conns", "ratio"))
 
 
-def detect_quic_exfil(flows: DataFrame, min_ratio: float = K.QUIC_MIN_RATIO, period: str | None = TEST) -> DataFrame:
+def detect_quic_exfil(flows: DataFrame, min_ratio: float = K.QUIC_MIN_RATIO,
+                      period: str | None = TEST) -> DataFrame:
     """UDP/443 upload/download ratio above ``min_ratio`` (normal ~0.1)."""
     per = D.udp443_bytes_by_src(B.in_period(flows, period))
     return (per.withColumn("ratio", arith.safe_ratio("up_bytes", "down_bytes"))
@@ -164,7 +172,7 @@ def detect_tcp_exfil(flows: DataFrame, min_ratio: float = K.TCP_MIN_RATIO,
     tcp = B.in_period(flows, period).where(F.col("proto") == "tcp")
     suspects = B.having_threshold(D.ratio_by_src(tcp), "ratio", min_ratio)
     edges = _restrict_src(tcp, suspects).groupBy("src_ip", "dst_ip").agg(
-        F.count(F.lit(1)).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
+        n_flows(tcp).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
         arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
     return edges.where(F.coalesce(F.col("ratio") > min_edge_ratio, F.lit(False)))
 
@@ -174,7 +182,8 @@ def _restrict_src(flows: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def detect_dns_exfil(flows: DataFrame, volume_factor: float = K.DNS_EXFIL_VOLUME,
-                     ratio_lo: float = K.DNS_RATIO_RANGE[0], ratio_hi: float = K.DNS_RATIO_RANGE[1], period: str | None = TEST) -> DataFrame:
+                     ratio_lo: float = K.DNS_RATIO_RANGE[0], ratio_hi: float = K.DNS_RATIO_RANGE[1],
+                     period: str | None = TEST) -> DataFrame:
     """Normal DNS up/down ratio but DNS upload above ``volume_factor`` x
     the mean over hosts: data leaving inside DNS queries."""
     per = _dns_per_src(B.in_period(flows, period))
