@@ -92,5 +92,16 @@ def read_flow_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLOW_SCHEMA).parquet(path).select(*FLOW_COLUMNS, *NUM_COLUMNS)
 
 
+_FRAMES: dict[str, tuple[SparkSession, DataFrame]] = {}
+
+
 def flows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_flow_table(spark, flows_table_path(spark, sf_dir))
+    """The stored flows as a DataFrame, shared by all queries of a session
+    (DataFrames are immutable; sharing one keeps one file listing)."""
+    path = flows_table_path(spark, sf_dir)
+    with _LOCK:
+        owner, df = _FRAMES.get(path, (None, None))
+        if owner is not spark:
+            df = read_flow_table(spark, path)
+            _FRAMES[path] = (spark, df)
+        return df
