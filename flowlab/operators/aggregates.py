@@ -41,6 +41,11 @@ def _restrict(flows: DataFrame, col: str, values) -> DataFrame:
     return flows.where(F.col(col).isin(*values))
 
 
+def _to_internal(flows: DataFrame, cidr: str) -> DataFrame:
+    """Flows whose destination lies in ``cidr`` (N1, on the stored integer address)."""
+    return flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
+
+
 def count_by(df: DataFrame, keys, name: str = "n", counted: str | None = None) -> DataFrame:
     agg = F.count(counted) if counted else F.count(F.lit(1))
     return df.groupBy(*keys).agg(agg.alias(name))
@@ -193,13 +198,13 @@ def hourly_bytes(flows: DataFrame) -> DataFrame:
 
 def internal_dst_count(flows: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
     """Flows per internal destination (``count('proto')``)."""
-    inside = flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
+    inside = _to_internal(flows, cidr)
     return count_by(inside, ["dst_ip"], counted="proto")
 
 
 def internal_fanout(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -> DataFrame:
     """Distinct internal destinations per source."""
-    inside = _restrict(flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip"))), "src_ip", hosts)
+    inside = _restrict(_to_internal(flows, cidr), "src_ip", hosts)
     return inside.groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("n_peers"))
 
 
@@ -218,7 +223,7 @@ def internal_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -
 
 
 def internal_peer_pairs(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -> DataFrame:
-    inside = _restrict(flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip"))), "src_ip", hosts)
+    inside = _restrict(_to_internal(flows, cidr), "src_ip", hosts)
     return inside.select("src_ip", "dst_ip").distinct()
 
 
