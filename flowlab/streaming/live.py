@@ -127,10 +127,15 @@ def windowed_fanout(flows: DataFrame, period_start: str, window: str = "1 minute
 
 
 def _start(df: DataFrame, spark: SparkSession, sink_table: str, available_now: bool,
-           checkpoint: str | None):
+           checkpoint: str | None, output_path: str | None = None):
+    """Append finished windows to an in-memory table (``sink_table``) or, with
+    ``output_path``, to Parquet files there (exactly once with the checkpoint)."""
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlab-streams/{sink_table}"
-    writer = (df.writeStream.outputMode("append").format("memory").queryName(sink_table)
-              .option("checkpointLocation", ckpt))
+    writer = df.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+    if output_path:
+        writer = writer.format("parquet").option("path", output_path)
+    else:
+        writer = writer.format("memory").queryName(sink_table)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -139,32 +144,36 @@ def _start(df: DataFrame, spark: SparkSession, sink_table: str, available_now: b
 def live_exfiltration(spark: SparkSession, stream_path: str, baseline: DataFrame, period_start: str,
                       sink_table: str, factor: float = K.PERIOD_FACTOR, window: str = "1 minute",
                       watermark: str = "10 minutes", net_prefix: str = net.DEFAULT_NET,
-                      available_now: bool = False, checkpoint: str | None = None):
+                      available_now: bool = False, checkpoint: str | None = None,
+                      output_path: str | None = None):
     """Start the streaming exfiltration detector; flagged windows are appended
-    to the in-memory table ``sink_table`` (use ``foreachBatch`` or a file
-    sink for production)."""
+    to the in-memory table ``sink_table``, or as Parquet to ``output_path``."""
     profile = baseline_profile(baseline, net_prefix).cache()
     rates = windowed_host_rates(read_flow_stream(spark, stream_path, TEST), period_start, window,
                                 watermark, net_prefix)
-    return _start(flag_windows(rates, profile, factor), spark, sink_table, available_now, checkpoint)
+    return _start(flag_windows(rates, profile, factor), spark, sink_table, available_now, checkpoint,
+                  output_path)
 
 
 def live_c2_growth(spark: SparkSession, stream_path: str, baseline: DataFrame, period_start: str,
                    sink_table: str, window_seconds: int = 60, watermark: str = "10 minutes",
                    min_increase: float = K.C2_MIN_INCREASE, min_baseline: int = K.C2_MIN_BASELINE,
                    net_prefix: str = net.DEFAULT_NET,
-                   available_now: bool = False, checkpoint: str | None = None):
+                   available_now: bool = False, checkpoint: str | None = None,
+                   output_path: str | None = None):
     """Start the streaming C2-growth detector (see ``flag_contact_growth``)."""
     rates = baseline_contact_rate(baseline, net_prefix).cache()
     contacts = windowed_internal_contacts(read_flow_stream(spark, stream_path, TEST), period_start,
                                           f"{window_seconds} seconds", watermark, net_prefix)
     flagged = flag_contact_growth(contacts, rates, window_seconds, min_increase, min_baseline)
-    return _start(flagged, spark, sink_table, available_now, checkpoint)
+    return _start(flagged, spark, sink_table, available_now, checkpoint, output_path)
 
 
 def live_fanout(spark: SparkSession, stream_path: str, period_start: str, sink_table: str,
                 min_fanout: int = K.MIN_FANOUT, window: str = "1 minute", watermark: str = "10 minutes",
-                cidr: str = net.DEFAULT_CIDR, available_now: bool = False, checkpoint: str | None = None):
+                cidr: str = net.DEFAULT_CIDR, available_now: bool = False, checkpoint: str | None = None,
+                output_path: str | None = None):
     """Start the streaming fan-out (botnet) detector."""
     fan = windowed_fanout(read_flow_stream(spark, stream_path, TEST), period_start, window, watermark, cidr)
-    return _start(fan.where(F.col("n_peers") > min_fanout), spark, sink_table, available_now, checkpoint)
+    return _start(fan.where(F.col("n_peers") > min_fanout), spark, sink_table, available_now, checkpoint,
+                  output_path)

@@ -71,3 +71,15 @@ def test_stream_c2_growth_and_fanout_match_batch(spark):
     got_fan = {(r.window_start, r.src_ip) for r in spark.table("live_fan").collect()}
     assert _closed(exp_fan, watermark) <= got_fan <= {(s, src) for s, e, src in exp_fan}
     assert got_fan and {src for _, src in got_fan} <= {"192.168.109.4", "192.168.109.12", "192.168.109.18"}
+
+
+def test_stream_to_parquet_files(spark):
+    from flowlab.streaming import live_fanout
+    flows = load_flows(spark, "/root/testdata/sf0.01")
+    d = tempfile.mkdtemp(prefix="flowlab-stream3-")
+    B.in_period(flows, "test").drop("period", "src_ip_num", "dst_ip_num").write.parquet(f"{d}/test")
+    q = live_fanout(spark, f"{d}/test", START, "fan_files", min_fanout=4, window="1 day", watermark="1 hour",
+                    available_now=True, checkpoint=f"{d}/ck", output_path=f"{d}/out")
+    q.awaitTermination(300)
+    rows = spark.read.parquet(f"{d}/out").collect()
+    assert rows and {r.src_ip for r in rows} <= {"192.168.109.4", "192.168.109.12", "192.168.109.18"}
