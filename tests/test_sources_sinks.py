@@ -95,3 +95,6 @@ def test_cli_runs_detectors_on_period_files(spark, capsys):
               "--csv", f"{d}/transfer"])
     back = spark.read.option("header", True).csv(f"{d}/transfer").collect()
     assert [(r.src_ip, r.up_bytes) for r in back] == [("192.168.109.15", "2559700")]
+    from flowlab.sources.store import flows_table_path
+    cli.main(["run", "detect_c2_growth", "--flows", flows_table_path(spark, "/root/testdata/sf0.01")])
+    assert "192.168.109.8" in capsys.readouterr().out
