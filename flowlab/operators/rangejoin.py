@@ -13,8 +13,10 @@ number):
   to enrich. No shuffle of the big side at all.
 * larger: de-duplicate the addresses first, shuffle-join the distinct
   addresses with the ranges on the bucket (a /16 bucket holds at most 65,536
-  distinct addresses, so no bucket is unboundedly hot), and join the result
-  back on the address; AQE splits skewed address partitions.
+  distinct addresses, so no bucket is unboundedly hot), checkpoint the
+  answers and join them back on the address: broadcast when their measured
+  count allows (the rows to enrich are then never shuffled), else a shuffle
+  join in which AQE splits a skewed address.
 
 Ranges must be disjoint (``assert_disjoint`` checks it, distributed, once per
 range table), so an address matches at most one range and the lookup keeps
@@ -132,10 +134,22 @@ def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
             with_num = df.withColumn("_num", net.addr_num(df, ip_col))
             out = _probe(with_num, "_num", narrow, wide, value_col, out_col, broadcast=True)
             return out.drop("_num")
-    # Large range table: look up each distinct address once, then join back.
-    addrs = df.select(F.col(ip_col).alias("_addr")).distinct().withColumn("_num", net.ip_to_num("_addr"))
-    looked = _probe(addrs, "_num", narrow, wide, value_col, out_col, broadcast=False).drop("_num")
-    return df.join(looked, df[ip_col].eqNullSafe(looked["_addr"]), "left").drop("_addr")
+    # Large range table: look up each distinct address once (bucketed shuffle
+    # join), then join the answers back. The answer table is checkpointed and
+    # measured first: if it fits, it is broadcast and the rows of ``df`` are
+    # never shuffled; otherwise a shuffle join, with AQE splitting a hot address.
+    # Keys are the integer addresses (stored, or parsed once here); a malformed
+    # address has none and simply gets no value.
+    keyed, num = net.with_addr_num(df, ip_col)
+    addrs = keyed.select(num.alias("_num")).where(F.col("_num").isNotNull()).distinct()
+    looked = _probe(addrs, "_num", narrow, wide, value_col, out_col, broadcast=False)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    looked = looked.where(F.col(out_col).isNotNull()).checkpoint(eager=True)
+    if looked.count() <= max_broadcast_rows:
+        looked = F.broadcast(looked)
+    joined = keyed.join(looked, num == looked["_num"], "left")
+    return joined.select(*df.columns, out_col)
 
 
 def geo_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR, **kw) -> DataFrame:

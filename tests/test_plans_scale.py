@@ -46,10 +46,17 @@ def test_broadcast_geo_lookup_never_shuffles_flows(spark, flows):
     assert p.count("BroadcastHashJoin") == 2 and "BroadcastExchange" in p
 
 
-def test_shuffle_geo_lookup_dedups_addresses_first(spark, flows):
+def test_shuffle_geo_lookup_never_shuffles_flow_rows(spark, flows):
+    # the distinct addresses are looked up in a separate, checkpointed job; the
+    # answers (one row per address) are measured and broadcast back
     p = plan(RJ.geo_country(flows, fixture_geo_ranges(spark), force_shuffle=True))
     assert "NestedLoop" not in p and "Cartesian" not in p
-    assert re.search(r"HashAggregate\(keys=\[_addr", p)  # distinct addresses before the range join
+    assert "Scan ExistingRDD" in p and "BroadcastHashJoin" in p
+    assert not exchanges(p)
+    # above the size limit the answers are joined back with a shuffle join instead
+    p2 = plan(RJ.range_lookup(flows, "dst_ip", fixture_geo_ranges(spark), "cc", "cc",
+                              force_shuffle=True, max_broadcast_rows=0))
+    assert "SortMergeJoin" in p2 or "ShuffledHashJoin" in p2
 
 
 def test_windows_are_bounded(flows):
