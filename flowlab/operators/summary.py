@@ -7,7 +7,9 @@ row per distinct edge, orders of magnitude fewer than flows.
 
 Operators that count flows use ``n_flows`` / ``n_flows_if``: a plain row count
 on flows, a sum of ``flow_count`` on a summary, so the same operator code runs
-on either.
+on either. That holds for the detectors ``alerts`` and ``blocklist`` run
+(R4, R5, R7, R9, R10, R12-R15 and the joins/aggregates under them); other
+operators count rows and must be given flows.
 """
 
 from __future__ import annotations
