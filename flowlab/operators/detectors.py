@@ -106,7 +106,8 @@ def exfiltration_bytes(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
 
 
 def detect_c2_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, min_increase: float = K.C2_MIN_INCREASE,
-                     min_baseline: int = K.C2_MIN_BASELINE, include_new_hosts: bool = False) -> DataFrame:
+                     min_baseline: int = K.C2_MIN_BASELINE, include_new_hosts: bool = False,
+                     top_k: int | None = None) -> DataFrame:
     """Flows to internal hosts grew more than ``min_increase`` % and the
     baseline had more than ``min_baseline`` such flows.
 
@@ -115,7 +116,7 @@ def detect_c2_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, min_in
     silent in the baseline that exceed ``min_baseline`` flows in the test.
     A 0/0 increase is null and never flags (Q2b).
     """
-    g = J.server_contact_growth(flows, net_prefix)
+    g = J.server_contact_growth(flows, net_prefix, top_k=top_k)
     inc = F.col("increase")
     cond = ((inc > min_increase) | (inc == float("inf"))) & (F.col("counts") > min_baseline)
     if include_new_hosts:

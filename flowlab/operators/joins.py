@@ -71,16 +71,32 @@ def flows_to_known_hosts(flows: DataFrame, hosts: DataFrame, host_col: str = "ip
             .agg(F.count(F.lit(1)).alias(name)))
 
 
-def server_contact_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def top_hosts_by_period(flows: DataFrame, k: int, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+    """``(period, ip)``: the k most active internal addresses of each period
+    (2k rows at most)."""
+    from pyspark.sql import Window
+    per = (_endpoints(flows, net_prefix, extra=["period"]).groupBy("period", "ip")
+           .agg(F.count(F.lit(1)).alias("n")))
+    rank = F.row_number().over(Window.partitionBy("period").orderBy(F.col("n").desc(), "ip"))
+    return per.withColumn("_r", rank).where(F.col("_r") <= k).select("period", "ip")
+
+
+def server_contact_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
+                          top_k: int | None = None) -> DataFrame:
     """Per source, flows to internal hosts in each period and % increase.
 
     The reference's host set for a period is every internal address seen as
     source or destination in that period; a destination is in that set exactly
     when it carries the network prefix, so the semi join of J4 reduces to a
     pushed-down prefix filter here. Sources with flows in either period are
-    kept (outer join), missing side 0.
+    kept (outer join), missing side 0. ``top_k`` restricts the hosts to each
+    period's k busiest (a 2k-row broadcast), as the survey's option for Q4.
     """
     inside = flows.where(net.in_prefix("dst_ip", net_prefix))
+    if top_k is not None:
+        # Q4 option: only each period's k busiest internal hosts count as servers
+        top = top_hosts_by_period(flows, top_k, net_prefix).withColumnRenamed("ip", "dst_ip")
+        inside = inside.join(F.broadcast(top), ["period", "dst_ip"], "left_semi")
     agg = inside.groupBy("src_ip").agg(
         n_flows_if(flows, _is_base()).alias("counts"), n_flows_if(flows, _is_test()).alias("counts_test"))
     return agg.withColumn("increase", arith.pct_increase("counts", "counts_test"))

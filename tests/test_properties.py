@@ -55,3 +55,30 @@ def test_growth_matches_python_model(spark, rows):
         gb, gt, gi = got[s]
         assert (gb, gt) == (b, t)
         assert (gi is None and inc is None) or abs(gi - inc) < 1e-9 or gi == inc
+
+
+def test_growth_top_k_matches_brute_force(spark):
+    from pyspark.sql import functions as F
+    f = load_flows(spark, SF)
+    rows = f.select("period", "src_ip", "dst_ip").collect()
+    net = "192.168.109."
+    # brute force: per period, the k busiest internal endpoints (ties by address)
+    k = 3
+    top = {}
+    for p in ("baseline", "test"):
+        counts = {}
+        for r in rows:
+            if r.period != p:
+                continue
+            for ip in (r.src_ip, r.dst_ip):
+                if ip.startswith(net):
+                    counts[ip] = counts.get(ip, 0) + 1
+        top[p] = {ip for ip, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:k]}
+    model = {}
+    for r in rows:
+        if r.dst_ip in top[r.period]:
+            b, t = model.get(r.src_ip, (0, 0))
+            model[r.src_ip] = (b + (r.period == "baseline"), t + (r.period == "test"))
+    got = {r.src_ip: (r.counts, r.counts_test) for r in J.server_contact_growth(f, top_k=k).collect()}
+    assert got == model
+    assert J.server_contact_growth(f, top_k=k).where(F.col("counts") < 0).count() == 0
