@@ -406,3 +406,14 @@ def country_count(flows_cc: DataFrame) -> DataFrame:
 def upload_histogram_time(flows: DataFrame, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
     """Histogram of the per-tick upload sums."""
     return histogram(bytes_by_second(flows, by="tick"), "up_bytes", bins)
+
+
+def address_quarantine(flows: DataFrame) -> DataFrame:
+    """Q12: flows whose source or destination is not a valid dotted quad (their
+    address number is null; every predicate treats them as external). One row:
+    ``flows, bad_src, bad_dst``; a global count, one partial row per task."""
+    src = net.addr_num(flows, "src_ip")
+    dst = net.addr_num(flows, "dst_ip")
+    return flows.agg(F.count(F.lit(1)).alias("flows"),
+                     F.count_if(src.isNull()).alias("bad_src"),
+                     F.count_if(dst.isNull()).alias("bad_dst"))

@@ -636,6 +636,11 @@ def _h6(spark, sf):
     return D.distinct_dst(flows(spark, sf)).select("dst_ip", net.ptr_name("dst_ip").alias("ptr"))
 
 
+@query("address_quarantine")
+def _h5b(spark, sf):
+    return D.address_quarantine(flows(spark, sf))
+
+
 @query("pct_increase")
 def _h7(spark, sf):
     agg = flows(spark, sf).groupBy("src_ip").agg(

@@ -540,3 +540,7 @@ ORACLE["server_roles"] = with_flows(
              GROUP BY ip ORDER BY flows DESC, ip LIMIT 5) t
        LEFT JOIN flows f ON f.dst_ip = t.ip AND f.period = 'test' AND starts_with(f.dst_ip, '192.168.109.')
        GROUP BY t.ip, t.flows""", ENDPOINTS)
+
+ORACLE["address_quarantine"] = with_flows(
+    f"""SELECT count(*) AS flows, count(*) FILTER (WHERE {ip_num_sql('src_ip')} IS NULL) AS bad_src,
+              count(*) FILTER (WHERE {ip_num_sql('dst_ip')} IS NULL) AS bad_dst FROM flows""")

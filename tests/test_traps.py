@@ -132,3 +132,10 @@ def test_alerts_on_edge_summary_equal_alerts_on_flows(spark):
     a = sorted((r.rule, r.subject, round(r.metric, 6)) for r in R.alerts(flows, geo, summarize=True).collect())
     b = sorted((r.rule, r.subject, round(r.metric, 6)) for r in R.alerts(flows, geo, summarize=False).collect())
     assert a == b and len(a) > 5
+
+
+def test_q12_quarantine_counts_malformed(flows_of):
+    f = flows_of([dict(dst_ip="x.y"), dict(dst_ip="12.168.109.227"), dict(src_ip="01.2.3.4"),
+                  dict(dst_ip=None), dict()])
+    r = D.address_quarantine(f).first()
+    assert (r.flows, r.bad_src, r.bad_dst) == (5, 1, 2)
