@@ -211,17 +211,17 @@ def server_roles(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = K
                  period: str | None = TEST) -> DataFrame:
     """R17 with roles: the k busiest internal addresses and the services
     (``proto/port``) they receive, from the traffic itself, never hard-coded
-    (Q16). The k hosts reach the flows as a k-row broadcast; each list holds
-    distinct services only."""
+    (Q16). Two scans: the top-k activity, and the distinct services of every
+    internal destination (bounded by the block size times the services); the
+    k-row top list then picks its rows by a broadcast join."""
     sel = B.in_period(flows, period)
     top = discover_servers(sel, net_prefix, k, period=None)
     services = (sel.where(net.in_prefix("dst_ip", net_prefix))
-                .join(F.broadcast(top.select(F.col("ip").alias("dst_ip"))), "dst_ip", "left_semi")
                 .select(F.col("dst_ip").alias("ip"),
                         F.concat_ws("/", "proto", F.col("port").cast("string")).alias("svc"))
                 .distinct())
     roles = services.groupBy("ip").agg(F.array_sort(F.collect_list("svc")).alias("services"))
-    return top.join(roles, "ip", "left")
+    return roles.join(F.broadcast(top), "ip", "right").select("ip", "flows", "services")
 
 
 def burst_window(flows: DataFrame, lo: int = K.BURST_SECONDS[0], hi: int = K.BURST_SECONDS[1],
