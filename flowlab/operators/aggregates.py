@@ -367,9 +367,9 @@ def dst_up_with_sources(flows: DataFrame, k: int = K.TOP_DESTINATIONS) -> DataFr
     """
     per_dst = sum_by(flows, ["dst_ip"], ["up_bytes"])
     top = per_dst.orderBy(F.col("up_bytes").desc(), "dst_ip").limit(k)
-    pairs = flows.join(F.broadcast(top.select("dst_ip")), "dst_ip", "left_semi") \
-        .select("dst_ip", "src_ip").distinct()
-    return pairs.join(F.broadcast(top), "dst_ip")
+    # the inner join with the k-row broadcast both filters and attaches the sums
+    return (flows.select("dst_ip", "src_ip").join(F.broadcast(top), "dst_ip")
+            .select("dst_ip", "up_bytes", "src_ip").distinct())
 
 
 def country_frequency(new_country_flows: DataFrame) -> DataFrame:

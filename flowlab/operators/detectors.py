@@ -132,9 +132,16 @@ def detect_botnet(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: in
 
 def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int = K.MIN_FANOUT,
                  period: str | None = TEST) -> DataFrame:
-    """The internal peers of R10's sources."""
-    sel = B.in_period(flows, period)
-    return D.internal_peers(sel, cidr, hosts=detect_botnet(sel, cidr, min_fanout, period=None))
+    """The internal peers of R10's sources, in one pass: the distinct
+    (source, internal destination) pairs give both the fan-out and the list
+    (bounded by the block size, as in D22)."""
+    lo, hi = net.cidr_bounds(cidr)
+    if hi - lo + 1 > 65536:
+        raise ValueError(f"{cidr} is wider than /16; use internal_peer_pairs")
+    pairs = D.internal_peer_pairs(B.in_period(flows, period), cidr)
+    per_src = pairs.groupBy("src_ip").agg(F.count(F.lit(1)).alias("_n"),
+                                          F.array_sort(F.collect_list("dst_ip")).alias("peers"))
+    return per_src.where(F.col("_n") > min_fanout).select("src_ip", "peers")
 
 
 def _dns_per_src(flows: DataFrame) -> DataFrame:

@@ -42,13 +42,17 @@ def tail_k(agg: DataFrame, col: str, k: int, keys=()) -> DataFrame:
 
 def peak_hour(flows: DataFrame) -> DataFrame:
     """hour with most upload and with most download; the earlier hour wins
-    a tie (``idxmax``). Both top-1 picks read one 24-row aggregate."""
+    a tie (``idxmax``). Both picks come from one 24-row aggregate."""
     hourly = D.hourly_bytes(flows)
-    up = hourly.orderBy(F.col("up_bytes").desc(), "hour").limit(1) \
-        .select(F.lit("up_bytes").alias("metric"), "hour")
-    down = hourly.orderBy(F.col("down_bytes").desc(), "hour").limit(1) \
-        .select(F.lit("down_bytes").alias("metric"), "hour")
-    return up.unionByName(down)
+    # one pass: the largest (bytes, earlier hour first) per metric; hours are 'HH'
+    earlier = -F.col("hour").cast("int")
+    best = hourly.agg(
+        F.max_by("hour", F.struct("up_bytes", earlier)).alias("up_bytes"),
+        F.max_by("hour", F.struct("down_bytes", earlier)).alias("down_bytes"))
+    return best.select(F.explode(F.array(
+        F.struct(F.lit("up_bytes").alias("metric"), F.col("up_bytes").alias("hour")),
+        F.struct(F.lit("down_bytes").alias("metric"), F.col("down_bytes").alias("hour")))).alias("r")) \
+        .select("r.metric", "r.hour").where(F.col("hour").isNotNull())
 
 
 def last_entries(flows: DataFrame, n: int = 10) -> DataFrame:
