@@ -86,23 +86,39 @@ def rule_country_transfer(flows_cc: DataFrame, countries=K.TRANSFER_COUNTRIES,
 
 def many_countries_bytes(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES,
                          net_prefix: str = net.DEFAULT_NET) -> DataFrame:
-    """Test internet bytes of R4's sources (chart data)."""
-    return J.candidate_bytes(flows_cc, rule_many_countries(flows_cc, threshold), net_prefix)
+    """Test internet bytes of R4's sources (chart data), in one aggregate:
+    the distinct known countries and the internet byte sums per source."""
+    test = B.in_period(flows_cc, TEST)
+    internet = ~net.in_prefix("dst_ip", net_prefix)
+    known = F.when(F.col("dst_cc") != "", F.col("dst_cc"))
+    per = test.groupBy("src_ip").agg(
+        F.count_distinct(known).alias("_n"),
+        F.sum(F.when(internet, F.col("up_bytes"))).alias("up_bytes"),
+        F.sum(F.when(internet, F.col("down_bytes"))).alias("down_bytes"))
+    return per.where((F.col("_n") > threshold) & F.col("up_bytes").isNotNull()).select(
+        "src_ip", "up_bytes", "down_bytes")
 
 
 def detect_exfiltration(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
                         factor: float = K.PERIOD_FACTOR) -> DataFrame:
     """Average up or down bytes per internet flow grew past ``factor`` x
     baseline; sources present in both periods. One scan, one shuffle."""
-    cmp = J.period_compare(flows, net_prefix)
-    return cmp.where((F.col("avg_up_bytes_test") > F.col("avg_up_bytes_normal") * factor)
+    return _exfil_totals(flows, net_prefix, factor).select(*J.PERIOD_AVERAGES)
+
+
+def _exfil_totals(flows: DataFrame, net_prefix: str, factor: float) -> DataFrame:
+    tot = J.period_internet_totals(flows, net_prefix)
+    return tot.where((F.col("avg_up_bytes_test") > F.col("avg_up_bytes_normal") * factor)
                      | (F.col("avg_down_bytes_test") > F.col("avg_down_bytes_normal") * factor))
 
 
 def exfiltration_bytes(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
                        factor: float = K.PERIOD_FACTOR) -> DataFrame:
-    """Test internet bytes of R7's sources."""
-    return J.candidate_bytes(flows, detect_exfiltration(flows, net_prefix, factor), net_prefix)
+    """Test internet bytes of R7's sources. The test sums are part of R7's
+    own aggregate, so this is the same single scan (no second pass and semi
+    join as ``candidate_bytes`` would need)."""
+    return _exfil_totals(flows, net_prefix, factor).select(
+        "src_ip", F.col("up_test").alias("up_bytes"), F.col("down_test").alias("down_bytes"))
 
 
 def detect_c2_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, min_increase: float = K.C2_MIN_INCREASE,

@@ -123,6 +123,16 @@ def candidate_bytes(flows: DataFrame, candidates: DataFrame, net_prefix: str = n
 def period_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     """Per source, average internet bytes per flow in each period; sources
     present in both periods only (the reference's inner merge, Q18)."""
+    return period_internet_totals(flows, net_prefix).select(*PERIOD_AVERAGES)
+
+
+PERIOD_AVERAGES = ["src_ip", "avg_up_bytes_normal", "avg_down_bytes_normal",
+                   "avg_up_bytes_test", "avg_down_bytes_test"]
+
+
+def period_internet_totals(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+    """J9's single conditional aggregate: per source present in both periods,
+    internet flow counts and byte sums of each period and the averages."""
     agg = B.to_internet_flows(flows, net_prefix).groupBy("src_ip").agg(
         n_flows_if(flows, _is_base()).alias("counts_normal"), n_flows_if(flows, _is_test()).alias("counts_test"),
         F.sum(F.when(_is_base(), F.col("up_bytes"))).alias("up_normal"),
@@ -131,7 +141,7 @@ def period_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataF
         F.sum(F.when(_is_test(), F.col("down_bytes"))).alias("down_test"))
     both = agg.where((F.col("counts_normal") > 0) & (F.col("counts_test") > 0))
     return both.select(
-        "src_ip",
+        "*",
         arith.per_flow("up_normal", "counts_normal").alias("avg_up_bytes_normal"),
         arith.per_flow("down_normal", "counts_normal").alias("avg_down_bytes_normal"),
         arith.per_flow("up_test", "counts_test").alias("avg_up_bytes_test"),
