@@ -161,10 +161,16 @@ def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int
 
 
 def _dns_per_src(flows: DataFrame) -> DataFrame:
+    """Per-source DNS totals, checkpointed (one row per DNS client) so that the
+    detector and its mean over hosts read them without a second pass over the
+    flows."""
     dns = B.proto_port_flows(flows, "udp", 53)
-    return dns.groupBy("src_ip").agg(
+    per = dns.groupBy("src_ip").agg(
         n_flows(flows).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
         arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(flows.sparkSession)
+    return per.checkpoint(eager=True)
 
 
 def detect_dns_c2(flows: DataFrame, volume_factor: float = K.DNS_C2_VOLUME,

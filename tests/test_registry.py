@@ -44,5 +44,5 @@ def test_plan_has_no_python_or_nested_loops(spark, key):
 def test_filters_reach_the_parquet_scan(spark):
     plan = QUERIES["to_internet_flows"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "StringStartsWith(dst_ip,192.168.109.)" in plan
-    plan = QUERIES["detect_dns_exfil"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["detect_quic_exfil"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(period" in plan
