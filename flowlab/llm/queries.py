@@ -51,3 +51,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     from .packing import pack_documents
     return pack_documents(documents(spark, sf_dir), word_bpe_path(), capacity=4096)
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    from .ngram_join import ngram_components
+    return ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
