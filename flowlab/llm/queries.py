@@ -58,3 +58,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     from .ngram_join import ngram_components
     return ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line resembles."""
+    from .line_dedup import dedup_lines
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
+                      F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), "text")
