@@ -67,3 +67,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
                       F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), "text")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from .pii import KINDS, find, spans_text
+    found = find(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(count(k) for k in KINDS if k != "term"), F.sha2(spans_text(base), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
