@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .setjoin import Units, describe, fitting, leader_pairs, shared_postings, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, shared_postings, unit_texts, verify, with_rows
 
 
 def later_matches(postings: DataFrame, texts: DataFrame, kind: Units) -> DataFrame:
@@ -58,10 +58,11 @@ def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFram
     rows = with_rows(docs)
     units, counts = describe(rows, kind)
     units = units.filter("n > 0")
-    ids = rows.select("row", "doc_id")
-    ranked = units.join(ids, "row").withColumn("rank", F.struct("doc_id", "row", "unit"))
-    sets = stored(ranked.groupBy("node").agg(F.min("rank").alias("rank"), F.count("*").alias("copies")), "sets")
     postings = shared_postings(rows, counts, kind)
+    sharing = postings.select("node").distinct().withColumn("shares", F.lit(True))
+    sets = units.groupBy("node").agg(F.min(F.struct("doc_id", "row", "unit")).alias("rank"), F.count("*").alias("copies"))
+    # sets with neither copies nor shared postings are settled: they stay
+    sets = stored(sets.join(sharing, "node", "left").filter("copies > 1 or shares"), "sets")
     postings = stored(postings.join(sets.select("node", "rank"), "node"), "postings")
     wanted = postings.groupBy("node").agg(F.first("rank").alias("rank")).select("rank.row", "rank.unit", "node")
     texts = unit_texts(rows, wanted, kind)
@@ -81,6 +82,12 @@ def dedup_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     numbers = F.col("removed_lines")
     kept = F.array_join(F.array_except(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
                                        F.transform(numbers, lambda i: F.struct(i.alias("i"), F.element_at(lines, i + 1).alias("x"))))["x"], "\n")
-    joined = base.join(gone, "__row", "left")
-    return (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(kept))
-            .withColumn("removed_lines", F.coalesce(numbers, F.array().cast("array<int>"))).drop("__row"))
+    # texts that lose nothing need not be shuffled
+    gone = stored(gone, "removed")
+    loses = among(base, gone.withColumnRenamed("__row", "row"))
+    marked = base.withColumnRenamed("__row", "row").withColumn("__loses", loses).withColumnRenamed("row", "__row")
+    joined = marked.filter("__loses").join(gone, "__row", "left")
+    changed = (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(kept))
+               .withColumn("removed_lines", F.coalesce(numbers, F.array().cast("array<int>"))))
+    same = marked.filter("not __loses").withColumn("removed_lines", F.array().cast("array<int>"))
+    return changed.unionByName(same).drop("__row", "__loses")

@@ -55,16 +55,46 @@ def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataF
     return answers, met.filter(~same).select("x", "y")
 
 
-def crossing_pairs(postings: DataFrame, joined: DataFrame, kind: Units) -> DataFrame:
-    """All pairs of postings of one token that pass the filters and are not
-    connected yet. ``joined`` is (node, component)."""
-    rows = (postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            # size blocks: sizes of similar sets lie in the same or in neighbouring blocks
-            .withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / kind.percent)) + 1e-9)))
+def crossing_rows(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """Postings of tokens in which components meet, with ``component`` and the
+    list's largest component, ``main``. ``joined`` is (node, component)."""
+    rows = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
     lists = (sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
              .filter("parts > 1").select("token", "main"))
-    rows = rows.join(lists, "token")
+    return rows.join(lists, "token")
+
+
+def main_leader_pairs(rows: DataFrame, kind: Units, salts: int = 4) -> DataFrame:
+    """Pairs of each posting outside its list's main component with a few of that
+    component, other ones than in the first round."""
+    low = (rows.filter("component = main").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.lit(salts)))
+           .groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("node", F.lit("rank")).alias("rank"), "node", "n", "pos")).alias("low")))
+    low = low.select("token", "low.node", "low.n", "low.pos")
+    return (rows.filter("component <> main").alias("b").join(low.alias("a"), "token").filter(fitting("a", "b", kind))
+            .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct())
+
+
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` with linked components renamed one step: two components may
+    still be one, which costs comparisons but no link."""
+    ends = links
+    for end in ("x", "y"):
+        ends = (ends.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}c")), end, "left")
+                .withColumn(f"{end}c", F.coalesce(f"{end}c", end)))
+    # the smaller side of most links is the component that many others meet
+    step = (ends.filter("xc <> yc").select(F.greatest("xc", "yc").alias("component"), F.least("xc", "yc").alias("to"))
+            .groupBy("component").agg(F.min("to").alias("to")))
+    nodes = joined.unionByName(step.select(F.col("component").alias("node"), "component")
+                               .unionByName(step.select(F.col("to").alias("node"), F.col("to").alias("component")))).distinct()
+    return nodes.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
+def crossing_pairs(rows: DataFrame, kind: Units) -> DataFrame:
+    """All pairs of ``crossing_rows`` of one token that pass the filters and are
+    not connected yet."""
+    # size blocks: sizes of similar sets lie in the same or in neighbouring blocks
+    rows = rows.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / kind.percent)) + 1e-9))
     # every pair between two components has a side outside the list's main one
     outside = rows.filter("component <> main").withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))))
     a, b = outside.alias("a"), rows.alias("b")
@@ -78,9 +108,8 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataF
     kind = Units(lines=False, k=k, percent=percent)
     rows = with_rows(docs)
     units, counts = describe(rows, kind)
-    found = units.join(rows.select("row", "doc_id"), "row")
     # one row per set: the first of its rows, and its smallest id
-    sets = found.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
+    sets = units.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
     sets = stored(sets, "sets")
     postings = shared_postings(rows, counts, kind)
     wanted = sets.join(postings.select("node").distinct(), "node").select("row", F.lit(0).alias("unit"), "node")
@@ -93,17 +122,22 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataF
     best = alike.groupBy("y").agg(F.max_by("x", F.struct("both", "x")).alias("x"))
     references = alike.join(best, ["x", "y"]).select(F.col("y").alias("node"), F.col("x").alias("ref"), F.col("nx").alias("n"), "lacks", "extra")
 
-    rest = crossing_pairs(postings, first, kind).join(
-        leaders.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    answers, others = derived(stored(rest, "pairs"), references, kind)
-    more = answers.filter("linked").select("x", "y").unionByName(
-        verify(others, texts, kind).filter("linked").select("x", "y"))
+    def settle(pairs: DataFrame) -> DataFrame:
+        """The linked ones of pairs: derived where both sides have a reference, else counted."""
+        answers, others = derived(stored(pairs, "pairs"), references, kind)
+        return stored(answers.filter("linked").select("x", "y").unionByName(
+            verify(others, texts, kind).filter("linked").select("x", "y")), "answers")
+
+    second = settle(main_leader_pairs(crossing_rows(postings, first), kind))
+    joined = stored(merged(first, second), "joined")
+    third = settle(crossing_pairs(crossing_rows(postings, joined), kind).join(
+        leaders.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
     links = (first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-             .unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+             .unionByName(second.unionByName(third).select(F.col("x").alias("a"), F.col("y").alias("b"))))
     groups = components(links).withColumnRenamed("component", "grouped")
     labels = sets.join(groups, "node", "left").withColumn("grouped", F.coalesce("grouped", "node"))
     smallest = labels.groupBy("grouped").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(smallest, "grouped").select("node", "component_id")
-    return (found.join(labels, "node", "left")
+    return (units.join(labels, "node", "left")
             .select("row", "doc_id", F.col("n").alias("n_shingles"), "node",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -81,3 +81,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", *(count(k) for k in KINDS if k != "term"), F.sha2(spans_text(base), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    from .winnowing import as_text, likeness, with_edits
+    own, edited, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    return with_edits(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"))

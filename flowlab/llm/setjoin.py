@@ -76,6 +76,17 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums + lengths.astype(np.uint64)), np.searchsorted(ends, begins, side="right")
 
 
+def by_owner(h: np.ndarray, owner: np.ndarray, n_owners: int) -> np.ndarray:
+    """The order by owner, then hash, by one sort of owner and leading hash bits."""
+    bits = np.uint64(max(1, n_owners.bit_length()))
+    key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(key, kind="stable")
+    tied = key[order][1:] == key[order][:-1]
+    if (h[order][1:][tied] != h[order][:-1][tied]).any():  # different hashes alike in the leading bits
+        return np.lexsort((h, owner))
+    return order
+
+
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, bounds, nodes): the distinct shingles of text i, sorted, are
     ``tokens[bounds[i]:bounds[i + 1]]``; its node is ``nodes[i]`` (0 if empty)."""
@@ -99,7 +110,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
         rolled[few[at]] = np.add.reduceat(part, at) + np.uint64(0x51ED270B) * size[few[at]].astype(np.uint64)
     keep = full | short
     h, owner = mix(rolled[keep]), owner[keep]
-    order = np.lexsort((h, owner))
+    order = by_owner(h, owner, len(texts))
     h, owner = h[order], owner[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.empty(0, bool)
     h, owner = h[new], owner[new]
@@ -138,20 +149,20 @@ class Units:
         return data.split(b"\n") if self.lines else [data]
 
     def chunks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        """(rows, units, tokens, bounds, nodes) of a few texts at a time."""
+        """(batch, places in it, units, tokens, bounds, nodes) of a few texts at a time."""
         for batch in batches:
             rows, numbers, texts, size = [], [], [], 0
-            for row, text in zip(batch.row.tolist(), batch.text.tolist()):
+            for row, text in enumerate(batch.text.tolist()):
                 for i, t in enumerate(self.split(text)):
                     rows.append(row)
                     numbers.append(i)
                     texts.append(t)
                     size += len(t)
                 if size >= CHUNK_BYTES:
-                    yield (np.array(rows), np.array(numbers), *shingle_sets(texts, self.k))
+                    yield (batch, np.array(rows), np.array(numbers), *shingle_sets(texts, self.k))
                     rows, numbers, texts, size = [], [], [], 0
             if texts:
-                yield (np.array(rows), np.array(numbers), *shingle_sets(texts, self.k))
+                yield (batch, np.array(rows), np.array(numbers), *shingle_sets(texts, self.k))
 
 
 class Met:
@@ -181,7 +192,7 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
-    """(units, counts): units(row, unit, n, node) of every unit, and
+    """(units, counts): units(doc_id, row, unit, n, node) of every unit, and
     counts(token, seen) of shingles that some task saw more than once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met, held, n_held = Met(), [], 0
@@ -190,12 +201,12 @@ def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             tokens, seen = tokens[seen > 1], seen[seen > 1]
             held.clear()
-            return pd.DataFrame({"row": np.full(len(tokens), -1, np.int64), "unit": np.zeros(len(tokens), np.int32),
+            return pd.DataFrame({"doc_id": None, "row": np.full(len(tokens), -1, np.int64), "unit": np.zeros(len(tokens), np.int32),
                                  "n": seen.astype(np.int64), "node": signed(tokens)})
 
-        for row, unit, tokens, bounds, nodes in kind.chunks(batches):
+        for batch, at, unit, tokens, bounds, nodes in kind.chunks(batches):
             n = np.diff(bounds)
-            yield pd.DataFrame({"row": row, "unit": unit.astype(np.int32), "n": n, "node": signed(nodes)})
+            yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy()[at], "row": batch.row.to_numpy()[at], "unit": unit.astype(np.int32), "n": n, "node": signed(nodes)})
             fresh = met.new(nodes, n > 2)
             held.append(tokens[np.repeat(fresh, n)])
             n_held += int(n[fresh].sum())
@@ -204,7 +215,7 @@ def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
                 n_held = 0
         yield counted()
 
-    both = stored(rows.select("row", "text").mapInPandas(run, "row long, unit int, n long, node long"), "units")
+    both = stored(rows.mapInPandas(run, "doc_id long, row long, unit int, n long, node long"), "units")
     units = both.filter("row >= 0")
     counts = both.filter("row < 0").groupBy(F.col("node").alias("token")).agg(F.sum("n").alias("seen"))
     return units, counts
@@ -217,13 +228,15 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
     top = counts.orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
     tokens = top.token.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    frequent = rows.sparkSession.sparkContext.broadcast((tokens[order], top.seen.to_numpy(np.int64)[order]))
+    # levels 1, 2, ... for ever larger counts; 0 for all other tokens
+    levels = np.unique(top.seen.to_numpy(np.int64)[order], return_inverse=True)[1].astype(np.int64) + 1
+    frequent = rows.sparkSession.sparkContext.broadcast((tokens[order], levels))
     least_size = 1 if kind.percent < 67 else 3
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = frequent.value
+        known, level = frequent.value
         met = Met()
-        for _, _, h, bounds, nodes in kind.chunks(batches):
+        for _, _, _, h, bounds, nodes in kind.chunks(batches):
             n = np.diff(bounds)
             fresh = met.new(nodes, n >= least_size)
             take = np.repeat(fresh, n)
@@ -233,49 +246,71 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
             f = np.zeros(len(h), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                f = np.where(known[at] == h, seen[at], 0)
-            order = np.lexsort((f, owner))  # stable: equal counts stay in hash order
+                f = np.where(known[at] == h, level[at], 0)
+            # stable, so that equal counts stay in hash order
+            order = np.argsort(owner.astype(np.int64) * (len(known) + 1) + f, kind="stable")
             h, owner, f = h[order], owner[order], f[order]
             begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             pos = np.arange(len(h)) - np.repeat(begins, np.diff(np.r_[begins, len(h)]))
             size = n[owner]
             keep = pos <= size - kind.least(size)
-            yield pd.DataFrame({"token": signed(h[keep]), "node": signed(nodes[owner[keep]]), "n": size[keep].astype(np.int32),
-                                "pos": pos[keep].astype(np.int32), "hot": f[keep] > 0})
+            # size, position and whether the token is frequent in one number: a short shuffle row
+            place = (size[keep].astype(np.int64) << 32) | (pos[keep] << 1) | (f[keep] > 0)
+            yield pd.DataFrame({"token": signed(h[keep]), "node": signed(nodes[owner[keep]]), "place": place})
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of rows sorted by token, size and node: those with a neighbour that fits."""
-        last = None
+        """Of rows sorted by token, size and node: one for each node that has a
+        neighbour that fits, or whose token is frequent."""
+        last = None  # token, node, place of the row before, and whether it is wanted
         for batch in batches:
+            token, node, place = (batch[c].to_numpy() for c in ("token", "node", "place"))
+            wanted = (place & 1).astype(bool)
             if last is not None:
-                batch = pd.concat([last, batch], ignore_index=True)
-            token, node, n = (batch[c].to_numpy() for c in ("token", "node", "n"))
-            same = token[1:] == token[:-1]
-            repeated = np.r_[False, same & (node[1:] == node[:-1])]
-            fits = same & ~repeated[1:] & (100 * n[:-1].astype(np.int64) >= kind.percent * n[1:].astype(np.int64))
-            # a repeat passes on what its first row met
-            keep = (np.r_[fits, False] | np.r_[False, fits] | batch.hot.to_numpy() | batch.kept.to_numpy()) & ~repeated
-            if repeated.any():
-                first = np.maximum.accumulate(np.where(repeated, 0, np.arange(len(batch))))
-                more = np.zeros(len(batch), bool)
-                np.logical_or.at(more, first, np.r_[fits, False] | batch.kept.to_numpy())
-                keep |= more & ~repeated
-            # the last row waits for the next batch, knowing whether it is kept already
-            at = len(batch) - 1
-            tail = first[at] if repeated.any() else at
-            last = batch.iloc[tail:tail + 1].assign(kept=bool(keep[tail]))
-            keep[tail] = False
-            yield batch.loc[keep, ["token", "node", "n", "pos"]]
-        if last is not None and bool(last.kept.iloc[0]):
-            yield last[["token", "node", "n", "pos"]]
-
-    postings = rows.select("row", "text").mapInPandas(run, "token long, node long, n int, pos int, hot boolean")
+                token, node, place = np.r_[last[0], token], np.r_[last[1], node], np.r_[last[2], place]
+                wanted = np.r_[last[3], wanted]
+            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+            token, node, place, wanted = token[new], node[new], place[new], wanted[new]
+            n = place >> 32
+            fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= kind.percent * n[1:])
+            wanted = wanted | np.r_[fits, False] | np.r_[False, fits]
+            last = token[-1], node[-1], place[-1], wanted[-1]
+            wanted[-1] = False
+            yield result(token[wanted], node[wanted], place[wanted])
+        if last is not None and last[3]:
+            yield result(*(np.array([x]) for x in last[:3]))
+
+    def result(token, node, place):
+        return pd.DataFrame({"token": token, "node": node, "n": (place >> 32).astype(np.int32),
+                             "pos": ((place >> 1) & 0x7FFFFFFF).astype(np.int32)})
+
+    postings = rows.select("row", "text").mapInPandas(run, "token long, node long, place long")
     # lists of frequent tokens are dealt over several tasks by node: they are kept whole anyway
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(F.lit(0).cast("long"))
-    dealt = (postings.withColumn("kept", F.lit(False)).repartition("token", salt).sortWithinPartitions("token", "n", "node"))
+    salt = F.when(F.col("place").bitwiseAND(1) == 1, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(F.lit(0).cast("long"))
+    dealt = postings.repartition("token", salt).sortWithinPartitions("token", F.shiftright("place", 32), "node")
     return stored(dealt.mapInPandas(shared, "token long, node long, n int, pos int"), "postings")
 
 
+def among(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> Column:
+    """A test that holds for every row number in ``wanted`` and for few others.
+
+    A bit table of fixed size (1 MB), filled from all of ``wanted``. It only
+    spares shuffling texts that a join would drop: when it is full it spares
+    none, and the join after it gives the same result.
+    """
+    spot = F.pmod(F.xxhash64("row"), F.lit(bits))
+    words = (wanted.select((spot / 64).cast("int").alias("word"), F.pmod(spot, F.lit(64)).cast("int").alias("bit"))
+             .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("set")).toPandas())
+    table = np.zeros(bits // 64, np.int64)
+    table[words.word.to_numpy(np.int64)] = words.set.to_numpy(np.int64)
+    held = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(spots: pd.Series) -> pd.Series:
+        x = spots.to_numpy(np.int64)
+        return pd.Series((held.value[x >> 6] >> (x & 63)) & 1 == 1)
+    return test(spot)
+
+
 def fitting(left: str, right: str, kind: Units) -> Column:
     """Length and positional filters for postings of one token: the sizes allow
     the similarity, and so do the shingles that are left from here on."""
@@ -302,7 +337,8 @@ def leader_pairs(shared: DataFrame, kind: Units, rank: str, salts: int = 8) -> D
 
 def unit_texts(rows: DataFrame, units: DataFrame, kind: Units) -> DataFrame:
     """(node, text) of the given (row, unit, node), read from the rows once."""
-    found = rows.select("row", "text").join(units.select("row", "unit", "node"), "row")
+    units = stored(units.select("row", "unit", "node"), "wanted")
+    found = rows.select("row", "text").filter(among(rows, units)).join(units, "row")
     if not kind.lines:
         return stored(found.select("node", "text"), "texts")
     return stored(found.select("node", F.element_at(F.split("text", "\n", -1), F.col("unit") + 1).alias("text")), "texts")
