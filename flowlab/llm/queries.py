@@ -91,3 +91,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(documents(spark, sf_dir)).select(
         "doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
         likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"))
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivor of every embedding."""
+    from .embedding_dedup import near_duplicates
+    return near_duplicates(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding"))

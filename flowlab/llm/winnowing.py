@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-GRAM, WINDOW = 5, 16
+GRAM, WINDOW = 5, 8
 POSITION_BITS = 23
 _LAST = (1 << POSITION_BITS) - 1
 _HASH = (1 << (63 - POSITION_BITS)) - 1
@@ -32,8 +32,8 @@ def _shifted(array: str, by: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, column: str) -> DataFrame:
     """Add ``column``, the fingerprint: an array of longs, hash above position."""
-    names = [f"__{x}" for x in ("w", "h", "g2", "g4", "p", "m2", "m4", "m8")]
-    w, h, g2, g4, p, m2, m4, m8 = names
+    names = [f"__{x}" for x in ("w", "h", "g2", "g4", "p", "m2", "m4")]
+    w, h, g2, g4, p, m2, m4 = names
     pair = lambda a, b: F.xxhash64(a, b)
     out = df.withColumn(w, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S{1,16}+"), F.lit(0)))
     out = out.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
@@ -47,8 +47,7 @@ def with_fingerprint(df: DataFrame, text: str, column: str) -> DataFrame:
     low = lambda a, b: F.least(a, b)  # noqa: E731  nulls past the end are passed over
     out = out.withColumn(m2, F.zip_with(p, _shifted(p, 1), low))
     out = out.withColumn(m4, F.zip_with(m2, _shifted(m2, 2), low))
-    out = out.withColumn(m8, F.zip_with(m4, _shifted(m4, 4), low))
-    smallest = F.zip_with(m8, _shifted(m8, 8), low)
+    smallest = F.zip_with(m4, _shifted(m4, 4), low)
     windows = F.slice(smallest, 1, F.greatest(F.size(p) - (WINDOW - 1), F.lit(1)))
     return out.withColumn(column, F.array_distinct(windows)).drop(*names)
 
@@ -60,8 +59,8 @@ def hashes(fingerprint: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of the hashes of two fingerprints; 1 for two empty ones."""
     shared = F.size(F.array_intersect(hashes(a), hashes(b)))
-    every = F.size(F.array_union(hashes(a), hashes(b)))
-    return F.when(every == 0, 1.0).otherwise(shared / every)
+    every = F.size(F.array_distinct(hashes(a))) + F.size(F.array_distinct(hashes(b))) - shared
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(shared / every)
 
 
 def as_text(fingerprint: Column) -> Column:
