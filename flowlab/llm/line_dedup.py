@@ -84,8 +84,7 @@ def dedup_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
                                        F.transform(numbers, lambda i: F.struct(i.alias("i"), F.element_at(lines, i + 1).alias("x"))))["x"], "\n")
     # texts that lose nothing need not be shuffled
     gone = stored(gone, "removed")
-    loses = among(base, gone.withColumnRenamed("__row", "row"))
-    marked = base.withColumnRenamed("__row", "row").withColumn("__loses", loses).withColumnRenamed("row", "__row")
+    marked = base.withColumn("__loses", among(base, gone.withColumnRenamed("__row", "row"), of="__row"))
     joined = marked.filter("__loses").join(gone, "__row", "left")
     changed = (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(kept))
                .withColumn("removed_lines", F.coalesce(numbers, F.array().cast("array<int>"))))

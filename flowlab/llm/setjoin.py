@@ -62,18 +62,25 @@ _POWERS = powers(_BASE, 1 << 12)
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of the texts, and which text it is of."""
+    return hash_words_and_ends(texts)[:2]
+
+
+def hash_words_and_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`hash_words`, and the last two bytes of each word as one number."""
     data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
     inside = ~_SPACE[data]
     begins = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
     if not len(begins):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     places = np.flatnonzero(inside)
     lengths = np.diff(np.r_[np.searchsorted(places, begins), len(places)])
     in_word = np.arange(len(places)) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
     power = _POWERS if lengths.max() <= len(_POWERS) else powers(_BASE, int(lengths.max()))
     sums = np.add.reduceat(_LETTER[data[places]] * power[in_word], np.r_[0, np.cumsum(lengths)[:-1]])
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix(sums + lengths.astype(np.uint64)), np.searchsorted(ends, begins, side="right")
+    last = begins + lengths - 1
+    tails = data[last].astype(np.int64) * 256 + np.where(lengths > 1, data[last - 1], 0)
+    return mix(sums + lengths.astype(np.uint64)), np.searchsorted(ends, begins, side="right"), tails
 
 
 def by_owner(h: np.ndarray, owner: np.ndarray, n_owners: int) -> np.ndarray:
@@ -290,8 +297,8 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
     return stored(dealt.mapInPandas(shared, "token long, node long, n int, pos int"), "postings")
 
 
-def among(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> Column:
-    """A test that holds for every row number in ``wanted`` and for few others.
+def among(rows: DataFrame, wanted: DataFrame, of: str = "row", bits: int = 1 << 23) -> Column:
+    """A test of column ``of`` that holds for every ``row`` in ``wanted`` and for few others.
 
     A bit table of fixed size (1 MB), filled from all of ``wanted``. It only
     spares shuffling texts that a join would drop: when it is full it spares
@@ -308,7 +315,7 @@ def among(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> Column:
     def test(spots: pd.Series) -> pd.Series:
         x = spots.to_numpy(np.int64)
         return pd.Series((held.value[x >> 6] >> (x & 63)) & 1 == 1)
-    return test(spot)
+    return test(F.pmod(F.xxhash64(of), F.lit(bits)))
 
 
 def fitting(left: str, right: str, kind: Units) -> Column:
