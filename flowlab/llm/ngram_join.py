@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import components
-from .setjoin import Units, describe, fitting, leader_pairs, shared_postings, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, shared_postings, unit_texts, verify, with_rows
 
 
 def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
@@ -103,8 +103,10 @@ def crossing_pairs(rows: DataFrame, kind: Units) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
-    """(row, doc_id, n_shingles, node, component_id) of every row of ``docs``:
-    rows are linked when 100 * shared shingles >= percent * shingles of both."""
+    """(row, doc_id, n_shingles, component, component_id) of every row of ``docs``:
+    rows are linked when 100 * shared shingles >= percent * shingles of both.
+    ``component`` names the component even where no row of it has an id; it is
+    null for empty texts."""
     kind = Units(lines=False, k=k, percent=percent)
     rows = with_rows(docs)
     units, counts = describe(rows, kind)
@@ -137,7 +139,20 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataF
     groups = components(links).withColumnRenamed("component", "grouped")
     labels = sets.join(groups, "node", "left").withColumn("grouped", F.coalesce("grouped", "node"))
     smallest = labels.groupBy("grouped").agg(F.min("first_id").alias("component_id"))
-    labels = labels.join(smallest, "grouped").select("node", "component_id")
+    labels = labels.join(smallest, "grouped").select("node", "component_id", "grouped")
     return (units.join(labels, "node", "left")
-            .select("row", "doc_id", F.col("n").alias("n_shingles"), "node",
+            .select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("grouped").alias("component"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component, the first by (doc_id, place; null
+    ids last), and all rows without words."""
+    labels = stored(ngram_components(docs, **options).filter("component is not null").select("row", "doc_id", "component"), "labels")
+    first = labels.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    gone = stored(labels.join(first, "component").filter("row <> first.row").select("row"), "gone")
+    # only rows that may go are shuffled
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    marked = marked.withColumn("__may_go", among(marked, gone, of="__row"))
+    kept = marked.filter("__may_go").join(gone.withColumnRenamed("row", "__row"), "__row", "left_anti")
+    return marked.filter("not __may_go").unionByName(kept).select(*docs.columns)
