@@ -98,3 +98,26 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and survivor of every embedding."""
     from .embedding_dedup import near_duplicates
     return near_duplicates(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document, learned from all but fold 2 of 7."""
+    from .lm import fit, score
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = id_fold(7) == 2
+    model, counts = fit(docs.filter(~held_out))
+    return score(docs.withColumn("held_out", held_out), model, counts).drop("text")
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that repeat earlier text."""
+    from .substring_dedup import removed_spans
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    gone = removed_spans(docs)
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return rows.join(gone, "row", "left").select(
+        "doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed"))
