@@ -65,31 +65,6 @@ def crossing_rows(postings: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(lists, "token")
 
 
-def main_leader_pairs(rows: DataFrame, kind: Units, salts: int = 4) -> DataFrame:
-    """Pairs of each posting outside its list's main component with a few of that
-    component, other ones than in the first round."""
-    low = (rows.filter("component = main").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.lit(salts)))
-           .groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("node", F.lit("rank")).alias("rank"), "node", "n", "pos")).alias("low")))
-    low = low.select("token", "low.node", "low.n", "low.pos")
-    return (rows.filter("component <> main").alias("b").join(low.alias("a"), "token").filter(fitting("a", "b", kind))
-            .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct())
-
-
-def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
-    """``joined`` with linked components renamed one step: two components may
-    still be one, which costs comparisons but no link."""
-    ends = links
-    for end in ("x", "y"):
-        ends = (ends.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}c")), end, "left")
-                .withColumn(f"{end}c", F.coalesce(f"{end}c", end)))
-    # the smaller side of most links is the component that many others meet
-    step = (ends.filter("xc <> yc").select(F.greatest("xc", "yc").alias("component"), F.least("xc", "yc").alias("to"))
-            .groupBy("component").agg(F.min("to").alias("to")))
-    nodes = joined.unionByName(step.select(F.col("component").alias("node"), "component")
-                               .unionByName(step.select(F.col("to").alias("node"), F.col("to").alias("component")))).distinct()
-    return nodes.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-
-
 def crossing_pairs(rows: DataFrame, kind: Units) -> DataFrame:
     """All pairs of ``crossing_rows`` of one token that pass the filters and are
     not connected yet."""
@@ -130,12 +105,10 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataF
         return stored(answers.filter("linked").select("x", "y").unionByName(
             verify(others, texts, kind).filter("linked").select("x", "y")), "answers")
 
-    second = settle(main_leader_pairs(crossing_rows(postings, first), kind))
-    joined = stored(merged(first, second), "joined")
-    third = settle(crossing_pairs(crossing_rows(postings, joined), kind).join(
+    more = settle(crossing_pairs(crossing_rows(postings, first), kind).join(
         leaders.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
     links = (first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-             .unionByName(second.unionByName(third).select(F.col("x").alias("a"), F.col("y").alias("b"))))
+             .unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     groups = components(links).withColumnRenamed("component", "grouped")
     labels = sets.join(groups, "node", "left").withColumn("grouped", F.coalesce("grouped", "node"))
     smallest = labels.groupBy("grouped").agg(F.min("first_id").alias("component_id"))
