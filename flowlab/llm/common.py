@@ -1,4 +1,9 @@
-"""Helpers shared by the text operators."""
+"""Helpers shared by the text operators.
+
+The operators tell rows apart by their place in the input and read it more than
+once, so it must come in the same order each time: a table read from files, with
+filters and projections at most. Store anything else first (``stored``).
+"""
 
 from __future__ import annotations
 

@@ -102,7 +102,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
     first = np.r_[0, np.cumsum(n_words)[:-1]]
     rolled = np.zeros(len(words), np.uint64)
     scale = np.uint64(1)
-    for j in range(k):
+    for j in range(min(k, len(words))):
         rolled[:len(words) - j] += words[j:] * scale
         scale = np.uint64((int(scale) * int(_STEP)) % 2**64)
     in_text = np.arange(len(words)) - first[owner]
