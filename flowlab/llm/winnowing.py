@@ -94,8 +94,9 @@ def with_edits(docs: DataFrame) -> DataFrame:
     nexts = next_rows(sizes).join(sizes.select("row", F.floor(F.col("n_chars") / 3).cast("int").alias("cut")), "row")
     # the same two columns by the same key on both sides: one shuffle of the texts serves both
     texts = rows.select("row", "text")
-    tails = (texts.withColumnRenamed("row", "next_row").join(nexts, "next_row")
-             .select("row", "cut", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("tail"), F.col("text").alias("next_text")))
+    before = nexts.withColumnRenamed("row", "before")
+    tails = (texts.join(before, texts["row"] == before["next_row"])
+             .select(F.col("before").alias("row"), "cut", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("tail"), F.col("text").alias("next_text")))
     tails = with_fingerprint(tails, "next_text", "next_fingerprint").drop("next_text")
     both = texts.join(tails, "row").withColumn(
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("cut")), "tail"))
