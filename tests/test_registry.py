@@ -3,17 +3,21 @@
 import pytest
 
 import __spark_entry__ as entry
+from flowlab.plans.catalog import QUERIES as CATALOG
+from flowlab.plans.oracle import ORACLE as FLOW_ORACLE
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare_one, duck
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+# the flow queries; other parts that the entry adds have tests of their own
+QUERIES = dict(CATALOG)
+ORACLE = dict(FLOW_ORACLE)
 
 
 def test_every_query_has_an_oracle_or_is_listed():
     missing = set(QUERIES) - set(ORACLE)
     assert not missing, missing
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):
