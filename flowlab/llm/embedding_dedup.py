@@ -148,7 +148,8 @@ def links(vectors: DataFrame, *, cosine: float = 0.9, sample: int = 20_000, n_co
 
     coded = stored(distinct.mapInPandas(code, "c long, codes array<long>"), "codes")
     index, probes = hamming_tables(coded, n_codes, bits, width)
-    a, b = index.alias("a"), probes.alias("b")
+    # each row became dozens, which size estimates miss: neither side is to be broadcast
+    a, b = index.hint("merge").alias("a"), probes.hint("merge").alias("b")
     near = (a.join(b, ["table", "substring"]).filter((F.col("a.c") < F.col("b.c")) & (_distance("a", "b", n_codes) <= most))
             .select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct())
 
