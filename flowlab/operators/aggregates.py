@@ -43,7 +43,7 @@ def _restrict(flows: DataFrame, col: str, values) -> DataFrame:
 
 def _to_internal(flows: DataFrame, cidr: str) -> DataFrame:
     """Flows whose destination lies in ``cidr`` (N1, on the stored integer address)."""
-    return flows.where(~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
+    return flows.where(net.in_cidr("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
 
 
 def count_by(df: DataFrame, keys, name: str = "n", counted: str | None = None) -> DataFrame:
@@ -209,22 +209,11 @@ def internal_fanout(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None)
 
 
 def internal_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -> DataFrame:
-    """The sorted list of internal destinations per source (Q11).
-
-    The list holds addresses of ``cidr`` only, so its length is bounded by the
-    block size; blocks wider than /16 (65,536 addresses) are refused; use
-    ``internal_peer_pairs`` (one row per pair) for those.
-    """
-    lo, hi = net.cidr_bounds(cidr)
-    if hi - lo + 1 > 65536:
-        raise ValueError(f"{cidr} is wider than /16; use internal_peer_pairs")
-    pairs = internal_peer_pairs(flows, cidr, hosts)
-    return pairs.groupBy("src_ip").agg(F.array_sort(F.collect_list("dst_ip")).alias("peers"))
-
-
-def internal_peer_pairs(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, hosts=None) -> DataFrame:
+    """The internal destinations of each source (Q11), one row per
+    ``(src_ip, peer)``, so a source's peers never gather in one task however
+    wide the network is."""
     inside = _restrict(_to_internal(flows, cidr), "src_ip", hosts)
-    return inside.select("src_ip", "dst_ip").distinct()
+    return inside.select("src_ip", F.col("dst_ip").alias("peer")).distinct()
 
 
 def dns_up_by_dst(flows: DataFrame) -> DataFrame:

@@ -148,16 +148,11 @@ def detect_botnet(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: in
 
 def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int = K.MIN_FANOUT,
                  period: str | None = TEST) -> DataFrame:
-    """The internal peers of R10's sources, in one pass: the distinct
-    (source, internal destination) pairs give both the fan-out and the list
-    (bounded by the block size, as in D22)."""
-    lo, hi = net.cidr_bounds(cidr)
-    if hi - lo + 1 > 65536:
-        raise ValueError(f"{cidr} is wider than /16; use internal_peer_pairs")
-    pairs = D.internal_peer_pairs(B.in_period(flows, period), cidr)
-    per_src = pairs.groupBy("src_ip").agg(F.count(F.lit(1)).alias("_n"),
-                                          F.array_sort(F.collect_list("dst_ip")).alias("peers"))
-    return per_src.where(F.col("_n") > min_fanout).select("src_ip", "peers")
+    """The internal peers of R10's sources, one row per (source, peer).
+    The distinct pairs give the fan-out too, so they are made once."""
+    pairs = D.internal_peers(B.in_period(flows, period), cidr)
+    suspects = pairs.groupBy("src_ip").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_fanout)
+    return pairs.join(suspects, "src_ip", "left_semi")
 
 
 def _dns_per_src(flows: DataFrame) -> DataFrame:
@@ -240,17 +235,17 @@ def server_roles(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = K
                  period: str | None = TEST) -> DataFrame:
     """R17 with roles: the k busiest internal addresses and the services
     (``proto/port``) they receive, from the traffic itself, never hard-coded
-    (Q16). Two scans: the top-k activity, and the distinct services of every
-    internal destination (bounded by the block size times the services); the
-    k-row top list then picks its rows by a broadcast join."""
+    (Q16). Two scans: the top-k activity, and the distinct services of those
+    hosts, whose flows the k-row top list picks by a broadcast semi join."""
     sel = B.in_period(flows, period)
     top = discover_servers(sel, net_prefix, k, period=None)
     services = (sel.where(net.in_prefix("dst_ip", net_prefix))
                 .select(F.col("dst_ip").alias("ip"),
                         F.concat_ws("/", "proto", F.col("port").cast("string")).alias("svc"))
-                .distinct())
+                .join(F.broadcast(top.select("ip")), "ip", "left_semi").distinct())
+    # k hosts, each with at most one row per protocol and port
     roles = services.groupBy("ip").agg(F.array_sort(F.collect_list("svc")).alias("services"))
-    return roles.join(F.broadcast(top), "ip", "right").select("ip", "flows", "services")
+    return top.join(roles, "ip", "left").select("ip", "flows", "services")
 
 
 def burst_window(flows: DataFrame, lo: int = K.BURST_SECONDS[0], hi: int = K.BURST_SECONDS[1],

@@ -89,7 +89,7 @@ def host_in_list(flows: DataFrame, col: str, hosts, flag=None) -> DataFrame:
 
 def host_or_chain(flows: DataFrame, hosts, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
     """The reference's OR chain of equalities AND not public, as ``IN``."""
-    return flows.where(F.col("src_ip").isin(*hosts) & ~net.is_public("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
+    return flows.where(F.col("src_ip").isin(*hosts) & net.in_cidr("dst_ip", cidr, net.addr_num(flows, "dst_ip")))
 
 
 def time_range(flows: DataFrame, lo: int, hi: int) -> DataFrame:

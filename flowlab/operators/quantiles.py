@@ -6,10 +6,11 @@ partitions instead:
 
 1. ``groupBy(series, x).count()``: distinct values with multiplicities
    (partial aggregation, so a value repeated a billion times is one row).
-2. ``repartitionByRange(series, x)``: partitions hold disjoint, ordered value
-   ranges; each partition's count per series (a few rows per partition)
-   gives its rank offset.
-3. A running sum inside each range partition gives every distinct value its
+2. Edges, fetched once as a few numbers per series (approximate quantiles),
+   cut the values into buckets. A value's bucket depends on nothing but the
+   value, so every evaluation of the plan agrees; the counts per bucket (a few
+   rows) give its rank offset.
+3. A running sum inside each (series, bucket) gives every distinct value its
    rank interval ``[start, end)`` within its series.
 4. The target ranks (``p * (n - 1)``, floor and ceiling) are driver-side
    scalars; a filter keeps the at most two rows per quantile that hold them.
@@ -28,6 +29,13 @@ from pyspark.sql import functions as F
 DESCRIBE_PERCENTILES = (0.25, 0.5, 0.75)
 
 
+def bucket_edges(df: DataFrame, cols, buckets: int) -> dict[str, list[float]]:
+    """Values that cut each column into about ``buckets`` parts of like size."""
+    shares = [i / buckets for i in range(1, buckets)]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares or [0.5]).alias(c) for c in cols]).first()
+    return {c: sorted(set(row[c] or [])) for c in cols}
+
+
 def rank_intervals(df: DataFrame, cols, partitions: int | None = None) -> DataFrame:
     """``(series, v, c, start, end)``: distinct non-null values of each column
     in ``cols`` with their rank interval ``[start, end)`` inside the column."""
@@ -36,14 +44,17 @@ def rank_intervals(df: DataFrame, cols, partitions: int | None = None) -> DataFr
     vc = (stacked.select("s.series", "s.v").where(F.col("v").isNotNull())
           .groupBy("series", "v").agg(F.count(F.lit(1)).alias("c")))
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = vc.repartitionByRange(parts, "series", "v").withColumn("pid", F.spark_partition_id())
-    # a few rows per partition: the offset of a partition inside each series
-    per_part = ranged.groupBy("series", "pid").agg(F.sum("c").alias("pc"))
-    offsets = per_part.select(
-        "series", "pid",
-        (F.sum("pc").over(Window.partitionBy("series").orderBy("pid")) - F.col("pc")).alias("off"))
-    within = Window.partitionBy("pid", "series").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.join(F.broadcast(offsets), ["series", "pid"])
+    bucket = F.lit(0)
+    for name, edges in bucket_edges(df, cols, parts).items():
+        below = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
+        bucket = F.when(F.col("series") == name, below).otherwise(bucket)
+    ranged = vc.withColumn("bucket", bucket)
+    per_bucket = ranged.groupBy("series", "bucket").agg(F.sum("c").alias("bc"))
+    offsets = per_bucket.select(
+        "series", "bucket",
+        (F.sum("bc").over(Window.partitionBy("series").orderBy("bucket")) - F.col("bc")).alias("off"))
+    within = Window.partitionBy("series", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.join(F.broadcast(offsets), ["series", "bucket"])
             .select("series", "v", "c", (F.col("off") + F.sum("c").over(within) - F.col("c")).alias("start"))
             .withColumn("end", F.col("start") + F.col("c")))
 

@@ -18,8 +18,8 @@ number):
   count allows (the rows to enrich are then never shuffled), else a shuffle
   join in which AQE splits a skewed address.
 
-Ranges must be disjoint (``assert_disjoint`` checks it, distributed, once per
-range table), so an address matches at most one range and the lookup keeps
+Ranges must be disjoint (``assert_disjoint`` checks it, distributed, on each
+lookup), so an address matches at most one range and the lookup keeps
 one row per input row either way.
 """
 
@@ -36,13 +36,10 @@ WIDE_MIN_BUCKETS = 256
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-_CHECKED: dict[int, int] = {}
-
-
 def check_ranges(ranges: DataFrame) -> int:
     """Validate a range table and return the row count of its exploded form.
 
-    One distributed job, memoised per range-table plan in the session:
+    One distributed job, run on every call, since range files may be replaced:
 
     * disjointness: every range is listed under each /8 block it touches (a
       range narrower than a /8 under at most two) and, inside each block, a
@@ -53,9 +50,6 @@ def check_ranges(ranges: DataFrame) -> int:
       256 /16 buckets or more), summed once per range, is the size of the
       tables the lookup joins against, checked before broadcasting them.
     """
-    key = ranges.semanticHash()
-    if key in _CHECKED:
-        return _CHECKED[key]
     n16 = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
     n8 = F.shiftright("hi", WIDE_SHIFT) - F.shiftright("lo", WIDE_SHIFT) + 1
     blocks = ranges.select(
@@ -71,8 +65,7 @@ def check_ranges(ranges: DataFrame) -> int:
     if row.example is not None:
         raise ValueError(f"range table is not disjoint or has hi < lo near "
                          f"lo={row.example.lo}, hi={row.example.hi}")
-    _CHECKED[key] = int(row.size or 0)
-    return _CHECKED[key]
+    return int(row.size or 0)
 
 
 def assert_disjoint(ranges: DataFrame) -> None:
@@ -124,7 +117,7 @@ def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
     """Append ``out_col``: the ``value_col`` of the range holding ``ip_col``.
 
     No match (or a malformed address) gives null. Ranges must be disjoint
-    (checked once per range table).
+    (checked on each call).
     """
     size = check_ranges(ranges) if validate or not force_shuffle else None
     narrow, wide = explode_ranges(ranges, value_col)

@@ -5,7 +5,7 @@ order (``flow_id``), first gap 0, and averages over all n flows (Q7).
 
 A plain ``Window.partitionBy('src_ip')`` puts all flows of a source into one
 task; one busy host can hold a third of the data. E1 therefore windows over
-``(src_ip, flow_id div bucket_size)``: no window partition holds more than
+``(period, src_ip, flow_id div bucket_size)``: no window partition holds more than
 ``bucket_size`` flows. The first flow of each bucket takes its predecessor
 from the last flow of the source's previous non-empty bucket, found on a
 per-bucket summary (one row per source and bucket).
@@ -28,10 +28,11 @@ TIMESTAMP_BUCKET = 1 << 10     # ticks per bucket (about 10 s) when ordering by
 
 
 def flow_gap(flows: DataFrame, order_by: str = "flow_id", bucket_size: int | None = None) -> DataFrame:
-    """``(flow_id, src_ip, gap)``; gap to the previous flow of the source.
+    """``(flow_id, period, src_ip, gap)``; gap to the source's previous flow
+    of the same period (each period is a capture with its own ids and ticks).
 
     In flow_id order a bucket holds at most ``bucket_size`` flows (ids are
-    unique). In time order (``order_by='timestamp'``) ticks repeat, so a
+    unique within a period). In time order (``order_by='timestamp'``) ticks repeat, so a
     bucket holds one source's flows of ``bucket_size`` ticks; keep it small.
     """
     if bucket_size is None:
@@ -43,28 +44,28 @@ def flow_gap(flows: DataFrame, order_by: str = "flow_id", bucket_size: int | Non
     else:
         key = F.col("flow_id")
         bucket = idiv("flow_id", bucket_size)
-    f = flows.select("flow_id", "src_ip", "timestamp", bucket.alias("_b"), key.alias("_k"))
-    last_in_bucket = f.groupBy("src_ip", "_b").agg(F.max_by("timestamp", "_k").alias("_last"))
-    prev_bucket = Window.partitionBy("src_ip").orderBy("_b")
-    carry = last_in_bucket.select("src_ip", "_b", F.lag("_last").over(prev_bucket).alias("_carry"))
-    in_bucket = Window.partitionBy("src_ip", "_b").orderBy("_k")
+    f = flows.select("flow_id", "period", "src_ip", "timestamp", bucket.alias("_b"), key.alias("_k"))
+    last_in_bucket = f.groupBy("period", "src_ip", "_b").agg(F.max_by("timestamp", "_k").alias("_last"))
+    prev_bucket = Window.partitionBy("period", "src_ip").orderBy("_b")
+    carry = last_in_bucket.select("period", "src_ip", "_b", F.lag("_last").over(prev_bucket).alias("_carry"))
+    in_bucket = Window.partitionBy("period", "src_ip", "_b").orderBy("_k")
     prev = F.coalesce(F.lag("timestamp").over(in_bucket), F.col("_carry"))
-    return (f.join(carry, ["src_ip", "_b"], "left")
-            .select("flow_id", "src_ip",
+    return (f.join(carry, ["period", "src_ip", "_b"], "left")
+            .select("flow_id", "period", "src_ip",
                     F.coalesce(F.col("timestamp") - prev, F.lit(0)).alias("gap")))
 
 
 def avg_flow_gap(flows: DataFrame, order_by: str = "flow_id") -> DataFrame:
-    """Mean gap per source, largest first (divides by n, the first 0 included)."""
+    """Mean gap per period and source, largest first (divides by n, the first 0 included)."""
     key = F.col("flow_id") if order_by == "flow_id" else F.struct("timestamp", "flow_id")
-    agg = flows.groupBy("src_ip").agg(
+    agg = flows.groupBy("period", "src_ip").agg(
         F.max_by("timestamp", key).alias("_last"), F.min_by("timestamp", key).alias("_first"),
         F.count(F.lit(1)).alias("_n"))
-    return (agg.select("src_ip", ((F.col("_last") - F.col("_first")) / F.col("_n")).alias("avg_gap"))
-            .orderBy(F.col("avg_gap").desc(), "src_ip"))
+    return (agg.select("period", "src_ip", ((F.col("_last") - F.col("_first")) / F.col("_n")).alias("avg_gap"))
+            .orderBy(F.col("avg_gap").desc(), "period", "src_ip"))
 
 
 def avg_flow_gap_window(flows: DataFrame, order_by: str = "flow_id") -> DataFrame:
     """E2 through E1 (for cross-checking the telescoped form)."""
     gaps = flow_gap(flows, order_by=order_by)
-    return gaps.groupBy("src_ip").agg(F.avg("gap").alias("avg_gap"))
+    return gaps.groupBy("period", "src_ip").agg(F.avg("gap").alias("avg_gap"))

@@ -280,8 +280,8 @@ ORACLE: dict[str, str] = {
     "internal_fanout": with_flows(
         f"SELECT src_ip, count(DISTINCT dst_ip) AS n_peers FROM flows WHERE NOT ({PUB}) GROUP BY src_ip"),
     "internal_peers": with_flows(
-        f"""SELECT src_ip, array_to_string(list_sort(list(DISTINCT dst_ip)), ',') AS peers
-           FROM flows WHERE NOT ({PUB}) AND src_ip IN {_in(PEER_SUSPECTS)} GROUP BY src_ip"""),
+        f"""SELECT DISTINCT src_ip, dst_ip AS peer
+           FROM flows WHERE NOT ({PUB}) AND src_ip IN {_in(PEER_SUSPECTS)}"""),
     "dns_up_by_dst": with_flows(
         f"SELECT dst_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, count(*) AS conns FROM flows WHERE {DNS} GROUP BY dst_ip"),
     "server_bytes_by_src": with_flows(
@@ -356,13 +356,13 @@ ORACLE: dict[str, str] = {
     "country_count": with_flows_cc("SELECT count(DISTINCT dst_cc) AS n_countries FROM flows_cc"),
     # E
     "flow_gap": with_flows(
-        """SELECT flow_id, src_ip,
-                  coalesce(timestamp - lag(timestamp) OVER (PARTITION BY src_ip ORDER BY flow_id), 0) AS gap
+        """SELECT flow_id, period, src_ip,
+                  coalesce(timestamp - lag(timestamp) OVER (PARTITION BY period, src_ip ORDER BY flow_id), 0) AS gap
            FROM flows"""),
     "avg_flow_gap": with_flows(
-        """SELECT src_ip, round(avg(gap), 6) AS avg_gap FROM (
-             SELECT src_ip, coalesce(timestamp - lag(timestamp) OVER (PARTITION BY src_ip ORDER BY flow_id), 0) AS gap
-             FROM flows) GROUP BY src_ip"""),
+        """SELECT period, src_ip, round(avg(gap), 6) AS avg_gap FROM (
+             SELECT period, src_ip, coalesce(timestamp - lag(timestamp) OVER (PARTITION BY period, src_ip ORDER BY flow_id), 0) AS gap
+             FROM flows) GROUP BY period, src_ip"""),
     # F
     "sort_desc": with_flows(
         f"""SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
@@ -467,8 +467,8 @@ ORACLE: dict[str, str] = {
         "SELECT src_ip, counts, counts_test, round(increase, 6) AS increase FROM c2", GROWTH),
     "detect_botnet": with_flows("SELECT src_ip, n_peers FROM botnet", BOTNET),
     "botnet_peers": with_flows(
-        f"""SELECT src_ip, array_to_string(list_sort(list(DISTINCT dst_ip)), ',') AS peers FROM flows
-           WHERE period = 'test' AND NOT ({PUB}) AND src_ip IN (SELECT src_ip FROM botnet) GROUP BY src_ip""",
+        f"""SELECT DISTINCT src_ip, dst_ip AS peer FROM flows
+           WHERE period = 'test' AND NOT ({PUB}) AND src_ip IN (SELECT src_ip FROM botnet)""",
         BOTNET),
     "detect_dns_c2": with_flows(
         f"""SELECT src_ip, conns, {_ratio('up_bytes', 'down_bytes')} AS ratio FROM dns_src

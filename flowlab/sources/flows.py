@@ -16,7 +16,7 @@ from ..schema import BASELINE, FLOW_COLUMNS, FLOW_FILE_SCHEMA, NUM_COLUMNS, TEST
 
 
 def read_flows(spark: SparkSession, path: str, period: str | None = None) -> DataFrame:
-    """A1: scan a flow Parquet dataset with an explicit schema (no inference).
+    """A1: scan a flow Parquet dataset, its columns cast to the flow schema.
 
     A directory written with ``partitionBy('period')`` keeps its partition
     column; a single-period file gets ``period`` as a literal.
@@ -30,7 +30,8 @@ def read_flows(spark: SparkSession, path: str, period: str | None = None) -> Dat
         return df.select(*FLOW_COLUMNS, *[c for c in NUM_COLUMNS if c in df.columns])
     present = set(reader.parquet(path).columns)  # footer only
     if "flow_id" in present:
-        df = reader.schema(FLOW_FILE_SCHEMA).parquet(path)
+        # read as stored, then cast: writers differ in integer widths
+        df = reader.parquet(path).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FLOW_FILE_SCHEMA.fields])
     else:
         df = _with_file_order_id(reader, path, present)
     return df.withColumn("period", F.lit(period)).select(*FLOW_COLUMNS)

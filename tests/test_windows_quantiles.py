@@ -72,3 +72,39 @@ def test_bucketed_gap_in_time_order_equals_plain_window(spark):
     for bucket in (3, 100, None):
         got = {r.flow_id: r.gap for r in E.flow_gap(f, order_by="timestamp", bucket_size=bucket).collect()}
         assert got == plain
+
+
+def test_quantiles_do_not_rely_on_exchange_reuse(spark):
+    df = spark.range(120_000).select((F.xxhash64("id") % 50_000).alias("v"))
+    expected = df.agg(F.expr("percentile(v, array(0.25, 0.5, 0.75))")).first()[0]
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for _ in range(3):
+            assert list(Q.exact_quantiles(df, "v", (0.25, 0.5, 0.75)).values()) == expected
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_gaps_stay_within_a_period(flows_of):
+    f = flows_of([dict(flow_id=0, period=p, timestamp=t) for p, t in (("baseline", 900), ("test", 5))]
+                 + [dict(flow_id=1, period=p, timestamp=t) for p, t in (("baseline", 950), ("test", 7))])
+    assert {(r.period, r.flow_id): r.gap for r in E.flow_gap(f).collect()} == {
+        ("baseline", 0): 0, ("baseline", 1): 50, ("test", 0): 0, ("test", 1): 2}
+    assert {r.period: r.avg_gap for r in E.avg_flow_gap(f).collect()} == {"baseline": 25.0, "test": 1.0}
+
+
+def test_peers_of_a_wide_network(flows_of):
+    from flowlab.operators import aggregates as D
+    from flowlab.operators import detectors as R
+    f = flows_of([dict(src_ip="10.0.0.1", dst_ip=f"10.{i}.0.9") for i in (1, 2, 2, 3)] + [dict(src_ip="10.0.0.2", dst_ip="10.9.9.9"),
+                                                                                        dict(src_ip="10.0.0.2", dst_ip="11.9.9.9")])
+    peers = {("10.0.0.1", f"10.{i}.0.9") for i in (1, 2, 3)}
+    assert {tuple(r) for r in D.internal_peers(f, "10.0.0.0/8").collect()} == peers | {("10.0.0.2", "10.9.9.9")}
+    assert {tuple(r) for r in R.botnet_peers(f, "10.0.0.0/8", min_fanout=2).collect()} == peers
+
+
+def test_flow_files_with_wider_integers(spark, flows_of, tmp_path):
+    from flowlab.sources import read_flows
+    flows_of([dict(port=53)]).withColumn("port", F.col("port").cast("bigint")).drop("period").write.parquet(f"{tmp_path}/f")
+    assert dict(read_flows(spark, f"{tmp_path}/f", "test").dtypes)["port"] == "int"
+    assert read_flows(spark, f"{tmp_path}/f", "test").first().port == 53

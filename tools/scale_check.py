@@ -72,7 +72,7 @@ def main() -> None:
 
     gaps = run("flow_gap", lambda: flows.transform(E.flow_gap)
                .agg(F.count(F.lit(1)).alias("n"), F.sum("gap").alias("s")).first())
-    avg_gap = run("avg_flow_gap", lambda: {r.src_ip: r.avg_gap for r in E.avg_flow_gap(flows).collect()})
+    avg_gap = run("avg_flow_gap", lambda: {(r.period, r.src_ip): r.avg_gap for r in E.avg_flow_gap(flows).collect()})
     quart = run("exact_quartiles", lambda: Q.exact_quantiles(flows, "up_bytes", (0.25, 0.5, 0.75)))
     run("host_profile", lambda: R.D.host_profile(flows).collect())
     run("host_activity", lambda: J.host_activity(flows).collect())
@@ -84,9 +84,10 @@ def main() -> None:
     con = duckdb.connect()
     con.execute(f"CREATE VIEW f AS SELECT * FROM read_parquet('{path}/*/*.parquet', hive_partitioning=true)")
     d_gap = con.execute("""SELECT count(*), sum(g) FROM (SELECT coalesce(timestamp - lag(timestamp) OVER
-                           (PARTITION BY src_ip ORDER BY flow_id), 0) AS g FROM f)""").fetchone()
-    d_avg = dict(con.execute("""SELECT src_ip, avg(g) FROM (SELECT src_ip, coalesce(timestamp - lag(timestamp)
-                                OVER (PARTITION BY src_ip ORDER BY flow_id), 0) AS g FROM f) GROUP BY 1""").fetchall())
+                           (PARTITION BY period, src_ip ORDER BY flow_id), 0) AS g FROM f)""").fetchone()
+    d_avg = {(p, s): g for p, s, g in con.execute(
+        """SELECT period, src_ip, avg(g) FROM (SELECT period, src_ip, coalesce(timestamp - lag(timestamp)
+           OVER (PARTITION BY period, src_ip ORDER BY flow_id), 0) AS g FROM f) GROUP BY ALL""").fetchall()}
     d_q = con.execute("SELECT quantile_cont(up_bytes, [0.25, 0.5, 0.75]) FROM f").fetchone()[0]
     checks = {
         "flow_gap": (gaps.n, gaps.s) == tuple(d_gap),
