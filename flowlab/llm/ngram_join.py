@@ -4,7 +4,8 @@ similar, and the components that these links make.
 Two levels skip work. In the index, posting lists are cut into blocks by set
 size and every posting knows its position: blocks whose sizes do not fit are
 never met (the block is part of the join key), and postings too far down a
-prefix are dropped. Among answers, each set is first compared with one or two
+prefix are dropped; pairs whose 512-bit parity sketches differ in more places
+than similar sets can are never emitted. Among answers, each set is first compared with one or two
 leaders per posting list; for a set that resembles a leader the difference to
 it is kept, and later comparisons of two sets that resemble the same leader are
 derived from the two differences, without their texts. Pairs that are connected
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import components
-from .setjoin import Units, among, describe, fitting, leader_pairs, shared_postings, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, shared_postings, sketches, unit_texts, verify, with_rows
 
 
 def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
@@ -66,14 +67,14 @@ def crossing_rows(postings: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(rows: DataFrame, kind: Units) -> DataFrame:
-    """All pairs of ``crossing_rows`` of one token that pass the filters and are
-    not connected yet."""
+    """All pairs of ``crossing_rows`` (with sketches) of one token that pass the
+    filters and are not connected yet."""
     # size blocks: sizes of similar sets lie in the same or in neighbouring blocks
     rows = rows.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / kind.percent)) + 1e-9))
     # every pair between two components has a side outside the list's main one
     outside = rows.filter("component <> main").withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))))
     a, b = outside.alias("a"), rows.alias("b")
-    return (a.join(b, ["token", "block"]).filter(F.expr("a.component <> b.component") & fitting("a", "b", kind))
+    return (a.join(b, ["token", "block"]).filter(F.expr("a.component <> b.component") & fitting("a", "b", kind) & near_enough("a", "b", kind))
             .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct())
 
 
@@ -105,7 +106,10 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataF
         return stored(answers.filter("linked").select("x", "y").unionByName(
             verify(others, texts, kind).filter("linked").select("x", "y")), "answers")
 
-    more = settle(crossing_pairs(crossing_rows(postings, first), kind).join(
+    crossing = stored(crossing_rows(postings, first), "crossing")
+    met = crossing.select("node").distinct()
+    sketched = sketches(texts.filter(among(texts, met.withColumnRenamed("node", "row"), of="node")), kind)
+    more = settle(crossing_pairs(crossing.join(sketched, "node"), kind).join(
         leaders.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
     links = (first.select(F.col("node").alias("a"), F.col("component").alias("b"))
              .unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))

@@ -318,6 +318,37 @@ def among(rows: DataFrame, wanted: DataFrame, of: str = "row", bits: int = 1 <<
     return test(F.pmod(F.xxhash64(of), F.lit(bits)))
 
 
+SKETCH_WORDS = 8
+
+
+def sketches(texts: DataFrame, kind: Units) -> DataFrame:
+    """(node, s0, s1, ...) of each (node, text): 512 bits, bit b the parity of
+    the shingles whose hash ends in b."""
+    bits = 64 * SKETCH_WORDS
+    names = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at:at + 500]
+                h, bounds, _ = shingle_sets([(t or "").encode("utf-8", "replace") for t in part.text.tolist()], kind.k)
+                spot = np.repeat(np.arange(len(part)), np.diff(bounds)) * bits + (h & np.uint64(bits - 1)).astype(np.int64)
+                odd = (np.bincount(spot, minlength=len(part) * bits) & 1).astype(np.uint8).reshape(len(part), bits)
+                words = np.packbits(odd, axis=1).view(np.int64).reshape(len(part), SKETCH_WORDS)
+                yield pd.DataFrame(words, columns=names).assign(node=part.node.to_numpy())
+
+    schema = "node long, " + ", ".join(f"{n} long" for n in names)
+    return texts.select("node", "text").mapInPandas(run, schema)
+
+
+def near_enough(left: str, right: str, kind: Units) -> Column:
+    """Bitmap filter: where two sketches differ, so do the sets, and at least
+    that often. Similar sets always pass; large sets fill their sketch and pass too."""
+    differ = " + ".join(f"bit_count({left}.s{i} ^ {right}.s{i})" for i in range(SKETCH_WORDS))
+    need = kind.overlap_column(f"{left}.n", f"{right}.n")
+    return F.expr(f"{left}.n + {right}.n - ({differ})") >= 2 * need
+
+
 def fitting(left: str, right: str, kind: Units) -> Column:
     """Length and positional filters for postings of one token: the sizes allow
     the similarity, and so do the shingles that are left from here on."""

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from flowlab.llm import graph, line_dedup, ngram_join, substring_dedup
+from flowlab.llm import graph, line_dedup, ngram_join, setjoin, substring_dedup
 
 from flowlab.llm.common import stored
 
@@ -156,3 +156,21 @@ def test_components(spark, links):
     if len(links) > 2:
         want = {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
     assert got == want
+
+
+def test_sketches_pass_all_similar_sets(spark):
+    rng = random.Random(9)
+    texts = []
+    for size in (4, 40, 300, 2500):
+        words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for share in (0, 0.01, 0.04, 0.3):
+            texts.append(" ".join(f"x{rng.randrange(5000)}" if rng.random() < share else w for w in words))
+    kind = setjoin.Units()
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sizes = spark.createDataFrame([(i, len(shingles(t))) for i, t in enumerate(texts)], "node long, n int")
+    rows = stored(setjoin.sketches(df, kind).join(sizes, "node"), "sketches")
+    met = {(r.x, r.y): r.near for r in rows.alias("a").join(rows.alias("b"), F.expr("a.node < b.node")).select(
+        F.col("a.node").alias("x"), F.col("b.node").alias("y"), setjoin.near_enough("a", "b", kind).alias("near")).collect()}
+    similar = {(x, y) for x, y in met if alike(shingles(texts[x]), shingles(texts[y]))}
+    assert similar and all(met[p] for p in similar)
+    assert not all(met.values())
