@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 FREQUENT = 200_000
-CHUNK_BYTES = 1 << 21
-COUNT_TOKENS = 1 << 22
+CHUNK_BYTES = 1 << 20
+COUNT_TOKENS = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
