@@ -69,7 +69,9 @@ def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFram
     matched = later_matches(postings, texts, kind).withColumn("late", F.lit(True))
     bad = sets.join(matched, "node", "left").filter("copies > 1 or late").select(
         "node", F.col("rank.row").alias("first_row"), F.col("rank.unit").alias("first_unit"), F.coalesce("late", F.lit(False)).alias("late"))
-    gone = units.join(bad, "node").filter("late or row <> first_row or unit <> first_unit")
+    # lines of other sets need not be shuffled
+    bad = stored(bad, "bad")
+    gone = units.filter(among(units, bad.withColumnRenamed("node", "row"), of="node")).join(bad, "node").filter("late or row <> first_row or unit <> first_unit")
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("unit")).alias("removed_lines"))
 
 
