@@ -1,16 +1,20 @@
 """Embedding near-dedup by iterative quantisation.
 
 ``fit`` learns, on a bounded sample, principal axes and a rotation of them that
-makes the signs of the rotated coordinates the best balanced binary code (a few
-codes, each from its own start). Every vector is coded. Codes are cut into
-substrings, each a table of a multi-index; a vector looks up its own substrings
-and all at one flipped bit. Pairs whose whole codes are close enough in Hamming
-distance are then compared exactly, in double precision, with the original
-vectors. Equal vectors are one class throughout and are counted, not paired.
+makes the signs of the rotated coordinates the best balanced binary code
+(several codes, each from its own start). Every vector is coded. Codes are cut
+into substrings, each a table of a multi-index; a vector looks up its own
+substrings and all at one flipped bit. Pairs whose first ``n_codes`` codes are
+close enough in Hamming distance are then compared exactly, in double precision,
+with the original vectors. Equal vectors are one class throughout and are
+counted, not paired.
 
 The sample (``sample`` vectors, lowest hash of the id first) only shapes the
 codes; every vector is indexed and looked up. Substrings grow with the number of
-vectors, so that buckets stay small.
+vectors, so that buckets stay small, and the number of codes follows: it grows
+until the tables meet the share ``found`` of pairs at the limit, as counted on
+sample pairs in the coded space. Where ``MOST_CODES`` are not enough, substrings
+get shorter, which costs more comparisons but no pairs.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most, or with null or non-finite components are linked with nothing; repeated
@@ -33,15 +37,20 @@ from .common import stored
 from .graph import components
 
 
+MOST_CODES = 32
+
+
 @dataclass(frozen=True)
 class Codes:
-    """Mean, and per code a matrix from centred unit vectors to coordinates."""
+    """Mean, principal axes of centred unit vectors, and per code a rotation of them."""
     mean: np.ndarray
+    axes: np.ndarray
     turns: tuple[np.ndarray, ...]
 
     def of(self, x: np.ndarray) -> list[np.ndarray]:
         """One boolean matrix per code, a column for each bit."""
-        return [(x - self.mean) @ t > 0 for t in self.turns]
+        v = (x - self.mean) @ self.axes
+        return [v @ t > 0 for t in self.turns]
 
 
 def learn_rotation(v: np.ndarray, rounds: int, seed: int) -> np.ndarray:
@@ -54,13 +63,72 @@ def learn_rotation(v: np.ndarray, rounds: int, seed: int) -> np.ndarray:
     return r
 
 
-def learn_codes(x: np.ndarray, *, codes: int, max_bits: int = 64, rounds: int = 40) -> Codes:
+def learn_codes(x: np.ndarray, *, codes: int, max_bits: int = 64) -> Codes:
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     centred = x - mean
     axes = np.linalg.svd(centred, full_matrices=False)[2].T if len(x) >= x.shape[1] else np.eye(x.shape[1])
-    axes = axes[:, :max_bits]
-    v = centred @ axes
-    return Codes(mean, tuple(axes @ learn_rotation(v, rounds, seed) for seed in range(codes)))
+    return more_codes(Codes(mean, axes[:, :max_bits], ()), x, codes)
+
+
+def more_codes(model: Codes, x: np.ndarray, codes: int, rounds: int = 40) -> Codes:
+    v = (x - model.mean) @ model.axes
+    return Codes(model.mean, model.axes, model.turns + tuple(
+        learn_rotation(v, rounds, seed) for seed in range(len(model.turns), codes)))
+
+
+def limit_pairs(x: np.ndarray, cosine: float, *, heads: int = 2000, wanted: int = 1000, band: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the sample at the limit or a little above, the nearest to it
+    first; where they are few, also vectors turned to the limit towards others."""
+    x = x[np.abs(x).max(axis=1, initial=0.0) > 0]
+    met = []
+    for at in range(0, min(heads, len(x)), 500):
+        near = x[at:at + 500] @ x.T
+        i, j = np.nonzero((near >= cosine) & (near < min(cosine + band, 1 - 1e-9)))
+        i, j, c = i[j > i + at] + at, j[j > i + at], near[i[j > i + at], j[j > i + at]]
+        some = np.argsort(c, kind="stable")[:wanted]
+        met.append(np.stack([i[some], j[some], c[some]], 1))
+    pairs = np.concatenate(met) if met else np.empty((0, 3))
+    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")[:wanted]]
+    a, b = x[pairs[:, 0].astype(int)], x[pairs[:, 1].astype(int)]
+    if 2 * len(pairs) < wanted and len(x) > 1:
+        i, j = np.random.default_rng(0).integers(len(x), size=(2, wanted - len(pairs)))
+        away = x[j] - np.einsum("ij,ij->i", x[i], x[j])[:, None] * x[i]
+        norm = np.linalg.norm(away, axis=1)
+        i, away = i[norm > 1e-6], away[norm > 1e-6] / norm[norm > 1e-6, None]
+        a, b = np.r_[a, x[i]], np.r_[b, cosine * x[i] + math.sqrt(max(0.0, 1 - cosine * cosine)) * away]
+    return a, b
+
+
+def share_met(flips: list[np.ndarray], width: int) -> float:
+    """Of pairs whose codes differ where ``flips`` says, the share that some table
+    of substrings finds with at most one flip."""
+    met = np.zeros(len(flips[0]), bool)
+    for code in flips:
+        for t in range(code.shape[1] // width):
+            met |= code[:, t * width:(t + 1) * width].sum(axis=1) <= 1
+    return float(met.mean()) if len(met) else 1.0
+
+
+def plan(x: np.ndarray, cosine: float, width: int, *, n_codes: int, found: float) -> tuple[Codes, int, int]:
+    """(codes, width, most): enough codes for a pair at the limit to be met with
+    probability ``found``, and the distance of the first ``n_codes`` that such
+    pairs keep within."""
+    model = learn_codes(x, codes=n_codes)
+    a, b = limit_pairs(x, cosine)
+    width = min(width, model.axes.shape[1])
+    while True:
+        flips = [p != q for p, q in zip(model.of(a), model.of(b))]
+        if share_met(flips, width) >= found:
+            break
+        if len(model.turns) < MOST_CODES:
+            model = more_codes(model, x, len(model.turns) + 1)
+        else:
+            width -= 1  # at a width of one, every pair is met
+    # codes that a shorter width made needless
+    enough = next(k for k in range(n_codes, len(flips) + 1) if share_met(flips[:k], width) >= found)
+    apart = sum(f.sum(axis=1) for f in flips[:n_codes])
+    most = math.ceil(max(apart.max(), apart.mean() + 4 * apart.std())) + 2 if len(apart) else n_codes * model.axes.shape[1]
+    return Codes(model.mean, model.axes, model.turns[:enough]), width, most
 
 
 def unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +160,14 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.filter(usable).select("row", "vec_id", name.alias("class"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def hamming_tables(coded: DataFrame, n_codes: int, bits: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(index, probes): rows (table, substring, c, codes); probes also with each bit flipped."""
+def hamming_tables(coded: DataFrame, n_codes: int, bits: int, width: int, kept: int) -> tuple[DataFrame, DataFrame]:
+    """(index, probes): rows (table, substring, c, the first codes); probes also with each bit flipped."""
     tables = []
     for code in range(n_codes):
         for t in range(bits // width):
             part = F.shiftrightunsigned(F.element_at("codes", code + 1), t * width).bitwiseAND((1 << width) - 1)
             tables.append(F.struct(F.lit(code * 64 + t).alias("table"), part.alias("substring")))
-    index = coded.select("c", "codes", F.explode(F.array(*tables)).alias("at")).select("c", "codes", "at.*")
+    index = coded.select("c", F.slice("codes", 1, kept).alias("codes"), F.explode(F.array(*tables)).alias("at")).select("c", "codes", "at.*")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(width)))
     probes = index.withColumn("flip", F.explode(flips)).withColumn("substring", F.col("substring").bitwiseXOR(F.col("flip"))).drop("flip")
     return index, probes
@@ -112,10 +180,12 @@ def _distance(a: str, b: str, n_codes: int) -> Column:
     return total
 
 
-def links(vectors: DataFrame, *, cosine: float = 0.9, sample: int = 20_000, n_codes: int = 3) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, *, cosine: float = 0.9, sample: int = 20_000, n_codes: int = 3,
+          found: float = 0.98, width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members(row, vec_id, c) of usable vectors, c the number
     of the class of equal vectors; pairs(a, b) of different classes, a < b, whose
-    cosine is at least ``cosine``."""
+    cosine is at least ``cosine``. ``width`` is that of substrings, if not to
+    follow from the number of vectors; ``n_codes`` are the fewest codes."""
     spark = vectors.sparkSession
     named = stored(classes(vectors), "vectors")
     dims = named.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -131,12 +201,9 @@ def links(vectors: DataFrame, *, cosine: float = 0.9, sample: int = 20_000, n_co
     n = distinct.count()
 
     rows = distinct.orderBy(F.xxhash64("c"), "c").limit(sample).toPandas()
-    model = learn_codes(unit_rows(rows.embedding, dim)[1], codes=n_codes)
-    bits = model.turns[0].shape[1]
-    width = min(bits, 24, max(4, math.ceil(math.log2(max(n, 2)))))
-    # as many flips as a pair at the limit should have, and four deviations more
-    flip = math.acos(min(1.0, cosine)) / math.pi
-    most = math.ceil(n_codes * bits * flip + 4 * math.sqrt(n_codes * bits * flip * (1 - flip)) + 2)
+    width = width or min(24, max(4, math.ceil(math.log2(max(n, 2)))))
+    model, width, most = plan(unit_rows(rows.embedding, dim)[1], cosine, width, n_codes=n_codes, found=found)
+    bits = model.axes.shape[1]
     shared = spark.sparkContext.broadcast(model)
     weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64))
 
@@ -147,7 +214,7 @@ def links(vectors: DataFrame, *, cosine: float = 0.9, sample: int = 20_000, n_co
             yield pd.DataFrame({"c": batch.c, "codes": list(np.stack(words, 1))})
 
     coded = stored(distinct.mapInPandas(code, "c long, codes array<long>"), "codes")
-    index, probes = hamming_tables(coded, n_codes, bits, width)
+    index, probes = hamming_tables(coded, len(model.turns), bits, width, n_codes)
     # each row became dozens, which size estimates miss: neither side is to be broadcast
     a, b = index.hint("merge").alias("a"), probes.hint("merge").alias("b")
     near = (a.join(b, ["table", "substring"]).filter((F.col("a.c") < F.col("b.c")) & (_distance("a", "b", n_codes) <= most))

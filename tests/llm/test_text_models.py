@@ -222,6 +222,30 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def recall_of_links(spark, x, **options):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = embedding_dedup.near_duplicates(table(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3), **options)
+    m = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (m @ m.T >= 0.9).sum() - len(x)
+    return near, out.agg(F.sum("n_links")).first()[0] / near
+
+
+def pairs_near_limit(rng, n, dim, mean, cosine=0.91):
+    """Pairs of about the cosine given, around a mean of that squared length."""
+    centre = np.eye(dim)[0] * math.sqrt(mean)
+    x = rng.standard_normal((n, dim)) * math.sqrt((1 - mean) / dim)
+    within = (cosine - mean) / (1 - mean)
+    y = within * x + math.sqrt(1 - within * within) * rng.standard_normal((n, dim)) * math.sqrt((1 - mean) / dim)
+    return np.concatenate([centre + x, centre + y])
+
+
+@pytest.mark.parametrize("dim, mean", [(64, 0.0), (64, 0.5), (96, 0.0), (96, 0.5)])
+def test_embedding_links_at_large_widths(spark, dim, mean):
+    x = pairs_near_limit(np.random.default_rng(dim), 700, dim, mean)
+    near, recall = recall_of_links(spark, x, width=22)
+    assert near >= 500 and recall >= 0.9
+
+
 def test_winnowing_guarantee_and_edits(spark):
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(400)]
