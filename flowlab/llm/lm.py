@@ -1,17 +1,20 @@
 """Document log-likelihood under a gated recurrent language model.
 
 Words are runs without ASCII white space, A-Z lower-cased; each text ends with
-an end token. The ``VOCABULARY`` most frequent words and the end are tokens of
-their own; all other words belong to one of ``RARE`` classes by their last two
+an end token. The most frequent words and the end are tokens of their own (words
+seen ``OFTEN`` times or more, at least ``VOCABULARY``, so that there are more of
+them in a larger corpus, up to ``KNOWN``); all other words belong to one of ``RARE`` classes by their last two
 bytes. The output softmax is factored: the probability of a class given the
 state, times that of the word in its class, which for frequent words depends on
 the state and for rare words is their smoothed share of the class's count. One
 slot per rare class is left for words never seen, so probabilities add up to 1.
 
 Counts of words and classes are taken from all training rows by Spark. The
-recurrent weights are learned in numpy by truncated backpropagation from a
-bounded, documented sample (``sample_rows`` texts, ``sample_tokens`` tokens)
-on top of biases set from the full counts. Scoring runs in the tasks: texts
+recurrent weights are learned in the tasks from all training rows, on top of
+biases set from the counts: in each round every partition runs truncated
+backpropagation over all its texts, piece by piece, from the weights of the last
+round, and the results are averaged by their tokens. Only the weights pass
+through the driver. Scoring runs in the tasks: texts
 advance side by side, window after window, with their states carried on, so
 every token of every text counts.
 
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,9 @@ from .setjoin import CHUNK_BYTES, COUNT_TOKENS, hash_words_and_ends, signed
 
 VOCABULARY, CLASS_SIZE, RARE, KNOWN = 1023, 32, 8, 100_000
 HIDDEN, WINDOW, TOGETHER = 16, 64, 512
-END = VOCABULARY  # the end token's number; rare classes follow
+END = VOCABULARY  # the end token's number in the smallest vocabulary; rare classes follow
+OFTEN = 1000  # a word seen as often has enough to learn from
+PIECE, LANES, TOGETHER_MODELS = 1 << 18, 256, 32
 
 
 def rare_class(tails: np.ndarray) -> np.ndarray:
@@ -64,7 +70,7 @@ class Network:
     @staticmethod
     def start(class_mass: np.ndarray, token_mass: np.ndarray, seed: int = 1) -> Network:
         rng = np.random.default_rng(seed)
-        n_in, n_class = VOCABULARY + 1 + RARE, len(class_mass)
+        n_in, n_class = len(token_mass) + RARE, len(class_mass)
         plain = n_class - RARE
 
         def small(*shape):
@@ -75,6 +81,11 @@ class Network:
                         "w": np.zeros((plain, HIDDEN, CLASS_SIZE), np.float32),
                         "wb": np.log(token_mass).reshape(plain, CLASS_SIZE).astype(np.float32)})
 
+    @property
+    def end(self) -> int:
+        """The number of the end token."""
+        return len(self.weights["wb"]) * CLASS_SIZE - 1
+
     def step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         p = self.weights
         a = p["x"][token] + p["g"]
@@ -86,7 +97,7 @@ class Network:
 
     def class_of(self, token: np.ndarray) -> np.ndarray:
         plain = len(self.weights["wb"])
-        return np.where(token <= END, token // CLASS_SIZE, plain + token - END - 1)
+        return np.where(token <= self.end, token // CLASS_SIZE, plain + token - self.end - 1)
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's class, and of the token in it if frequent."""
@@ -101,32 +112,46 @@ class Network:
                 out[at] += word[np.arange(len(at)), target[at] - c * CLASS_SIZE]
         return out
 
-    def train(self, stream: np.ndarray, *, lanes: int = 64, window: int = 16, epochs: int = 2, rate: float = 0.01) -> None:
-        """Truncated backpropagation over a stream of tokens cut into lanes."""
-        lanes = max(1, min(lanes, len(stream) // (2 * window)))
-        length = len(stream) // lanes
-        if length < 2:
-            return
-        rows = stream[:lanes * length].reshape(lanes, length)
+    def train(self, pieces: Iterator[np.ndarray], *, lanes: int = LANES, window: int = 16, rate: float = 0.01) -> int:
+        """Truncated backpropagation over every token of streams, each cut into
+        lanes; the number of tokens learned from."""
         p = self.weights
         first = {k: np.zeros_like(v) for k, v in p.items()}
         second = {k: np.zeros_like(v) for k, v in p.items()}
-        t = 0
-        steps = epochs * max(1, (length - 1) // window)
-        for _ in range(epochs):
-            h = np.zeros((lanes, HIDDEN), np.float32)
-            for s in range(0, length - 1, window):
+        t = seen = 0
+        for stream in pieces:
+            targets = len(stream) - 1
+            if targets < 1:
+                continue
+            seen += targets
+            n = max(1, min(lanes, targets // (2 * window)))
+            length = -(-targets // n)
+            # lanes overlap by one token; the last is filled up from the beginning
+            rows = stream[(np.arange(n)[:, None] * length + np.arange(length + 1)) % len(stream)]
+            h = np.zeros((n, HIDDEN), np.float32)
+            for s in range(0, length, window):
                 x, y = rows[:, s:s + window], rows[:, s + 1:s + window + 1]
-                x = x[:, :y.shape[1]]
-                grad, h = self.gradient(x, y, h)
+                grad, h = self.gradient(x[:, :y.shape[1]], y, h)
                 t += 1
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
                 for k, g in grad.items():
                     g = g * min(1.0, 5.0 / max(norm, 1e-9))
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    slow = rate * (1 - 0.9 * t / steps)
-                    p[k] -= (slow * (first[k] / (1 - 0.9 ** t)) / (np.sqrt(second[k] / (1 - 0.99 ** t)) + 1e-6)).astype(np.float32)
+                    p[k] -= (rate * (first[k] / (1 - 0.9 ** t)) / (np.sqrt(second[k] / (1 - 0.99 ** t)) + 1e-6)).astype(np.float32)
+        return seen
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.weights[k].astype(np.float32).ravel() for k in sorted(self.weights)]).tobytes()
+
+    def unpacked(self, packed: np.ndarray) -> Network:
+        """A network of this shape with other weights."""
+        out, at = {}, 0
+        for k in sorted(self.weights):
+            w = self.weights[k]
+            out[k] = packed[at:at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+        return Network(out)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean loss of one window; the state after it, to carry on."""
@@ -134,7 +159,7 @@ class Network:
         n_lane, n_step = x.shape
         saved, states = [], []
         for j in range(n_step):
-            h = h * (x[:, j] != END)[:, None]  # a text starts without memory
+            h = h * (x[:, j] != self.end)[:, None]  # a text starts without memory
             h, kept = self.step(x[:, j], h)
             saved.append(kept)
             states.append(h)
@@ -146,8 +171,10 @@ class Network:
         d /= len(k)
         grad["c"], grad["cb"] = hs.T @ d, d.sum(axis=0)
         dh = d @ p["c"].T
+        order = np.argsort(k, kind="stable")
+        edges = np.searchsorted(k[order], np.arange(len(p["wb"]) + 1))
         for c in range(len(p["wb"])):
-            at = np.flatnonzero(k == c)
+            at = order[edges[c]:edges[c + 1]]
             if len(at):
                 e = np.exp(_log_softmax(hs[at] @ p["w"][c] + p["wb"][c]))
                 e[np.arange(len(at)), target[at] - c * CLASS_SIZE] -= 1
@@ -164,7 +191,7 @@ class Network:
             np.add.at(grad["x"], token, da)
             grad["g"] += da.sum(axis=0)
             grad["u"] += before.T @ db
-            back = (g * z + db @ p["u"].T) * (token != END)[:, None]
+            back = (g * z + db @ p["u"].T) * (token != self.end)[:, None]
         return grad, h
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -176,7 +203,7 @@ class Network:
             group = by_size[s:s + TOGETHER]
             n = sizes[group]
             h = np.zeros((len(group), HIDDEN), np.float32)
-            last = np.full(len(group), END)
+            last = np.full(len(group), self.end)
             for a in range(0, int(n[0]), WINDOW):
                 live = int((n > a).sum())
                 tokens = np.full((live, min(WINDOW, int(n[0]) - a)), -1)
@@ -247,11 +274,12 @@ class Model:
     total: int
     distinct: int
     rare_mass: np.ndarray
+    end: int
     network: Network | None
 
     def look_up(self, words: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, token) of words; a count of -1 is still to be joined."""
-        count, token = np.full(len(words), -1), END + 1 + rare_class(tails)
+        count, token = np.full(len(words), -1), self.end + 1 + rare_class(tails)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             hit = self.words[at] == words
@@ -261,8 +289,50 @@ class Model:
         return count, token
 
 
-def fit(train: DataFrame, *, sample_rows: int = 1500, sample_tokens: int = 300_000) -> tuple[Model, DataFrame]:
-    """(model, counts). ``train`` needs doc_id and text."""
+def learned(train: DataFrame, model: Model, network: Network, rate: float) -> Network:
+    """One round: ``network`` trained by every partition on all its texts, and averaged."""
+    shared = train.sparkSession.sparkContext.broadcast((model, network))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, start = shared.value
+        own = start.unpacked(np.frombuffer(start.packed(), np.float32))
+
+        def pieces() -> Iterator[np.ndarray]:
+            held, n = [np.array([model.end])], 0
+            for batch in batches:
+                for _, _, part in _chunks(batch.text.tolist()):
+                    words, owner, tails = hash_words_and_ends(part)
+                    ends = np.cumsum(np.bincount(owner, minlength=len(part)))
+                    held.append(np.insert(model.look_up(words, tails)[1], ends, model.end))
+                    n += len(held[-1])
+                    if n >= PIECE:
+                        stream = np.concatenate(held)
+                        at = 0
+                        while len(stream) - at > PIECE:
+                            yield stream[at:at + PIECE + 1]
+                            at += PIECE
+                        held, n = [stream[at:]], len(stream) - at - 1
+            yield np.concatenate(held)
+
+        seen = own.train(pieces(), rate=rate)
+        if seen:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [seen], "weights": [own.packed()]})
+
+    def average(group: pd.DataFrame) -> pd.DataFrame:
+        total = int(group.tokens.sum())
+        mean = sum(np.frombuffer(w, np.float32).astype(float) * (n / total) for w, n in zip(group.weights, group.tokens))
+        return pd.DataFrame({"part": [int(group.part.min()) // TOGETHER_MODELS], "tokens": [total], "weights": [mean.astype(np.float32).tobytes()]})
+
+    schema = "part long, tokens long, weights binary"
+    parts = stored(train.select("text").mapInPandas(run, schema), "networks")
+    while parts.count() > TOGETHER_MODELS:
+        parts = stored(parts.groupBy(F.floor(F.col("part") / TOGETHER_MODELS)).applyInPandas(average, schema), "networks")
+    return network.unpacked(np.frombuffer(average(parts.orderBy("part").toPandas()).weights[0], np.float32))
+
+
+def fit(train: DataFrame, *, rates: tuple[float, ...] = (0.01, 0.003)) -> tuple[Model, DataFrame]:
+    """(model, counts). ``train`` needs text; it is read once for the counts and
+    once for each round of training, at the rates given."""
     counts = word_counts(train)
     n_texts = train.count()
     top = counts.orderBy(F.desc("count"), "word").limit(KNOWN).toPandas()
@@ -270,7 +340,10 @@ def fit(train: DataFrame, *, sample_rows: int = 1500, sample_tokens: int = 300_0
     total, distinct = int(sums["n"] or 0) + n_texts, int(sums["v"]) + (n_texts > 0)
     by_class = {r["rare"]: (int(r["n"]), int(r["v"])) for r in
                 counts.groupBy("rare").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()}
-    frequent = top.head(VOCABULARY)
+    # whole classes, the end being the last token
+    often = -(-(int((top["count"] >= OFTEN).sum()) + 1) // CLASS_SIZE) * CLASS_SIZE - 1
+    size = max(VOCABULARY, often)
+    frequent = top.head(size)
     gone = frequent.groupby("rare")["count"].agg(["sum", "count"])
     tokens, kinds = np.zeros(RARE), np.zeros(RARE)
     for k in range(RARE):
@@ -278,23 +351,19 @@ def fit(train: DataFrame, *, sample_rows: int = 1500, sample_tokens: int = 300_0
         tokens[k] = n - (gone["sum"].get(k, 0))
         kinds[k] = v - (gone["count"].get(k, 0))
     order = np.argsort(top.word.to_numpy(np.int64).view(np.uint64))
-    number = np.where(np.arange(len(top)) < VOCABULARY, np.arange(len(top)), -1)
+    number = np.where(np.arange(len(top)) < size, np.arange(len(top)), -1)
     model = Model(top.word.to_numpy(np.int64).view(np.uint64)[order], top["count"].to_numpy(np.int64)[order], number[order],
-                  n_texts, total, distinct, tokens + kinds + 1, None)
+                  n_texts, total, distinct, tokens + kinds + 1, size, None)
     if not n_texts:
         return model, counts
-    mass = np.zeros(-(-(VOCABULARY + 1) // CLASS_SIZE) * CLASS_SIZE)
+    mass = np.zeros(size + 1)
     mass[:len(frequent)] = frequent["count"]
-    mass[END] = n_texts
+    mass[size] = n_texts
     mass = mass + 0.1
     classes = np.r_[mass.reshape(-1, CLASS_SIZE).sum(axis=1), tokens + kinds + 1]
     network = Network.start(classes / classes.sum(), (mass.reshape(-1, CLASS_SIZE) / mass.reshape(-1, CLASS_SIZE).sum(axis=1, keepdims=True)).ravel())
-    some = train.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
-    stream = [np.array([END])]
-    for text in some.text:
-        words, _, tails = hash_words_and_ends([(text or "").encode("utf-8", "replace")])
-        stream.append(np.r_[model.look_up(words, tails)[1], END])
-    network.train(np.concatenate(stream)[:sample_tokens])
+    for rate in rates:
+        network = learned(train, model, network, rate)
     model.network = network
     return model, counts
 
@@ -315,12 +384,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 edges = np.r_[0, np.cumsum(n)]
                 found = count >= 0
                 logs = np.where(found, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-                rare = token > END
+                rare = token > m.end
                 base = np.bincount(owner, logs, len(part)) + np.log10(m.end_count + 1.0)
                 known = np.bincount(owner[found & (count > 0)], minlength=len(part)) + (m.end_count > 0)
-                share = np.bincount(owner, np.where(rare, logs - log_rare[np.maximum(token - END - 1, 0)], 0.0), len(part))
+                share = np.bincount(owner, np.where(rare, logs - log_rare[np.maximum(token - m.end - 1, 0)], 0.0), len(part))
                 if m.network is not None:
-                    texts = [np.r_[token[edges[i]:edges[i + 1]], END] for i in range(len(part))]
+                    texts = [np.r_[token[edges[i]:edges[i + 1]], m.end] for i in range(len(part))]
                     share = share + m.network.score(texts) / np.log(10)
                 tail_words, tail_counts = [], []
                 for i in range(len(part)):

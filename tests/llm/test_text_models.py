@@ -201,6 +201,34 @@ def test_lm_gradient():
         assert grad[name][index] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-5)
 
 
+def test_lm_learns_from_all_rows(spark):
+    """One long text early on takes no other text's place, however many rows there are."""
+    rng = random.Random(11)
+    first = spark.range(1700).orderBy(F.xxhash64("id")).first().id
+    rows = [(i, " ".join(["left right up down"] * 20)) for i in range(1700)]
+    text = rows[1][1]
+    rows[first] = (first, " ".join(rng.choice("pqrs") for _ in range(320_000)))
+    df = table(spark.createDataFrame(rows, SCHEMA), 4)
+    model, counts = lm.fit(df)
+    out = lm.score(spark.createDataFrame([(1, text)], SCHEMA), model, counts).first()
+    # the words follow each other in one order only, which shares of words do not tell
+    assert out.score > 0.4 * out.base_score
+
+
+def test_lm_vocabulary_follows_the_counts(spark):
+    text = " ".join(f"w{i}" for i in range(1500))
+    model, _ = lm.fit(table(spark.createDataFrame([(i, text) for i in range(lm.OFTEN)], SCHEMA), 4), rates=())
+    assert model.end == model.network.end >= 1500 and (model.number >= 0).all()
+
+
+def test_lm_training_covers_every_token():
+    net = lm.Network.start(np.full(32 + lm.RARE, 1 / (32 + lm.RARE)), np.full(1024, 1 / lm.CLASS_SIZE))
+    met, plain = set(), net.gradient
+    net.gradient = lambda x, y, h: (met.update(y.ravel().tolist()), plain(x, y, h))[1]
+    assert net.train(iter([np.arange(1023), np.arange(2), np.arange(1)])) == 1023
+    assert met >= set(range(1, 1023))
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((60, 64))
