@@ -115,7 +115,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document that repeat earlier text."""
     from .substring_dedup import removed_spans
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    gone = removed_spans(docs)
+    gone = removed_spans(docs, min_words=5)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return rows.join(gone, "row", "left").select(

@@ -4,9 +4,11 @@ A unit is a line, cut further after sentence ends (., ! or ? before white
 space), so that passages inside longer lines are found too. Units are
 normalised: lower case, white space collapsed, punctuation at the ends left
 out. Their 128-bit digests are grouped over the whole corpus; the occurrence
-that ranks first by (doc_id, place in the input, unit) stays. Later occurrences
-go where they make up a run of neighbouring repeated units of at least
-``min_words`` words, so that chance repeats of short sentences stay.
+that ranks first by (doc_id, place in the input, unit) stays. A line that repeats
+an earlier line as a whole always goes. Other later occurrences, sentences in
+lines that are new as a whole, go where they make up a run of neighbouring
+repeated units of at least ``min_words`` words, so that chance repeats of short
+sentences stay.
 
 Removed spans keep their offsets in the original text (code points, end
 exclusive). Defined results: blank units never repeat; null and empty texts
@@ -17,6 +19,7 @@ columns are kept, ``removed`` replaces a column of that name.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -43,50 +46,88 @@ def units_of(text: str) -> Iterator[tuple[int, int, str]]:
         at = end
 
 
+def pieces_of(text: str) -> Iterator[tuple[int, int, int, int, bool, str]]:
+    """(first unit, last unit, start, end, whole line, normalised) of the units
+    and, where a line holds several, of the line."""
+    line, k = [], 0
+
+    def whole() -> Iterator[tuple[int, int, int, int, bool, str]]:
+        for i, (a, b, plain) in enumerate(line, k - len(line)):
+            yield i, i, a, b, len(line) == 1, plain
+        if len(line) > 1:
+            a, b = line[0][0], line[-1][1]
+            yield k - len(line), k - 1, a, b, True, " ".join(text[a:b].lower().split()).strip(ENDS)
+
+    for u in units_of(text):
+        if line and "\n" in text[line[-1][1] - 1:u[0]]:
+            yield from whole()
+            line = []
+        line.append(u)
+        k += 1
+    yield from whole()
+
+
 def unit_table(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, unit, start, end, words, hi, lo)."""
+    """(doc_id, row, unit, last, start, end, words, whole, hi, lo)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at:at + 1000]
                 found, owner = [], []
                 for i, text in enumerate(part.text.tolist()):
-                    for k, (a, b, plain) in enumerate(units_of(text or "")):
+                    for k, last, a, b, whole, plain in pieces_of(text or ""):
                         x = xxhash.xxh3_128_intdigest(plain)
-                        found.append((k, a, b, plain.count(" ") + 1, x >> 64, x & 0xFFFFFFFFFFFFFFFF))
+                        found.append((k, last, a, b, plain.count(" ") + 1, whole, x >> 64, x & 0xFFFFFFFFFFFFFFFF))
                         owner.append(i)
-                columns = [np.array(c, t) for c, t in zip(zip(*found), (np.int32, np.int32, np.int32, np.int32, np.uint64, np.uint64))] if found else [np.empty(0)] * 6
-                out = pd.DataFrame(dict(zip(("unit", "start", "end", "words"), columns)))
-                out["hi"], out["lo"] = columns[4].astype(np.uint64).view(np.int64), columns[5].astype(np.uint64).view(np.int64)
+                kinds = (*[np.int32] * 5, bool, np.uint64, np.uint64)
+                columns = [np.array(c, t) for c, t in zip(zip(*found), kinds)] if found else [np.empty(0, t) for t in kinds]
+                out = pd.DataFrame(dict(zip(("unit", "last", "start", "end", "words", "whole"), columns)))
+                out["hi"], out["lo"] = columns[6].view(np.int64), columns[7].view(np.int64)
                 owner = np.array(owner, int)
                 out.insert(0, "row", part.row.to_numpy()[owner])
                 out.insert(0, "doc_id", part.doc_id.to_numpy()[owner])
                 yield out
-    return stored(rows.mapInPandas(run, "doc_id long, row long, unit int, start int, end int, words int, hi long, lo long"), "units")
+    schema = "doc_id long, row long, unit int, last int, start int, end int, words int, whole boolean, hi long, lo long"
+    return stored(rows.mapInPandas(run, schema), "units")
 
 
 def removed_spans(docs: DataFrame, *, min_words: int = 20) -> DataFrame:
     """(row, removed) of rows that lose something: spans in order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     units = unit_table(rows)
-    repeated = (units.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "row", "unit")).alias("first"), F.count("*").alias("n"))
-                .filter("n > 1").select("hi", "lo", F.col("first.row").alias("first_row"), F.col("first.unit").alias("first_unit")))
-    later = (units.select("row", "unit", "start", "end", "words", "hi", "lo").join(repeated, ["hi", "lo"])
-             .filter("row <> first_row or unit <> first_unit"))
-    by_row = later.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end", "words"))).alias("units"))
+    place = F.struct("doc_id", "row", "unit")
+    repeated = (units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.min(F.when(F.col("whole"), place)).alias("line"), F.count("*").alias("n"))
+                .filter("n > 1").select("hi", "lo", F.col("first.row").alias("first_row"), F.col("first.unit").alias("first_unit"),
+                                        F.col("line.row").alias("line_row"), F.col("line.unit").alias("line_unit")))
+    later = (units.select("row", "unit", "last", "start", "end", "words", "whole", "hi", "lo").join(repeated, ["hi", "lo"])
+             .filter("row <> first_row or unit <> first_unit")
+             .withColumn("whole", F.expr("whole and (row <> line_row or unit <> line_unit)")))
+    by_row = later.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("unit", "last", "start", "end", "words", "whole"))).alias("units"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def runs(lists: pd.Series) -> pd.Series:
+        def spans_of(run: list) -> Iterator[dict]:
+            if sum(x["words"] for x in run) >= min_words:
+                yield {"start": int(run[0]["start"]), "end": int(run[-1]["end"])}
+                return
+            for whole, some in itertools.groupby(run, lambda x: bool(x["whole"])):
+                if whole:
+                    some = list(some)
+                    yield {"start": int(some[0]["start"]), "end": int(some[-1]["end"])}
+
         out = []
         for units in lists:
-            spans, run = [], []
-            for u in [*units, None]:
-                if run and (u is None or u["unit"] != run[-1]["unit"] + 1):
-                    if sum(x["words"] for x in run) >= min_words:
-                        spans.append({"start": int(run[0]["start"]), "end": int(run[-1]["end"])})
+            spans, run, at = [], [], -1
+            # a line comes before the units it covers
+            for u in [*sorted(units, key=lambda u: (u["unit"], -u["last"])), None]:
+                if u is not None and u["last"] <= at:
+                    continue
+                if run and (u is None or u["unit"] != at + 1):
+                    spans += spans_of(run)
                     run = []
                 if u is not None:
                     run.append(u)
+                    at = u["last"]
             out.append(spans)
         return pd.Series(out)
 

@@ -149,6 +149,20 @@ def test_substring_dedup_matches_brute_force(spark):
     assert {r.doc_id: [tuple(s) for s in r.removed] for r in out} == want
 
 
+def test_substring_dedup_removes_every_repeated_line(spark):
+    notice = "All rights reserved by the holders of this short text."
+    two = "Two words. Then three more."
+    rows = [(i, f"own line {i} here\n{notice}\nown end {i}\n{two}\nlast {i}") for i in range(4)]
+    rows += [(4, f"a new line that ends so. {notice}"), (5, f"another one ends so. Two words. And it is new"), (6, "Footer\n\nFooter")]
+    out = {r.doc_id: r for r in substring_dedup.dedup_substrings(table(spark.createDataFrame(rows, SCHEMA), 3)).collect()}
+    assert out[0].text == rows[0][1] and all(
+        [x for x in out[i].text.split("\n") if x] == [f"own line {i} here", f"own end {i}", f"last {i}"] for i in (1, 2, 3))
+    # pieces of lines that are new as a whole stay below the limit
+    assert all(out[i].text == rows[i][1] for i in (4, 5)) and out[6].text.strip() == "Footer"
+    short = {r.doc_id: r for r in substring_dedup.dedup_substrings(table(spark.createDataFrame(rows, SCHEMA), 3), min_words=5).collect()}
+    assert notice not in short[4].text and short[5].text == rows[5][1]
+
+
 @pytest.mark.parametrize("links", [[], [(1, 1), (None, 2)], [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)]])
 def test_components(spark, links):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
