@@ -81,6 +81,27 @@ def test_fill_respects_every_capacity():
                 assert np.bincount(bins, needs[:, d]).max() <= capacity[d] + 1e-6
 
 
+@pytest.mark.parametrize("limits", [{"max_documents": 3}, {"max_attention": 5000}, {"max_documents": 4, "max_attention": 6000}])
+def test_pack_on_spark_with_binding_limits(spark, limits):
+    rng = random.Random(12)
+    rows = [(i, 0, 0, 0, rng.randint(1, 60), 0) for i in range(300)]
+    parts = spark.createDataFrame(rows, packing.PIECES)
+
+    def sequences(**given):
+        met = collections.defaultdict(list)
+        for r in packing.pack(parts, capacity=100, shard_pieces=100, **given).collect():
+            met[r.sequence_id].append(r.length)
+        assert sorted(x for m in met.values() for x in m) == sorted(r[4] for r in rows)
+        return list(met.values())
+
+    def holds(m):
+        return len(m) <= limits.get("max_documents", 100) and sum(x * x for x in m) <= limits.get("max_attention", 10_000)
+
+    bound = sequences(**limits)
+    assert all(sum(m) <= 100 and holds(m) for m in bound)
+    assert not all(holds(m) for m in sequences())
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
