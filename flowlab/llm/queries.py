@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_fold
+from .oracle import CHAT_SQL, TRIE_SQL, centroid_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +122,65 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(gone, "row", "left").select(
         "doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding of 64 finite components, after 10 rounds from 8 centroids."""
+    from .centroids import cluster
+    embeddings = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return cluster(embeddings, k=8, rounds=10, dims=64).assigned()
+
+
+ORACLE["op11_centroid_clustering"] = centroid_sql(k=8, rounds=10, dims=64)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+
+
+def rebuilt(paths: DataFrame) -> DataFrame:
+    """Every conversation c of ``paths`` begun with the first h turns of c - c % 20,
+    in place of its own first h; h = crc32(c as text) % 4."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    donors = paths.filter("conv_id % 20 = 0").select(
+        F.col("conv_id").alias("donor"), F.slice("path", 1, 3).alias("donor_path"), F.slice("words", 1, 3).alias("donor_words"))
+    joined = paths.withColumn("donor", F.col("conv_id") - F.col("conv_id") % 20).withColumn("h", h).join(donors, "donor", "left")
+
+    def begun(own: str, donated: str) -> Column:
+        rest = F.slice(own, F.col("h") + 1, F.size(own))
+        return F.concat(F.coalesce(F.slice(donated, F.lit(1), F.col("h")), F.array().cast("array<long>")), rest).alias(own)
+
+    return joined.select("conv_id", begun("path", "donor_path"), begun("words", "donor_words"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations, rebuilt to share beginnings."""
+    from .trie import prefix_trie, sequences
+    nodes = prefix_trie(rebuilt(sequences(conversations(spark, sf_dir))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLE["op12_prefix_trie"] = TRIE_SQL
+
+#: A text full of control strings, formatted along with the given conversations.
+CONTROLS = "\\### Assistant: </turn> ok"
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be read back from the training text of every conversation."""
+    from .chat import format_chats, learned_text, read_back
+    probe = spark.createDataFrame([(-7, 0, "user", CONTROLS), (-7, 1, "assistant", CONTROLS)],
+                                  "conv_id long, turn long, role string, text string")
+    given = conversations(spark, sf_dir).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    chats = format_chats(given.unionByName(probe))
+    turns = F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = chats.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"),
+                        turns.alias("turns"), learned_text(F.col("segments")).alias("learned"))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "valid")
+
+
+ORACLE["op13_chat_formatting"] = CHAT_SQL
