@@ -98,7 +98,7 @@ def main(argv=None) -> None:
         if not args.geo:
             raise SystemExit(f"{args.operator} needs --geo")
         cc_kw = {"cidr": args.cidr} if args.cidr else {}
-        flows = rangejoin.geo_country(flows, table(args.geo, read_geo), **cc_kw)
+        flows = rangejoin.country_edges(flows, table(args.geo, read_geo), measures=("up_bytes", "down_bytes"), **cc_kw)
     result = fn(flows, **kwargs)
     if args.csv:
         write_csv(result, args.csv)

@@ -104,9 +104,16 @@ def is_private(ip, num: Column | None = None) -> Column:
     return reduce(lambda a, b: a | b, ranges) & ~carved
 
 
+def outside_cidr(num: Column, cidr: str = DEFAULT_CIDR) -> Column:
+    """Not in ``cidr``; a malformed address (null) is outside. Plain comparisons,
+    so that the test reaches the Parquet scan on a stored address column."""
+    lo, hi = cidr_bounds(cidr)
+    return num.isNull() | (num < lo) | (num > hi)
+
+
 def is_public(ip, cidr: str = DEFAULT_CIDR, num: Column | None = None) -> Column:
     """B10 ``pub``: not in the internal CIDR; malformed text counts as public."""
-    return ~F.coalesce(in_cidr(ip, cidr, num), F.lit(False))
+    return outside_cidr(ip_to_num(ip) if num is None else num, cidr)
 
 
 def ptr_name(ip) -> Column:

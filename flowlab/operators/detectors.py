@@ -8,8 +8,6 @@ detector joins a one-row table by a cross join or collects data.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,8 @@ from . import filters as B
 from . import joins as J
 from . import rangejoin as RJ
 from . import setops as G
-from .summary import checkpointed_summary, n_flows
+from .summary import WEIGHT, flow_sum, n_flows, shared
+
 
 def _is_base():
     return F.col("period") == BASELINE
@@ -34,7 +33,7 @@ def _is_test():
 def _host_internet_avgs(flows: DataFrame, net_prefix: str) -> DataFrame:
     """Per (period, source): average internet bytes per flow (J5 by period)."""
     per = B.to_internet_flows(flows, net_prefix).groupBy("period", "src_ip").agg(
-        F.sum("up_bytes").alias("up"), F.sum("down_bytes").alias("down"), F.count(F.lit(1)).alias("n"))
+        F.sum("up_bytes").alias("up"), F.sum("down_bytes").alias("down"), n_flows(flows).alias("n"))
     return per.select("period", "src_ip", arith.per_flow("up", "n").alias("avg_up_bytes"),
                       arith.per_flow("down", "n").alias("avg_down_bytes"))
 
@@ -64,14 +63,10 @@ def rule_external_connections(flows: DataFrame, threshold: int = K.EXTERNAL_FLOW
                               net_prefix: str = net.DEFAULT_NET, period: str | None = TEST) -> DataFrame:
     """Total (not per host) test flows to the internet above a threshold."""
     n = B.to_internet_flows(B.in_period(flows, period), net_prefix).agg(
-        F.count(F.lit(1)).alias("external_flows"))
+        F.coalesce(n_flows(flows), F.lit(0)).cast("bigint").alias("external_flows"))
     return n.select("external_flows", (F.col("external_flows") > threshold).alias("detected"))
 
 
-def enrich_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR, **kw) -> DataFrame:
-    return RJ.geo_country(flows, geo, cidr, **kw)
-
-
 def rule_many_countries(flows_cc: DataFrame, threshold: int = K.MAX_COUNTRIES,
                         period: str | None = TEST) -> DataFrame:
     """Sources reaching more than ``threshold`` distinct known countries."""
@@ -156,16 +151,13 @@ def botnet_peers(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, min_fanout: int
 
 
 def _dns_per_src(flows: DataFrame) -> DataFrame:
-    """Per-source DNS totals, checkpointed (one row per DNS client) so that the
-    detector and its mean over hosts read them without a second pass over the
-    flows."""
+    """Per-source DNS totals. The detector and its mean over hosts read them by
+    plans that share the aggregate, so the flows are scanned once."""
     dns = B.proto_port_flows(flows, "udp", 53)
     per = dns.groupBy("src_ip").agg(
-        n_flows(flows).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
-        arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(flows.sparkSession)
-    return per.checkpoint(eager=True)
+        flow_sum(flows).alias("conns"), F.sum("up_bytes").alias("up_bytes"), F.sum("down_bytes").alias("down_bytes"))
+    return (shared(per, "conns", "up_bytes", "down_bytes")
+            .select("src_ip", "conns", "up_bytes", arith.safe_ratio("up_bytes", "down_bytes").alias("ratio")))
 
 
 def detect_dns_c2(flows: DataFrame, volume_factor: float = K.DNS_C2_VOLUME,
@@ -195,15 +187,13 @@ def detect_tcp_exfil(flows: DataFrame, min_ratio: float = K.TCP_MIN_RATIO,
     TCP edges whose up/down ratio exceeds ``min_edge_ratio``, with connections
     and upload per edge."""
     tcp = B.in_period(flows, period).where(F.col("proto") == "tcp")
-    suspects = B.having_threshold(D.ratio_by_src(tcp), "ratio", min_ratio)
-    edges = _restrict_src(tcp, suspects).groupBy("src_ip", "dst_ip").agg(
-        n_flows(tcp).alias("conns"), F.sum("up_bytes").alias("up_bytes"),
-        arith.safe_ratio(F.sum("up_bytes"), F.sum("down_bytes")).alias("ratio"))
-    return edges.where(F.coalesce(F.col("ratio") > min_edge_ratio, F.lit(False)))
-
-
-def _restrict_src(flows: DataFrame, hosts: DataFrame) -> DataFrame:
-    return flows.join(hosts.select("src_ip").distinct(), "src_ip", "left_semi")
+    edges = shared(tcp.groupBy("src_ip", "dst_ip").agg(
+        flow_sum(tcp).alias("conns"), F.sum("up_bytes").alias("up_bytes"), F.sum("down_bytes").alias("down_bytes")),
+        "conns", "up_bytes", "down_bytes")
+    # a source's totals are sums over its edges: one scan and one shuffle of the flows
+    suspects = B.having_threshold(D.ratio_by_src(edges), "ratio", min_ratio).select("src_ip")
+    rated = edges.select("src_ip", "dst_ip", "conns", "up_bytes", arith.safe_ratio("up_bytes", "down_bytes").alias("ratio"))
+    return rated.where(F.coalesce(F.col("ratio") > min_edge_ratio, F.lit(False))).join(suspects, "src_ip", "left_semi")
 
 
 def detect_dns_exfil(flows: DataFrame, volume_factor: float = K.DNS_EXFIL_VOLUME,
@@ -256,42 +246,151 @@ def burst_window(flows: DataFrame, lo: int = K.BURST_SECONDS[0], hi: int = K.BUR
     return sel.orderBy(F.col("up_bytes").desc(), F.col("flow_id").asc()).limit(k)
 
 
+# The levels of ``level_totals``, by the bits of grouping_id() over (src_ip, dst_ip, dst_cc).
+EDGE, SOURCE_COUNTRY, SOURCE, COUNTRY, NETWORK = 0b000, 0b010, 0b011, 0b110, 0b111
+
+
+def level_totals(edges_cc: DataFrame, net_prefix: str = net.DEFAULT_NET, cidr: str = net.DEFAULT_CIDR,
+                 transfer_countries=K.TRANSFER_COUNTRIES) -> DataFrame:
+    """Totals that all detectors read, by one GROUPING SETS aggregate over an edge
+    summary with ``dst_num`` and ``dst_cc``: per edge, source and country, source,
+    country, and the whole network. ``level`` names the set a row belongs to; a
+    total without any flow is null."""
+    base, test = _is_base(), _is_test()
+    inside = net.in_prefix("dst_ip", net_prefix)
+    dns = test & (F.col("proto") == "udp") & (F.col("port") == 53)
+    quic = test & (F.col("proto") == "udp") & (F.col("port") == 443)
+    tcp = test & (F.col("proto") == "tcp")
+    n, up, down = F.col(WEIGHT), F.col("up_bytes"), F.col("down_bytes")
+    parts = {
+        "n_normal": (base, n), "n_test": (test, n),
+        "net_n_normal": (base & ~inside, n), "net_up_normal": (base & ~inside, up), "net_down_normal": (base & ~inside, down),
+        "net_n_test": (test & ~inside, n), "net_up_test": (test & ~inside, up), "net_down_test": (test & ~inside, down),
+        "in_n_normal": (base & inside, n), "in_n_test": (test & inside, n),
+        "peer_n": (test & F.coalesce(net.in_cidr("dst_ip", cidr, F.col("dst_num")), F.lit(False)), n),
+        "dns_n": (dns, n), "dns_up": (dns, up), "dns_down": (dns, down), "quic_up": (quic, up), "quic_down": (quic, down),
+        "tcp_n": (tcp, n), "tcp_up": (tcp, up), "tcp_down": (tcp, down),
+        "transfer_up": (test & F.col("dst_cc").isin(*transfer_countries), up),
+    }
+    src, dst, cc = F.col("src_ip"), F.col("dst_ip"), F.col("dst_cc")
+    sets = edges_cc.groupingSets([[src, dst, cc], [src, cc], [src], [cc], []], src, dst, cc)
+    return sets.agg(F.grouping_id().alias("level"), *[F.sum(F.when(cond, x)).alias(name) for name, (cond, x) in parts.items()])
+
+
+def _opaque(totals: DataFrame, *keys: str) -> DataFrame:
+    """``totals`` with its keys and level bound to a total, so that no reader's
+    tests on them move below the aggregate: all readers share it. Every row has
+    flows in one of the periods, so nothing changes."""
+    exists = F.coalesce("n_normal", "n_test").isNotNull()
+    return totals.withColumns({k: F.when(exists, F.col(k)) for k in keys})
+
+
+def _at(totals: DataFrame, *levels: int) -> DataFrame:
+    return totals.where(F.col("level").isin(*levels))
+
+
 def alerts(flows: DataFrame, geo: DataFrame, net_prefix: str = net.DEFAULT_NET,
-           cidr: str = net.DEFAULT_CIDR, summarize: bool = True,
+           cidr: str = net.DEFAULT_CIDR, period_factor: float = K.PERIOD_FACTOR,
+           external_flows: int = K.EXTERNAL_FLOWS_THRESHOLD,
            exfil_factor: float = K.PERIOD_FACTOR, c2_min_increase: float = K.C2_MIN_INCREASE,
            c2_min_baseline: int = K.C2_MIN_BASELINE, botnet_min_fanout: int = K.MIN_FANOUT,
            max_countries: int = K.MAX_COUNTRIES, transfer_countries=K.TRANSFER_COUNTRIES,
            transfer_bytes: int = K.TRANSFER_BYTES, dns_c2_volume: float = K.DNS_C2_VOLUME,
-           quic_min_ratio: float = K.QUIC_MIN_RATIO, dns_exfil_volume: float = K.DNS_EXFIL_VOLUME,
+           quic_min_ratio: float = K.QUIC_MIN_RATIO, tcp_min_ratio: float = K.TCP_MIN_RATIO,
+           tcp_min_edge_ratio: float = K.TCP_MIN_EDGE_RATIO, dns_exfil_volume: float = K.DNS_EXFIL_VOLUME,
            dns_ratio_lo: float = K.DNS_RATIO_RANGE[0], dns_ratio_hi: float = K.DNS_RATIO_RANGE[1]) -> DataFrame:
-    """All per-host detectors as ``(rule, subject, metric, threshold)`` rows.
-
-    The detectors run over one checkpointed edge summary (``summarize=True``):
-    flows are scanned and shuffled once, and the country lookup runs once per
-    distinct edge instead of once per flow.
+    """The report of all detectors as ``(rule, subject, detail, metric, threshold)`` rows.
+
+    ``subject`` is a source address, or the network prefix for the rules about
+    the whole network (R1-R3); ``detail`` is the destination of an edge (R14) or
+    the new country (R16). One lazy plan: flows (or an edge summary) are scanned
+    and shuffled once into edges, each external destination is looked up once,
+    one GROUPING SETS aggregate totals the edges at every level, and the rules
+    read its rows.
     """
-    if summarize:
-        flows = checkpointed_summary(flows)
-    fcc = enrich_country(flows, geo, cidr)
-
-    def rows(df: DataFrame, rule: str, metric, threshold: float) -> DataFrame:
-        return df.select(F.lit(rule).alias("rule"), F.col("src_ip").alias("subject"),
-                         metric.cast("double").alias("metric"), F.lit(float(threshold)).alias("threshold"))
-
-    parts = [
-        rows(detect_exfiltration(flows, net_prefix, exfil_factor), "exfiltration",
-             F.greatest(arith.safe_ratio("avg_up_bytes_test", "avg_up_bytes_normal"),
-                        arith.safe_ratio("avg_down_bytes_test", "avg_down_bytes_normal")), exfil_factor),
-        rows(detect_c2_growth(flows, net_prefix, c2_min_increase, c2_min_baseline), "c2_growth",
-             F.col("increase"), c2_min_increase),
-        rows(detect_botnet(flows, cidr, botnet_min_fanout), "botnet", F.col("n_peers"), botnet_min_fanout),
-        rows(rule_many_countries(fcc, max_countries), "many_countries", F.col("n_countries"), max_countries),
-        rows(rule_country_transfer(fcc, transfer_countries, transfer_bytes), "country_transfer",
-             F.col("up_bytes"), transfer_bytes),
-        rows(detect_dns_c2(flows, dns_c2_volume, dns_ratio_lo, dns_ratio_hi), "dns_c2",
-             F.col("conns"), dns_c2_volume),
-        rows(detect_quic_exfil(flows, quic_min_ratio), "quic_exfil", F.col("ratio"), quic_min_ratio),
-        rows(detect_dns_exfil(flows, dns_exfil_volume, dns_ratio_lo, dns_ratio_hi), "dns_exfil",
-             F.col("up_bytes"), dns_exfil_volume),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    keyed, num = net.with_addr_num(flows, "dst_ip")
+    keys = ["period", "src_ip", "dst_ip", F.coalesce(num, F.lit(RJ.UNKNOWN)).alias("dst_num"), "proto", "port"]
+    edges = shared(keyed.groupBy(*keys).agg(flow_sum(flows).alias(WEIGHT), F.sum("up_bytes").alias("up_bytes"),
+                                            F.sum("down_bytes").alias("down_bytes")), WEIGHT, "up_bytes", "down_bytes")
+    lo, hi = net.cidr_bounds(cidr)
+    internal = F.col("dst_num").between(lo, hi)
+    edges_cc = RJ.with_country(edges, geo, many_readers=True).withColumn("dst_cc", F.when(~internal, F.col("dst_cc")))
+    raw = level_totals(edges_cc, net_prefix, cidr, transfer_countries)
+    measures = [c for c in raw.columns if c not in ("src_ip", "dst_ip", "dst_cc", "level")]
+    totals = _opaque(shared(raw, *measures), "src_ip", "dst_ip", "dst_cc", "level")
+
+    # per source: its totals, its internal peers and its known countries
+    own = F.col("level") == SOURCE
+    per = _at(totals, SOURCE, SOURCE_COUNTRY, EDGE).groupBy("src_ip").agg(
+        *[F.max(F.when(own, F.col(m))).alias(m) for m in measures],
+        F.sum(F.when((F.col("level") == EDGE) & (F.col("peer_n") > 0), 1).otherwise(0)).alias("peers"),
+        F.sum(F.when((F.col("level") == SOURCE_COUNTRY) & (F.col("dst_cc") != "") & (F.col("n_test") > 0), 1).otherwise(0))
+        .alias("countries"))
+    sources = _opaque(shared(per, *measures, "peers", "countries"), "src_ip").withColumns({
+        "up_normal": arith.safe_ratio("net_up_normal", "net_n_normal"), "up_test": arith.safe_ratio("net_up_test", "net_n_test"),
+        "down_normal": arith.safe_ratio("net_down_normal", "net_n_normal"), "down_test": arith.safe_ratio("net_down_test", "net_n_test"),
+        "dns_ratio": arith.safe_ratio("dns_up", "dns_down")})
+    col = F.col
+
+    def mean(c: str):
+        return sources.select(F.avg(c)).scalar()
+
+    def rule(name: str, metric, threshold: float, flagged):
+        return F.when(flagged, F.struct(F.lit(name).alias("rule"), F.lit(None).cast("string").alias("detail"),
+                                        metric.cast("double").alias("metric"), F.lit(float(threshold)).alias("threshold")))
+
+    growth = arith.pct_increase(F.coalesce("in_n_normal", F.lit(0)), F.coalesce("in_n_test", F.lit(0)))
+    normal_dns = col("dns_ratio").between(dns_ratio_lo, dns_ratio_hi)
+    quic = arith.safe_ratio("quic_up", "quic_down")
+    by_source = F.array(
+        rule("exfiltration", F.greatest(arith.safe_ratio("up_test", "up_normal"), arith.safe_ratio("down_test", "down_normal")),
+             exfil_factor, (col("up_test") > col("up_normal") * exfil_factor) | (col("down_test") > col("down_normal") * exfil_factor)),
+        rule("c2_growth", growth, c2_min_increase, (growth > c2_min_increase) & (col("in_n_normal") > c2_min_baseline)),
+        rule("botnet", col("peers"), botnet_min_fanout, col("peers") > botnet_min_fanout),
+        rule("many_countries", col("countries"), max_countries, col("countries") > max_countries),
+        rule("country_transfer", col("transfer_up"), transfer_bytes, col("transfer_up") > transfer_bytes),
+        rule("dns_c2", col("dns_n"), dns_c2_volume, (col("dns_n") > mean("dns_n") * dns_c2_volume) & normal_dns),
+        rule("quic_exfil", quic, quic_min_ratio, quic > quic_min_ratio),
+        rule("dns_exfil", col("dns_up"), dns_exfil_volume, (col("dns_up") > mean("dns_up") * dns_exfil_volume) & normal_dns))
+    columns = [col("r.rule").alias("rule"), "subject", col("r.detail").alias("detail"), col("r.metric").alias("metric"),
+               col("r.threshold").alias("threshold")]
+
+    def rows(df: DataFrame, subject, rules) -> DataFrame:
+        return (df.select(subject.alias("subject"), rules.alias("rules")).select("subject", F.explode("rules").alias("r"))
+                .where(col("r").isNotNull()).select(*columns))
+
+    # over the network: means over its sources, and its total
+    means = sources.agg(*[F.avg(c).alias(c) for c in ("up_normal", "up_test", "down_normal", "down_test")],
+                        F.sum("net_n_test").alias("external"))
+    by_network = F.array(
+        rule("high_upload", arith.safe_ratio("up_test", "up_normal"), period_factor, col("up_test") > col("up_normal") * period_factor),
+        rule("high_download", arith.safe_ratio("down_test", "down_normal"), period_factor,
+             col("down_test") > col("down_normal") * period_factor),
+        rule("external_connections", col("external"), external_flows, col("external") > external_flows))
+
+    # edges of sources that upload much by TCP; a null source never matches
+    suspects = sources.where(arith.safe_ratio("tcp_up", "tcp_down") > tcp_min_ratio).select("src_ip")
+    ratio = arith.safe_ratio("tcp_up", "tcp_down")
+    tcp = _at(totals, EDGE).where(ratio > tcp_min_edge_ratio).join(suspects, "src_ip", "left_semi")
+    new = (_at(totals, COUNTRY).where((col("n_test") > 0) & col("n_normal").isNull() & col("dst_cc").isNotNull()).select("dst_cc"))
+    reached = (_at(totals, EDGE).where(col("n_test") > 0).join(new, "dst_cc", "left_semi")
+               .groupBy("src_ip", "dst_cc").agg(F.count(F.lit(1)).alias("n")))
+    out = ["rule", "subject", "detail", "metric", "threshold"]
+    return (rows(sources, col("src_ip"), by_source)
+            .unionByName(rows(means, F.lit(net_prefix), by_network))
+            .unionByName(tcp.select(F.lit("tcp_exfil").alias("rule"), col("src_ip").alias("subject"), col("dst_ip").alias("detail"),
+                                    ratio.alias("metric"), F.lit(float(tcp_min_edge_ratio)).alias("threshold")))
+            .unionByName(reached.select(F.lit("new_country").alias("rule"), col("src_ip").alias("subject"), col("dst_cc").alias("detail"),
+                                        col("n").cast("double").alias("metric"), F.lit(0.0).alias("threshold")))
+            .select(*out))
+
+
+#: Rules whose subject is an address (the others are about the whole network).
+ADDRESS_RULES = ("exfiltration", "c2_growth", "botnet", "many_countries", "country_transfer", "dns_c2",
+                 "quic_exfil", "dns_exfil", "tcp_exfil", "new_country")
+
+
+def address_detections(report: DataFrame) -> DataFrame:
+    """``(ip, reason)`` of every address that a report of ``alerts`` names."""
+    return (report.where(F.col("rule").isin(*ADDRESS_RULES) & F.col("subject").isNotNull())
+            .select(F.col("subject").alias("ip"), F.col("rule").alias("reason")).distinct())

@@ -15,7 +15,7 @@ from ..defaults import TOP_HOSTS
 from ..functions import arith, net
 from ..schema import BASELINE, TEST
 from . import filters as B
-from .summary import n_flows_if
+from .summary import WEIGHT, is_summary, n_flows, n_flows_if
 
 
 def _is_base():
@@ -31,7 +31,8 @@ def _endpoints(flows: DataFrame, net_prefix: str, extra=()) -> DataFrame:
     destination if internal (a flow inside the network yields both)."""
     src = F.when(net.in_prefix("src_ip", net_prefix), F.col("src_ip"))
     dst = F.when(net.in_prefix("dst_ip", net_prefix), F.col("dst_ip"))
-    return (flows.select(F.explode(F.array(src, dst)).alias("ip"), *extra)
+    weight = [WEIGHT] if is_summary(flows) else []
+    return (flows.select(F.explode(F.array(src, dst)).alias("ip"), *extra, *weight)
             .where(F.col("ip").isNotNull()))
 
 
@@ -41,14 +42,14 @@ def host_activity(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFr
     Equals the reference's full outer join of the two counts with missing
     sides 0, in one aggregate instead of two aggregates and a join.
     """
-    return (_endpoints(flows, net_prefix).groupBy("ip").agg(F.count(F.lit(1)).alias("flows"))
+    return (_endpoints(flows, net_prefix).groupBy("ip").agg(n_flows(flows).alias("flows"))
             .orderBy(F.col("flows").desc(), "ip"))
 
 
 def host_activity_by_period(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
     ep = _endpoints(flows, net_prefix, extra=["period"])
     return ep.groupBy("ip").agg(
-        F.count_if(_is_base()).alias("counts_normal"), F.count_if(_is_test()).alias("counts_test"))
+        n_flows_if(flows, _is_base()).alias("counts_normal"), n_flows_if(flows, _is_test()).alias("counts_test"))
 
 
 def top_hosts_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = TOP_HOSTS) -> DataFrame:
@@ -68,7 +69,7 @@ def flows_to_known_hosts(flows: DataFrame, hosts: DataFrame, host_col: str = "ip
     """
     h = hosts.select(F.col(host_col).alias("dst_ip")).distinct()
     return (flows.join(h, "dst_ip", "left_semi").groupBy("src_ip")
-            .agg(F.count(F.lit(1)).alias(name)))
+            .agg(n_flows(flows).alias(name)))
 
 
 def top_hosts_by_period(flows: DataFrame, k: int, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
@@ -76,7 +77,7 @@ def top_hosts_by_period(flows: DataFrame, k: int, net_prefix: str = net.DEFAULT_
     (2k rows at most)."""
     from pyspark.sql import Window
     per = (_endpoints(flows, net_prefix, extra=["period"]).groupBy("period", "ip")
-           .agg(F.count(F.lit(1)).alias("n")))
+           .agg(n_flows(flows).alias("n")))
     rank = F.row_number().over(Window.partitionBy("period").orderBy(F.col("n").desc(), "ip"))
     return per.withColumn("_r", rank).where(F.col("_r") <= k).select("period", "ip")
 
@@ -106,7 +107,7 @@ def bytes_with_counts(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> Da
     """Bytes and flow counts to the internet per source, with averages."""
     agg = B.to_internet_flows(flows, net_prefix).groupBy("src_ip").agg(
         F.sum("up_bytes").alias("up_bytes"), F.sum("down_bytes").alias("down_bytes"),
-        F.count(F.lit(1)).alias("counts"))
+        n_flows(flows).alias("counts"))
     return agg.select("*", arith.per_flow("up_bytes", "counts").alias("avg_up_bytes"),
                       arith.per_flow("down_bytes", "counts").alias("avg_down_bytes"))
 

@@ -1,157 +1,188 @@
-"""Point-in-range lookup of IPv4 addresses.
-
-A plain ``ip BETWEEN lo AND hi`` join plans as a nested-loop join. Here each
-range is exploded over the /16 prefixes it covers and joined on that prefix,
-with ``BETWEEN`` as the residual: a hash join. Ranges covering 256 or more /16
-prefixes (a whole /8 or wider) are exploded over /8 prefixes instead, so a
-huge range never multiplies into tens of thousands of rows.
-
-Strategy by size of the exploded range table (counted on the driver, one
-number):
-
-* up to ``max_broadcast_rows``: broadcast hash join directly against the rows
-  to enrich. No shuffle of the big side at all.
-* larger: de-duplicate the addresses first, shuffle-join the distinct
-  addresses with the ranges on the bucket (a /16 bucket holds at most 65,536
-  distinct addresses, so no bucket is unboundedly hot), checkpoint the
-  answers and join them back on the address: broadcast when their measured
-  count allows (the rows to enrich are then never shuffled), else a shuffle
-  join in which AQE splits a skewed address.
-
-Ranges must be disjoint (``assert_disjoint`` checks it, distributed, on each
-lookup), so an address matches at most one range and the lookup keeps
-one row per input row either way.
+"""Point-in-range lookup of IPv4 addresses by a sweep (J6, J7), and flat range tables.
+
+Range starts, range ends and the distinct addresses to look up are events on
+the address line. One shuffle deals them by blocks of 2^18 addresses; inside a
+block a running sum of starts and ends gives each event its nesting depth, and
+the last start at that depth is the innermost range open there
+(``last(ignorenulls)``). Ranges that reach over the edge of a block are opened
+again at the start of the next one, so every block stands by itself. A block
+holds at most 2^18 distinct addresses, whatever the traffic, and its edges
+depend on the address alone: the plan is lazy, has no size switch and no hint,
+and gives the same answers however often or in how many tasks it runs.
+
+Ranges may nest to any depth and need not be CIDR-aligned: the most specific one
+wins. Of equal ranges the smallest value counts. Ranges that cross (overlap
+without nesting), end before they begin or leave the IPv4 space stop the query
+with an error that names them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from .summary import WEIGHT, flow_sum, shared
+
+BLOCK_BITS = 18
+ADDRESSES = 1 << 32
+END, START, POINT = 0, 1, 2
+
+
+def _block(pos: Column) -> Column:
+    return F.shiftright(pos, BLOCK_BITS)
+
+
+def _refuse(what: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"range table: {what} near lo="), F.col("lo").cast("string"),
+                                  F.lit(", hi="), F.col("hi").cast("string"))).cast("boolean")
+
+
+def _range_events(ranges: DataFrame, value_col: str) -> DataFrame:
+    """``(block, pos, kind, lo, hi, value)``: each range's start, its start again
+    in every later block it reaches, and its end unless a block edge ends it."""
+    lo, hi = F.col("lo"), F.col("hi")
+    sound = ranges.where(F.when((hi < lo) | (lo < 0) | (hi >= ADDRESSES), _refuse("inverted or out of bounds")).otherwise(True))
+    one = sound.groupBy("lo", "hi").agg(F.min(value_col).alias("value"))
+
+    def event(pos: Column, kind: int) -> Column:
+        return F.struct(_block(pos).alias("block"), pos.alias("pos"), F.lit(kind).alias("kind"))
+
+    none = F.array().cast("array<struct<block:bigint,pos:bigint,kind:int>>")
+    again = F.when(_block(hi) > _block(lo), F.transform(
+        F.sequence(_block(lo) + 1, _block(hi)), lambda b: event(b * (1 << BLOCK_BITS), START))).otherwise(none)
+    end = F.when(_block(hi + 1) == _block(hi), F.array(event(hi + 1, END))).otherwise(none)
+    events = F.explode(F.concat(F.array(event(lo, START)), end, again))
+    return one.select(events.alias("e"), "lo", "hi", "value").select("e.*", "lo", "hi", "value")
+
+
+def innermost(points: DataFrame, ranges: DataFrame, value_col: str) -> DataFrame:
+    """``(num, lo, hi, value)``: for each of the distinct addresses in ``points``
+    (one column ``num``) the most specific range that holds it, or nulls."""
+    asked = points.select(_block(F.col("num")).alias("block"), F.col("num").alias("pos"), F.lit(POINT).alias("kind"),
+                          *[F.lit(None).cast("bigint").alias(c) for c in ("lo", "hi")], F.lit(None).cast("string").alias("value"))
+    events = _range_events(ranges, value_col).unionByName(asked)
+    start, end = F.col("kind") == START, F.col("kind") == END
+    # ends before starts before points; outer ranges open first and close last
+    order = ["pos", "kind", F.when(start, F.col("lo")).when(end, -F.col("lo")), F.when(start, -F.col("hi"))]
+    so_far = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    depth = F.sum(F.when(start, 1).when(end, -1).otherwise(0)).over(so_far)
+    # an end belongs to the depth it closes
+    leveled = events.withColumn("level", depth + F.when(end, 1).otherwise(0))
+    same_level = Window.partitionBy("block", "level").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = leveled.withColumn("open", F.last(F.when(start, F.struct("lo", "hi", "value")), ignorenulls=True).over(same_level))
+    closes = F.coalesce((F.col("open.lo") == F.col("lo")) & (F.col("open.hi") == F.col("hi")), F.lit(False))
+    kept = found.where(F.when(end, F.when(closes, False).otherwise(_refuse("ranges cross"))).otherwise(F.col("kind") == POINT))
+    return kept.select(F.col("pos").alias("num"), "open.lo", "open.hi", "open.value")
+
+
+def flatten(ranges: DataFrame, value_col: str) -> DataFrame:
+    """A3/A4: a nested range table as disjoint ranges ``(lo, hi, value_col)``, each
+    the longest run of addresses whose most specific range is the same one."""
+    cuts = (ranges.select(F.explode(F.array("lo", F.col("hi") + 1)).alias("num")).distinct()
+            .where(F.col("num") < ADDRESSES).withColumn("block", _block(F.col("num"))))
+    # the first cut after a block: at most one row per block
+    firsts = cuts.groupBy("block").agg(F.min("num").alias("first"))
+    following = firsts.select(F.col("block").alias("b"), F.lead("first").over(Window.orderBy("block")).alias("following"))
+    here = F.lead("num").over(Window.partitionBy("block").orderBy("num"))
+    until = (cuts.withColumn("here", here).join(following, F.col("block") == F.col("b"))
+             .select(F.col("num").alias("cut"), F.coalesce("here", "following", F.lit(ADDRESSES)).alias("until")))
+    held = innermost(cuts.select("num"), ranges, value_col).where(F.col("lo").isNotNull())
+    return held.join(until, F.col("num") == F.col("cut")).select(
+        F.col("num").alias("lo"), (F.col("until") - 1).alias("hi"), F.col("value").alias(value_col))
+
+
+def check_ranges(ranges: DataFrame) -> None:
+    """Read the whole table once and raise if ranges cross, are inverted or leave
+    the address space (lookups raise too, while they run)."""
+    value = next(c for c in ranges.columns if c not in ("lo", "hi"))
+    innermost(ranges.select(F.col("lo").alias("num")).distinct(), ranges, value).write.format("noop").mode("overwrite").save()
+
+
+def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str, out_col: str) -> DataFrame:
+    """Append ``out_col``: the ``value_col`` of the most specific range that holds
+    ``ip_col``; null where there is none or the address is malformed.
+
+    The sweep sees every distinct address once; the answers are joined back on
+    the integer address, and AQE broadcasts them when their measured size
+    allows or splits a hot address.
+    """
+    keyed, num = net.with_addr_num(df, ip_col)
+    points = keyed.select(num.alias("num")).where(F.col("num").isNotNull()).distinct()
+    found = innermost(points, ranges, value_col).where(F.col("value").isNotNull())
+    answers = found.select(F.col("num").alias("_num"), F.col("value").alias("_value"))
+    joined = keyed.join(answers, num == F.col("_num"), "left")
+    return joined.select(*[c for c in df.columns if c != out_col], F.col("_value").alias(out_col))
+
+
+def geo_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
+    """``dst_cc`` for every flow: null for internal destinations, '' for unknown
+    external. Internal flows take no part in the lookup and are not shuffled.
+    Where flows are aggregated anyway, ``country_edges`` does far less."""
+    keyed, num = net.with_addr_num(flows, "dst_ip")
+    outside = net.outside_cidr(num, cidr)
+    looked = range_lookup(keyed.where(outside), "dst_ip", geo, "cc", "dst_cc")
+    external = looked.withColumn("dst_cc", F.coalesce("dst_cc", F.lit("")))
+    internal = keyed.where(~outside).withColumn("dst_cc", F.lit(None).cast("string"))
+    return external.unionByName(internal).select(*[c for c in flows.columns if c != "dst_cc"], "dst_cc")
+
+
+def geo_org(flows: DataFrame, asn: DataFrame) -> DataFrame:
+    """``dst_org``: the organisation of the destination, null if unknown."""
+    return range_lookup(flows, "dst_ip", asn, "org", "dst_org")
 
-NARROW_SHIFT = 16
-WIDE_SHIFT = 24
-WIDE_MIN_BUCKETS = 256
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
+#: What an edge can carry, as aggregates over its flows.
+MEASURES = {"up_bytes": F.sum, "down_bytes": F.sum, "first_flow_id": F.min}
+UNKNOWN = -1  # stands for a malformed destination, so that the key is never null
 
-def check_ranges(ranges: DataFrame) -> int:
-    """Validate a range table and return the row count of its exploded form.
 
-    One distributed job, run on every call, since range files may be replaced:
+def external_edges(flows: DataFrame, cidr: str = net.DEFAULT_CIDR, measures=()) -> DataFrame:
+    """One row per (period, source, external destination ``dst_ip``, ``dst_num``),
+    with ``flow_count`` and the named ``measures``. Internal flows are pruned by
+    the scan."""
+    keyed, num = net.with_addr_num(flows, "dst_ip")
+    keys = ["period", "src_ip", "dst_ip", F.coalesce(num, F.lit(UNKNOWN)).alias("dst_num")]
+    outside = keyed.where(net.outside_cidr(num, cidr))
+    aggs = [MEASURES[m]("flow_id" if m == "first_flow_id" else m).alias(m) for m in measures]
+    return shared(outside.groupBy(*keys).agg(flow_sum(flows).alias(WEIGHT), *aggs), WEIGHT, *measures)
 
-    * disjointness: every range is listed under each /8 block it touches (a
-      range narrower than a /8 under at most two) and, inside each block, a
-      window ordered by ``lo`` compares it with the largest ``hi`` before it;
-      overlapping ranges share a block, so every overlap (or ``hi < lo``) is
-      found and raises ``ValueError``;
-    * size: each range's /16 bucket count (its /8 block count for ranges of
-      256 /16 buckets or more), summed once per range, is the size of the
-      tables the lookup joins against, checked before broadcasting them.
-    """
-    n16 = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
-    n8 = F.shiftright("hi", WIDE_SHIFT) - F.shiftright("lo", WIDE_SHIFT) + 1
-    blocks = ranges.select(
-        "lo", "hi", F.when(n16 >= WIDE_MIN_BUCKETS, n8).otherwise(n16).alias("n"),
-        F.explode(F.sequence(F.shiftright("lo", WIDE_SHIFT), F.shiftright("hi", WIDE_SHIFT))).alias("blk"))
-    before = Window.partitionBy("blk").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    flagged = blocks.select(
-        "lo", "hi", "n", (F.col("blk") == F.shiftright("lo", WIDE_SHIFT)).alias("first_blk"),
-        ((F.col("hi") < F.col("lo")) | (F.max("hi").over(before) >= F.col("lo"))).alias("bad"))
-    row = flagged.agg(
-        F.sum(F.when(F.col("first_blk"), F.col("n"))).alias("size"),
-        F.min(F.when(F.col("bad"), F.struct("lo", "hi"))).alias("example")).first()
-    if row.example is not None:
-        raise ValueError(f"range table is not disjoint or has hi < lo near "
-                         f"lo={row.example.lo}, hi={row.example.hi}")
-    return int(row.size or 0)
-
-
-def assert_disjoint(ranges: DataFrame) -> None:
-    """Raise if two ranges overlap (then a lookup could match twice)."""
-    check_ranges(ranges)
-
-
-def exploded_size(ranges: DataFrame) -> int:
-    """Rows of the exploded range tables (validated first)."""
-    return check_ranges(ranges)
-
-
-def explode_ranges(ranges: DataFrame, value_col: str) -> tuple[DataFrame, DataFrame]:
-    """Split ranges into (narrow by /16 bucket, wide by /8 bucket) tables."""
-    n_buckets = F.shiftright("hi", NARROW_SHIFT) - F.shiftright("lo", NARROW_SHIFT) + 1
-    tagged = ranges.select("lo", "hi", value_col, (n_buckets >= WIDE_MIN_BUCKETS).alias("wide"))
-    narrow = tagged.where(~F.col("wide")).select(
-        F.explode(F.sequence(F.shiftright("lo", NARROW_SHIFT), F.shiftright("hi", NARROW_SHIFT))).alias("bucket"),
-        "lo", "hi", value_col)
-    wide = tagged.where(F.col("wide")).select(
-        F.explode(F.sequence(F.shiftright("lo", WIDE_SHIFT), F.shiftright("hi", WIDE_SHIFT))).alias("bucket"),
-        "lo", "hi", value_col)
-    return narrow, wide
-
-
-def _probe(df: DataFrame, num_col: str, narrow: DataFrame, wide: DataFrame,
-           value_col: str, out_col: str, broadcast: bool) -> DataFrame:
-    """Left-join ``df`` (with an integer address column) to both range tables."""
-    def side(tbl: DataFrame, shift: int, tag: str) -> DataFrame:
-        t = tbl.select(F.col("bucket").alias(f"_b{tag}"), F.col("lo").alias(f"_lo{tag}"),
-                       F.col("hi").alias(f"_hi{tag}"), F.col(value_col).alias(f"_v{tag}"))
-        return F.broadcast(t) if broadcast else t
-
-    n_side, w_side = side(narrow, NARROW_SHIFT, "n"), side(wide, WIDE_SHIFT, "w")
-    num = F.col(num_col)
-    probe = (df.withColumn("_kn", F.shiftright(num, NARROW_SHIFT))
-               .withColumn("_kw", F.shiftright(num, WIDE_SHIFT)))
-    joined = probe.join(
-        n_side, (F.col("_kn") == F.col("_bn")) & num.between(F.col("_lon"), F.col("_hin")), "left"
-    ).join(
-        w_side, (F.col("_kw") == F.col("_bw")) & num.between(F.col("_low"), F.col("_hiw")), "left"
-    )
-    return joined.select(*df.columns, F.coalesce(F.col("_vn"), F.col("_vw")).alias(out_col))
-
-
-def range_lookup(df: DataFrame, ip_col: str, ranges: DataFrame, value_col: str,
-                 out_col: str, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                 force_shuffle: bool = False, validate: bool = True) -> DataFrame:
-    """Append ``out_col``: the ``value_col`` of the range holding ``ip_col``.
-
-    No match (or a malformed address) gives null. Ranges must be disjoint
-    (checked on each call).
-    """
-    size = check_ranges(ranges) if validate or not force_shuffle else None
-    narrow, wide = explode_ranges(ranges, value_col)
-    if not force_shuffle:
-        # Size check of the small side (from the same validation job).
-        if size <= max_broadcast_rows:
-            with_num = df.withColumn("_num", net.addr_num(df, ip_col))
-            out = _probe(with_num, "_num", narrow, wide, value_col, out_col, broadcast=True)
-            return out.drop("_num")
-    # Large range table: look up each distinct address once (bucketed shuffle
-    # join), then join the answers back. The answer table is checkpointed and
-    # measured first: if it fits, it is broadcast and the rows of ``df`` are
-    # never shuffled; otherwise a shuffle join, with AQE splitting a hot address.
-    # Keys are the integer addresses (stored, or parsed once here); a malformed
-    # address has none and simply gets no value.
-    keyed, num = net.with_addr_num(df, ip_col)
-    addrs = keyed.select(num.alias("_num")).where(F.col("_num").isNotNull()).distinct()
-    looked = _probe(addrs, "_num", narrow, wide, value_col, out_col, broadcast=False)
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    looked = looked.where(F.col(out_col).isNotNull()).checkpoint(eager=True)
-    if looked.count() <= max_broadcast_rows:
-        looked = F.broadcast(looked)
-    joined = keyed.join(looked, num == looked["_num"], "left")
-    return joined.select(*df.columns, out_col)
 
+def with_country(edges: DataFrame, geo: DataFrame, *, many_readers: bool = False) -> DataFrame:
+    """``edges`` with ``dst_cc``, '' where unknown: every distinct destination is
+    looked up once. The edges are read twice, for their destinations and for
+    themselves, by plans that share the aggregate and with it the scan.
+    ``many_readers`` fixes the join (by sorting, hot destinations split by AQE), so
+    that readers of the result can share it too: a join that AQE changes while the
+    query runs differs from reader to reader."""
+    found = innermost(edges.select(F.col("dst_num").alias("num")).distinct(), geo, "cc").where(F.col("value").isNotNull())
+    dimension = found.select(F.col("num").alias("_num"), F.col("value").alias("_cc"))
+    if many_readers:
+        dimension = dimension.hint("merge")
+    return (edges.join(dimension, F.col("dst_num") == F.col("_num"), "left")
+            .select(*edges.columns, F.coalesce("_cc", F.lit("")).alias("dst_cc")))
 
-def geo_country(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR, **kw) -> DataFrame:
-    """``dst_cc``: null for internal destinations, '' for unknown external."""
-    looked = range_lookup(flows, "dst_ip", geo, "cc", "_cc", **kw)
-    internal = F.coalesce(net.in_cidr("dst_ip", cidr, net.addr_num(flows, "dst_ip")), F.lit(False))
-    return looked.withColumn("dst_cc", F.when(~internal, F.coalesce(F.col("_cc"), F.lit("")))).drop("_cc")
 
+def country_edges(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR, measures=()) -> DataFrame:
+    """``external_edges`` with ``dst_cc``: aggregate below the lookup, look up each
+    destination once, aggregate again above it. Every operator that takes flows
+    with countries and sums, counts distinct values or tests presence takes
+    these rows instead."""
+    return with_country(external_edges(flows, cidr, measures), geo)
 
-def geo_org(flows: DataFrame, asn: DataFrame, **kw) -> DataFrame:
-    """``dst_org``: the organisation of the destination, null if unknown."""
-    return range_lookup(flows, "dst_ip", asn, "org", "dst_org", **kw)
+
+def _destination_values(flows: DataFrame, keep: Column, ranges: DataFrame, value_col: str) -> DataFrame:
+    """``value`` of each distinct destination among the flows that ``keep`` selects."""
+    keyed, num = net.with_addr_num(flows, "dst_ip")
+    return innermost(keyed.where(keep).select(num.alias("num")).distinct(), ranges, value_col).select("value")
+
+
+def destination_countries(flows: DataFrame, geo: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
+    """``dst_cc`` of every distinct external destination (D14, D48): '' where unknown."""
+    outside = net.outside_cidr(net.addr_num(flows, "dst_ip"), cidr)
+    return _destination_values(flows, outside, geo, "cc").select(F.coalesce("value", F.lit("")).alias("dst_cc"))
+
+
+def destination_orgs(flows: DataFrame, asn: DataFrame) -> DataFrame:
+    """``dst_org`` of every distinct destination (D15): null where unknown."""
+    return _destination_values(flows, F.lit(True), asn, "org").select(F.col("value").alias("dst_org"))

@@ -24,10 +24,9 @@ from ..operators import rangejoin as RJ
 from ..operators import setops as G
 from ..operators import sorts as S
 from ..operators import windows as E
-from ..operators.summary import checkpointed_summary
 from ..schema import BASELINE, NUM_COLUMNS, TEST
-from ..sources import (blocklist, detections, fixture_asn_ranges, fixture_dns_cache,
-                       fixture_geo_ranges, load_flows)
+from ..sources import (blocklist, derived_range_files, detections, fixture_asn_ranges, fixture_dns_cache,
+                       fixture_geo_ranges, load_flows, read_asn, read_geo)
 
 # Fixed parameters of the registered queries (the reference picks hosts by eye).
 PEER_SUSPECTS = ("192.168.109.4", "192.168.109.12", "192.168.109.18")
@@ -70,9 +69,15 @@ def flows(spark, sf) -> DataFrame:
 
 
 def flows_cc(spark, sf) -> DataFrame:
+    """Every flow with its country, for queries that return flows."""
     return RJ.geo_country(flows(spark, sf), fixture_geo_ranges(spark))
 
 
+def edges_cc(spark, sf, *measures: str, period: str | None = None) -> DataFrame:
+    """External edges with their country, for queries that aggregate flows."""
+    return RJ.country_edges(B.in_period(flows(spark, sf), period), fixture_geo_ranges(spark), measures=measures)
+
+
 def period_test_flows(spark, sf) -> DataFrame:
     return B.in_period(flows(spark, sf), TEST)
 
@@ -101,7 +106,7 @@ def _a5(spark, sf):
 
     from ..session import ensure_checkpoint_dir
     from ..sources import read_csv_result, write_csv
-    out = G.new_country_flows(flows_cc(spark, sf))
+    out = G.new_country_flows(edges_cc(spark, sf))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlab-out/new_country_ips-{uuid.uuid4().hex[:12]}"
     write_csv(out, path)
     return read_csv_result(spark, path, out.schema)
@@ -109,10 +114,11 @@ def _a5(spark, sf):
 
 @query("blocklist")
 def _a6(spark, sf):
-    f = checkpointed_summary(flows(spark, sf))  # three detectors, one pass over the flows
-    return blocklist(detections(R.detect_exfiltration(f), "exfiltration"),
-                     detections(R.detect_c2_growth(f), "c2_growth"),
-                     detections(R.detect_botnet(f), "botnet"))
+    """Every address that a detector of the report names, merged into the list
+    kept so far (here: what the baseline's fan-out alone would have listed)."""
+    f = flows(spark, sf)
+    before = blocklist(detections(R.detect_botnet(f, period=BASELINE, min_fanout=3), "fanout_before"))
+    return blocklist(R.address_detections(R.alerts(f, fixture_geo_ranges(spark))), existing=before)
 
 
 # --- B: predicates -------------------------------------------------------------
@@ -245,12 +251,26 @@ def _j5(spark, sf):
 
 @query("geo_country")
 def _j6(spark, sf):
-    return flows_cc(spark, sf).select("flow_id", "dst_ip", "dst_cc")
+    geo, _ = derived_range_files(spark, sf)
+    return RJ.geo_country(flows(spark, sf), read_geo(spark, geo)).select("flow_id", "dst_ip", "dst_cc")
 
 
 @query("geo_org")
 def _j7(spark, sf):
-    return RJ.geo_org(flows(spark, sf), fixture_asn_ranges(spark)).select("flow_id", "dst_ip", "dst_org")
+    _, asn = derived_range_files(spark, sf)
+    return RJ.geo_org(flows(spark, sf), read_asn(spark, asn)).select("flow_id", "dst_ip", "dst_org")
+
+
+@query("geo_ranges")
+def _a3(spark, sf):
+    """A3: a stored country table with nested and unaligned ranges, made flat."""
+    return RJ.flatten(read_geo(spark, derived_range_files(spark, sf)[0]), "cc")
+
+
+@query("asn_ranges")
+def _a4(spark, sf):
+    """A4: the same of a stored organisation table."""
+    return RJ.flatten(read_asn(spark, derived_range_files(spark, sf)[1]), "org")
 
 
 @query("candidate_bytes")
@@ -339,12 +359,12 @@ def _d13(spark, sf):
 
 @query("distinct_countries")
 def _d14(spark, sf):
-    return D.distinct_countries(flows_cc(spark, sf))
+    return D.distinct_countries(RJ.destination_countries(flows(spark, sf), fixture_geo_ranges(spark)))
 
 
 @query("distinct_orgs")
 def _d15(spark, sf):
-    return D.distinct_orgs(RJ.geo_org(flows(spark, sf), fixture_asn_ranges(spark)))
+    return D.distinct_orgs(RJ.destination_orgs(flows(spark, sf), fixture_asn_ranges(spark)))
 
 
 @query("bytes_summary")
@@ -488,17 +508,17 @@ def _d42(spark, sf):
 
 @query("country_frequency")
 def _d43(spark, sf):
-    return D.country_frequency(G.new_country_flows(flows_cc(spark, sf)))
+    return D.country_frequency(G.new_country_flows(edges_cc(spark, sf)))
 
 
 @query("country_fanout")
 def _d44(spark, sf):
-    return D.country_fanout(flows_cc(spark, sf))
+    return D.country_fanout(edges_cc(spark, sf))
 
 
 @query("country_bytes")
 def _d45(spark, sf):
-    return D.country_bytes(flows_cc(spark, sf), ("CN", "RU"))
+    return D.country_bytes(edges_cc(spark, sf, "up_bytes"), ("CN", "RU"))
 
 
 @query("internet_bytes_by_src")
@@ -513,7 +533,7 @@ def _d47(spark, sf):
 
 @query("country_count")
 def _d48(spark, sf):
-    return D.country_count(flows_cc(spark, sf))
+    return D.country_count(RJ.destination_countries(flows(spark, sf), fixture_geo_ranges(spark)))
 
 
 @query("upload_histogram_time")
@@ -579,26 +599,23 @@ def _f7b(spark, sf):
 
 @query("new_countries")
 def _g1(spark, sf):
-    return G.new_countries(flows_cc(spark, sf))
+    return G.new_countries(edges_cc(spark, sf))
 
 
 @query("new_country_flows")
 def _g2(spark, sf):
-    return G.new_country_flows(flows_cc(spark, sf))
+    return G.new_country_flows(edges_cc(spark, sf))
 
 
 @query("new_country_sources")
 def _g3(spark, sf):
-    return G.new_country_sources(flows_cc(spark, sf))
+    return G.new_country_sources(edges_cc(spark, sf))
 
 
 @query("country_list_diff")
 def _g4(spark, sf):
-    fcc = flows_cc(spark, sf).where(F.col("dst_cc").isNotNull())
-    a = (B.in_period(fcc, TEST).groupBy(F.col("dst_cc").alias("cc"))
-         .agg(F.min("flow_id").alias("first_flow_id")))
-    b = B.in_period(fcc, BASELINE).select(F.col("dst_cc").alias("cc"))
-    return G.country_list_diff(a, b, "cc", order_col="first_flow_id")
+    test, baseline = G.country_lists(edges_cc(spark, sf, "first_flow_id"))
+    return G.country_list_diff(test, baseline, "cc", order_col="first_flow_id")
 
 
 # --- H: scalar functions -------------------------------------------------------
@@ -693,17 +710,17 @@ def _r3(spark, sf):
 
 @query("rule_many_countries")
 def _r4(spark, sf):
-    return R.rule_many_countries(flows_cc(spark, sf))
+    return R.rule_many_countries(edges_cc(spark, sf, period=TEST))
 
 
 @query("rule_country_transfer")
 def _r5(spark, sf):
-    return R.rule_country_transfer(flows_cc(spark, sf))
+    return R.rule_country_transfer(edges_cc(spark, sf, "up_bytes", period=TEST))
 
 
 @query("many_countries_bytes")
 def _r6(spark, sf):
-    return R.many_countries_bytes(flows_cc(spark, sf))
+    return R.many_countries_bytes(edges_cc(spark, sf, "up_bytes", "down_bytes", period=TEST))
 
 
 @query("detect_exfiltration")
@@ -753,7 +770,7 @@ def _r15(spark, sf):
 
 @query("detect_new_countries")
 def _r16(spark, sf):
-    return R.detect_new_countries(flows_cc(spark, sf))
+    return R.detect_new_countries(edges_cc(spark, sf))
 
 
 @query("discover_servers")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.net import PRIVATE_EXCEPTIONS, PRIVATE_NETWORKS, RFC1918_PREFIXES, cidr_bounds
 from .catalog import DNS_SUSPECTS, PEER_SUSPECTS, TCP_SUSPECTS
-from .oracle_base import ASN_SQL, ip_num_sql, with_flows, with_flows_cc
+from .oracle_base import ASN_SQL, NESTED_SQL, ip_num_sql, with_flows, with_flows_cc
 
 NET_LO, NET_HI = cidr_bounds("192.168.109.0/24")
 FLOW_COLS = "flow_id, period, timestamp, src_ip, dst_ip, proto, port, up_bytes, down_bytes"
@@ -165,12 +165,6 @@ ORACLE: dict[str, str] = {
         "SELECT period, count(*) AS flows, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, "
         "CAST(sum(down_bytes) AS BIGINT) AS down_bytes, min(timestamp) AS first_tick, max(timestamp) AS last_tick "
         "FROM flows GROUP BY period"),
-    "blocklist": with_flows(
-        """SELECT ip, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM (
-             SELECT src_ip AS ip, 'exfiltration' AS reason FROM exfil
-             UNION ALL SELECT src_ip, 'c2_growth' FROM c2
-             UNION ALL SELECT src_ip, 'botnet' FROM botnet) GROUP BY ip""",
-        PERIOD_COMPARE, GROWTH, BOTNET),
     # B
     "udp_flows": with_flows(f"SELECT {FLOW_COLS} FROM flows WHERE proto = 'udp'"),
     "port443_flows": with_flows(f"SELECT {FLOW_COLS} FROM flows WHERE port = 443"),
@@ -224,8 +218,14 @@ ORACLE: dict[str, str] = {
                   count(*) AS counts, round(sum(up_bytes) / count(*), 6) AS avg_up_bytes,
                   round(sum(down_bytes) / count(*), 6) AS avg_down_bytes
            FROM flows WHERE period = 'test' AND {INTERNET} GROUP BY src_ip"""),
-    "geo_country": with_flows_cc("SELECT flow_id, dst_ip, dst_cc FROM flows_cc"),
-    "geo_org": with_flows("SELECT flow_id, dst_ip, dst_org FROM flows_org", ORG_SQL),
+    "geo_country": with_flows(
+        f"""SELECT flow_id, dst_ip, CASE WHEN num BETWEEN {NET_LO} AND {NET_HI} THEN NULL ELSE coalesce(cc, '') END AS dst_cc
+           FROM (SELECT flow_id, dst_ip, {ip_num_sql('dst_ip')} AS num FROM flows) LEFT JOIN pieces ON num BETWEEN lo AND hi""", NESTED_SQL),
+    "geo_org": with_flows(
+        f"""SELECT flow_id, dst_ip, org AS dst_org
+           FROM (SELECT flow_id, dst_ip, {ip_num_sql('dst_ip')} AS num FROM flows) LEFT JOIN pieces ON num BETWEEN lo AND hi""", NESTED_SQL),
+    "geo_ranges": with_flows("SELECT lo, hi, cc FROM pieces", NESTED_SQL),
+    "asn_ranges": with_flows("SELECT lo, hi, org FROM pieces", NESTED_SQL),
     "candidate_bytes": with_flows(
         f"""SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
            FROM flows WHERE period = 'test' AND {INTERNET} AND src_ip IN (SELECT src_ip FROM botnet)
@@ -508,28 +508,52 @@ ORACLE["upload_histogram_time"] = _hist(
     "vals AS (SELECT timestamp, sum(up_bytes) AS up_bytes FROM flows GROUP BY timestamp)", "up_bytes")
 
 
-ORACLE["alerts"] = with_flows_cc(
-    f"""SELECT 'exfiltration' AS rule, src_ip AS subject,
-              round(greatest({_ratio('avg_up_bytes_test', 'avg_up_bytes_normal')},
-                             {_ratio('avg_down_bytes_test', 'avg_down_bytes_normal')}), 6) AS metric,
-              CAST(1.5 AS DOUBLE) AS threshold FROM exfil
-       UNION ALL SELECT 'c2_growth', src_ip, round(increase, 6), CAST(250 AS DOUBLE) FROM c2
-       UNION ALL SELECT 'botnet', src_ip, CAST(n_peers AS DOUBLE), CAST(4 AS DOUBLE) FROM botnet
-       UNION ALL SELECT 'many_countries', src_ip, CAST(count(DISTINCT dst_cc) AS DOUBLE), CAST(5 AS DOUBLE)
-         FROM flows_cc WHERE period = 'test' AND dst_cc <> '' GROUP BY src_ip HAVING count(DISTINCT dst_cc) > 5
-       UNION ALL SELECT 'country_transfer', src_ip, CAST(sum(up_bytes) AS DOUBLE), CAST(1000000 AS DOUBLE)
-         FROM flows_cc WHERE period = 'test' AND dst_cc IN ('CN', 'RU') GROUP BY src_ip HAVING sum(up_bytes) > 1000000
-       UNION ALL SELECT 'dns_c2', src_ip, CAST(conns AS DOUBLE), CAST(1.25 AS DOUBLE) FROM dns_src
-         WHERE conns > (SELECT avg(conns) FROM dns_src) * 1.25
-           AND CAST(up_bytes AS DOUBLE) / down_bytes BETWEEN 0.41 AND 0.45
-       UNION ALL SELECT 'quic_exfil', src_ip, {_ratio('u', 'd')}, CAST(1.0 AS DOUBLE) FROM (
-         SELECT src_ip, sum(up_bytes) AS u, sum(down_bytes) AS d FROM flows
-         WHERE period = 'test' AND proto = 'udp' AND port = 443 GROUP BY src_ip)
-         WHERE CAST(u AS DOUBLE) / d > 1.0
-       UNION ALL SELECT 'dns_exfil', src_ip, CAST(up_bytes AS DOUBLE), CAST(1.5 AS DOUBLE) FROM dns_src
-         WHERE up_bytes > (SELECT avg(up_bytes) FROM dns_src) * 1.5
-           AND CAST(up_bytes AS DOUBLE) / down_bytes BETWEEN 0.41 AND 0.45""",
-    PERIOD_COMPARE, GROWTH, BOTNET, DNS_PER_SRC)
+def _alert(rule: str, metric: str, threshold: float, rows: str, subject: str = "src_ip", detail: str = "NULL") -> str:
+    return (f"SELECT '{rule}' AS rule, {subject} AS subject, CAST({detail} AS VARCHAR) AS detail, "
+            f"round(CAST({metric} AS DOUBLE), 6) AS metric, CAST({threshold} AS DOUBLE) AS threshold FROM {rows}")
+
+
+def _mean_alert(rule: str, col: str) -> str:
+    """Mean over hosts of average bytes per internet flow, by period."""
+    hosts = f"SELECT period, src_ip, sum({col}) / count(*) AS a FROM flows WHERE {INTERNET} GROUP BY period, src_ip"
+    means = (f"(SELECT avg(a) FILTER (WHERE period = 'baseline') AS b, avg(a) FILTER (WHERE period = 'test') AS t "
+             f"FROM ({hosts})) WHERE t > b * 1.5")
+    return _alert(rule, "t / b", 1.5, means, "'192.168.109.'")
+
+
+NORMAL_DNS = "CAST(up_bytes AS DOUBLE) / down_bytes BETWEEN 0.41 AND 0.45"
+ALERTS = "report AS (" + "\n UNION ALL ".join([
+    _alert("exfiltration", f"greatest({_ratio('avg_up_bytes_test', 'avg_up_bytes_normal')}, "
+                           f"{_ratio('avg_down_bytes_test', 'avg_down_bytes_normal')})", 1.5, "exfil"),
+    _alert("c2_growth", "increase", 250, "c2"),
+    _alert("botnet", "n_peers", 4, "botnet"),
+    _alert("many_countries", "n", 5, "(SELECT src_ip, count(DISTINCT dst_cc) AS n FROM flows_cc "
+                                     "WHERE period = 'test' AND dst_cc <> '' GROUP BY src_ip) WHERE n > 5"),
+    _alert("country_transfer", "u", 1000000, "(SELECT src_ip, sum(up_bytes) AS u FROM flows_cc "
+                                             "WHERE period = 'test' AND dst_cc IN ('CN', 'RU') GROUP BY src_ip) WHERE u > 1000000"),
+    _alert("dns_c2", "conns", 1.25, f"dns_src WHERE conns > (SELECT avg(conns) FROM dns_src) * 1.25 AND {NORMAL_DNS}"),
+    _alert("quic_exfil", _ratio("u", "d"), 1.0, "(SELECT src_ip, sum(up_bytes) AS u, sum(down_bytes) AS d FROM flows WHERE period = 'test' "
+                                                "AND proto = 'udp' AND port = 443 GROUP BY src_ip) WHERE CAST(u AS DOUBLE) / d > 1.0"),
+    _alert("dns_exfil", "up_bytes", 1.5, f"dns_src WHERE up_bytes > (SELECT avg(up_bytes) FROM dns_src) * 1.5 AND {NORMAL_DNS}"),
+    _mean_alert("high_upload", "up_bytes"),
+    _mean_alert("high_download", "down_bytes"),
+    _alert("external_connections", "n", 37, f"(SELECT count(*) AS n FROM flows WHERE period = 'test' AND {INTERNET}) WHERE n > 37", "'192.168.109.'"),
+    _alert("tcp_exfil", _ratio("u", "d"), 1.0,
+           "(SELECT src_ip, dst_ip, sum(up_bytes) AS u, sum(down_bytes) AS d FROM flows WHERE period = 'test' AND proto = 'tcp' "
+           "GROUP BY src_ip, dst_ip) WHERE CAST(u AS DOUBLE) / d > 1.0 AND src_ip IN (SELECT src_ip FROM flows WHERE period = 'test' "
+           "AND proto = 'tcp' GROUP BY src_ip HAVING CAST(sum(up_bytes) AS DOUBLE) / sum(down_bytes) > 0.3)", detail="dst_ip"),
+    _alert("new_country", "n", 0, "(SELECT src_ip, dst_cc, count(*) AS n FROM new_cc_flows GROUP BY src_ip, dst_cc)", detail="dst_cc"),
+]) + ")"
+ALERT_PARTS = (PERIOD_COMPARE, GROWTH, BOTNET, DNS_PER_SRC, NEW_COUNTRY, ALERTS)
+
+ORACLE["alerts"] = with_flows_cc("SELECT * FROM report", *ALERT_PARTS)
+
+ORACLE["blocklist"] = with_flows_cc(
+    f"""SELECT ip, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM (
+         SELECT subject AS ip, rule AS reason FROM report
+         WHERE rule NOT IN ('high_upload', 'high_download', 'external_connections')
+         UNION ALL SELECT src_ip, 'fanout_before' FROM flows WHERE period = 'baseline' AND NOT ({PUB})
+           GROUP BY src_ip HAVING count(DISTINCT dst_ip) > 3) GROUP BY ip""", *ALERT_PARTS)
 
 ORACLE["csv_sink"] = with_flows_cc("SELECT src_ip, dst_ip, dst_cc FROM new_cc_flows", NEW_COUNTRY)
 

@@ -105,3 +105,28 @@ def with_flows(body: str, *extra_ctes: str) -> str:
 
 def with_flows_cc(body: str, *extra_ctes: str) -> str:
     return with_flows(body, FLOWS_CC_SQL, *extra_ctes)
+
+
+# Nested ranges around the external destinations, and what each address finds: the
+# narrowest range that holds it. ``cuts`` are the places where that may change.
+NESTED_SQL = f"""
+  ext AS (
+    SELECT n, (n >> 24) & 255 AS a, (n >> 16) & 255 AS b, (n >> 8) & 255 AS c, n & 255 AS d
+    FROM (SELECT DISTINCT {ip_num_sql('dst_ip')} AS n FROM flows)
+    WHERE n IS NOT NULL AND n NOT BETWEEN 3232263424 AND 3232263679
+  ),
+  {GEO_SQL},
+  nested AS (
+    SELECT lo, hi, cc, 'BLOCK ' || a AS org FROM (SELECT DISTINCT a FROM ext) JOIN geo ON geo.lo = a << 24
+    UNION SELECT n - n % 65536, n - n % 65536 + 1023, 'CA', 'REGION ' || a FROM ext WHERE (a + b) % 3 = 0
+    UNION SELECT n - d, n - d + 255, 'CH', 'SITE ' || a FROM ext WHERE (a + b + c) % 4 = 1
+    UNION SELECT n - d + 1, n - d + 2, 'IT', 'PAIR ' || a FROM ext WHERE (a + 2 * b + c) % 5 = 2
+    UNION SELECT n, n, 'NO', 'HOST ' || a FROM ext WHERE (a + b + c + d) % 7 = 0
+  ),
+  cuts AS (SELECT DISTINCT unnest([lo, hi + 1]) AS cut FROM nested),
+  pieces AS (
+    SELECT cut AS lo, next - 1 AS hi, arg_min(cc, width) AS cc, arg_min(org, width) AS org FROM (
+      SELECT c.cut, c.next, n.cc, n.org, n.hi - n.lo AS width
+      FROM (SELECT cut, lead(cut) OVER (ORDER BY cut) AS next FROM cuts) c JOIN nested n ON c.cut BETWEEN n.lo AND n.hi)
+    GROUP BY cut, next
+  )"""

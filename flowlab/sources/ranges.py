@@ -50,6 +50,42 @@ def fixture_asn_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, ASN_SCHEMA)
 
 
+def derived_ranges(flows: DataFrame) -> DataFrame:
+    """``(lo, hi, cc, org)``: nested ranges around the external destinations of the
+    flows: /8 blocks of the fixture's countries, and inside them (or alone) /22
+    and /24 blocks, unaligned pairs of addresses and single addresses, chosen by
+    the address's octets."""
+    from ..functions.net import outside_cidr
+    num = F.col("dst_ip_num")
+    dst = flows.where(outside_cidr(num) & num.isNotNull()).select(num.alias("n")).distinct()
+    a, b, c, d = (F.shiftright("n", s) % 256 for s in (24, 16, 8, 0))
+    n24 = F.col("n") - d
+    country = F.element_at(F.create_map(*[F.lit(x) for kv in FIXTURE_COUNTRY_BY_OCTET.items() for x in kv]), a.cast("int"))
+
+    def span(chosen, lo, size: int, cc, tag: str):
+        return F.when(chosen, F.struct(lo.alias("lo"), (lo + (size - 1)).alias("hi"), cc.alias("cc"),
+                                       F.concat(F.lit(f"{tag} "), a.cast("string")).alias("org")))
+
+    spans = F.array(span(country.isNotNull(), F.col("n") - F.col("n") % (1 << 24), 1 << 24, country, "BLOCK"),
+                    span((a + b) % 3 == 0, F.col("n") - F.col("n") % (1 << 16), 1 << 10, F.lit("CA"), "REGION"),
+                    span((a + b + c) % 4 == 1, n24, 1 << 8, F.lit("CH"), "SITE"),
+                    span((a + 2 * b + c) % 5 == 2, n24 + 1, 2, F.lit("IT"), "PAIR"),
+                    span((a + b + c + d) % 7 == 0, F.col("n"), 1, F.lit("NO"), "HOST"))
+    return dst.select(F.explode(F.array_compact(spans)).alias("s")).select("s.*").distinct()
+
+
+def derived_range_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of the country and the organisation range table derived from a scale
+    factor's flows, written once as Parquet beside the stored flow table."""
+    from .store import flows_table_path, read_flow_table, table_path
+    source = flows_table_path(spark, sf_dir)
+
+    def write(column: str):
+        return lambda path: derived_ranges(read_flow_table(spark, source)).select("lo", "hi", column).write.parquet(path)
+
+    return table_path(spark, "geo", source, write("cc")), table_path(spark, "asn", source, write("org"))
+
+
 def ranges_from_cidrs(spark: SparkSession, entries, value_col: str = "cc") -> DataFrame:
     """Build a range table from ``(cidr, value)`` pairs (tests, small configs)."""
     from ..functions.net import cidr_bounds

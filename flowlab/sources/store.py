@@ -88,6 +88,18 @@ def flows_table_path(spark: SparkSession, sf_dir: str) -> str:
         return path
 
 
+def table_path(spark: SparkSession, name: str, source: str, write) -> str:
+    """Path of the table ``name`` made from ``source``; ``write(path)`` makes it on
+    first use, under the same rules as the flow table."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    key = hashlib.sha1(f"{source.rstrip('/').rsplit('/', 1)[-1]}|{ADAPTER_VERSION}".encode()).hexdigest()[:16]
+    pattern = f"{base}/flowlab-tables/{name}-{key}-*"
+    with _LOCK:
+        if not _completed(spark, pattern):
+            write(f"{base}/flowlab-tables/{name}-{key}-{uuid.uuid4().hex[:12]}")
+        return _completed(spark, pattern)[0]
+
+
 def read_flow_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLOW_SCHEMA).parquet(path).select(*FLOW_COLUMNS, *NUM_COLUMNS)
 

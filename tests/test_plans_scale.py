@@ -9,11 +9,11 @@ from flowlab.operators import detectors as R
 from flowlab.operators import filters as B
 from flowlab.operators import joins as J
 from flowlab.operators import quantiles as Q
-from flowlab.operators import rangejoin as RJ
 from flowlab.operators import windows as E
 from flowlab.operators.summary import edge_summary
 from flowlab.sources import fixture_geo_ranges, load_flows
 from tests.conftest import SF_SMALL
+from tests.plan_text import executed
 
 
 def plan(df):
@@ -42,25 +42,6 @@ def test_host_activity_one_aggregate_shuffle(flows):
     assert sum(e.startswith("hashpartitioning") for e in ex) == 1
 
 
-def test_broadcast_geo_lookup_never_shuffles_flows(spark, flows):
-    p = plan(RJ.geo_country(flows, fixture_geo_ranges(spark)))
-    assert not exchanges(p)
-    assert p.count("BroadcastHashJoin") == 2 and "BroadcastExchange" in p
-
-
-def test_shuffle_geo_lookup_never_shuffles_flow_rows(spark, flows):
-    # the distinct addresses are looked up in a separate, checkpointed job; the
-    # answers (one row per address) are measured and broadcast back
-    p = plan(RJ.geo_country(flows, fixture_geo_ranges(spark), force_shuffle=True))
-    assert "NestedLoop" not in p and "Cartesian" not in p
-    assert "Scan ExistingRDD" in p and "BroadcastHashJoin" in p
-    assert not exchanges(p)
-    # above the size limit the answers are joined back with a shuffle join instead
-    p2 = plan(RJ.range_lookup(flows, "dst_ip", fixture_geo_ranges(spark), "cc", "cc",
-                              force_shuffle=True, max_broadcast_rows=0))
-    assert "SortMergeJoin" in p2 or "ShuffledHashJoin" in p2
-
-
 def test_windows_are_bounded(flows):
     assert "Window" not in plan(E.avg_flow_gap(flows))
     p = plan(E.flow_gap(flows))
@@ -78,11 +59,24 @@ def test_quantiles_never_gather_values_in_one_partition(flows):
     assert len(single) <= 1
 
 
-def test_alerts_scan_flows_once(spark, flows):
-    summary = edge_summary(flows)
-    assert exchanges(plan(summary))[0].startswith("hashpartitioning(period")
-    p = plan(R.alerts(flows, fixture_geo_ranges(spark)))
-    assert "FileScan parquet" not in p  # detectors read the checkpointed summary, not the flows
+def test_alerts_is_lazy_and_scans_flows_once(spark, flows):
+    assert exchanges(plan(edge_summary(flows)))[0].startswith("hashpartitioning(period")
+    report = R.alerts(flows, fixture_geo_ranges(spark))
+    p = executed(report)
+    text = plan(report)
+    assert "Expand" in text and "spark_grouping_id" in text
+    # every reader but the first takes the edges from an exchange that exists
+    assert p.count("ReusedExchange") >= 2
+    spark.sparkContext.setJobGroup("build", "")
+    R.alerts(flows, fixture_geo_ranges(spark))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("fn", [R.detect_dns_c2, R.detect_dns_exfil, R.detect_tcp_exfil])
+def test_detectors_with_means_or_second_looks_scan_once(flows, fn):
+    p = executed(fn(flows))
+    assert p.count("ReusedExchange") >= 1 and "Scan ExistingRDD" not in p
 
 
 def test_cidr_filters_reach_the_scan(spark, flows):

@@ -77,9 +77,9 @@ def main() -> None:
     run("host_profile", lambda: R.D.host_profile(flows).collect())
     run("host_activity", lambda: J.host_activity(flows).collect())
     exfil = run("detect_exfiltration", lambda: sorted(r.src_ip for r in R.detect_exfiltration(flows).collect()))
-    run("geo_broadcast", lambda: RJ.geo_country(flows, geo).groupBy("dst_cc").count().collect())
-    run("geo_shuffle", lambda: RJ.geo_country(flows, geo, force_shuffle=True).groupBy("dst_cc").count().collect())
-    run("alerts_summary", lambda: R.alerts(flows, geo).collect())
+    run("geo_per_flow", lambda: RJ.geo_country(flows, geo).groupBy("dst_cc").count().collect())
+    run("geo_per_edge", lambda: RJ.country_edges(flows, geo, measures=("up_bytes",)).groupBy("dst_cc").sum("flow_count").collect())
+    run("alerts", lambda: R.alerts(flows, geo).collect())
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW f AS SELECT * FROM read_parquet('{path}/*/*.parquet', hive_partitioning=true)")
