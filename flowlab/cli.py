@@ -17,14 +17,25 @@ import argparse
 import ast
 import inspect
 
-from .operators import aggregates, detectors, filters, joins, setops, sorts, windows
+from .operators import aggregates, detectors, filters, joins, quantiles, rangejoin, setops, sorts, windows
 
-MODULES = (detectors, aggregates, joins, windows, sorts, setops, filters)
+MODULES = (detectors, aggregates, joins, windows, sorts, setops, filters, rangejoin)
+
+
+def address_blocklist(flows, geo):
+    """Every address that a detector names, with its reasons."""
+    from .sources import blocklist
+    return blocklist(detectors.address_detections(detectors.alerts(flows, geo)))
+
+
+def describe(flows, cols=("up_bytes", "down_bytes")):
+    """Count, mean, std, min, quartiles and max of columns."""
+    return quantiles.describe(flows, cols)
 
 
 def operators() -> dict:
     """Public DataFrame operators taking flows (or flows with countries) first."""
-    found = {}
+    found = {"address_blocklist": address_blocklist, "describe": describe}
     for mod in MODULES:
         for name, fn in inspect.getmembers(mod, inspect.isfunction):
             if name.startswith("_") or fn.__module__ != mod.__name__:
@@ -53,6 +64,7 @@ def main(argv=None) -> None:
     run.add_argument("--test", help="test period file(s)")
     run.add_argument("--geo", help="country ranges (lo, hi, cc), parquet or .csv")
     run.add_argument("--asn", help="organisation ranges (lo, hi, org), parquet or .csv")
+    run.add_argument("--hosts", help="a table of hosts (candidates, servers), parquet or .csv with a header")
     run.add_argument("--net", help="internal prefix, e.g. 10.1.2.")
     run.add_argument("--cidr", help="internal block, e.g. 10.1.2.0/24")
     run.add_argument("--param", action="append", default=[], help="key=value keyword argument")
@@ -67,7 +79,6 @@ def main(argv=None) -> None:
             print(f"{name:32s} {doc}")
         return
 
-    from .operators import rangejoin
     from .session import get_spark
     from .sources import read_asn, read_flows, read_geo, read_periods, write_csv
 
@@ -91,6 +102,10 @@ def main(argv=None) -> None:
             kwargs[name] = value
     if args.asn and "asn" in params:
         kwargs["asn"] = table(args.asn, read_asn)
+    if args.hosts:
+        reader = spark.read.option("header", True).csv if args.hosts.endswith(".csv") else spark.read.parquet
+        hosts = reader(args.hosts)
+        kwargs.update({name: hosts for name in ("candidates", "hosts", "servers") if name in params})
     if args.geo and "geo" in params:
         kwargs["geo"] = table(args.geo, read_geo)
     first = next(iter(params))

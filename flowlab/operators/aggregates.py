@@ -8,6 +8,8 @@ count. Ratios go through ``safe_ratio`` (ANSI stays on).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ COUNTED_COLUMNS = ("timestamp", "dst_ip", "proto", "port", "up_bytes", "down_byt
 
 DNS_PROTO, DNS_PORT = "udp", 53
 
+# Each period is a capture with a clock of its own, so its hours, seconds and
+# hosts are kept apart; ``by=()`` adds the periods up.
+PER_PERIOD = ("period",)
+
 
 def _dns(flows: DataFrame) -> DataFrame:
     return B.proto_port_flows(flows, DNS_PROTO, DNS_PORT)
@@ -89,34 +95,34 @@ def down_up_ratio_443(flows: DataFrame, port: int = 443) -> DataFrame:
     return ratio_by(B.port_flows(flows, port), ["src_ip"], num="down_bytes", den="up_bytes")
 
 
-def histogram(values: DataFrame, col: str, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
-    """``bins`` equal-width bins over ``[min, max]``, last bin closed (Q9).
+def histogram(values: DataFrame, col: str, bins: int = K.HISTOGRAM_BINS, by=()) -> DataFrame:
+    """``bins`` equal-width bins over ``[min, max]``, last bin closed (Q9),
+    for each value of the ``by`` columns if there are any (null is none).
 
-    ``min``/``max`` are two scalars fetched by one aggregate job; bin numbers
-    then use exact integer division on literals, and the empty bins come from
-    a ``bins``-row range joined on the bin number. With min = max the edges are
-    ``min - 0.5 .. max + 0.5`` as in numpy, so every value falls in the middle bin.
+    One lazy plan: the bounds and the binning read the same ``values``, whose
+    aggregate they share, bin numbers are exact integer divisions, and the
+    bounds (one row, or one per ``by`` value) also make the table of edges, on
+    which empty bins appear. With min = max the edges are ``min - 0.5 .. max +
+    0.5`` as in numpy, so every value falls in the middle bin.
     """
-    mn, mx = values.agg(F.min(col), F.max(col)).first()
-    spark = values.sparkSession
-    x = F.col(col)
-    if mn is None:
-        first, width = None, None
-        bin_no = F.lit(None).cast("int")
-    elif mn == mx:
-        first, width = mn - 0.5, 1.0 / bins
-        bin_no = F.lit(bins // 2)
+    x, by = F.col(col), list(by)
+    known = reduce(lambda df, c: df.where(F.col(c).isNotNull()), [*by, col], values).select(*by, col)
+    bounds = known.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
+    if by:
+        bounded = known.join(F.broadcast(bounds), by)  # one row per period
     else:
-        first, width = float(mn), float(mx - mn) / bins
-        bin_no = F.least(idiv((x - F.lit(mn)) * bins, mx - mn), F.lit(bins - 1))
-    counts = (values.where(x.isNotNull()).select(bin_no.cast("int").alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    i = F.col("id")
-    lo = F.lit(first).cast("double") + i * F.lit(width).cast("double")
-    hi = F.lit(first).cast("double") + (i + 1) * F.lit(width).cast("double")
-    edges = spark.range(bins).select(i.cast("int").alias("bin"), lo.alias("lo"), hi.alias("hi"))
-    return edges.join(F.broadcast(counts), "bin", "left").select(
-        "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
+        bounded = known.withColumns({"_mn": bounds.select("_mn").scalar(), "_mx": bounds.select("_mx").scalar()})
+    mn, mx = F.col("_mn"), F.col("_mx")
+    one_value = mn == mx
+    bin_no = F.when(one_value, bins // 2).otherwise(
+        F.least(idiv((x - mn) * bins, F.when(~one_value, mx - mn)), F.lit(bins - 1))).cast("int")
+    counts = bounded.groupBy(*by, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.when(one_value, mn - 0.5).otherwise(mn.cast("double"))
+    width = F.when(one_value, 1.0 / bins).otherwise((mx - mn).cast("double") / bins)
+    i = F.col("bin")
+    edges = bounds.select(*by, first.alias("_first"), width.alias("_width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edges = edges.select(*by, "bin", (F.col("_first") + i * F.col("_width")).alias("lo"), (F.col("_first") + (i + 1) * F.col("_width")).alias("hi"))
+    return edges.join(counts, [*by, "bin"], "left").select(*by, "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def up443_histogram(flows: DataFrame, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
@@ -191,9 +197,9 @@ def internal_services_mean(flows: DataFrame, prefixes=net.RFC1918_PREFIXES) -> D
         F.avg("up_bytes").alias("mean_up"), F.avg("down_bytes").alias("mean_down"))
 
 
-def hourly_bytes(flows: DataFrame) -> DataFrame:
+def hourly_bytes(flows: DataFrame, by=PER_PERIOD) -> DataFrame:
     """Bytes per hour of day (H2)."""
-    return sum_by(flows.withColumn("hour", timeparts.hour_of_day("timestamp")), ["hour"])
+    return sum_by(flows.withColumn("hour", timeparts.hour_of_day("timestamp")), [*by, "hour"])
 
 
 def internal_dst_count(flows: DataFrame, cidr: str = net.DEFAULT_CIDR) -> DataFrame:
@@ -289,9 +295,10 @@ def dns_count_by_src(flows: DataFrame) -> DataFrame:
 
 
 def dns_up_by_src(flows: DataFrame, servers=None, hosts=None) -> DataFrame:
-    """UDP/53 uploaded bytes per source (optionally chosen hosts/resolvers)."""
-    sel = _restrict(_restrict(_dns(flows), "dst_ip", servers), "src_ip", hosts)
-    return sum_by(sel, ["src_ip"], ["up_bytes"])
+    """Uploaded bytes per source by UDP/53 or, where a list of ``servers`` is
+    given, to those servers on any port; optionally of chosen hosts only."""
+    sel = _dns(flows) if servers is None else _restrict(flows, "dst_ip", servers)
+    return sum_by(_restrict(sel, "src_ip", hosts), ["src_ip"], ["up_bytes"])
 
 
 def udp443_bytes_by_src(flows: DataFrame) -> DataFrame:
@@ -324,26 +331,28 @@ def host_profile(flows: DataFrame) -> DataFrame:
     )
 
 
-def bytes_by_minute(flows: DataFrame) -> DataFrame:
-    """Bytes per ``HH:MM`` of day (at most 1,440 groups)."""
-    return sum_by(flows.withColumn("minute", timeparts.minute_of_day("timestamp")), ["minute"])
+def bytes_by_minute(flows: DataFrame, by=PER_PERIOD) -> DataFrame:
+    """Bytes per ``HH:MM`` of day (at most 1,440 groups a period)."""
+    return sum_by(flows.withColumn("minute", timeparts.minute_of_day("timestamp")), [*by, "minute"])
+
+
+def _with_instant(flows: DataFrame, unit: str) -> DataFrame:
+    return flows.withColumn(unit, timeparts.ts_seconds("timestamp") if unit == "second" else F.col("timestamp"))
 
 
-def bytes_by_second(flows: DataFrame, by: str = "second") -> DataFrame:
-    """Uploaded bytes per whole second, or per raw tick (``by='tick'``)."""
-    key = timeparts.ts_seconds("timestamp") if by == "second" else F.col("timestamp")
-    return sum_by(flows.withColumn(by, key), [by], ["up_bytes"])
+def bytes_by_second(flows: DataFrame, unit: str = "second", by=PER_PERIOD) -> DataFrame:
+    """Uploaded bytes per whole second, or per raw tick (``unit='tick'``)."""
+    return sum_by(_with_instant(flows, unit), [*by, unit], ["up_bytes"])
 
 
-def conns_by_second(flows: DataFrame, by: str = "second") -> DataFrame:
+def conns_by_second(flows: DataFrame, unit: str = "second", by=PER_PERIOD) -> DataFrame:
     """Flows per second (or per tick)."""
-    key = timeparts.ts_seconds("timestamp") if by == "second" else F.col("timestamp")
-    return count_by(flows.withColumn(by, key), [by], counted="up_bytes")
+    return count_by(_with_instant(flows, unit), [*by, unit], counted="up_bytes")
 
 
-def up_by_minute(flows: DataFrame) -> DataFrame:
+def up_by_minute(flows: DataFrame, by=PER_PERIOD) -> DataFrame:
     """Uploaded bytes per minute (labelled "connections" there, Q6)."""
-    return sum_by(flows.withColumn("minute", timeparts.minute_of_day("timestamp")), ["minute"], ["up_bytes"])
+    return sum_by(flows.withColumn("minute", timeparts.minute_of_day("timestamp")), [*by, "minute"], ["up_bytes"])
 
 
 def dst_up_with_sources(flows: DataFrame, k: int = K.TOP_DESTINATIONS) -> DataFrame:
@@ -377,14 +386,14 @@ def country_bytes(flows_cc: DataFrame, countries=K.TRANSFER_COUNTRIES) -> DataFr
     return sum_by(flows_cc.where(F.col("dst_cc").isin(*countries)), ["src_ip"], ["up_bytes"])
 
 
-def internet_bytes_by_src(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def internet_bytes_by_src(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, by=PER_PERIOD) -> DataFrame:
     """D46."""
-    return sum_by(B.to_internet_flows(flows, net_prefix), ["src_ip"])
+    return sum_by(B.to_internet_flows(flows, net_prefix), [*by, "src_ip"])
 
 
-def internet_flows_by_src(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
+def internet_flows_by_src(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, by=PER_PERIOD) -> DataFrame:
     """D47."""
-    return count_by(B.to_internet_flows(flows, net_prefix), ["src_ip"], name="counts")
+    return count_by(B.to_internet_flows(flows, net_prefix), [*by, "src_ip"], name="counts")
 
 
 def country_count(flows_cc: DataFrame) -> DataFrame:
@@ -392,9 +401,9 @@ def country_count(flows_cc: DataFrame) -> DataFrame:
     return flows_cc.agg(F.count_distinct("dst_cc").alias("n_countries"))
 
 
-def upload_histogram_time(flows: DataFrame, bins: int = K.HISTOGRAM_BINS) -> DataFrame:
+def upload_histogram_time(flows: DataFrame, bins: int = K.HISTOGRAM_BINS, by=PER_PERIOD) -> DataFrame:
     """Histogram of the per-tick upload sums."""
-    return histogram(bytes_by_second(flows, by="tick"), "up_bytes", bins)
+    return histogram(bytes_by_second(flows, unit="tick", by=by), "up_bytes", bins, by=by)
 
 
 def address_quarantine(flows: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ def detect_new_countries(flows_cc: DataFrame) -> DataFrame:
 def discover_servers(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = K.TOP_SERVERS,
                      period: str | None = TEST) -> DataFrame:
     """The k busiest internal addresses by total activity."""
-    return J.host_activity(B.in_period(flows, period), net_prefix).limit(k)
+    return J.host_activity(B.in_period(flows, period), net_prefix, by=()).limit(k)
 
 
 def server_roles(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: int = K.TOP_SERVERS,

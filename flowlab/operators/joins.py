@@ -36,14 +36,14 @@ def _endpoints(flows: DataFrame, net_prefix: str, extra=()) -> DataFrame:
             .where(F.col("ip").isNotNull()))
 
 
-def host_activity(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
-    """Flows per internal address as source plus as destination.
+def host_activity(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, by=("period",)) -> DataFrame:
+    """Flows per period and internal address as source plus as destination.
 
     Equals the reference's full outer join of the two counts with missing
     sides 0, in one aggregate instead of two aggregates and a join.
     """
-    return (_endpoints(flows, net_prefix).groupBy("ip").agg(n_flows(flows).alias("flows"))
-            .orderBy(F.col("flows").desc(), "ip"))
+    return (_endpoints(flows, net_prefix, extra=by).groupBy(*by, "ip").agg(n_flows(flows).alias("flows"))
+            .orderBy(*by, F.col("flows").desc(), "ip"))
 
 
 def host_activity_by_period(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
@@ -61,14 +61,15 @@ def top_hosts_compare(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, k: in
 
 
 def flows_to_known_hosts(flows: DataFrame, hosts: DataFrame, host_col: str = "ip",
-                         name: str = "counts") -> DataFrame:
-    """Flows whose destination is in a computed host set, per source.
+                         name: str = "counts", by=("period",)) -> DataFrame:
+    """Flows whose destination is in a computed host set, per source; with
+    ``by`` each period has its own set (``hosts`` then has those columns too).
 
     A left semi join; AQE turns it into a broadcast only if the host set's
     measured size allows.
     """
-    h = hosts.select(F.col(host_col).alias("dst_ip")).distinct()
-    return (flows.join(h, "dst_ip", "left_semi").groupBy("src_ip")
+    h = hosts.select(*by, F.col(host_col).alias("dst_ip")).distinct()
+    return (flows.join(h, [*by, "dst_ip"], "left_semi").groupBy(*by, "src_ip")
             .agg(n_flows(flows).alias(name)))
 
 
@@ -103,9 +104,9 @@ def server_contact_growth(flows: DataFrame, net_prefix: str = net.DEFAULT_NET,
     return agg.withColumn("increase", arith.pct_increase("counts", "counts_test"))
 
 
-def bytes_with_counts(flows: DataFrame, net_prefix: str = net.DEFAULT_NET) -> DataFrame:
-    """Bytes and flow counts to the internet per source, with averages."""
-    agg = B.to_internet_flows(flows, net_prefix).groupBy("src_ip").agg(
+def bytes_with_counts(flows: DataFrame, net_prefix: str = net.DEFAULT_NET, by=("period",)) -> DataFrame:
+    """Bytes and flow counts to the internet per period and source, with averages."""
+    agg = B.to_internet_flows(flows, net_prefix).groupBy(*by, "src_ip").agg(
         F.sum("up_bytes").alias("up_bytes"), F.sum("down_bytes").alias("down_bytes"),
         n_flows(flows).alias("counts"))
     return agg.select("*", arith.per_flow("up_bytes", "counts").alias("avg_up_bytes"),
@@ -149,7 +150,24 @@ def period_internet_totals(flows: DataFrame, net_prefix: str = net.DEFAULT_NET)
         arith.per_flow("down_test", "counts_test").alias("avg_down_bytes_test"))
 
 
+def _asked(ips: DataFrame, ip_col: str) -> DataFrame:
+    return ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct().withColumn("ptr_name", net.ptr_name("ip"))
+
+
+def _one_per_name(dns_cache: DataFrame) -> DataFrame:
+    """A cache appended to over time may hold a name twice: the smallest host counts,
+    a host before none."""
+    return dns_cache.groupBy("ptr_name").agg(F.min("host").alias("host"))
+
+
 def reverse_dns(ips: DataFrame, dns_cache: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """Address -> PTR host from a cached lookup table (left join on H6)."""
-    keyed = ips.select(F.col(ip_col).alias("ip")).distinct().withColumn("ptr_name", net.ptr_name("ip"))
-    return keyed.join(dns_cache.select("ptr_name", "host"), "ptr_name", "left").select("ip", "host")
+    """Every distinct address with the PTR host a cached lookup table has for
+    it (left join on H6); null where the cache has none, or knows there is none."""
+    return _asked(ips, ip_col).join(_one_per_name(dns_cache), "ptr_name", "left").select("ip", "host")
+
+
+def dns_misses(ips: DataFrame, dns_cache: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """The distinct addresses still to be resolved, ``(ip, ptr_name)``: not in
+    the cache (a name the cache knows to have no host is not asked again). An
+    anti join; Spark's runtime filters apply where they are enabled."""
+    return _asked(ips, ip_col).join(dns_cache.select("ptr_name"), "ptr_name", "left_anti").select("ip", "ptr_name")

@@ -6,9 +6,9 @@ order (``flow_id``), first gap 0, and averages over all n flows (Q7).
 A plain ``Window.partitionBy('src_ip')`` puts all flows of a source into one
 task; one busy host can hold a third of the data. E1 therefore windows over
 ``(period, src_ip, flow_id div bucket_size)``: no window partition holds more than
-``bucket_size`` flows. The first flow of each bucket takes its predecessor
-from the last flow of the source's previous non-empty bucket, found on a
-per-bucket summary (one row per source and bucket).
+``bucket_size`` flows. The last timestamp of the source's previous non-empty
+bucket, found on a per-bucket summary (one row per source and bucket), is
+carried into each bucket as its opening row: a segmented scan.
 
 E2 needs no window at all: the gaps telescope, so their sum is
 ``ts(last flow) - ts(first flow)`` in flow_id order, and
@@ -44,15 +44,18 @@ def flow_gap(flows: DataFrame, order_by: str = "flow_id", bucket_size: int | Non
     else:
         key = F.col("flow_id")
         bucket = idiv("flow_id", bucket_size)
-    f = flows.select("flow_id", "period", "src_ip", "timestamp", bucket.alias("_b"), key.alias("_k"))
+    f = flows.select("flow_id", "period", "src_ip", "timestamp", bucket.alias("_b"), key.alias("_k"), F.lit(1).alias("_flow"))
+    # the last timestamp before each bucket opens it as an extra row, so the flows
+    # are exchanged once and nothing is joined back onto them
     last_in_bucket = f.groupBy("period", "src_ip", "_b").agg(F.max_by("timestamp", "_k").alias("_last"))
-    prev_bucket = Window.partitionBy("period", "src_ip").orderBy("_b")
-    carry = last_in_bucket.select("period", "src_ip", "_b", F.lag("_last").over(prev_bucket).alias("_carry"))
-    in_bucket = Window.partitionBy("period", "src_ip", "_b").orderBy("_k")
-    prev = F.coalesce(F.lag("timestamp").over(in_bucket), F.col("_carry"))
-    return (f.join(carry, ["period", "src_ip", "_b"], "left")
-            .select("flow_id", "period", "src_ip",
-                    F.coalesce(F.col("timestamp") - prev, F.lit(0)).alias("gap")))
+    earlier = Window.partitionBy("period", "src_ip").orderBy("_b")
+    carried = last_in_bucket.withColumn("timestamp", F.lag("_last").over(earlier)).where(F.col("timestamp").isNotNull())
+    opening = carried.select(F.lit(None).cast("bigint").alias("flow_id"), "period", "src_ip", "timestamp", "_b",
+                             F.lit(None).cast(f.schema["_k"].dataType).alias("_k"), F.lit(0).alias("_flow"))
+    in_bucket = Window.partitionBy("period", "src_ip", "_b").orderBy("_flow", "_k")
+    gap = F.coalesce(F.col("timestamp") - F.lag("timestamp").over(in_bucket), F.lit(0))
+    return (f.unionByName(opening).withColumn("gap", gap).where(F.col("_flow") == 1)
+            .select("flow_id", "period", "src_ip", "gap"))
 
 
 def avg_flow_gap(flows: DataFrame, order_by: str = "flow_id") -> DataFrame:

@@ -25,8 +25,10 @@ from ..operators import setops as G
 from ..operators import sorts as S
 from ..operators import windows as E
 from ..schema import BASELINE, NUM_COLUMNS, TEST
-from ..sources import (blocklist, derived_range_files, detections, fixture_asn_ranges, fixture_dns_cache,
-                       fixture_geo_ranges, load_flows, read_asn, read_geo)
+from ..sources import (blocklist, derived_dns_cache, derived_flow_files, derived_range_files, detections,
+                       fixture_asn_ranges, fixture_geo_ranges, load_flows, read_asn, read_dns_cache, read_flows, read_geo,
+                       read_periods)
+from ..sources.store import flows_table_path
 
 # Fixed parameters of the registered queries (the reference picks hosts by eye).
 PEER_SUSPECTS = ("192.168.109.4", "192.168.109.12", "192.168.109.18")
@@ -78,22 +80,28 @@ def edges_cc(spark, sf, *measures: str, period: str | None = None) -> DataFrame:
     return RJ.country_edges(B.in_period(flows(spark, sf), period), fixture_geo_ranges(spark), measures=measures)
 
 
-def period_test_flows(spark, sf) -> DataFrame:
-    return B.in_period(flows(spark, sf), TEST)
-
-
 # --- A: sources and sinks ------------------------------------------------------
 
 @query("flow_scan")
 def _a1(spark, sf):
-    return flows(spark, sf)
+    """A1 on the stored dataset, partitioned by period."""
+    return read_flows(spark, flows_table_path(spark, sf))
+
+
+@query("file_order_scan")
+def _a1b(spark, sf):
+    """A1 on several files without ids: positions in file order, for each period."""
+    baseline, test = derived_flow_files(spark, sf)
+    return read_flows(spark, baseline, BASELINE).unionByName(read_flows(spark, test, TEST))
 
 
 @query("period_scan")
 def _a2(spark, sf):
+    """A2: two periods of several files each as one frame; the last position shows
+    that the files' rows are numbered through."""
     # min/max ticks rather than a tick sum: a sum of ticks overflows BIGINT at 10^12 flows
-    return flows(spark, sf).groupBy("period").agg(
-        F.count(F.lit(1)).alias("flows"), F.sum("up_bytes").alias("up_bytes"),
+    return read_periods(spark, *derived_flow_files(spark, sf)).groupBy("period").agg(
+        F.count(F.lit(1)).alias("flows"), F.max("flow_id").alias("last_position"), F.sum("up_bytes").alias("up_bytes"),
         F.sum("down_bytes").alias("down_bytes"), F.min("timestamp").alias("first_tick"),
         F.max("timestamp").alias("last_tick"))
 
@@ -101,13 +109,16 @@ def _a2(spark, sf):
 @query("csv_sink")
 def _a5(spark, sf):
     """A5: R16's distinct new-country flows written as CSV to the shared
-    folder and read back (header, '\\N' for null, '' kept)."""
+    folder and read back (header, '\\N' for null, '' kept); the folder goes when
+    the application ends."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
     from ..sources import read_csv_result, write_csv
+    from ..sources.store import delete_at_end
     out = G.new_country_flows(edges_cc(spark, sf))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlab-out/new_country_ips-{uuid.uuid4().hex[:12]}"
+    delete_at_end(spark, path)
     write_csv(out, path)
     return read_csv_result(spark, path, out.schema)
 
@@ -240,13 +251,13 @@ def _j3(spark, sf):
 
 @query("flows_to_known_hosts")
 def _j4(spark, sf):
-    t = period_test_flows(spark, sf)
-    return J.flows_to_known_hosts(t, J.host_activity(t))
+    f = flows(spark, sf)
+    return J.flows_to_known_hosts(f, J.host_activity(f))
 
 
 @query("bytes_with_counts")
 def _j5(spark, sf):
-    return J.bytes_with_counts(period_test_flows(spark, sf))
+    return J.bytes_with_counts(flows(spark, sf))
 
 
 @query("geo_country")
@@ -286,8 +297,14 @@ def _j9(spark, sf):
 
 @query("reverse_dns")
 def _j10(spark, sf):
-    f = flows(spark, sf)
-    return J.reverse_dns(f.select(F.col("dst_ip").alias("ip")), fixture_dns_cache(f))
+    cache = read_dns_cache(spark, derived_dns_cache(spark, sf))
+    return J.reverse_dns(flows(spark, sf), cache, "dst_ip")
+
+
+@query("dns_misses")
+def _j10b(spark, sf):
+    """The destinations a resolver still has to be asked for."""
+    return J.dns_misses(flows(spark, sf), read_dns_cache(spark, derived_dns_cache(spark, sf)), "dst_ip")
 
 
 # --- D: aggregates -------------------------------------------------------------
@@ -471,6 +488,13 @@ def _d35(spark, sf):
     return D.dns_up_by_src(flows(spark, sf))
 
 
+@query("server_up_by_src")
+def _d35b(spark, sf):
+    """D35 with a list of resolvers: upload to them on any port."""
+    f = flows(spark, sf)
+    return D.dns_up_by_src(f, servers=D.resolvers(f), hosts=DNS_SUSPECTS)
+
+
 @query("udp443_bytes_by_src")
 def _d36(spark, sf):
     return D.udp443_bytes_by_src(flows(spark, sf))
@@ -496,6 +520,16 @@ def _d40(spark, sf):
     return D.conns_by_second(flows(spark, sf))
 
 
+@query("bytes_by_tick")
+def _d39b(spark, sf):
+    return D.bytes_by_second(flows(spark, sf), unit="tick")
+
+
+@query("conns_by_tick")
+def _d40b(spark, sf):
+    return D.conns_by_second(flows(spark, sf), unit="tick")
+
+
 @query("up_by_minute")
 def _d41(spark, sf):
     return D.up_by_minute(flows(spark, sf))
@@ -557,7 +591,7 @@ def _e2(spark, sf):
 
 @query("sort_desc")
 def _f1(spark, sf):
-    return S.sort_desc(D.internet_bytes_by_src(flows(spark, sf)), "up_bytes", ["src_ip"])
+    return S.sort_desc(D.internet_bytes_by_src(flows(spark, sf)), "up_bytes", ["period", "src_ip"])
 
 
 @query("top_k_hosts")
@@ -612,6 +646,11 @@ def _g3(spark, sf):
     return G.new_country_sources(edges_cc(spark, sf))
 
 
+@query("new_country_source_ips")
+def _g3b(spark, sf):
+    return G.new_country_source_ips(edges_cc(spark, sf))
+
+
 @query("country_list_diff")
 def _g4(spark, sf):
     test, baseline = G.country_lists(edges_cc(spark, sf, "first_flow_id"))

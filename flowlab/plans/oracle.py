@@ -48,6 +48,12 @@ ENDPOINTS = """endpoints AS (
     SELECT dst_ip AS ip, period FROM flows WHERE starts_with(dst_ip, '192.168.109.')
   )"""
 
+DESTINATIONS = """destinations AS (
+    SELECT dst_ip, CAST(split_part(dst_ip, '.', 1) AS BIGINT) AS a, CAST(split_part(dst_ip, '.', 3) AS BIGINT) AS c,
+           CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS d
+    FROM (SELECT DISTINCT dst_ip FROM flows)
+  )"""
+
 # J9 per-source comparison
 PERIOD_COMPARE = f"""pc_agg AS (
     SELECT src_ip,
@@ -111,21 +117,22 @@ ORG_SQL = f"""{ASN_SQL},
   )"""
 
 
-def _hist(values_cte: str, col: str, bins: int = 10) -> str:
+def _hist(values_cte: str, col: str, bins: int = 10, by: str | None = None) -> str:
     """D6/D49 in SQL: ``values_cte`` defines ``vals``; returns the full query."""
-    body = f"""SELECT e.bin, round(e.lo, 6) AS lo, round(e.hi, 6) AS hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-FROM edges e LEFT JOIN cnt c ON e.bin = c.bin"""
+    key = by or "0"
+    body = f"""SELECT {f'e.k AS {by}, ' if by else ''}e.bin, round(e.lo, 6) AS lo, round(e.hi, 6) AS hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM edges e LEFT JOIN cnt c ON e.bin = c.bin AND e.k = c.k"""
     ctes = [
         values_cte,
-        f"st AS (SELECT min({col}) AS mn, max({col}) AS mx FROM vals)",
+        f"st AS (SELECT {key} AS k, min({col}) AS mn, max({col}) AS mx FROM vals GROUP BY ALL)",
         f"""binned AS (
-    SELECT CASE WHEN st.mn = st.mx THEN {bins // 2}
+    SELECT st.k, CASE WHEN st.mn = st.mx THEN {bins // 2}
                 ELSE least(((v.{col} - st.mn) * {bins}) // (st.mx - st.mn), {bins - 1}) END AS bin
-    FROM vals v, st WHERE v.{col} IS NOT NULL
+    FROM vals v JOIN st ON {'v.' + by if by else '0'} = st.k WHERE v.{col} IS NOT NULL
   )""",
-        "cnt AS (SELECT bin, count(*) AS n FROM binned GROUP BY bin)",
+        "cnt AS (SELECT k, bin, count(*) AS n FROM binned GROUP BY k, bin)",
         f"""edges AS (
-    SELECT CAST(i AS INTEGER) AS bin,
+    SELECT st.k, CAST(i AS INTEGER) AS bin,
       CASE WHEN st.mn = st.mx THEN st.mn - 0.5 ELSE CAST(st.mn AS DOUBLE) END
         + i * (CASE WHEN st.mn = st.mx THEN 1.0 ELSE CAST(st.mx - st.mn AS DOUBLE) END / {bins}) AS lo,
       CASE WHEN st.mn = st.mx THEN st.mn - 0.5 ELSE CAST(st.mn AS DOUBLE) END
@@ -161,8 +168,11 @@ def _describe() -> str:
 ORACLE: dict[str, str] = {
     # A
     "flow_scan": with_flows(f"SELECT {FLOW_COLS} FROM flows"),
+    "file_order_scan": with_flows(
+        f"""SELECT * REPLACE (row_number() OVER (PARTITION BY period ORDER BY flow_id) - 1 AS flow_id)
+           FROM (SELECT {FLOW_COLS} FROM flows)"""),
     "period_scan": with_flows(
-        "SELECT period, count(*) AS flows, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, "
+        "SELECT period, count(*) AS flows, count(*) - 1 AS last_position, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, "
         "CAST(sum(down_bytes) AS BIGINT) AS down_bytes, min(timestamp) AS first_tick, max(timestamp) AS last_tick "
         "FROM flows GROUP BY period"),
     # B
@@ -189,7 +199,7 @@ ORACLE: dict[str, str] = {
     "time_range": with_flows(
         f"SELECT {FLOW_COLS} FROM flows WHERE timestamp // 100 > 80000 AND timestamp // 100 < 90000"),
     "having_threshold": with_flows(
-        f"SELECT src_ip, count(*) AS counts FROM flows WHERE {INTERNET} GROUP BY src_ip HAVING count(*) > 100"),
+        f"SELECT period, src_ip, count(*) AS counts FROM flows WHERE {INTERNET} GROUP BY ALL HAVING count(*) > 100"),
     "project_columns": with_flows_cc("SELECT src_ip, dst_ip, dst_cc FROM flows_cc"),
     "rename_agg": with_flows(
         "SELECT src_ip, count(*) AS counts FROM flows WHERE starts_with(src_ip, '192.168.109.') GROUP BY src_ip"),
@@ -200,7 +210,7 @@ ORACLE: dict[str, str] = {
                       WHERE proto = 'udp' AND port = 443 GROUP BY src_ip) u ON h.src_ip = u.src_ip"""),
     "drop_null_cc": with_flows_cc("SELECT flow_id, dst_cc FROM flows_cc WHERE dst_cc IS NOT NULL"),
     # J
-    "host_activity": with_flows("SELECT ip, count(*) AS flows FROM endpoints GROUP BY ip", ENDPOINTS),
+    "host_activity": with_flows("SELECT period, ip, count(*) AS flows FROM endpoints GROUP BY period, ip", ENDPOINTS),
     "top_hosts_compare": with_flows(
         """SELECT ip, counts_normal, counts_test FROM (
              SELECT ip, count(*) FILTER (WHERE period = 'baseline') AS counts_normal,
@@ -210,14 +220,13 @@ ORACLE: dict[str, str] = {
     "server_contact_growth": with_flows(
         "SELECT src_ip, counts, counts_test, round(increase, 6) AS increase FROM growth_pct", GROWTH),
     "flows_to_known_hosts": with_flows(
-        """SELECT src_ip, count(*) AS counts FROM flows
-           WHERE period = 'test' AND dst_ip IN (SELECT ip FROM endpoints WHERE period = 'test')
-           GROUP BY src_ip""", ENDPOINTS),
+        """SELECT period, src_ip, count(*) AS counts FROM flows
+           WHERE (period, dst_ip) IN (SELECT (period, ip) FROM endpoints) GROUP BY period, src_ip""", ENDPOINTS),
     "bytes_with_counts": with_flows(
-        f"""SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes,
+        f"""SELECT period, src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes,
                   count(*) AS counts, round(sum(up_bytes) / count(*), 6) AS avg_up_bytes,
                   round(sum(down_bytes) / count(*), 6) AS avg_down_bytes
-           FROM flows WHERE period = 'test' AND {INTERNET} GROUP BY src_ip"""),
+           FROM flows WHERE {INTERNET} GROUP BY period, src_ip"""),
     "geo_country": with_flows(
         f"""SELECT flow_id, dst_ip, CASE WHEN num BETWEEN {NET_LO} AND {NET_HI} THEN NULL ELSE coalesce(cc, '') END AS dst_cc
            FROM (SELECT flow_id, dst_ip, {ip_num_sql('dst_ip')} AS num FROM flows) LEFT JOIN pieces ON num BETWEEN lo AND hi""", NESTED_SQL),
@@ -236,10 +245,11 @@ ORACLE: dict[str, str] = {
                   round(avg_up_bytes_test, 6) AS avg_up_bytes_test,
                   round(avg_down_bytes_test, 6) AS avg_down_bytes_test FROM pc""", PERIOD_COMPARE),
     "reverse_dns": with_flows(
-        """SELECT d.dst_ip AS ip,
-                  CASE WHEN CAST(split_part(d.dst_ip, '.', 1) AS BIGINT) % 2 = 0
-                       THEN 'h' || replace(d.dst_ip, '.', '-') || '.example' END AS host
-           FROM (SELECT DISTINCT dst_ip FROM flows) d"""),
+        """SELECT dst_ip AS ip, CASE WHEN a % 2 = 0 AND c % 5 <> 3 THEN 'h' || replace(dst_ip, '.', '-') || '.example'
+ END AS host FROM destinations""", DESTINATIONS),
+    "dns_misses": with_flows(
+        """SELECT dst_ip AS ip, array_to_string(list_reverse(string_split(dst_ip, '.')), '.') || '.in-addr.arpa' AS ptr_name
+           FROM destinations WHERE a % 2 = 1""", DESTINATIONS),
     # D
     "udp_count_by_src": with_flows(
         "SELECT src_ip, count(up_bytes) AS n FROM flows WHERE proto = 'udp' GROUP BY src_ip"),
@@ -273,8 +283,8 @@ ORACLE: dict[str, str] = {
              SELECT sum(up_bytes) AS u, sum(down_bytes) AS d FROM flows WHERE {RFC1918_SQL}
              GROUP BY dst_ip, port)"""),
     "hourly_bytes": with_flows(
-        f"""SELECT {HOUR} AS hour, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
-                  CAST(sum(down_bytes) AS BIGINT) AS down_bytes FROM flows GROUP BY 1"""),
+        f"""SELECT period, {HOUR} AS hour, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
+                  CAST(sum(down_bytes) AS BIGINT) AS down_bytes FROM flows GROUP BY ALL"""),
     "internal_dst_count": with_flows(
         f"SELECT dst_ip, count(proto) AS n FROM flows WHERE NOT ({PUB}) GROUP BY dst_ip"),
     "internal_fanout": with_flows(
@@ -314,6 +324,9 @@ ORACLE: dict[str, str] = {
     "dns_count_by_src": with_flows(f"SELECT src_ip, count(up_bytes) AS n FROM flows WHERE {DNS} GROUP BY src_ip"),
     "dns_up_by_src": with_flows(
         f"SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows WHERE {DNS} GROUP BY src_ip"),
+    "server_up_by_src": with_flows(
+        f"""SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows
+           WHERE dst_ip IN ({RESOLVERS}) AND src_ip IN {_in(DNS_SUSPECTS)} GROUP BY src_ip"""),
     "udp443_bytes_by_src": with_flows(
         """SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
            FROM flows WHERE proto = 'udp' AND port = 443 GROUP BY src_ip"""),
@@ -329,14 +342,17 @@ ORACLE: dict[str, str] = {
                   round(count(*) FILTER (WHERE proto = 'tcp') / count(*), 6) AS tcp_share
            FROM flows GROUP BY src_ip"""),
     "bytes_by_minute": with_flows(
-        f"""SELECT {MINUTE} AS minute, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
-                  CAST(sum(down_bytes) AS BIGINT) AS down_bytes FROM flows GROUP BY 1"""),
+        f"""SELECT period, {MINUTE} AS minute, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
+                  CAST(sum(down_bytes) AS BIGINT) AS down_bytes FROM flows GROUP BY ALL"""),
     "bytes_by_second": with_flows(
-        "SELECT timestamp // 100 AS second, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY 1"),
+        "SELECT period, timestamp // 100 AS second, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY ALL"),
+    "bytes_by_tick": with_flows(
+        "SELECT period, timestamp AS tick, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY ALL"),
     "conns_by_second": with_flows(
-        "SELECT timestamp // 100 AS second, count(up_bytes) AS n FROM flows GROUP BY 1"),
+        "SELECT period, timestamp // 100 AS second, count(up_bytes) AS n FROM flows GROUP BY ALL"),
+    "conns_by_tick": with_flows("SELECT period, timestamp AS tick, count(up_bytes) AS n FROM flows GROUP BY ALL"),
     "up_by_minute": with_flows(
-        f"SELECT {MINUTE} AS minute, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY 1"),
+        f"SELECT period, {MINUTE} AS minute, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY ALL"),
     "dst_up_with_sources": with_flows(
         """SELECT DISTINCT f.dst_ip, t.up_bytes, f.src_ip FROM flows f JOIN (
              SELECT dst_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY dst_ip
@@ -349,10 +365,10 @@ ORACLE: dict[str, str] = {
         "SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows_cc "
         "WHERE dst_cc IN ('CN', 'RU') GROUP BY src_ip"),
     "internet_bytes_by_src": with_flows(
-        f"""SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
-           FROM flows WHERE {INTERNET} GROUP BY src_ip"""),
+        f"""SELECT period, src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
+           FROM flows WHERE {INTERNET} GROUP BY ALL"""),
     "internet_flows_by_src": with_flows(
-        f"SELECT src_ip, count(*) AS counts FROM flows WHERE {INTERNET} GROUP BY src_ip"),
+        f"SELECT period, src_ip, count(*) AS counts FROM flows WHERE {INTERNET} GROUP BY ALL"),
     "country_count": with_flows_cc("SELECT count(DISTINCT dst_cc) AS n_countries FROM flows_cc"),
     # E
     "flow_gap": with_flows(
@@ -365,31 +381,34 @@ ORACLE: dict[str, str] = {
              FROM flows) GROUP BY period, src_ip"""),
     # F
     "sort_desc": with_flows(
-        f"""SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
-           FROM flows WHERE {INTERNET} GROUP BY src_ip ORDER BY up_bytes DESC, src_ip"""),
+        f"""SELECT period, src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes, CAST(sum(down_bytes) AS BIGINT) AS down_bytes
+           FROM flows WHERE {INTERNET} GROUP BY ALL ORDER BY up_bytes DESC, period, src_ip"""),
     "top_k_hosts": with_flows(
-        "SELECT ip, count(*) AS flows FROM endpoints GROUP BY ip ORDER BY flows DESC, ip LIMIT 10", ENDPOINTS),
+        """SELECT period, ip, count(*) AS flows FROM endpoints GROUP BY period, ip
+           QUALIFY row_number() OVER (PARTITION BY period ORDER BY flows DESC, ip) <= 10""", ENDPOINTS),
     "tail_k": with_flows(
         f"SELECT src_ip, count(up_bytes) AS n FROM flows WHERE {DNS} GROUP BY src_ip ORDER BY n DESC, src_ip LIMIT 5"),
     "peak_hour": with_flows(
-        f"""SELECT * FROM (SELECT 'up_bytes' AS metric, hour FROM hourly ORDER BY up DESC, hour LIMIT 1)
+        """SELECT period, 'up_bytes' AS metric, arg_max(hour, (up, -CAST(hour AS INTEGER))) AS hour FROM hourly GROUP BY period
            UNION ALL
-           SELECT * FROM (SELECT 'down_bytes' AS metric, hour FROM hourly ORDER BY down DESC, hour LIMIT 1)""",
-        f"hourly AS (SELECT {HOUR} AS hour, sum(up_bytes) AS up, sum(down_bytes) AS down FROM flows GROUP BY 1)"),
+           SELECT period, 'down_bytes', arg_max(hour, (down, -CAST(hour AS INTEGER))) FROM hourly GROUP BY period""",
+        f"hourly AS (SELECT period, {HOUR} AS hour, sum(up_bytes) AS up, sum(down_bytes) AS down FROM flows GROUP BY ALL)"),
     "last_entries": with_flows(f"SELECT {FLOW_COLS} FROM flows ORDER BY flow_id DESC LIMIT 10"),
     "preview": with_flows(
         """SELECT src_ip, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows WHERE port = 443
            GROUP BY src_ip ORDER BY up_bytes DESC, src_ip LIMIT 5"""),
     "skip_first_n": with_flows(
-        f"""SELECT {MINUTE} AS minute, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
-                  CAST(sum(down_bytes) AS BIGINT) AS down_bytes FROM flows GROUP BY 1 ORDER BY minute OFFSET 500"""),
+        f"""SELECT period, {MINUTE} AS minute, CAST(sum(up_bytes) AS BIGINT) AS up_bytes,
+                  CAST(sum(down_bytes) AS BIGINT) AS down_bytes FROM flows GROUP BY 1, 2
+           QUALIFY row_number() OVER (PARTITION BY period ORDER BY minute) > 500"""),
     "last_seconds": with_flows(
-        """SELECT timestamp // 100 AS second, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows
-           GROUP BY 1 ORDER BY second DESC LIMIT 60"""),
+        """SELECT period, timestamp // 100 AS second, CAST(sum(up_bytes) AS BIGINT) AS up_bytes FROM flows GROUP BY 1, 2
+           QUALIFY row_number() OVER (PARTITION BY period ORDER BY second DESC) <= 60"""),
     # G
     "new_countries": with_flows_cc("SELECT dst_cc FROM new_cc", NEW_COUNTRY),
     "new_country_flows": with_flows_cc("SELECT src_ip, dst_ip, dst_cc FROM new_cc_flows", NEW_COUNTRY),
     "new_country_sources": with_flows_cc("SELECT DISTINCT src_ip, dst_cc FROM new_cc_flows", NEW_COUNTRY),
+    "new_country_source_ips": with_flows_cc("SELECT DISTINCT src_ip FROM new_cc_flows", NEW_COUNTRY),
     "country_list_diff": with_flows_cc(
         """SELECT dst_cc AS cc, min(flow_id) AS first_flow_id FROM flows_cc
            WHERE period = 'test' AND dst_cc IS NOT NULL
@@ -505,7 +524,7 @@ ORACLE: dict[str, str] = {
 ORACLE["up443_histogram"] = _hist(
     "vals AS (SELECT src_ip, sum(up_bytes) AS up_bytes FROM flows WHERE port = 443 GROUP BY src_ip)", "up_bytes")
 ORACLE["upload_histogram_time"] = _hist(
-    "vals AS (SELECT timestamp, sum(up_bytes) AS up_bytes FROM flows GROUP BY timestamp)", "up_bytes")
+    "vals AS (SELECT period, timestamp, sum(up_bytes) AS up_bytes FROM flows GROUP BY ALL)", "up_bytes", by="period")
 
 
 def _alert(rule: str, metric: str, threshold: float, rows: str, subject: str = "src_ip", detail: str = "NULL") -> str:

@@ -7,7 +7,7 @@ directory gets partition pruning for free when a query filters on ``period``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import idiv
@@ -19,40 +19,52 @@ def read_flows(spark: SparkSession, path: str, period: str | None = None) -> Dat
     """A1: scan a flow Parquet dataset, its columns cast to the flow schema.
 
     A directory written with ``partitionBy('period')`` keeps its partition
-    column; a single-period file gets ``period`` as a literal.
+    column; single-period files get ``period`` as a literal. Files without
+    ``flow_id`` get it from their order (``with_file_order``).
     """
-    reader = spark.read
-    if period is None:
-        df = reader.parquet(path)
-        missing = [c for c in FLOW_COLUMNS if c not in df.columns]
-        if missing:
-            raise ValueError(f"flow dataset {path} lacks columns {missing}")
-        return df.select(*FLOW_COLUMNS, *[c for c in NUM_COLUMNS if c in df.columns])
-    present = set(reader.parquet(path).columns)  # footer only
-    if "flow_id" in present:
-        # read as stored, then cast: writers differ in integer widths
-        df = reader.parquet(path).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FLOW_FILE_SCHEMA.fields])
-    else:
-        df = _with_file_order_id(reader, path, present)
-    return df.withColumn("period", F.lit(period)).select(*FLOW_COLUMNS)
-
-
-# Where pandas keeps a frame's row index in Parquet, in order of preference.
+    df = spark.read.parquet(path)
+    present = set(df.columns)
+    if period is None and "period" not in present:
+        raise ValueError(f"flow dataset {path} lacks columns ['period']")
+    fields = [f for f in FLOW_FILE_SCHEMA.fields if f.name != "flow_id"]
+    missing = [f.name for f in fields if f.name not in present]
+    if missing:
+        raise ValueError(f"flow dataset {path} lacks columns {missing}")
+    if "flow_id" not in present:
+        index = next((c for c in PANDAS_INDEX_COLUMNS if c in present), None)
+        if index and len(df.inputFiles()) == 1:
+            df = df.withColumn("flow_id", F.col(index))
+        else:
+            df = with_file_order(df, "flow_id", by=[] if period is not None else ["period"])
+    df = df.withColumn("period", F.lit(period)) if period is not None else df
+    # read as stored, then cast: writers differ in integer widths
+    cols = [F.col("flow_id").cast("bigint").alias("flow_id"), "period", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]]
+    return df.select(*cols, *[c for c in NUM_COLUMNS if c in present]).select(*FLOW_COLUMNS, *[c for c in NUM_COLUMNS if c in present])
+
+
+# Where pandas keeps a frame's row index in Parquet, in order of preference. It
+# numbers the rows of one file, so it serves where there is one.
 PANDAS_INDEX_COLUMNS = ("__index_level_0__", "index")
 
 
-def _with_file_order_id(reader, path: str, present: set[str]) -> DataFrame:
-    """A file written by pandas has no ``flow_id``: take the row index pandas
-    stored, or else the position in file order (``monotonically_increasing_id``
-    grows with the split offset inside a file, so it follows file order)."""
-    fields = [f for f in FLOW_FILE_SCHEMA.fields if f.name != "flow_id"]
-    index_col = next((c for c in PANDAS_INDEX_COLUMNS if c in present), None)
-    cols = [f.name for f in fields]
-    if index_col:
-        df = reader.parquet(path).select(F.col(index_col).cast("bigint").alias("flow_id"), *cols)
-    else:
-        df = reader.parquet(path).select(F.monotonically_increasing_id().alias("flow_id"), *cols)
-    return df.select("flow_id", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+def with_file_order(files: DataFrame, name: str, by=()) -> DataFrame:
+    """``files``, a table read from files, with ``name``: each row's position, files
+    in order of their paths and rows as they lie in a file, from 0 on (for each
+    value of the partition columns ``by``).
+
+    A file's rows are numbered by the reader (``_metadata.row_index``); the rows of
+    the files before it are a running sum over one row per file. So the numbers
+    depend on the files alone, not on how a scan splits them.
+    """
+    by = list(by)
+    placed = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = (files.select(*by, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+             .groupBy(*by, "_file").agg((F.max("_at") + 1).alias("_n")))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # one row per file, which the driver lists anyway
+    joined = placed.join(F.broadcast(offsets), F.col("_file") == F.col("_of"))
+    return joined.select(*files.columns, (F.col("_offset") + F.col("_at")).alias(name))
 
 
 def read_periods(spark: SparkSession, baseline_path: str, test_path: str) -> DataFrame:
@@ -173,6 +185,23 @@ def derive_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows_from_events(events)
 
 
+def derived_flow_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of a scale factor's baseline and test flows as a capture tool leaves
+    them: several Parquet files each, in flow order, without ids or period.
+    Written once beside the stored flow table."""
+    from .store import flows_table_path, read_flow_table, table_path
+    source = flows_table_path(spark, sf_dir)
+
+    def write(period: str):
+        def run(path: str) -> None:
+            flows = read_flow_table(spark, source).where(F.col("period") == period)
+            ordered = flows.repartitionByRange(5, "flow_id").sortWithinPartitions("flow_id")
+            ordered.select(*[f.name for f in FLOW_FILE_SCHEMA.fields if f.name != "flow_id"]).write.parquet(path)
+        return run
+
+    return tuple(table_path(spark, f"files-{p}", source, write(p)) for p in (BASELINE, TEST))
+
+
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of a scale factor as a stored, period-partitioned table
     (materialised once in the checkpoint folder, see ``store``)."""

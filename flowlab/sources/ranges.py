@@ -40,6 +40,28 @@ def read_asn(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return _read_table(spark, path, ASN_SCHEMA, fmt)
 
 
+def read_dns_cache(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """J10's lookup table ``(ptr_name, host)``; a null host is a name known to have none."""
+    return _read_table(spark, path, DNS_CACHE_SCHEMA, fmt)
+
+
+def derived_dns_cache(spark: SparkSession, sf_dir: str) -> str:
+    """Path of a stored, partial PTR cache around a scale factor's destinations,
+    written once apart from the flows: half of them by first octet, some of those
+    without a host, a few names twice."""
+    from .store import flows_table_path, read_flow_table, table_path
+    source = flows_table_path(spark, sf_dir)
+
+    def write(path: str) -> None:
+        cache = fixture_dns_cache(read_flow_table(spark, source))
+        octets = F.split(F.col("ptr_name"), r"\.")
+        nameless = cache.withColumn("host", F.when(F.element_at(octets, 2).cast("int") % 5 != 3, F.col("host")))
+        again = nameless.where(F.element_at(octets, 1).cast("int") == 1).withColumn("host", F.concat(F.lit("z-"), F.col("host")))
+        nameless.unionByName(again).write.parquet(path)
+
+    return table_path(spark, "ptr", source, write)
+
+
 def fixture_geo_ranges(spark: SparkSession) -> DataFrame:
     rows = [(o << 24, ((o + 1) << 24) - 1, cc) for o, cc in sorted(FIXTURE_COUNTRY_BY_OCTET.items())]
     return spark.createDataFrame(rows, GEO_SCHEMA)

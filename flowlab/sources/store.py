@@ -33,6 +33,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)

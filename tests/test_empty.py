@@ -33,8 +33,8 @@ def test_flow_operators_on_empty(empty, fn):
         assert rows[0].detected is False
     elif fn is R.rule_external_connections:
         assert rows[0].external_flows == 0 and rows[0].detected is False
-    elif fn in (D.up443_histogram, D.upload_histogram_time):
-        assert [r.n for r in rows] == [0] * 10
+    elif fn is D.up443_histogram:
+        assert [(r.lo, r.hi, r.n) for r in rows] == [(None, None, 0)] * 10
     else:
         assert rows == []
 

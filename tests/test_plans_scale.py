@@ -13,7 +13,7 @@ from flowlab.operators import windows as E
 from flowlab.operators.summary import edge_summary
 from flowlab.sources import fixture_geo_ranges, load_flows
 from tests.conftest import SF_SMALL
-from tests.plan_text import executed
+from tests.plan_text import executed, scans
 
 
 def plan(df):
@@ -45,18 +45,33 @@ def test_host_activity_one_aggregate_shuffle(flows):
 def test_windows_are_bounded(flows):
     assert "Window" not in plan(E.avg_flow_gap(flows))
     p = plan(E.flow_gap(flows))
-    # the per-flow window (lag of the timestamp) is partitioned by source and flow-id bucket;
-    # only the per-bucket summary (one row per source and bucket) is windowed by source
-    per_flow = [line for line in p.split("\n") if "Window [lag(timestamp" in line]
-    assert per_flow and all(re.search(r"\], \[period#\d+, src_ip#\d+, _b#\d+L?\], ", line) for line in per_flow)
-
-
-def test_quantiles_never_gather_values_in_one_partition(flows):
-    p = plan(Q.rank_intervals(flows, ["up_bytes", "down_bytes"]))
-    assert any(e.startswith("hashpartitioning(series") and "bucket" in e for e in exchanges(p))
-    single = [line for line in p.split("\n") if "SinglePartition" in line]
-    # only the per-bucket offset table (one row per bucket) meets in a single partition
-    assert len(single) <= 1
+    # the per-flow window is partitioned by period, source and flow-id bucket; only the
+    # per-bucket summary (one row per source and bucket) is windowed by source
+    windows = [line for line in p.split("\n") if "Window [lag(timestamp" in line]
+    assert windows and all(re.search(r"\[period#\d+, src_ip#\d+, _b#\d+L?\]", line) for line in windows)
+
+
+def test_quantiles_shuffle_counts_not_values(flows):
+    df = Q.order_statistics(flows, ["up_bytes", "down_bytes"], (0.25, 0.5, 0.75))
+    p = plan(df)
+    # every shuffle of a round is the final half of a partial count by 16 bits
+    assert p.count("partial_count(1)") >= 4 and "SinglePartition" not in p
+    assert "rangepartitioning" not in p and "SortMergeJoin" not in p
+
+
+@pytest.mark.parametrize("fn", [D.up443_histogram, D.upload_histogram_time, lambda f: Q.describe(f, ["up_bytes", "down_bytes"])])
+def test_statistics_are_lazy(spark, flows, fn):
+    spark.sparkContext.setJobGroup("statistics", "")
+    df = fn(flows)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("statistics")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert df.count() > 0
+
+
+@pytest.mark.parametrize("fn", [D.up443_histogram, D.upload_histogram_time])
+def test_histograms_aggregate_flows_once(flows, fn):
+    p = executed(fn(flows))
+    assert scans(p) == 1 and "ReusedExchange" in p
 
 
 def test_alerts_is_lazy_and_scans_flows_once(spark, flows):

@@ -98,3 +98,75 @@ def test_cli_runs_detectors_on_period_files(spark, capsys):
     from flowlab.sources.store import flows_table_path
     cli.main(["run", "detect_c2_growth", "--flows", flows_table_path(spark, "/root/testdata/sf0.01")])
     assert "192.168.109.8" in capsys.readouterr().out
+
+
+def test_file_order_does_not_depend_on_splits(spark):
+    """Several files without ids: numbered through in order of files and rows,
+    whatever the scan's splits, and also when they change after the query is built."""
+    import pandas as pd
+
+    d = tempfile.mkdtemp(prefix="flowlab-order-")
+    n = 0
+    for i, size in enumerate((700, 1, 0, 1300, 250)):
+        rows = pd.DataFrame({"timestamp": range(n, n + size), "src_ip": "192.168.109.1", "dst_ip": "8.8.8.8", "proto": "udp", "port": 53,
+                             "up_bytes": 1, "down_bytes": 2})
+        rows = rows.astype({c: "int64" for c in ("timestamp", "port", "up_bytes", "down_bytes")})
+        for c in ("src_ip", "dst_ip", "proto"):
+            rows[c] = rows[c].astype("string")
+        rows.to_parquet(f"{d}/part-{i}.parquet", row_group_size=100)
+        n += size
+    df = read_flows(spark, d, "test")
+    for parts, cost in (("1", str(4 << 20)), ("16", "1"), ("64", "1"), ("3", "1000")):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        try:
+            for frame in (df, read_flows(spark, d, "test")):
+                got = frame.select("flow_id", "timestamp").collect()
+                assert sorted(r.flow_id for r in got) == list(range(n)) and all(r.flow_id == r.timestamp for r in got)
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    # a partitioned dataset is numbered within each period
+    df.withColumn("period", F.when(F.col("flow_id") % 2 == 0, "baseline").otherwise("test")).coalesce(1).sortWithinPartitions("period", "flow_id").drop("flow_id") \
+        .write.partitionBy("period").parquet(f"{d}-parts")
+    both = read_flows(spark, f"{d}-parts").collect()
+    for p in ("baseline", "test"):
+        mine = sorted((r.flow_id, r.timestamp) for r in both if r.period == p)
+        assert [i for i, _ in mine] == list(range(len(mine))) and [t for _, t in mine] == sorted(t for _, t in mine)
+
+
+def test_ptr_cache_hits_misses_and_known_absences(spark):
+    from flowlab.operators import joins as J
+    from flowlab.sources import read_dns_cache
+    d = tempfile.mkdtemp(prefix="flowlab-ptr-")
+    with open(f"{d}/cache.csv", "w") as fh:
+        fh.write("ptr_name,host\n4.3.2.1.in-addr.arpa,b.example\n4.3.2.1.in-addr.arpa,a.example\n5.3.2.1.in-addr.arpa,\\N\n9.9.9.9.in-addr.arpa,unasked\n")
+    cache = read_dns_cache(spark, f"{d}/cache.csv", fmt="csv")
+    ips = spark.createDataFrame([("1.2.3.4",), ("1.2.3.5",), ("1.2.3.6",), ("1.2.3.6",), (None,)], "ip string")
+    assert {r.ip: r.host for r in J.reverse_dns(ips, cache).collect()} == {"1.2.3.4": "a.example", "1.2.3.5": None, "1.2.3.6": None}
+    assert [tuple(r) for r in J.dns_misses(ips, cache).collect()] == [("1.2.3.6", "6.3.2.1.in-addr.arpa")]
+    assert J.dns_misses(ips, cache.limit(0)).count() == 3 and J.reverse_dns(ips.limit(0), cache).count() == 0
+
+
+def test_cli_takes_hosts_and_ranges(spark, capsys):
+    from flowlab import cli
+    from flowlab.sources.store import flows_table_path
+    d = tempfile.mkdtemp(prefix="flowlab-cli2-")
+    stored = flows_table_path(spark, "/root/testdata/sf0.001")
+    spark.createDataFrame([("192.168.109.6",)], "src_ip string").write.parquet(f"{d}/hosts")
+    spark.createDataFrame([(20 << 24, (21 << 24) - 1, "ORG")], "lo bigint, hi bigint, org string").write.parquet(f"{d}/asn")
+    spark.createDataFrame([(20 << 24, (21 << 24) - 1, "US")], "lo bigint, hi bigint, cc string").write.parquet(f"{d}/geo")
+    cli.main(["run", "candidate_bytes", "--flows", stored, "--hosts", f"{d}/hosts"])
+    out = capsys.readouterr().out
+    assert "192.168.109.6" in out and "192.168.109.7" not in out
+    cli.main(["run", "flows_to_known_hosts", "--flows", stored, "--hosts", f"{d}/hosts", "--param", "host_col='src_ip'", "--param", "by=()"])
+    capsys.readouterr()
+    cli.main(["run", "geo_org", "--flows", stored, "--asn", f"{d}/asn", "--show", "2000"])
+    assert "ORG" in capsys.readouterr().out
+    cli.main(["run", "describe", "--flows", stored, "--param", "cols=['up_bytes']"])
+    assert "50%" in capsys.readouterr().out
+    cli.main(["run", "address_blocklist", "--flows", stored, "--geo", f"{d}/geo"])
+    assert "exfiltration" in capsys.readouterr().out
+    cli.main(["list"])
+    listed = capsys.readouterr().out
+    assert all(name in listed for name in ("geo_org", "describe", "address_blocklist", "candidate_bytes"))

@@ -64,6 +64,42 @@ def test_describe_matches_pandas(spark, flows_of):
             assert abs(got[stat][j] - pdf.loc[stat, c]) < 1e-9
 
 
+def test_quantiles_are_exact_beyond_53_bits(spark):
+    rnd = random.Random(8)
+    for vals in ([2 ** 60 + i for i in range(101)], [-2 ** 63, 2 ** 63 - 1, 0, -1, 1], [7], [5] * 9, [-3, -3, 2 ** 40, 2 ** 40 + 1],
+                 [rnd.randrange(-2 ** 63, 2 ** 63) for _ in range(500)], [rnd.randrange(300) for _ in range(500)]):
+        df = spark.createDataFrame([(v,) for v in [*vals, None]], "v bigint").repartition(5)
+        probs = (0.0, 0.25, 0.37, 0.5, 0.75, 1.0)
+        ordered, n = sorted(vals), len(vals)
+        got = {r.p: (r.lower, r.upper) for r in Q.order_statistics(df, ["v"], probs).collect()}
+        assert got == {p: (ordered[int(p * (n - 1))], ordered[min(int(p * (n - 1)) + 1, n - 1)]) for p in probs}
+
+
+def test_quantiles_of_fractions_and_gaps(spark):
+    rnd = random.Random(9)
+    vals = [rnd.gauss(0, 1e9) for _ in range(301)] + [0.0, -0.0, 1e-300, -1e-300, None, float("nan"), 5e-324, 1.5, 1.5, 1e100]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(vals)], "v double, i int").repartition(3)
+    s = pd.Series([v for v in vals if v is not None]).dropna()
+    probs = (0.0, 0.01, 0.25, 0.5, 0.505, 0.75, 0.99, 1.0)
+    for p, v in Q.exact_quantiles(df, "v", probs).items():
+        assert abs(v - s.quantile(p)) <= 1e-9 * max(1.0, abs(v)), p
+    both = {(r.series, r.p): r.value for r in Q.order_statistics(df, ["v", "i"], (0.5,)).collect()}
+    assert both[("i", 0.5)] == (len(vals) - 1) / 2 and abs(both[("v", 0.5)] - s.quantile(0.5)) < 1e-6
+    got = {r.stat: r.v for r in Q.describe(df, ["v"]).collect()}
+    for stat, want in s.describe().items():
+        assert abs(got[stat] - want) <= 1e-9 * max(1.0, abs(want)) or got[stat] == want, stat
+    assert Q.exact_quantiles(df.limit(0), "v", (0.5,)) == {0.5: None}
+
+
+def test_gap_exchanges_flows_once(spark):
+    p = E.flow_gap(_random_flows(spark), bucket_size=64)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p
+    # the flows themselves, and summaries that are aggregated before they are shuffled
+    rows = [x for x in p.split("\n") if "Exchange hashpartitioning(period" in x]
+    partial = p.count("partial_max_by")
+    assert len(rows) == 3 and partial == 1
+
+
 def test_bucketed_gap_in_time_order_equals_plain_window(spark):
     f = _random_flows(spark)
     w = Window.partitionBy("src_ip").orderBy("timestamp", "flow_id")
