@@ -11,3 +11,11 @@ def as_col(c) -> Column:
 def idiv(c, n: int) -> Column:
     """Exact integer division (Spark ``div``), never through a double."""
     return F.call_function("div", as_col(c), F.lit(n))
+
+
+def fresh(columns, name: str) -> str:
+    """``name``, lengthened until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

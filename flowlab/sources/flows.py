@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import idiv
+from ..functions.common import fresh, idiv
 from ..functions.net import ip_to_num
 from ..schema import BASELINE, FLOW_COLUMNS, FLOW_FILE_SCHEMA, NUM_COLUMNS, TEST
 
@@ -47,24 +47,33 @@ def read_flows(spark: SparkSession, path: str, period: str | None = None) -> Dat
 PANDAS_INDEX_COLUMNS = ("__index_level_0__", "index")
 
 
-def with_file_order(files: DataFrame, name: str, by=()) -> DataFrame:
+def file_offsets(files: DataFrame, by=()) -> DataFrame:
+    """``(file, offset)``, one row per file of a table read from files: how many rows
+    lie in the files before it, in order of their paths (for each value of the
+    partition columns ``by``)."""
+    by = list(by)
+    sizes = (files.select(*by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+             .groupBy(*by, "file").agg((F.max("at") + 1).alias("n")))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+
+
+def with_file_order(files: DataFrame, name: str, by=(), offsets: DataFrame | None = None) -> DataFrame:
     """``files``, a table read from files, with ``name``: each row's position, files
     in order of their paths and rows as they lie in a file, from 0 on (for each
     value of the partition columns ``by``).
 
     A file's rows are numbered by the reader (``_metadata.row_index``); the rows of
-    the files before it are a running sum over one row per file. So the numbers
-    depend on the files alone, not on how a scan splits them.
+    the files before it are a running sum over one row per file (``offsets``, made
+    here unless given). So the numbers depend on the files alone, not on how a scan
+    splits them.
     """
-    by = list(by)
-    placed = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    sizes = (files.select(*by, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-             .groupBy(*by, "_file").agg((F.max("_at") + 1).alias("_n")))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    file, at, of, offset = (fresh(files.columns, x) for x in ("_file", "_at", "_of", "_offset"))
+    placed = files.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    known = (file_offsets(files, by) if offsets is None else offsets).select(F.col("file").alias(of), F.col("offset").alias(offset))
     # one row per file, which the driver lists anyway
-    joined = placed.join(F.broadcast(offsets), F.col("_file") == F.col("_of"))
-    return joined.select(*files.columns, (F.col("_offset") + F.col("_at")).alias(name))
+    joined = placed.join(F.broadcast(known), F.col(file) == F.col(of))
+    return joined.select(*files.columns, (F.col(offset) + F.col(at)).alias(name))
 
 
 def read_periods(spark: SparkSession, baseline_path: str, test_path: str) -> DataFrame:
