@@ -1,8 +1,9 @@
 """Helpers shared by the text operators.
 
 The operators tell rows apart by their place in the input and read it more than
-once, so it must come in the same order each time: a table read from files, with
-filters and projections at most. Store anything else first (``stored``).
+once. ``with_row`` numbers the rows so that every pass gives a row the same
+number: by file and row where the input is a table read from Parquet files (with
+filters and projections at most), else by storing the input with its numbers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import fresh  # noqa: F401  (used by the operators)
 from ..session import ensure_checkpoint_dir
+from ..sources.flows import file_offsets, with_file_order
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +32,28 @@ def id_fold(modulus: int, name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+#: Plan nodes under which a row of a file stays that row.
+_ROWWISE = ("Project", "Filter", "SubqueryAlias", "LogicalRelation")
+
+
+def _read_from_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` is a Parquet table with filters and projections at most."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROWWISE and node.children().size() == 1:
+        node = node.children().head()
+    if not node.nodeName().startswith("LogicalRelation") or node.children().size():
+        return False
+    return "parquet" in node.toString().lower() and "_metadata" not in {c.lower() for c in df.columns}
+
+
+def with_row(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with the number ``name`` of each row, the same in every pass however
+    the scan is split; it grows with the place in the input."""
+    if not _read_from_parquet(df):
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    return with_file_order(df, name, offsets=stored(file_offsets(df), "offsets"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage ends there, and a lost executor costs only its own tasks.

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_row
 from .graph import components
 
 
@@ -235,7 +235,7 @@ def links(vectors: DataFrame, *, cosine: float = 0.9, sample: int = 20_000, n_co
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, **options) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("row", F.monotonically_increasing_id())
+    rows = with_row(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "row")
     members, pairs = links(rows, cosine=cosine, **options)
     sizes = stored(members.groupBy("c").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id")), "sizes")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

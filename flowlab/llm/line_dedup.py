@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored, with_row
 from .setjoin import Units, among, describe, fitting, leader_pairs, shared_postings, unit_texts, verify, with_rows
 
 
@@ -51,11 +51,12 @@ def later_matches(postings: DataFrame, texts: DataFrame, kind: Units) -> DataFra
     return found.unionByName(late(verify(stored(pairs, "pairs"), texts, kind))).distinct()
 
 
-def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
+def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str | None = None) -> DataFrame:
     """(row, removed_lines) of the rows of ``docs`` that lose lines, with the
-    numbers of those lines in order."""
+    numbers of those lines in order. ``row`` names a column of row numbers, if
+    there is one."""
     kind = Units(lines=True, k=k, percent=percent)
-    rows = with_rows(docs)
+    rows = with_rows(docs, row)
     units, counts = describe(rows, kind)
     units = units.filter("n > 0")
     postings = shared_postings(rows, counts, kind)
@@ -78,17 +79,20 @@ def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFram
 def dedup_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and the numbers
     of those lines in ``removed_lines``."""
-    gone = removed_lines(docs, k=k, percent=percent).withColumnRenamed("row", "__row")
-    base = docs.drop("removed_lines").withColumn("__row", F.monotonically_increasing_id())
+    docs = docs.drop("removed_lines")
+    key = fresh(docs.columns, "__row")
+    base = with_row(docs, key)
+    gone = removed_lines(base, k=k, percent=percent, row=key).withColumnRenamed("row", key)
     lines = F.split("text", "\n", -1)
     numbers = F.col("removed_lines")
     kept = F.array_join(F.array_except(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
                                        F.transform(numbers, lambda i: F.struct(i.alias("i"), F.element_at(lines, i + 1).alias("x"))))["x"], "\n")
     # texts that lose nothing need not be shuffled
     gone = stored(gone, "removed")
-    marked = base.withColumn("__loses", among(base, gone.withColumnRenamed("__row", "row"), of="__row"))
-    joined = marked.filter("__loses").join(gone, "__row", "left")
+    loses = fresh(base.columns, "__loses")
+    marked = base.withColumn(loses, among(base, gone.withColumnRenamed(key, "row"), of=key))
+    joined = marked.filter(F.col(loses)).join(gone, key, "left")
     changed = (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(kept))
                .withColumn("removed_lines", F.coalesce(numbers, F.array().cast("array<int>"))))
-    same = marked.filter("not __loses").withColumn("removed_lines", F.array().cast("array<int>"))
-    return changed.unionByName(same).drop("__row", "__loses")
+    same = marked.filter(~F.col(loses)).withColumn("removed_lines", F.array().cast("array<int>"))
+    return changed.unionByName(same).drop(key, loses)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_column
+from .common import fresh, stored, text_column, with_row
 from .setjoin import CHUNK_BYTES, COUNT_TOKENS, hash_words_and_ends, signed
 
 VOCABULARY, CLASS_SIZE, RARE, KNOWN = 1023, 32, 8, 100_000
@@ -371,7 +371,9 @@ def fit(train: DataFrame, *, rates: tuple[float, ...] = (0.01, 0.003)) -> tuple[
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score").withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    key = fresh(rows.columns, "__row")
+    rows = with_row(rows, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -401,7 +403,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                                     "words": tail_words, "times": tail_counts})
 
     schema = "row long, n_tokens long, known long, base double, share double, words array<long>, times array<long>"
-    parts = stored(rows.select(F.col("__row").alias("row"), text_column().alias("text")).mapInPandas(run, schema), "scores")
+    parts = stored(rows.select(F.col(key).alias("row"), text_column().alias("text")).mapInPandas(run, schema), "scores")
     tail = (parts.filter(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("t"))
             .select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times")))
     joined = (tail.join(counts.select("word", "count"), "word").groupBy("row")
@@ -410,7 +412,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     logs = F.coalesce("logs", F.lit(0.0))
     per_token = float(np.log10(model.total + model.distinct + 1))
     base = F.col("base") + logs - F.col("n_tokens") * F.lit(per_token)
-    final = whole.select(F.col("row").alias("__row"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+    final = whole.select(F.col("row").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
                          F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"),
                          (F.col("share") + logs if model.network is not None else base).alias("score"))
-    return rows.join(final, "__row").drop("__row")
+    return rows.join(final, key).drop(key)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored, with_row
 from .graph import components
 from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, shared_postings, sketches, unit_texts, verify, with_rows
 
@@ -78,13 +78,13 @@ def crossing_pairs(rows: DataFrame, kind: Units) -> DataFrame:
             .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct())
 
 
-def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
+def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, component, component_id) of every row of ``docs``:
     rows are linked when 100 * shared shingles >= percent * shingles of both.
     ``component`` names the component even where no row of it has an id; it is
-    null for empty texts."""
+    null for empty texts. ``row`` names a column of row numbers, if there is one."""
     kind = Units(lines=False, k=k, percent=percent)
-    rows = with_rows(docs)
+    rows = with_rows(docs, row)
     units, counts = describe(rows, kind)
     # one row per set: the first of its rows, and its smallest id
     sets = units.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
@@ -125,11 +125,13 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataF
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component, the first by (doc_id, place; null
     ids last), and all rows without words."""
-    labels = stored(ngram_components(docs, **options).filter("component is not null").select("row", "doc_id", "component"), "labels")
+    key = fresh(docs.columns, "__row")
+    marked = with_row(docs, key)
+    labels = stored(ngram_components(marked, row=key, **options).filter("component is not null").select("row", "doc_id", "component"), "labels")
     first = labels.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     gone = stored(labels.join(first, "component").filter("row <> first.row").select("row"), "gone")
     # only rows that may go are shuffled
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    marked = marked.withColumn("__may_go", among(marked, gone, of="__row"))
-    kept = marked.filter("__may_go").join(gone.withColumnRenamed("row", "__row"), "__row", "left_anti")
-    return marked.filter("not __may_go").unionByName(kept).select(*docs.columns)
+    may_go = fresh(marked.columns, "__may_go")
+    marked = marked.withColumn(may_go, among(marked, gone, of=key))
+    kept = marked.filter(F.col(may_go)).join(gone.withColumnRenamed("row", key), key, "left_anti")
+    return marked.filter(~F.col(may_go)).unionByName(kept).select(*docs.columns)

@@ -5,14 +5,20 @@ that pass Luhn's test) and phone numbers, leftmost and without overlap within a
 kind; a match that fails its test is dropped without a second try. No match
 crosses a line feed, so lines are searched one by one.
 
-Around them, information theory decides. A term t that occurs in the lines of a
-protected entity e carries pointwise mutual information
-log2(p(e|t) / p(e)) about it, out of the log2(1 / p(e)) that e itself has.
-Where the part left over, log2(1 / p(e|t)), is at most ``max_hidden_bits``, and
-the pair was seen in ``min_documents`` rows or more, t discloses e and becomes a
-span of kind ``term`` wherever it stands in a line of e. Counts of terms are
-taken over the whole corpus. ``sanitise`` writes the kind in place of base spans
-(generalised) and takes disclosing terms out (removed).
+Around them, information theory decides. Over all documents, a term t and a
+protected entity e stand together in ``together`` documents, and t in ``n``. The
+share (together - ``discount``) / n is a cautious estimate of p(e|t): one meeting
+says little, more say more. Where t tells at least ``min_gain_bits`` of e,
+log2 p(e|t) / p(e), and leaves at most ``max_hidden_bits`` of it hidden, -log2 p(e|t),
+t discloses e and is a span of kind ``term`` wherever it stands, in documents of e
+and in others. Terms are runs of letters, lower-cased, outside e-mail addresses.
+With the defaults a pair that met once never discloses, one that met twice does
+if the term stands nowhere else; no common word discloses a common entity.
+
+Entities that stand in the same documents disclose alike, so one of them is
+paired with terms for all; entities of one document are not paired at all.
+``sanitise`` writes the kind in place of base spans (generalised) and takes
+disclosing terms out (removed).
 
 Everything is built from DataFrame functions. Offsets are code points, end
 exclusive. Defined results: null and empty texts have no spans (a null text
@@ -26,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored, with_row
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -60,12 +66,8 @@ def _accepted(kind: Column, value: Column) -> Column:
             .otherwise(F.length(digits).between(8, 15)))
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
 def entity_lines(docs: DataFrame) -> DataFrame:
-    """(row, line_no, start, line, found): lines that could hold a match, with
+    """(row, line_no, start, line, found) of (row, text): lines that could hold a match, with
     their place in the text, and per kind the matches and the text between."""
     lines = F.split("text", "\n", -1)
     some = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))),
@@ -74,8 +76,8 @@ def entity_lines(docs: DataFrame) -> DataFrame:
         s["i"].alias("line_no"),
         F.when(s["i"] == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit("\n"), s["i"])) + 1).alias("start"),
         s["line"].alias("line")))
-    rows = (_with_row(docs.select("text")).filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
-            .select(F.col("__row").alias("row"), F.explode(placed).alias("l")).select("row", "l.*"))
+    rows = (docs.select("row", "text").filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
+            .select("row", F.explode(placed).alias("l")).select("row", "l.*"))
     for kind, pattern in PATTERNS.items():
         rows = rows.withColumn(kind, F.regexp_extract_all("line", F.lit(pattern), F.lit(0)))
     return rows.filter(F.greatest(*(F.size(k) for k in PATTERNS)) > 0)
@@ -98,38 +100,49 @@ def base_spans(lines: DataFrame) -> DataFrame:
             .select("row", "line_no", "kind", (F.col("end") - F.length(value)).cast("long").alias("start"), "end", value.alias("value")))
 
 
-def words_of(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
-
-
-def disclosing_terms(docs: DataFrame, lines: DataFrame, spans: DataFrame, *, min_documents: int = 3,
-                     max_hidden_bits: float = 1.0, min_letters: int = 4) -> DataFrame:
-    """(entity, term) pairs in which the term gives the entity away."""
-    plain = F.regexp_replace("line", PATTERNS["email"], " ")
-    entities = spans.select("row", "line_no", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
-    terms = (lines.select("row", "line_no", F.explode(words_of(plain)).alias("term"))
-             .filter(F.length("term") >= min_letters))
-    together = (entities.join(terms, ["row", "line_no"]).groupBy("entity", "term", "row").agg(F.count("*").alias("n"))
-                .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("documents"))
-                .filter(F.col("documents") >= min_documents))
-    counts = (docs.select(F.explode(words_of(F.col("text"))).alias("term")).filter(F.length("term") >= min_letters)
-              .groupBy("term").agg(F.count("*").alias("total")))
-    hidden = F.log2(F.col("total") / F.col("together"))
-    return together.join(counts, "term").filter(hidden <= max_hidden_bits).select("entity", "term")
-
-
-def term_spans(lines: DataFrame, spans: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(row, kind, start, end) of disclosing terms in the lines of their entities."""
-    entities = spans.select("row", "line_no", F.concat_ws(":", "kind", F.lower("value")).alias("entity"))
-    wanted = entities.join(disclosing, "entity").select("row", "line_no", "term").distinct()
-    told = lines.join(wanted.select("row", "line_no").distinct(), ["row", "line_no"])
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_remove(F.array_distinct(F.split(F.lower(plain), r"[^\p{L}]+")), "")
+
+
+def paired_entities(spans: DataFrame) -> DataFrame:
+    """(row, entity, seen) of entities that stand in two documents or more (``seen``
+    of them), one for each set of documents."""
+    found = spans.select("row", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct()
+    sets = found.groupBy("entity").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"),
+                                       F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    chosen = sets.filter("n > 1").groupBy("n", "a", "b").agg(F.min("entity").alias("entity")).select("entity", F.col("n").alias("seen"))
+    return found.join(chosen, "entity").select("row", "entity", "seen")
+
+
+def disclosing_terms(docs: DataFrame, spans: DataFrame, *, discount: float = 0.75, max_hidden_bits: float = 1.0,
+                     min_gain_bits: float = 1.0) -> DataFrame:
+    """(term,) of the terms that give an entity away; ``docs`` has row and text."""
+    entities = stored(paired_entities(spans), "entities")
+    counts = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    near = docs.join(entities.select("row").distinct(), "row", "left_semi")
+    together = (near.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(entities, "row")
+                .groupBy("entity", "seen", "term").agg(F.count("*").alias("together")).filter("together > 1"))
+    share = (F.col("together") - discount) / F.col("n")
+    gain = F.log2(share / (F.col("seen") / F.lit(docs.count())))
+    return (together.join(counts, "term").filter((-F.log2(share) <= max_hidden_bits) & (gain >= min_gain_bits))
+            .select("term").distinct())
+
+
+def term_spans(docs: DataFrame, spans: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(row, kind, start, end) of disclosing terms wherever they stand."""
+    told = stored(docs.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(disclosing, "term", "left_semi"), "told")
+    lines = (docs.join(told.select("row").distinct(), "row", "left_semi")
+             .select("row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+             .withColumn("start", F.sum(F.length("line") + 1).over(Window.partitionBy("row").orderBy("line_no")) - F.length("line") - 1))
     # runs of letters and runs of others, in turn
     pieces = F.split("line", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})", -1)
     order = Window.partitionBy("row", "line_no").orderBy("i")
-    parts = (told.select("row", "line_no", "start", F.posexplode(pieces).alias("i", "piece"))
+    parts = (lines.select("row", "line_no", "start", F.posexplode(pieces).alias("i", "piece"))
              .withColumn("end", (F.col("start") + F.sum(F.length("piece")).over(order)).cast("long"))
              .withColumn("term", F.lower("piece")))
-    found = parts.join(wanted, ["row", "line_no", "term"])
+    found = parts.join(told, ["row", "term"], "left_semi")
     found = found.select("row", F.lit("term").alias("kind"), (F.col("end") - F.length("piece")).cast("long").alias("start"), "end")
     # a term within a base span is covered already
     covering = spans.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
@@ -139,15 +152,18 @@ def term_spans(lines: DataFrame, spans: DataFrame, disclosing: DataFrame) -> Dat
 def find(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with ``spans``, an array of (kind number, start, end, kind) by
     kind as in ``KINDS``, then start."""
-    lines = stored(entity_lines(docs), "lines")
-    spans = stored(base_spans(lines), "spans")
-    disclosing = stored(disclosing_terms(docs, lines, spans, **limits), "disclosing")
-    every = spans.select("row", "kind", "start", "end").unionByName(term_spans(lines, spans, disclosing))
+    docs = docs.drop("spans")
+    key = fresh(docs.columns, "__row")
+    marked = with_row(docs, key)
+    texts = marked.select(F.col(key).alias("row"), "text")
+    spans = stored(base_spans(stored(entity_lines(texts), "lines")), "spans")
+    disclosing = stored(disclosing_terms(texts, spans, **limits), "disclosing")
+    every = spans.select("row", "kind", "start", "end").unionByName(term_spans(texts, spans, disclosing))
     number = F.expr("case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end")
-    by_row = every.groupBy(F.col("row").alias("__row")).agg(
+    by_row = every.groupBy(F.col("row").alias(key)).agg(
         F.array_sort(F.collect_set(F.struct(number.alias("number"), "start", "end", "kind"))).alias("spans"))
     none = F.array().cast("array<struct<number:int,start:bigint,end:bigint,kind:string>>")
-    return (_with_row(docs.drop("spans")).join(by_row, "__row", "left").drop("__row")
+    return (marked.join(by_row, key, "left").drop(key)
             .withColumn("spans", F.coalesce("spans", none)))
 
 

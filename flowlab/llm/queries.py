@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_fold
+from .common import documents, id_fold, with_row
 from .oracle import CHAT_SQL, TRIE_SQL, centroid_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,9 +115,9 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document that repeat earlier text."""
     from .substring_dedup import removed_spans
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    gone = removed_spans(docs, min_words=5)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
+    docs = with_row(documents(spark, sf_dir).select("doc_id", "text"), "row")
+    gone = removed_spans(docs, min_words=5, row="row")
+    rows = docs.select("doc_id", "row")
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return rows.join(gone, "row", "left").select(
         "doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
@@ -172,8 +172,9 @@ CONTROLS = "\\### Assistant: </turn> ok"
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be read back from the training text of every conversation."""
     from .chat import format_chats, learned_text, read_back
-    probe = spark.createDataFrame([(-7, 0, "user", CONTROLS), (-7, 1, "assistant", CONTROLS)],
-                                  "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"),
+                                  F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROLS).alias("text"))
     given = conversations(spark, sf_dir).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     chats = format_chats(given.unionByName(probe))
     turns = F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_row
 
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
@@ -192,10 +192,12 @@ class Met:
         return out
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``, the place in the input, which tells apart rows
-    of equal ids and is the same in every pass over the same files."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+def with_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, text and ``row``, the place in the input (a column of ``docs`` or
+    numbered here), which tells apart rows of equal ids in every pass."""
+    if row is None:
+        docs, row = with_row(docs.select("doc_id", "text"), "row"), "row"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
 
 
 def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored, with_row
 
 BOUNDARY = re.compile(r"\n|[.!?]+(?=\s)")
 ENDS = " \t.,;:!?\"'()[]"
@@ -91,9 +91,12 @@ def unit_table(rows: DataFrame) -> DataFrame:
     return stored(rows.mapInPandas(run, schema), "units")
 
 
-def removed_spans(docs: DataFrame, *, min_words: int = 20) -> DataFrame:
-    """(row, removed) of rows that lose something: spans in order."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+def removed_spans(docs: DataFrame, *, min_words: int = 20, row: str | None = None) -> DataFrame:
+    """(row, removed) of rows that lose something: spans in order. ``row`` names a
+    column of row numbers, if there is one."""
+    if row is None:
+        docs, row = with_row(docs.select("doc_id", "text"), "row"), "row"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
     units = unit_table(rows)
     place = F.struct("doc_id", "row", "unit")
     repeated = (units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.min(F.when(F.col("whole"), place)).alias("line"), F.count("*").alias("n"))
@@ -137,8 +140,11 @@ def removed_spans(docs: DataFrame, *, min_words: int = 20) -> DataFrame:
 def dedup_substrings(docs: DataFrame, *, min_words: int = 20) -> DataFrame:
     """``docs`` with ``removed``, the spans that repeat earlier text, and without
     them in ``text``."""
-    gone = removed_spans(docs, min_words=min_words).withColumnRenamed("row", "__row")
-    joined = docs.drop("removed").withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left").drop("__row")
+    docs = docs.drop("removed")
+    key = fresh(docs.columns, "__row")
+    marked = with_row(docs, key)
+    gone = removed_spans(marked, min_words=min_words, row=key).withColumnRenamed("row", key)
+    joined = marked.join(gone, key, "left").drop(key)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

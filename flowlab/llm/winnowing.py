@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored, with_row
 
 GRAM, WINDOW = 5, 8
 POSITION_BITS = 23
@@ -32,7 +32,7 @@ def _shifted(array: str, by: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, column: str) -> DataFrame:
     """Add ``column``, the fingerprint: an array of longs, hash above position."""
-    names = [f"__{x}" for x in ("w", "h", "g2", "g4", "p", "m2", "m4")]
+    names = [fresh(df.columns, f"__{x}") for x in ("w", "h", "g2", "g4", "p", "m2", "m4")]
     w, h, g2, g4, p, m2, m4 = names
     pair = lambda a, b: F.xxhash64(a, b)
     out = df.withColumn(w, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S{1,16}+"), F.lit(0)))
@@ -89,7 +89,7 @@ def next_rows(ids: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text (the last third replaced by
     the beginning of the next document) and of the next text."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_row(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
     sizes = stored(rows.select("doc_id", "row", F.length("text").cast("long").alias("n_chars")), "sizes")
     nexts = next_rows(sizes).join(sizes.select("row", F.floor(F.col("n_chars") / 3).cast("int").alias("cut")), "row")
     # the same two columns by the same key on both sides: one shuffle of the texts serves both

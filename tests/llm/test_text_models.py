@@ -133,13 +133,66 @@ def test_pii_matches_brute_force(spark):
         assert r.s == ",".join(brute_spans(texts[r.doc_id])), texts[r.doc_id]
 
 
-def test_pii_terms_and_cleaning(spark):
-    rows = [(i, f"Ask Quorlim at q@x.org about case {i}.\nplain words here") for i in range(4)] + [(9, "plain about words"), (10, None)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA + ", spans int")
-    found = {r.doc_id: r.spans for r in pii.find(df).collect()}
-    assert [(s.kind, s.start, s.end) for s in found[1]] == [("email", 15, 22), ("term", 4, 11), ("term", 23, 28), ("term", 29, 33)] and not found[9]
-    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean[1] == "Ask  at [EMAIL]   1.\nplain words here" and clean[9] == rows[4][1] and clean[10] is None
+def brute_terms(texts):
+    """Disclosing terms by counting every pair."""
+    def entities(t):
+        return {f"{k}:{t[a:b].lower()}" for k, a, b in (s.split(":") for s in brute_spans(t)) for a, b in [(int(a), int(b))]}
+
+    def terms(t):
+        plain = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", " ", t)
+        return set("".join(c if c.isalpha() else " " for c in plain.lower()).split())
+
+    found, told = [entities(t or "") for t in texts], [terms(t or "") for t in texts]
+    seen, n = collections.Counter(e for x in found for e in x), collections.Counter(t for x in told for t in x)
+    together = collections.Counter((e, t) for x, y in zip(found, told) for e in x for t in y)
+    out = set()
+    for (e, t), k in together.items():
+        share = (k - 0.75) / n[t]
+        if k > 1 and -math.log2(share) <= 1 and math.log2(share / (seen[e] / len(texts))) >= 1:
+            out.add(t)
+    return out
+
+
+def brute_term_spans(text, disclosing):
+    held = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text)]
+    for m in re.finditer(r"[^\W\d_]+", text):
+        if m.group().lower() in disclosing and not any(a <= m.start() and m.end() <= b for a, b in held):
+            yield m.start(), m.end()
+
+
+def test_pii_terms_match_brute_force(spark):
+    rng = random.Random(12)
+    names = ["Quorlim", "Bez", "o", "Österby", "Tarn", "Ulf"]
+    people = [(f"{x.lower().replace('ö', 'oe')}@x.org", x) for x in names] + [("10.1.2.3", "Serverhaus"), ("+49 30 1234567", "Amt")]
+    common = [f"w{chr(97 + i)}" for i in range(20)]
+    texts = [None, "", "no entity here, but Quorlim stands", "Bez alone\nwith wa"]
+    for i in range(160):
+        words = [rng.choice(common) for _ in range(8)]
+        if i % 4 == 0:
+            contact, name = rng.choice(people)
+            words[2:2] = [name, "\n" if rng.random() < 0.5 else "", contact, f"case{i}"]
+            if rng.random() < 0.2:
+                words.append(rng.choice(people)[0])
+        if i % 3 == 0:
+            words.append("hot@all.org")  # a common entity: no common word gives it away
+        if i % 31 == 0:
+            words.append(rng.choice(names))
+        texts.append(" ".join(words))
+    texts += ["pair@x.org zwei\nzeilen weiter Kolibri", "Kolibri\n\npair@x.org", "once@x.org Einhorn", "twin@x.org lines " * 300, "twin@x.org " + "Kolibrix " * 300]
+    df = table(spark.createDataFrame(list(enumerate(texts)), SCHEMA), 5)
+    disclosing = brute_terms(texts)
+    assert {"kolibri", "quorlim"} <= disclosing and "einhorn" not in disclosing and not {"wa", "wb"} & disclosing
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find(df).collect()}
+    assert found == {i: list(brute_term_spans(t or "", disclosing)) for i, t in enumerate(texts)}
+    assert found[2] and len(found[len(texts) - 4]) == 1  # without its entity; on another line
+
+
+def test_pii_cleaning_and_clashing_columns(spark):
+    rows = [(i, f"Ask Quorlim at q@x.org.\nplain words here {i}") for i in range(4)] + [(9 + i, "plain words here ask at") for i in range(20)] + [(99, None)]
+    df = spark.createDataFrame([(i, t, 1, "mine") for i, t in rows], SCHEMA + ", spans int, __row string")
+    clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert clean[1].text == "Ask  at [EMAIL].\nplain words here 1" and clean[9].text == rows[4][1] and clean[99].text is None
+    assert {r["__row"] for r in clean.values()} == {"mine"}
     assert pii.find(df.limit(0)).count() == 0
 
 
