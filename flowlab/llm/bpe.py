@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORDS = 400_000
+MAX_WORDS = 700_000
 #: Characters below this are split by the pattern here; the library's own
 #: pre-tokenizer splits texts that hold others.
 PLAIN_BELOW = 0x250
@@ -231,7 +231,10 @@ class SpeculativeBPE:
         good[np.nonzero(real)[0][~verdict[where]]] = False
         if len(fine) > 2_000_000:
             fine.clear()
-        made = {words[k]: out[k, :count[k]].tolist() for k in np.flatnonzero(good)}
+        fits = np.flatnonzero(good)
+        flat = out[fits][np.arange(out.shape[1])[None, :] < count[fits][:, None]].tolist()
+        ends = np.cumsum(count[fits]).tolist()
+        made = {words[k]: flat[a:b] for k, a, b in zip(fits.tolist(), [0, *ends], ends)}
         failing = np.flatnonzero(~good)
         self.proposed += len(words)
         self.merged += len(failing)
@@ -287,7 +290,7 @@ class SpeculativeBPE:
 
     def words(self, text: str) -> list[str]:
         """The words of a text between special tokens, as the library splits it."""
-        if self.beyond.search(text) is None and unicodedata.is_normalized("NFC", text):
+        if text.isascii() or (self.beyond.search(text) is None and unicodedata.is_normalized("NFC", text)):
             return self.split.findall(text.lower())
         back = {c: b for b, c in enumerate(self.letters)}
         norm = self.library.normalizer.normalize_str(text)
@@ -308,14 +311,10 @@ class SpeculativeBPE:
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Ids of the words that :meth:`sections` gives."""
-        plain, out = {}, {}
-        for w in words:
-            if w[0] == "\n":
-                out[w] = [self.special[w[1:]]]
-            else:
-                plain[w] = w.encode()
-        learned = self.learn(list(plain.values()))
-        out.update((w, learned[p]) for w, p in plain.items())
+        marked = {w for w in words if w[0] == "\n"} if self.special else set()
+        plain = list(words - marked)
+        out = dict(zip(plain, map(self.learn(encoded := [w.encode() for w in plain]).__getitem__, encoded)))
+        out.update((w, [self.special[w[1:]]]) for w in marked)
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -337,11 +336,10 @@ class WordStore(dict):
     def meet(self, words: set[str]) -> None:
         if len(self) > MAX_WORDS:
             self.clear()
-            new = words
-        else:
-            new = {w for w in words if w not in self}
+        new = words.difference(self)
         if new:
-            self.update((w, self.render(i)) for w, i in self.bpe.encode_words(new).items())
+            learned = self.bpe.encode_words(new)
+            self.update(zip(learned, map(self.render, learned.values())))
 
 
 _ENCODERS: dict[str, SpeculativeBPE] = {}
@@ -400,7 +398,7 @@ def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
             rows = []
             for part in sections_of(bpe, store, batch.text.tolist()):
                 for got in part:
-                    found = [store[w] for w in got]
+                    found = list(map(store.__getitem__, got))
                     n, ids, toks = zip(*found) if found else ((), (), ())
                     rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(),
                                  hashlib.sha256(" ".join(toks).encode()).hexdigest()))

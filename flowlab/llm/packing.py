@@ -20,6 +20,7 @@ an empty table gives no pieces.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ def pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
     tells apart rows of equal ``doc_id``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(tokenizer_path)
-        store = word_store(tokenizer_path, "bytes", lambda ids: np.array(ids, "<u4").tobytes())
+        store = word_store(tokenizer_path, "bytes", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -47,7 +48,7 @@ def pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
             ids, marks = batch.doc_id.tolist(), batch.row.tolist()
             for part in sections_of(bpe, store, batch.text.tolist()):
                 for got in part:
-                    data = b"".join([store[w] for w in got]) + end
+                    data = b"".join(map(store.__getitem__, got)) + end
                     n = len(data) // 4
                     for k, start in enumerate(range(0, n, capacity)):
                         cut = data[4 * start:4 * (start + capacity)]
