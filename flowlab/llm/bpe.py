@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 MAX_WORDS = 700_000
 #: Characters below this are split by the pattern here; the library's own
 #: pre-tokenizer splits texts that hold others.
@@ -359,7 +361,13 @@ def word_store(path: str, kind: str, render) -> WordStore:
     return _STORES[path, kind]
 
 
-def sections_of(bpe: SpeculativeBPE, store: WordStore, texts, step: int = 1000) -> Iterator[list[list[str]]]:
+def forget_words() -> None:
+    """Empty the worker's stores and give their memory back, before other work."""
+    _STORES.clear()
+    release_memory()
+
+
+def sections_of(bpe: SpeculativeBPE, store: WordStore, texts, step: int = 300) -> Iterator[list[list[str]]]:
     """The sections of the texts, a few texts at a time, all words in the store."""
     for i in range(0, len(texts), step):
         got = [bpe.sections(t or "") for t in texts[i:i + step]]

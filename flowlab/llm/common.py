@@ -54,6 +54,19 @@ def with_row(df: DataFrame, name: str = "row") -> DataFrame:
     return with_file_order(df, name, offsets=stored(file_offsets(df), "offsets"))
 
 
+def release_memory() -> None:
+    """Give memory that a Python worker has freed, but its allocators keep, back to
+    the system: workers live on between tasks, beside the executor's own heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage ends there, and a lost executor costs only its own tasks.
