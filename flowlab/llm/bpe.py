@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import release_memory
 
-MAX_WORDS = 700_000
+MAX_WORDS = 1_000_000
 #: Characters below this are split by the pattern here; the library's own
 #: pre-tokenizer splits texts that hold others.
 PLAIN_BELOW = 0x250
@@ -367,7 +367,7 @@ def forget_words() -> None:
     release_memory()
 
 
-def sections_of(bpe: SpeculativeBPE, store: WordStore, texts, step: int = 300) -> Iterator[list[list[str]]]:
+def sections_of(bpe: SpeculativeBPE, store: WordStore, texts, step: int = 1000) -> Iterator[list[list[str]]]:
     """The sections of the texts, a few texts at a time, all words in the store."""
     for i in range(0, len(texts), step):
         got = [bpe.sections(t or "") for t in texts[i:i + step]]
