@@ -67,15 +67,27 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing needs any more deleted.
+
+    Spark deletes them when their plans have been collected on the driver, which
+    may take long on a driver that has memory to spare; meanwhile they fill the
+    executors' disks.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def stored(df: DataFrame, name: str, *, large: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage ends there, and a lost executor costs only its own tasks.
 
-    Tables live under ``flowlab-llm/<application id>`` and can be deleted once
+    With ``large`` the shuffles that made the table are freed at once. Tables live under ``flowlab-llm/<application id>`` and can be deleted once
     the application has ended.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/flowlab-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if large:
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_row
+from .common import release_memory, stored, with_row
 
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
@@ -223,6 +223,7 @@ def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
                 yield counted()
                 n_held = 0
         yield counted()
+        release_memory()
 
     both = stored(rows.mapInPandas(run, "doc_id long, row long, unit int, n long, node long"), "units")
     units = both.filter("row >= 0")
@@ -266,6 +267,7 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
             # size, position and whether the token is frequent in one number: a short shuffle row
             place = (size[keep].astype(np.int64) << 32) | (pos[keep] << 1) | (f[keep] > 0)
             yield pd.DataFrame({"token": signed(h[keep]), "node": signed(nodes[owner[keep]]), "place": place})
+        release_memory()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of rows sorted by token, size and node: one for each node that has a
@@ -287,6 +289,7 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
             yield result(token[wanted], node[wanted], place[wanted])
         if last is not None and last[3]:
             yield result(*(np.array([x]) for x in last[:3]))
+        release_memory()
 
     def result(token, node, place):
         return pd.DataFrame({"token": token, "node": node, "n": (place >> 32).astype(np.int32),
@@ -410,6 +413,7 @@ def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool
                         row += [np.flatnonzero(lacks).astype("<u4").tobytes(), b[~has].astype("<u8").tobytes()]
                     rows.append(row)
                 yield pd.DataFrame(rows, columns=names_out)
+        release_memory()
 
     schema = "x long, y long, nx long, ny long, both long, linked boolean" + (", lacks binary, extra binary" if differences else "")
     names_out = [c.split()[0] for c in schema.split(", ")]

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Letters of other scripts and signs that are read as Latin letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o",
@@ -179,9 +181,10 @@ def _count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, y in zip(batch.text, batch.toxic):
             (toxic if y else clean).update({e for w in set(fold(text).split()) for e in entries_of(w)})
-            if len(toxic) + len(clean) > 1_000_000:
+            if len(toxic) + len(clean) > 300_000:  # bounded memory; counts are added up later
                 yield flush()
     yield flush()
+    release_memory()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
