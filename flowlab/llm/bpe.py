@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import release_memory, small_batches
 
 MAX_WORDS = 1_000_000
 #: Characters below this are split by the pattern here; the library's own
@@ -383,7 +383,7 @@ def encode(df: DataFrame, tokenizer_path: str, *, text: str = "text", column: st
         store = word_store(tokenizer_path, "ids", tuple)
         return pd.Series([[i for w in got for i in store[w]]
                           for part in sections_of(bpe, store, texts.tolist()) for got in part])
-    return df.withColumn(column, ids(F.col(text)))
+    return small_batches(df).withColumn(column, ids(F.col(text)))
 
 
 def decode(df: DataFrame, tokenizer_path: str, *, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -413,4 +413,4 @@ def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch.doc_id.to_numpy())
             yield out
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(df).select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -49,6 +49,7 @@ def _read_from_parquet(df: DataFrame) -> bool:
 def with_row(df: DataFrame, name: str = "row") -> DataFrame:
     """``df`` with the number ``name`` of each row, the same in every pass however
     the scan is split; it grows with the place in the input."""
+    small_batches(df)
     if not _read_from_parquet(df):
         return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     return with_file_order(df, name, offsets=stored(file_offsets(df), "offsets"))
@@ -67,6 +68,21 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
+#: Texts that go to a Python worker at once, unless the session says otherwise.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends texts to Python in batches of ``BATCH_ROWS`` where it
+    is not set otherwise. Spark's 10,000 rows are many megabytes of text, held
+    several times over in the executor and its workers."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "10000") == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have the files of shuffles that nothing needs any more deleted.
 

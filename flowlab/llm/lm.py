@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, text_column, with_row
+from .common import fresh, small_batches, stored, text_column, with_row
 from .setjoin import CHUNK_BYTES, COUNT_TOKENS, hash_words_and_ends, signed
 
 VOCABULARY, CLASS_SIZE, RARE, KNOWN = 1023, 32, 8, 100_000
@@ -259,7 +259,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                     n = 0
         yield counted()
 
-    each = train.select("text").mapInPandas(run, "word long, rare long, count long")
+    each = small_batches(train).select("text").mapInPandas(run, "word long, rare long, count long")
     return stored(each.groupBy("word").agg(F.first("rare").alias("rare"), F.sum("count").alias("count")), "words")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, forget_words, sections_of, word_store
-from .common import release_memory, stored
+from .common import release_memory, small_batches, stored
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,7 +58,7 @@ def pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
         release_memory()
 
     marked = df.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return marked.mapInPandas(run, PIECES)
+    return small_batches(marked).mapInPandas(run, PIECES)
 
 
 def fill(needs: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str) -> np.ndarray:

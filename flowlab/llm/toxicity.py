@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import release_memory, small_batches
 
 #: Letters of other scripts and signs that are read as Latin letters.
 HOMOGLYPHS = {
@@ -150,7 +150,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
 
 
 def score(df: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    return df.withColumn(column, score_column(model, F.col("text")))
+    return small_batches(df).withColumn(column, score_column(model, F.col("text")))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int) -> DataFrame:
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 8000, max_en
     ``max_entries`` the lexicon; an entry needs ``min_docs`` toxic documents
     and a log-likelihood ratio of ``min_evidence``.
     """
-    rows = training_rows(docs, labels, max_per_class)
+    rows = training_rows(small_batches(docs), labels, max_per_class)
     counts = (rows.filter("fold > 0").select("text", "toxic")
               .mapInPandas(_count_entries, "entry string, toxic_docs long, clean_docs long")
               .groupBy("entry").agg(F.sum("toxic_docs").alias("t"), F.sum("clean_docs").alias("c")))
