@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.common import fresh  # noqa: F401  (used by the operators)
 from ..session import ensure_checkpoint_dir
 from ..sources.flows import file_offsets, with_file_order
+from ..sources.store import _fs, delete_at_end
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,6 @@ def _read_from_parquet(df: DataFrame) -> bool:
 def with_row(df: DataFrame, name: str = "row") -> DataFrame:
     """``df`` with the number ``name`` of each row, the same in every pass however
     the scan is split; it grows with the place in the input."""
-    small_batches(df)
     if not _read_from_parquet(df):
         return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     return with_file_order(df, name, offsets=stored(file_offsets(df), "offsets"))
@@ -68,21 +68,65 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
-#: Texts that go to a Python worker at once, unless the session says otherwise.
-BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at once: of whole texts, and of short rows
+#: (Spark's default, many megabytes of text, held several times over).
+TEXTS, SHORT_ROWS = "1000", "10000"
+
+
+def _batches(df: DataFrame, rows: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, SHORT_ROWS) in (TEXTS, SHORT_ROWS):  # else the session's own choice stands
+        conf.set(_BATCH, rows)
+    return df
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session sends texts to Python in batches of ``BATCH_ROWS`` where it
-    is not set otherwise. Spark's 10,000 rows are many megabytes of text, held
-    several times over in the executor and its workers."""
+    """``df``, about to be sent to Python as texts."""
+    return _batches(df, TEXTS)
+
+
+def large_batches(df: DataFrame) -> DataFrame:
+    """``df``, about to be sent to Python as many short rows."""
+    return _batches(df, SHORT_ROWS)
+
+
+def release_memory() -> None:
+    """Give memory that a Python worker has freed, but its allocators keep, back to
+    the system: workers live on between tasks, beside the executor's own heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at once: of whole texts, and of short rows
+#: (Spark's default, many megabytes of text, held several times over).
+TEXTS, SHORT_ROWS = "1000", "10000"
+
+
+def _batches(df: DataFrame, rows: str) -> DataFrame:
     conf = df.sparkSession.conf
-    if conf.get(_BATCH, "10000") == "10000":
-        conf.set(_BATCH, str(BATCH_ROWS))
+    if conf.get(_BATCH, SHORT_ROWS) in (TEXTS, SHORT_ROWS):  # else the session's own choice stands
+        conf.set(_BATCH, rows)
     return df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, about to be sent to Python as texts."""
+    return _batches(df, TEXTS)
+
+
+def large_batches(df: DataFrame) -> DataFrame:
+    """``df``, about to be sent to Python as many short rows."""
+    return _batches(df, SHORT_ROWS)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have the files of shuffles that nothing needs any more deleted.
 
@@ -93,17 +137,53 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def stored(df: DataFrame, name: str, *, large: bool = False) -> DataFrame:
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned and that nothing reads any more."""
+    for table in tables:
+        folder = getattr(table, "_stored_at", None)
+        if folder:
+            fs, path = _fs(table.sparkSession, folder)
+            fs.delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage ends there, and a lost executor costs only its own tasks.
 
-    With ``large`` the shuffles that made the table are freed at once. Tables live under ``flowlab-llm/<application id>`` and can be deleted once
-    the application has ended.
+    Tables live under ``flowlab-llm/<application id>``; operators drop those that
+    are read no more (``drop_tables``), and the rest go when the application ends.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/flowlab-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    delete_at_end(spark, path)
     df.write.parquet(path)
-    if large:
-        free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    if _SCOPE is not None:
+        _SCOPE.append(table)
+    return table
+
+
+_SCOPE: list[DataFrame] | None = None
+
+
+class Scope:
+    """The tables stored inside a ``with`` block, to be dropped together when the
+    block's result has been written: ``previous.drop()``."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scope:
+        global _SCOPE
+        self._outer, _SCOPE = _SCOPE, self.tables
+        return self
+
+    def __exit__(self, *_) -> None:
+        global _SCOPE
+        _SCOPE = self._outer
+
+    def drop(self) -> None:
+        drop_tables(*self.tables)
+        self.tables.clear()

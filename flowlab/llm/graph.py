@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_tables, stored
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     before = mark(now)
     for _ in range(max_rounds):
-        now = stored(_star(_star(now, small=False), small=True), "links")
+        last, now = now, stored(_star(_star(now, small=False), small=True), "links")
+        drop_tables(last)
         after = mark(now)
         if after == before:
             break

@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, with_row
+from .common import drop_tables, fresh, stored, with_row
 from .graph import components
-from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, shared_postings, sketches, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, plausible, shared_postings, sketches, unit_texts, verify, with_rows
 
 
 def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +94,9 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str
     texts = unit_texts(rows, wanted, kind)
 
     leaders = stored(leader_pairs(postings, kind, "node"), "pairs")
-    checked = stored(verify(leaders, texts, kind, differences=True), "answers")
+    sketched = stored(sketches(texts, kind), "sketches")
+    # pairs that have half of their shingles in common serve as references
+    checked = stored(verify(plausible(leaders, sketched, Units(k=k, percent=50)), texts, kind, differences=True), "answers")
     first = components(checked.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     alike = checked.filter(2 * F.col("both") >= F.col("nx") + F.col("ny") - F.col("both"))
     best = alike.groupBy("y").agg(F.max_by("x", F.struct("both", "x")).alias("x"))
@@ -107,13 +109,13 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str
             verify(others, texts, kind).filter("linked").select("x", "y")), "answers")
 
     crossing = stored(crossing_rows(postings, first), "crossing")
-    met = crossing.select("node").distinct()
-    sketched = sketches(texts.filter(among(texts, met.withColumnRenamed("node", "row"), of="node")), kind)
-    more = settle(crossing_pairs(crossing.join(sketched, "node"), kind).join(
+    more = settle(crossing_pairs(crossing.join(sketched.drop("n"), "node"), kind).join(
         leaders.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
     links = (first.select(F.col("node").alias("a"), F.col("component").alias("b"))
              .unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     groups = components(links).withColumnRenamed("component", "grouped")
+    # the components are stored: only units and sets are read from here on
+    drop_tables(postings, texts, leaders, sketched, checked, crossing)
     labels = sets.join(groups, "node", "left").withColumn("grouped", F.coalesce("grouped", "node"))
     smallest = labels.groupBy("grouped").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(smallest, "grouped").select("node", "component_id", "grouped")

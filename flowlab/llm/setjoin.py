@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, stored, with_row
+from .common import large_batches, release_memory, stored, with_row
 
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
@@ -195,6 +195,7 @@ class Met:
 def with_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, text and ``row``, the place in the input (a column of ``docs`` or
     numbered here), which tells apart rows of equal ids in every pass."""
+    large_batches(docs)  # postings outnumber texts by far
     if row is None:
         docs, row = with_row(docs.select("doc_id", "text"), "row"), "row"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
@@ -327,8 +328,8 @@ SKETCH_WORDS = 8
 
 
 def sketches(texts: DataFrame, kind: Units) -> DataFrame:
-    """(node, s0, s1, ...) of each (node, text): 512 bits, bit b the parity of
-    the shingles whose hash ends in b."""
+    """(node, n, s0, s1, ...) of each (node, text): how many shingles, and 512 bits,
+    bit b the parity of the shingles whose hash ends in b."""
     bits = 64 * SKETCH_WORDS
     names = [f"s{i}" for i in range(SKETCH_WORDS)]
 
@@ -340,9 +341,10 @@ def sketches(texts: DataFrame, kind: Units) -> DataFrame:
                 spot = np.repeat(np.arange(len(part)), np.diff(bounds)) * bits + (h & np.uint64(bits - 1)).astype(np.int64)
                 odd = (np.bincount(spot, minlength=len(part) * bits) & 1).astype(np.uint8).reshape(len(part), bits)
                 words = np.packbits(odd, axis=1).view(np.int64).reshape(len(part), SKETCH_WORDS)
-                yield pd.DataFrame(words, columns=names).assign(node=part.node.to_numpy())
+                yield pd.DataFrame(words, columns=names).assign(node=part.node.to_numpy(), n=np.diff(bounds).astype(np.int32))
+        release_memory()
 
-    schema = "node long, " + ", ".join(f"{n} long" for n in names)
+    schema = "node long, n int, " + ", ".join(f"{n} long" for n in names)
     return texts.select("node", "text").mapInPandas(run, schema)
 
 
@@ -354,6 +356,13 @@ def near_enough(left: str, right: str, kind: Units) -> Column:
     return F.expr(f"{left}.n + {right}.n - ({differ})") >= 2 * need
 
 
+def plausible(pairs: DataFrame, sketched: DataFrame, kind: Units) -> DataFrame:
+    """The pairs (x, y) that sketches do not rule out, before any text is moved."""
+    a, b = sketched.alias("a"), sketched.alias("b")
+    return (pairs.select("x", "y").join(a, F.col("x") == F.col("a.node")).join(b, F.col("y") == F.col("b.node"))
+            .filter(near_enough("a", "b", kind)).select("x", "y"))
+
+
 def fitting(left: str, right: str, kind: Units) -> Column:
     """Length and positional filters for postings of one token: the sizes allow
     the similarity, and so do the shingles that are left from here on."""
@@ -389,8 +398,9 @@ def unit_texts(rows: DataFrame, units: DataFrame, kind: Units) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool = False) -> DataFrame:
     """(x, y, nx, ny, both, linked) of each pair, ``both`` the shared shingles,
-    counted exactly; with ``differences`` also what y lacks of x (places in x's
-    sorted set) and has besides (hashes), as bytes."""
+    counted exactly; with ``differences`` also, of pairs that have half of their
+    shingles in common, what y lacks of x (places in x's sorted set) and has
+    besides (hashes), as bytes."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -407,10 +417,12 @@ def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool
                     has = a[where] == b if len(a) else np.zeros(len(b), bool)
                     both = int(has.sum())
                     row = [int(names[ix]), int(names[iy]), len(a), len(b), both, 100 * both >= kind.percent * (len(a) + len(b) - both)]
-                    if differences:
+                    if differences and 2 * both >= len(a) + len(b) - both:
                         lacks = np.ones(len(a), bool)
                         lacks[where[has]] = False
                         row += [np.flatnonzero(lacks).astype("<u4").tobytes(), b[~has].astype("<u8").tobytes()]
+                    elif differences:
+                        row += [None, None]
                     rows.append(row)
                 yield pd.DataFrame(rows, columns=names_out)
         release_memory()

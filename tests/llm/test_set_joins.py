@@ -181,10 +181,39 @@ def test_sketches_pass_all_similar_sets(spark):
             texts.append(" ".join(f"x{rng.randrange(5000)}" if rng.random() < share else w for w in words))
     kind = setjoin.Units()
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    sizes = spark.createDataFrame([(i, len(shingles(t))) for i, t in enumerate(texts)], "node long, n int")
-    rows = stored(setjoin.sketches(df, kind).join(sizes, "node"), "sketches")
+    rows = stored(setjoin.sketches(df, kind), "sketches")
+    assert {r.node: r.n for r in rows.collect()} == {i: len(shingles(t)) for i, t in enumerate(texts)}
     met = {(r.x, r.y): r.near for r in rows.alias("a").join(rows.alias("b"), F.expr("a.node < b.node")).select(
         F.col("a.node").alias("x"), F.col("b.node").alias("y"), setjoin.near_enough("a", "b", kind).alias("near")).collect()}
     similar = {(x, y) for x, y in met if alike(shingles(texts[x]), shingles(texts[y]))}
     assert similar and all(met[p] for p in similar)
     assert not all(met.values())
+
+
+def test_sizes_at_the_limit_meet_across_blocks(spark):
+    """Lines of 3 n and 4 n shingles, as far apart as similar sets can be, for sizes on and
+    beside the edges of size blocks."""
+    lines = []
+    for n in (1, 3, 4, 9, 12, 16, 27, 36, 48, 64, 81, 243, 256):
+        words = [f"s{n}w{j}" for j in range(4 * n + 4)]
+        lines += [" ".join(words), " ".join(words[:3 * n + 4])]
+    rows = list(enumerate(lines))
+    out = {r.doc_id: list(r.removed_lines) for r in line_dedup.dedup_lines(table(spark.createDataFrame(rows, SCHEMA), 3)).collect()}
+    assert out == brute_lines(rows) and all(out[i] == [0] for i in range(1, len(rows), 2))
+
+
+def test_tables_are_dropped(spark):
+    import os
+
+    from flowlab.llm.common import Scope, drop_tables
+    with Scope() as scope:
+        a = stored(spark.range(5), "a")
+        with Scope() as inner:
+            b = stored(spark.range(5), "b")
+        c = stored(spark.range(5), "c")
+    places = [t._stored_at.removeprefix("file:") for t in (a, b, c)]
+    assert all(os.path.isdir(p) for p in places) and len(scope.tables) == 2 and len(inner.tables) == 1
+    scope.drop()
+    assert [os.path.isdir(p) for p in places] == [False, True, False]
+    drop_tables(b, spark.range(3))
+    assert not os.path.isdir(places[1])
