@@ -88,7 +88,7 @@ def main(argv=None):
     from flowlab.session import get_spark
     spark = get_spark(master="local[8]", shuffle_partitions=8)
     qs, sqls = entry.queries(), entry.oracle_sql()
-    keys = args.keys or list(qs)
+    keys = args.keys or [k for k in qs if k in sqls]
     con = duck(args.sf)
     bad = 0
     for k in keys:
