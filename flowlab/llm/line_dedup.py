@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored, with_row
-from .setjoin import Units, among, describe, fitting, leader_pairs, plausible, shared_postings, sketches, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, plausible, shared_postings, size_blocks, sketches, unit_texts, verify, with_rows
 
 
 def later_matches(postings: DataFrame, texts: DataFrame, kind: Units) -> DataFrame:
@@ -41,19 +41,15 @@ def later_matches(postings: DataFrame, texts: DataFrame, kind: Units) -> DataFra
     leaders = stored(leader_pairs(postings, kind, "rank"), "pairs")
     sketched = stored(sketches(texts, kind), "sketches")
     found = stored(late(verify(plausible(leaders, sketched, kind), texts, kind)), "matched")
-    # size blocks, as part of the key: twice as wide as similar sets can lie apart, so
-    # that those of a set lie in its block and in the one nearer to it
-    place = F.log(F.col("n").cast("double")) / F.log(F.lit(100 / kind.percent)) / 2
-    rows = postings.withColumn("block", F.floor(place + 1e-9))
-    within = place - F.col("block")
-    nearer = F.array_compact(F.array(F.col("block"), F.when(within < 0.5 + 1e-6, F.col("block") - 1),
-                                     F.when(within > 0.5 - 1e-6, F.col("block") + 1)))
-    left = rows.join(found, "node", "left_anti").withColumn("block", F.explode(nearer))
+    # size blocks, as part of the key
+    block, near = size_blocks("n", kind)
+    rows = postings.withColumn("block", block)
+    left = postings.join(found, "node", "left_anti").withColumn("block", F.explode(near))
     pairs = (left.alias("b").join(rows.alias("a"), ["token", "block"])
              .filter(F.expr("a.rank < b.rank") & fitting("a", "b", kind))
              .select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
              .join(leaders, ["x", "y"], "left_anti"))
-    rest = plausible(stored(pairs, "pairs"), sketched, kind)
+    rest = plausible(pairs, sketched, kind)
     return found.unionByName(late(verify(rest, texts, kind))).distinct()
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_tables, fresh, stored, with_row
 from .graph import components
-from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, plausible, shared_postings, sketches, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, plausible, shared_postings, size_blocks, sketches, unit_texts, verify, with_rows
 
 
 def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
@@ -69,11 +69,10 @@ def crossing_rows(postings: DataFrame, joined: DataFrame) -> DataFrame:
 def crossing_pairs(rows: DataFrame, kind: Units) -> DataFrame:
     """All pairs of ``crossing_rows`` (with sketches) of one token that pass the
     filters and are not connected yet."""
-    # size blocks: sizes of similar sets lie in the same or in neighbouring blocks
-    rows = rows.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / kind.percent)) + 1e-9))
+    block, near = size_blocks("n", kind)
     # every pair between two components has a side outside the list's main one
-    outside = rows.filter("component <> main").withColumn("block", F.explode(F.array(*(F.col("block") + d for d in (-1, 0, 1)))))
-    a, b = outside.alias("a"), rows.alias("b")
+    outside = rows.filter("component <> main").withColumn("block", F.explode(near))
+    a, b = outside.alias("a"), rows.withColumn("block", block).alias("b")
     return (a.join(b, ["token", "block"]).filter(F.expr("a.component <> b.component") & fitting("a", "b", kind) & near_enough("a", "b", kind))
             .select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct())
 

@@ -372,6 +372,17 @@ def fitting(left: str, right: str, kind: Units) -> Column:
         F.expr(f"least({a} - {left}.pos, {b} - {right}.pos)") >= need)
 
 
+def size_blocks(n: str, kind: Units) -> tuple[Column, Column]:
+    """The block of a set of ``n`` shingles, and the blocks that similar sets lie in: its
+    own and the one nearer to it, as blocks are twice as wide as similar sets can be
+    apart (both neighbours in the middle of a block)."""
+    place = F.log(F.col(n).cast("double")) / F.log(F.lit(100 / kind.percent)) / 2
+    block = F.floor(place + 1e-9)
+    within = place - block
+    near = F.array(block, F.when(within < 0.5 + 1e-6, block - 1), F.when(within > 0.5 - 1e-6, block + 1))
+    return block, F.array_compact(near)
+
+
 def leader_pairs(shared: DataFrame, kind: Units, rank: str, salts: int = 8) -> DataFrame:
     """Pairs (x, y) of each posting with the lowest-ranked of its token's list,
     and of one of ``salts`` parts of that list: no more than two per posting."""
@@ -430,6 +441,10 @@ def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool
     schema = "x long, y long, nx long, ny long, both long, linked boolean" + (", lacks binary, extra binary" if differences else "")
     names_out = [c.split()[0] for c in schema.split(", ")]
     # `both` in SQL is a word of its own, so columns are only used through the API
+    pairs = stored(pairs.select("x", "y"), "pairs")
+    # texts of other sets need not be shuffled
+    asked = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row")))
+    texts = texts.filter(among(texts, asked, of="node"))
     full = (pairs.select("x", "y").join(texts.select(F.col("node").alias("x"), F.col("text").alias("xt")), "x")
             .join(texts.select(F.col("node").alias("y"), F.col("text").alias("yt")), "y"))
     return full.select("x", "y", "xt", "yt").mapInPandas(run, schema)
