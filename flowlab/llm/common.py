@@ -68,6 +68,33 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
+_BATCH, _DEFAULT, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Python at most 4 MB at once where it is not set
+    otherwise. Texts are held several times over in an executor and its workers,
+    and Spark's 64 MB of them are too much for small ones; short rows still come
+    by the thousand."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) == _DEFAULT:
+        conf.set(_BATCH, _BYTES)
+    return df
+
+
+def release_memory() -> None:
+    """Give memory that a Python worker has freed, but its allocators keep, back to
+    the system: workers live on between tasks, beside the executor's own heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that go to a Python worker at once: of whole texts, and of short rows
 #: (Spark's default, many megabytes of text, held several times over).

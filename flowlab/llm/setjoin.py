@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import large_batches, release_memory, stored, with_row
+from .common import release_memory, small_batches, stored, with_row
 
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
@@ -195,7 +195,7 @@ class Met:
 def with_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, text and ``row``, the place in the input (a column of ``docs`` or
     numbered here), which tells apart rows of equal ids in every pass."""
-    large_batches(docs)  # postings outnumber texts by far
+    small_batches(docs)
     if row is None:
         docs, row = with_row(docs.select("doc_id", "text"), "row"), "row"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")

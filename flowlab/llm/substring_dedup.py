@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, with_row
+from .common import fresh, small_batches, stored, with_row
 
 BOUNDARY = re.compile(r"\n|[.!?]+(?=\s)")
 ENDS = " \t.,;:!?\"'()[]"
@@ -88,7 +88,7 @@ def unit_table(rows: DataFrame) -> DataFrame:
                 out.insert(0, "doc_id", part.doc_id.to_numpy()[owner])
                 yield out
     schema = "doc_id long, row long, unit int, last int, start int, end int, words int, whole boolean, hi long, lo long"
-    return stored(rows.mapInPandas(run, schema), "units")
+    return stored(small_batches(rows).mapInPandas(run, schema), "units")
 
 
 def removed_spans(docs: DataFrame, *, min_words: int = 20, row: str | None = None) -> DataFrame:
