@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
+from .common import KEPT, small_batches
 
 MAX_WORDS = 1_000_000
 #: Characters below this are split by the pattern here; the library's own
@@ -362,9 +362,12 @@ def word_store(path: str, kind: str, render) -> WordStore:
 
 
 def forget_words() -> None:
-    """Empty the worker's stores and give their memory back, before other work."""
+    """Empty the worker's stores and encoders, before other work."""
     _STORES.clear()
-    release_memory()
+    _ENCODERS.clear()
+
+
+KEPT["bpe"] = forget_words
 
 
 def sections_of(bpe: SpeculativeBPE, store: WordStore, texts, step: int = 1000) -> Iterator[list[list[str]]]:

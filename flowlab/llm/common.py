@@ -9,6 +9,7 @@ filters and projections at most), else by storing the input with its numbers.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +56,21 @@ def with_row(df: DataFrame, name: str = "row") -> DataFrame:
     return with_file_order(df, name, offsets=stored(file_offsets(df), "offsets"))
 
 
-def release_memory() -> None:
-    """Give memory that a Python worker has freed, but its allocators keep, back to
-    the system: workers live on between tasks, beside the executor's own heap."""
+#: What a Python worker keeps between tasks, by owner: functions that let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release_memory(keep: str | None = None) -> None:
+    """Let a Python worker let go of what it keeps (but for the owner ``keep``), and give
+    freed memory back to the system: workers live on between tasks and operators,
+    beside the executor's own heap."""
     import ctypes
 
     import pyarrow as pa
 
+    for owner, forget in KEPT.items():
+        if owner != keep:
+            forget()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
@@ -82,88 +91,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def release_memory() -> None:
-    """Give memory that a Python worker has freed, but its allocators keep, back to
-    the system: workers live on between tasks, beside the executor's own heap."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that go to a Python worker at once: of whole texts, and of short rows
-#: (Spark's default, many megabytes of text, held several times over).
-TEXTS, SHORT_ROWS = "1000", "10000"
-
-
-def _batches(df: DataFrame, rows: str) -> DataFrame:
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH, SHORT_ROWS) in (TEXTS, SHORT_ROWS):  # else the session's own choice stands
-        conf.set(_BATCH, rows)
-    return df
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, about to be sent to Python as texts."""
-    return _batches(df, TEXTS)
-
-
-def large_batches(df: DataFrame) -> DataFrame:
-    """``df``, about to be sent to Python as many short rows."""
-    return _batches(df, SHORT_ROWS)
-
-
-def release_memory() -> None:
-    """Give memory that a Python worker has freed, but its allocators keep, back to
-    the system: workers live on between tasks, beside the executor's own heap."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that go to a Python worker at once: of whole texts, and of short rows
-#: (Spark's default, many megabytes of text, held several times over).
-TEXTS, SHORT_ROWS = "1000", "10000"
-
-
-def _batches(df: DataFrame, rows: str) -> DataFrame:
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH, SHORT_ROWS) in (TEXTS, SHORT_ROWS):  # else the session's own choice stands
-        conf.set(_BATCH, rows)
-    return df
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, about to be sent to Python as texts."""
-    return _batches(df, TEXTS)
-
-
-def large_batches(df: DataFrame) -> DataFrame:
-    """``df``, about to be sent to Python as many short rows."""
-    return _batches(df, SHORT_ROWS)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the files of shuffles that nothing needs any more deleted.
-
-    Spark deletes them when their plans have been collected on the driver, which
-    may take long on a driver that has memory to spare; meanwhile they fill the
-    executors' disks.
-    """
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` returned and that nothing reads any more."""
     for table in tables:

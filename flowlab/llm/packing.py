@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, forget_words, sections_of, word_store
+from .bpe import encoder, sections_of, word_store
 from .common import release_memory, small_batches, stored
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -55,7 +55,7 @@ def pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
                         rows.append((ids[at], marks[at], k, start, len(cut) // 4, zlib.crc32(cut)))
                     at += 1
             yield pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
-        release_memory()
+        release_memory(keep="bpe")
 
     marked = df.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     return small_batches(marked).mapInPandas(run, PIECES)
@@ -111,7 +111,7 @@ def pack(parts: DataFrame, *, capacity: int = 4096, max_documents: int | None =
              .withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forget_words()
+        release_memory()
         got = [b for b in batches if len(b)]
         if not got:
             return

@@ -157,6 +157,7 @@ class Units:
 
     def chunks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         """(batch, places in it, units, tokens, bounds, nodes) of a few texts at a time."""
+        release_memory()
         for batch in batches:
             rows, numbers, texts, size = [], [], [], 0
             for row, text in enumerate(batch.text.tolist()):

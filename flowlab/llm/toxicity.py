@@ -171,6 +171,8 @@ def _count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     toxic: Counter[str] = Counter()
     clean: Counter[str] = Counter()
 
+    release_memory()
+
     def flush():
         keys = list(toxic.keys() | clean.keys())
         out = pd.DataFrame({"entry": pd.Series(keys, dtype=object), "toxic_docs": [toxic[k] for k in keys], "clean_docs": [clean[k] for k in keys]})
