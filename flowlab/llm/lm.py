@@ -2,9 +2,11 @@
 
 Words are runs without ASCII white space, A-Z lower-cased; each text ends with
 an end token. The most frequent words and the end are tokens of their own (words
-seen ``OFTEN`` times or more, at least ``VOCABULARY``, so that there are more of
-them in a larger corpus, up to ``KNOWN``); all other words belong to one of ``RARE`` classes by their last two
-bytes. The output softmax is factored: the probability of a class given the
+seen ``OFTEN`` times or more that make up at least one token in ``KNOWN``, and
+the ``VOCABULARY`` most frequent ones in any case); all other words belong to one
+of ``RARE`` classes by their last two bytes. The share bounds what is broadcast:
+no more than ``KNOWN`` words can have it. The output softmax is factored, in
+classes of about as many words as there are classes: the probability of a class given the
 state, times that of the word in its class, which for frequent words depends on
 the state and for rare words is their smoothed share of the class's count. One
 slot per rare class is left for words never seen, so probabilities add up to 1.
@@ -13,7 +15,9 @@ Counts of words and classes are taken from all training rows by Spark. The
 recurrent weights are learned in the tasks from all training rows, on top of
 biases set from the counts: in each round every partition runs truncated
 backpropagation over all its texts, piece by piece, from the weights of the last
-round, and the results are averaged by their tokens. Only the weights pass
+round, and the results are averaged by their tokens, ``TOGETHER_MODELS`` at a
+time, in tasks as well. Each window updates only the inputs and the classes it
+met, so its cost follows its tokens, not the vocabulary. Only the average passes
 through the driver. Scoring runs in the tasks: texts
 advance side by side, window after window, with their states carried on, so
 every token of every text counts.
@@ -28,6 +32,7 @@ every token has probability 1 in the base and the score equals the base.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,34 +42,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, stored, text_column, with_row
+from .common import drop_tables, fresh, small_batches, stored, text_column, with_row
 from .setjoin import CHUNK_BYTES, COUNT_TOKENS, hash_words_and_ends, signed
 
 VOCABULARY, CLASS_SIZE, RARE, KNOWN = 1023, 32, 8, 100_000
 HIDDEN, WINDOW, TOGETHER = 16, 64, 512
 END = VOCABULARY  # the end token's number in the smallest vocabulary; rare classes follow
 OFTEN = 1000  # a word seen as often has enough to learn from
-PIECE, LANES, TOGETHER_MODELS = 1 << 18, 256, 32
+PIECE, LANES, TOGETHER_MODELS = 1 << 18, 256, 16
 
 
 def rare_class(tails: np.ndarray) -> np.ndarray:
     return (tails * 2654435761 >> 7) % RARE
 
 
+def class_size(vocabulary: int) -> int:
+    """Words a class: the power of two next to the vocabulary's square root."""
+    return max(CLASS_SIZE, 1 << round(math.log2(vocabulary + 1) / 2))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
+
+
+def _log_softmax_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of column i of ``x`` (in place), the entry ``place[i]``."""
+    x -= x.max(axis=0)
+    at = x[place, np.arange(len(place))]
+    np.exp(x, out=x)
+    return at - np.log(x.sum(axis=0))
+
+
+def _softmax_loss(x: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """In place: the gradient by ``x`` of the n-th part of the loss that column i
+    is for the entry ``place[i]``. Columns, as sums along them are fast."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x *= (1.0 / n) / x.sum(axis=0)
+    x[place, np.arange(len(place))] -= 1.0 / n
+    return x
+
 
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """The stable order of token numbers; small ones are sorted by digits."""
+    return np.argsort(numbers.astype(np.uint16) if numbers.max(initial=0) < 1 << 16 else numbers, kind="stable")
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts and stops."""
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return starts, np.r_[starts[1:], len(ordered)]
 
 
 @dataclass
 class Network:
     """Gated recurrent units with a class-factored output. Inputs are numbers of
-    frequent words, the end, and rare classes. The first classes hold
-    ``CLASS_SIZE`` tokens each in order of frequency, the last ``RARE`` none."""
+    frequent words, the end, and rare classes. The first classes hold equally
+    many tokens each in order of frequency, the last ``RARE`` none."""
     weights: dict[str, np.ndarray]
 
     @staticmethod
@@ -72,44 +110,58 @@ class Network:
         rng = np.random.default_rng(seed)
         n_in, n_class = len(token_mass) + RARE, len(class_mass)
         plain = n_class - RARE
+        each = len(token_mass) // plain
 
         def small(*shape):
             return (rng.standard_normal(shape) * 0.1).astype(np.float32)
 
         return Network({"x": small(n_in, 3 * HIDDEN), "u": small(HIDDEN, 3 * HIDDEN), "g": np.zeros(3 * HIDDEN, np.float32),
                         "c": np.zeros((HIDDEN, n_class), np.float32), "cb": np.log(class_mass).astype(np.float32),
-                        "w": np.zeros((plain, HIDDEN, CLASS_SIZE), np.float32),
-                        "wb": np.log(token_mass).reshape(plain, CLASS_SIZE).astype(np.float32)})
+                        "w": np.zeros((plain, HIDDEN, each), np.float32),
+                        "wb": np.log(token_mass).reshape(plain, each).astype(np.float32)})
 
     @property
     def end(self) -> int:
         """The number of the end token."""
-        return len(self.weights["wb"]) * CLASS_SIZE - 1
+        return self.weights["wb"].size - 1
 
-    def step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        p = self.weights
-        a = p["x"][token] + p["g"]
-        b = h @ p["u"]
+    def cell(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The next state, from what the input adds to the gates and the state."""
+        b = h @ self.weights["u"]
         zr = _sigmoid(a[:, :2 * HIDDEN] + b[:, :2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN:] + r * b[:, 2 * HIDDEN:])
-        return n + z * (h - n), (token, h, z, r, n, b[:, 2 * HIDDEN:])
+        z, r, bn = zr[:, :HIDDEN], zr[:, HIDDEN:], b[:, 2 * HIDDEN:]
+        n = r * bn
+        n += a[:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, (h, z, r, n, bn)
+
+    def inputs(self, token: np.ndarray) -> np.ndarray:
+        return self.weights["x"][token] + self.weights["g"]
+
+    def step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        return self.cell(self.inputs(token), h)
 
     def class_of(self, token: np.ndarray) -> np.ndarray:
-        plain = len(self.weights["wb"])
-        return np.where(token <= self.end, token // CLASS_SIZE, plain + token - self.end - 1)
+        plain, each = self.weights["wb"].shape
+        return np.where(token <= self.end, token // each, plain + token - self.end - 1)
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's class, and of the token in it if frequent."""
-        p, k = self.weights, self.class_of(target)
-        out = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(k)), k].astype(float)
-        order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(len(p["wb"]) + 1))
-        for c in range(len(p["wb"])):
-            at = order[edges[c]:edges[c + 1]]
-            if len(at):
-                word = _log_softmax(h[at] @ p["w"][c] + p["wb"][c])
-                out[at] += word[np.arange(len(at)), target[at] - c * CLASS_SIZE]
+        p, order = self.weights, _order(target)
+        plain, each = p["wb"].shape
+        hs, target = np.ascontiguousarray(h[order].T), target[order]
+        k, place = self.class_of(target), target % each
+        got = _log_softmax_at(p["c"].T @ hs + p["cb"][:, None], k).astype(float)
+        for a, b in zip(*_runs(k)):
+            c = k[a]
+            if c >= plain:
+                break
+            got[a:b] += _log_softmax_at(p["w"][c].T @ hs[:, a:b] + p["wb"][c][:, None], place[a:b])
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def train(self, pieces: Iterator[np.ndarray], *, lanes: int = LANES, window: int = 16, rate: float = 0.01) -> int:
@@ -133,12 +185,24 @@ class Network:
                 x, y = rows[:, s:s + window], rows[:, s + 1:s + window + 1]
                 grad, h = self.gradient(x[:, :y.shape[1]], y, h)
                 t += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / max(norm, 1e-9))
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g * g
-                    p[k] -= (rate * (first[k] / (1 - 0.9 ** t)) / (np.sqrt(second[k] / (1 - 0.99 ** t)) + 1e-6)).astype(np.float32)
+                norm = math.sqrt(sum(float(np.vdot(g, g)) for _, g in grad.values()))
+                scale = min(1.0, 5.0 / max(norm, 1e-9))
+                for k, (at, g) in grad.items():
+                    # moments and weights of the rows met alone
+                    g *= scale
+                    m, v = first[k][at], second[k][at]
+                    m *= 0.9
+                    m += 0.1 * g
+                    g *= g
+                    g *= 0.01
+                    v *= 0.99
+                    v += g
+                    first[k][at], second[k][at] = m, v
+                    change = np.sqrt(v / (1 - 0.99 ** t))
+                    change += 1e-6
+                    np.divide(m, change, out=change)
+                    change *= rate / (1 - 0.9 ** t)
+                    p[k][at] -= change
         return seen
 
     def packed(self) -> bytes:
@@ -153,45 +217,60 @@ class Network:
             at += w.size
         return Network(out)
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean loss of one window; the state after it, to carry on."""
-        p = self.weights
+    def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, tuple], np.ndarray]:
+        """Of the mean loss of one window, by weight as (rows, gradient of those
+        rows), all others being zero; the state after it, to carry on."""
+        p, whole = self.weights, slice(None)
         n_lane, n_step = x.shape
-        saved, states = [], []
+        met = np.ascontiguousarray(x.T)
+        going = (met != self.end)[:, :, None]  # a text starts without memory
+        fed = self.inputs(met)
+        saved, hs = [], np.empty((n_step, n_lane, HIDDEN), fed.dtype)
         for j in range(n_step):
-            h = h * (x[:, j] != self.end)[:, None]  # a text starts without memory
-            h, kept = self.step(x[:, j], h)
+            h, kept = self.cell(fed[j], h * going[j])
             saved.append(kept)
-            states.append(h)
-        hs, target = np.concatenate(states), y.T.reshape(-1)
-        k = self.class_of(target)
-        grad = {name: np.zeros_like(v) for name, v in p.items()}
-        d = np.exp(_log_softmax(hs @ p["c"] + p["cb"]))
-        d[np.arange(len(k)), k] -= 1
-        d /= len(k)
-        grad["c"], grad["cb"] = hs.T @ d, d.sum(axis=0)
-        dh = d @ p["c"].T
-        order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(len(p["wb"]) + 1))
-        for c in range(len(p["wb"])):
-            at = order[edges[c]:edges[c + 1]]
-            if len(at):
-                e = np.exp(_log_softmax(hs[at] @ p["w"][c] + p["wb"][c]))
-                e[np.arange(len(at)), target[at] - c * CLASS_SIZE] -= 1
-                e /= len(k)
-                grad["w"][c], grad["wb"][c] = hs[at].T @ e, e.sum(axis=0)
-                dh[at] += e @ p["w"][c].T
-        back = np.zeros((n_lane, HIDDEN), np.float32)
+            hs[j] = h
+        hs, target = hs.reshape(-1, HIDDEN), y.T.reshape(-1)
+        plain, each = p["wb"].shape
+        order = _order(target)
+        hs, place = np.ascontiguousarray(hs[order].T), target[order] % each
+        k = self.class_of(target[order])
+        d = _softmax_loss(p["c"].T @ hs + p["cb"][:, None], k, len(k))
+        grad = {"c": (whole, hs @ d.T), "cb": (whole, d.sum(axis=1))}
+        dh = p["c"] @ d
+        starts, stops = _runs(k)
+        classes = k[starts]
+        classes = classes[classes < plain]
+        of_words, of_biases = p["w"][classes], p["wb"][classes]
+        for i, (a, b) in enumerate(zip(starts[:len(classes)].tolist(), stops.tolist())):
+            part, w = hs[:, a:b], p["w"][classes[i]]
+            e = _softmax_loss(w.T @ part + p["wb"][classes[i]][:, None], place[a:b], len(k))
+            np.matmul(part, e.T, out=of_words[i])
+            np.sum(e, axis=1, out=of_biases[i])
+            dh[:, a:b] += w @ e
+        grad["w"], grad["wb"] = (classes, of_words), (classes, of_biases)
+        ahead = np.empty((len(k), HIDDEN), dh.dtype)
+        ahead[order] = dh.T
+        ahead = ahead.reshape(n_step, n_lane, HIDDEN)
+        back = 0.0
+        da, db = np.empty_like(fed), np.empty_like(fed)
         for j in range(n_step - 1, -1, -1):
-            token, before, z, r, n, bn = saved[j]
-            g = dh[j * n_lane:(j + 1) * n_lane] + back
+            before, z, r, n, bn = saved[j]
+            g = ahead[j] + back
             dn = g * (1 - z) * (1 - n * n)
-            da = np.hstack([g * (before - n) * z * (1 - z), dn * bn * r * (1 - r), dn])
-            db = np.hstack([da[:, :2 * HIDDEN], dn * r])
-            np.add.at(grad["x"], token, da)
-            grad["g"] += da.sum(axis=0)
-            grad["u"] += before.T @ db
-            back = (g * z + db @ p["u"].T) * (token != self.end)[:, None]
+            da[j, :, :HIDDEN] = g * (before - n) * z * (1 - z)
+            da[j, :, HIDDEN:2 * HIDDEN] = dn * bn * r * (1 - r)
+            da[j, :, 2 * HIDDEN:] = dn
+            db[j, :, :2 * HIDDEN] = da[j, :, :2 * HIDDEN]
+            db[j, :, 2 * HIDDEN:] = dn * r
+            back = (g * z + db[j] @ p["u"].T) * going[j]
+        flat = da.reshape(-1, 3 * HIDDEN)
+        grad["g"] = whole, flat.sum(axis=0)
+        grad["u"] = whole, np.concatenate([kept[0] for kept in saved]).T @ db.reshape(-1, 3 * HIDDEN)
+        token = met.reshape(-1)
+        order = _order(token)
+        starts, _ = _runs(token[order])
+        grad["x"] = token[order[starts]], np.add.reduceat(flat[order], starts, axis=0)
         return grad, h
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -202,26 +281,26 @@ class Network:
         for s in range(0, len(texts), TOGETHER):
             group = by_size[s:s + TOGETHER]
             n = sizes[group]
+            flat = np.concatenate([texts[i] for i in group])
+            begins = np.r_[0, np.cumsum(n)[:-1]]
             h = np.zeros((len(group), HIDDEN), np.float32)
             last = np.full(len(group), self.end)
             for a in range(0, int(n[0]), WINDOW):
                 live = int((n > a).sum())
-                tokens = np.full((live, min(WINDOW, int(n[0]) - a)), -1)
-                for i in range(live):
-                    part = texts[group[i]][a:a + WINDOW]
-                    tokens[i, :len(part)] = part
-                states, targets, owners = [], [], []
-                h, last = h[:live], last[:live]
-                for j in range(tokens.shape[1]):
-                    m = int((n > a + j).sum())
-                    new, _ = self.step(last[:m], h[:m])
+                steps = a + np.arange(min(WINDOW, int(n[0]) - a))
+                # texts are in order of size: those still going are the first
+                going = np.searchsorted(-n[:live], -steps, side="left")
+                tokens = flat[np.minimum(begins[:live, None] + steps, len(flat) - 1)]
+                h, fed = h[:live], self.inputs(np.c_[last[:live], tokens[:, :-1]].T)
+                states = []
+                for j, m in enumerate(going.tolist()):
+                    new, _ = self.cell(fed[j, :m], h[:m])
                     h[:m] = new
-                    last[:m] = tokens[:m, j]
                     states.append(new)
-                    targets.append(tokens[:m, j])
-                    owners.append(np.arange(m))
-                got = self.log_probability(np.concatenate(states), np.concatenate(targets))
-                out[group[:live]] += np.bincount(np.concatenate(owners), got, live)
+                last = tokens[:, -1]
+                owners = np.concatenate([np.arange(m) for m in going])
+                targets = np.concatenate([tokens[:m, j] for j, m in enumerate(going)])
+                out[group[:live]] += np.bincount(owners, self.log_probability(np.concatenate(states), targets), live)
         return out
 
 
@@ -319,15 +398,23 @@ def learned(train: DataFrame, model: Model, network: Network, rate: float) -> Ne
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [seen], "weights": [own.packed()]})
 
     def average(group: pd.DataFrame) -> pd.DataFrame:
-        total = int(group.tokens.sum())
-        mean = sum(np.frombuffer(w, np.float32).astype(float) * (n / total) for w, n in zip(group.weights, group.tokens))
-        return pd.DataFrame({"part": [int(group.part.min()) // TOGETHER_MODELS], "tokens": [total], "weights": [mean.astype(np.float32).tobytes()]})
+        group, total = group.sort_values("part"), int(group.tokens.sum())
+        mean = np.zeros(len(group.weights.iloc[0]) // 4)
+        for w, n in zip(group.weights, group.tokens):
+            mean += np.frombuffer(w, np.float32) * (n / total)
+        return pd.DataFrame({"part": [int(group.part.iloc[0]) // TOGETHER_MODELS], "tokens": [total],
+                             "weights": [mean.astype(np.float32).tobytes()]})
 
     schema = "part long, tokens long, weights binary"
     parts = stored(train.select("text").mapInPandas(run, schema), "networks")
-    while parts.count() > TOGETHER_MODELS:
-        parts = stored(parts.groupBy(F.floor(F.col("part") / TOGETHER_MODELS)).applyInPandas(average, schema), "networks")
-    return network.unpacked(np.frombuffer(average(parts.orderBy("part").toPandas()).weights[0], np.float32))
+    while parts.count() > 1:
+        fewer = stored(parts.groupBy(F.floor(F.col("part") / TOGETHER_MODELS)).applyInPandas(average, schema), "networks")
+        drop_tables(parts)
+        parts = fewer
+    packed = parts.first()["weights"]
+    drop_tables(parts)
+    shared.destroy()
+    return network.unpacked(np.frombuffer(packed, np.float32))
 
 
 def fit(train: DataFrame, *, rates: tuple[float, ...] = (0.01, 0.003)) -> tuple[Model, DataFrame]:
@@ -340,9 +427,11 @@ def fit(train: DataFrame, *, rates: tuple[float, ...] = (0.01, 0.003)) -> tuple[
     total, distinct = int(sums["n"] or 0) + n_texts, int(sums["v"]) + (n_texts > 0)
     by_class = {r["rare"]: (int(r["n"]), int(r["v"])) for r in
                 counts.groupBy("rare").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect()}
+    # words seen often enough, in number and in share (so that they are all in ``top``)
+    often = int(((top["count"] >= OFTEN) & (top["count"] * KNOWN >= total)).sum())
+    each = class_size(max(VOCABULARY, often))
     # whole classes, the end being the last token
-    often = -(-(int((top["count"] >= OFTEN).sum()) + 1) // CLASS_SIZE) * CLASS_SIZE - 1
-    size = max(VOCABULARY, often)
+    size = -(-(max(VOCABULARY, often) + 1) // each) * each - 1
     frequent = top.head(size)
     gone = frequent.groupby("rare")["count"].agg(["sum", "count"])
     tokens, kinds = np.zeros(RARE), np.zeros(RARE)
@@ -360,8 +449,9 @@ def fit(train: DataFrame, *, rates: tuple[float, ...] = (0.01, 0.003)) -> tuple[
     mass[:len(frequent)] = frequent["count"]
     mass[size] = n_texts
     mass = mass + 0.1
-    classes = np.r_[mass.reshape(-1, CLASS_SIZE).sum(axis=1), tokens + kinds + 1]
-    network = Network.start(classes / classes.sum(), (mass.reshape(-1, CLASS_SIZE) / mass.reshape(-1, CLASS_SIZE).sum(axis=1, keepdims=True)).ravel())
+    by_group = mass.reshape(-1, each)
+    classes = np.r_[by_group.sum(axis=1), tokens + kinds + 1]
+    network = Network.start(classes / classes.sum(), (by_group / by_group.sum(axis=1, keepdims=True)).ravel())
     for rate in rates:
         network = learned(train, model, network, rate)
     model.network = network

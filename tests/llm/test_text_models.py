@@ -264,8 +264,15 @@ def test_lm_gradient():
             total -= net.log_probability(h, y[:, j]).sum()
         return total / 15
 
-    grad, _ = net.gradient(x, y, np.zeros((3, lm.HIDDEN)))
-    for name, index in (("u", (2, 5)), ("g", (20,)), ("c", (1, 3)), ("x", (int(x[0, 0]), 7)), ("cb", (4,))):
+    met, _ = net.gradient(x, y, np.zeros((3, lm.HIDDEN)))
+    grad = {name: np.zeros_like(w) for name, w in net.weights.items()}
+    for name, (rows, values) in met.items():
+        grad[name][rows] = values
+    plain = y[y <= lm.END]
+    word = (int(plain[0]) // lm.CLASS_SIZE, int(plain[0]) % lm.CLASS_SIZE)
+    unmet = next(i for i in range(1024) if i not in x)
+    for name, index in (("u", (2, 5)), ("g", (20,)), ("c", (1, 3)), ("x", (int(x[0, 0]), 7)), ("x", (unmet, 7)), ("cb", (4,)),
+                        ("w", (word[0], 3, word[1])), ("wb", word), ("wb", (word[0], (word[1] + 1) % lm.CLASS_SIZE))):
         w = net.weights[name]
         w[index] += 1e-4
         up = loss()
@@ -289,6 +296,50 @@ def test_lm_learns_from_all_rows(spark):
     assert out.score > 0.4 * out.base_score
 
 
+def test_lm_scores_texts_side_by_side_as_one_by_one():
+    """Sums of log probabilities step by step, for texts of any length."""
+    rng = np.random.default_rng(5)
+    net = lm.Network.start(np.full(32 + lm.RARE, 1 / (32 + lm.RARE)), np.full(1024, 1 / lm.CLASS_SIZE))
+    net.weights = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.weights.items()}
+    texts = [np.r_[rng.integers(0, 1032, n), lm.END] for n in (0, 1, 5, lm.WINDOW - 1, lm.WINDOW, 3 * lm.WINDOW + 2, 0, 200)]
+    got = net.score(texts)
+    for text, score in zip(texts, got):
+        h, last, total = np.zeros((1, lm.HIDDEN), np.float32), lm.END, 0.0
+        for token in text:
+            h, _ = net.step(np.array([last]), h)
+            total += net.log_probability(h, np.array([token]))[0]
+            last = token
+        assert score == pytest.approx(total, rel=1e-4)
+
+
+@pytest.mark.parametrize("vocabulary, each", [(1023, 32), (4095, 64), (20_000, 128), (100_000, 256)])
+def test_lm_classes_grow_with_the_vocabulary(vocabulary, each):
+    assert lm.class_size(vocabulary) == each
+
+
+def test_lm_networks_are_averaged_in_tasks(spark):
+    """A round over more partitions than are averaged at once gives the mean by
+    tokens of the networks that the partitions learn one by one."""
+    parts = lm.TOGETHER_MODELS + 4
+    df = spark.range(0, 100, 1, parts).select(
+        F.col("id").alias("doc_id"), F.expr("repeat(concat('left right up w', id % 7, ' '), int(5 + id % 11))").alias("text"))
+    model, _ = lm.fit(df, rates=())
+    got = lm.learned(df, model, model.network, 0.01)
+    rows = df.select("text", F.spark_partition_id().alias("part"), "doc_id").orderBy("doc_id").collect()
+    want, total = 0.0, 0
+    for part in range(parts):
+        stream = [np.array([model.end])]
+        for r in rows:
+            if r.part == part:
+                words, _, tails = lm.hash_words_and_ends([r.text.encode()])
+                stream += [model.look_up(words, tails)[1], np.array([model.end])]
+        own = model.network.unpacked(np.frombuffer(model.network.packed(), np.float32))
+        n = own.train(iter([np.concatenate(stream)]), rate=0.01)
+        want, total = want + n * np.frombuffer(own.packed(), np.float32).astype(float), total + n
+    np.testing.assert_allclose(np.frombuffer(got.packed(), np.float32), want / total, atol=1e-4)
+    assert len({r.part for r in rows}) == parts and got.packed() != model.network.packed()
+
+
 def test_lm_vocabulary_follows_the_counts(spark):
     text = " ".join(f"w{i}" for i in range(1500))
     model, _ = lm.fit(table(spark.createDataFrame([(i, text) for i in range(lm.OFTEN)], SCHEMA), 4), rates=())
