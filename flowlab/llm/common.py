@@ -100,6 +100,9 @@ def drop_tables(*tables: DataFrame) -> None:
             fs.delete(path, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage ends there, and a lost executor costs only its own tasks.
@@ -111,7 +114,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/flowlab-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     delete_at_end(spark, path)
-    df.write.parquet(path)
+    # what was shuffled for the table is read by nothing else: its files go once it is written
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     if _SCOPE is not None:

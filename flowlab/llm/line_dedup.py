@@ -21,10 +21,12 @@ of the input are kept; ``removed_lines`` replaces a column of that name.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import fresh, stored, with_row
+from .common import Scope, drop_tables, fresh, stored, with_row
 from .setjoin import Units, among, describe, fitting, leader_pairs, plausible, shared_postings, size_blocks, sketches, unit_texts, verify, with_rows
 
 
@@ -61,23 +63,38 @@ def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str |
     rows = with_rows(docs, row)
     units, counts = describe(rows, kind)
     units = units.filter("n > 0")
-    postings = shared_postings(rows, counts, kind)
-    sharing = postings.select("node").distinct().withColumn("shares", F.lit(True))
-    sets = units.groupBy("node").agg(F.min(F.struct("doc_id", "row", "unit")).alias("rank"), F.count("*").alias("copies"))
-    # sets with neither copies nor shared postings are settled: they stay
-    sets = stored(sets.join(sharing, "node", "left").filter("copies > 1 or shares"), "sets")
-    postings = stored(postings.join(sets.select("node", "rank"), "node"), "postings")
-    wanted = postings.groupBy("node").agg(F.first("rank").alias("rank")).select("rank.row", "rank.unit", "node")
-    texts = unit_texts(rows, wanted, kind)
-    matched = later_matches(postings, texts, kind).withColumn("late", F.lit(True))
+    with Scope() as work:
+        postings = shared_postings(rows, counts, kind)
+        sharing = postings.select("node").distinct().withColumn("shares", F.lit(True))
+        sets = units.groupBy("node").agg(F.min(F.struct("doc_id", "row", "unit")).alias("rank"), F.count("*").alias("copies"))
+        # sets with neither copies nor shared postings are settled: they stay
+        sets = stored(sets.join(sharing, "node", "left").filter("copies > 1 or shares"), "sets")
+        ranked = stored(postings.join(sets.select("node", "rank"), "node"), "postings")
+        drop_tables(postings)
+        wanted = ranked.groupBy("node").agg(F.first("rank").alias("rank")).select("rank.row", "rank.unit", "node")
+        texts = unit_texts(rows, wanted, kind)
+        matched = later_matches(ranked, texts, kind).withColumn("late", F.lit(True))
     bad = sets.join(matched, "node", "left").filter("copies > 1 or late").select(
         "node", F.col("rank.row").alias("first_row"), F.col("rank.unit").alias("first_unit"), F.coalesce("late", F.lit(False)).alias("late"))
-    # lines of other sets need not be shuffled
     bad = stored(bad, "bad")
+    work.drop()
+    # lines of other sets need not be shuffled
     gone = units.filter(among(units, bad.withColumnRenamed("node", "row"), of="node")).join(bad, "node").filter("late or row <> first_row or unit <> first_unit")
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("unit")).alias("removed_lines"))
 
 
+@F.pandas_udf(StringType())
+def without_lines(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    """Each text without the lines of the given numbers (null: none)."""
+    out = []
+    for text, gone in zip(texts, numbers):
+        if text is not None and gone is not None:
+            gone = set(gone)
+            text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone])
+        out.append(text)
+    return pd.Series(out, dtype=object)
+
+
 def dedup_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and the numbers
     of those lines in ``removed_lines``."""
@@ -85,16 +102,13 @@ def dedup_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     key = fresh(docs.columns, "__row")
     base = with_row(docs, key)
     gone = removed_lines(base, k=k, percent=percent, row=key).withColumnRenamed("row", key)
-    lines = F.split("text", "\n", -1)
     numbers = F.col("removed_lines")
-    kept = F.array_join(F.array_except(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
-                                       F.transform(numbers, lambda i: F.struct(i.alias("i"), F.element_at(lines, i + 1).alias("x"))))["x"], "\n")
     # texts that lose nothing need not be shuffled
     gone = stored(gone, "removed")
     loses = fresh(base.columns, "__loses")
     marked = base.withColumn(loses, among(base, gone.withColumnRenamed(key, "row"), of=key))
     joined = marked.filter(F.col(loses)).join(gone, key, "left")
-    changed = (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(kept))
+    changed = (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(without_lines("text", numbers)))
                .withColumn("removed_lines", F.coalesce(numbers, F.array().cast("array<int>"))))
     same = marked.filter(~F.col(loses)).withColumn("removed_lines", F.array().cast("array<int>"))
     return changed.unionByName(same).drop(key, loses)

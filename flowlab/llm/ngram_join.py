@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_tables, fresh, stored, with_row
 from .graph import components
-from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, plausible, shared_postings, size_blocks, sketches, unit_texts, verify, with_rows
+from .setjoin import Units, among, describe, fitting, leader_pairs, near_enough, plausible, shared_postings, size_blocks, sketches, verify, with_rows
 
 
 def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +46,9 @@ def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataF
             yield pd.DataFrame({"x": batch.x, "y": batch.y, "linked": np.array(linked, bool)})
 
     def side(name: str) -> DataFrame:
-        return references.select(F.col("node").alias(name), F.col("ref").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
-                                 F.col("lacks").alias(f"{name}l"), F.col("extra").alias(f"{name}e"))
+        asked = references.filter(among(references, pairs.select(F.col(name).alias("row")), of="node"))
+        return asked.select(F.col("node").alias(name), F.col("ref").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
+                            F.col("lacks").alias(f"{name}l"), F.col("extra").alias(f"{name}e"))
 
     met = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left")
     same = F.coalesce(F.col("xr") == F.col("yr"), F.lit(False))
@@ -88,14 +89,17 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str
     # one row per set: the first of its rows, and its smallest id
     sets = units.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
     sets = stored(sets, "sets")
-    postings = shared_postings(rows, counts, kind)
-    wanted = sets.join(postings.select("node").distinct(), "node").select("row", F.lit(0).alias("unit"), "node")
-    texts = unit_texts(rows, wanted, kind)
+    # from here on a set goes by its first row, so that its text is read from the input
+    found = shared_postings(rows, counts, kind)
+    postings = stored(found.join(sets.select("node", "row"), "node").select("token", F.col("row").alias("node"), "n", "pos"), "postings")
+    drop_tables(found)
+    wanted = stored(postings.select(F.col("node").alias("row")).distinct(), "wanted")
+    texts = rows.select(F.col("row").alias("node"), "text")
 
     leaders = stored(leader_pairs(postings, kind, "node"), "pairs")
-    sketched = stored(sketches(texts, kind), "sketches")
-    # pairs that have half of their shingles in common serve as references
-    checked = stored(verify(plausible(leaders, sketched, Units(k=k, percent=50)), texts, kind, differences=True), "answers")
+    sketched = stored(sketches(texts.filter(among(texts, wanted, of="node")), kind), "sketches")
+    # of those that sketches leave, pairs that have half of their shingles in common serve as references
+    checked = stored(verify(plausible(leaders, sketched, kind), texts, kind, differences=True), "answers")
     first = components(checked.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     alike = checked.filter(2 * F.col("both") >= F.col("nx") + F.col("ny") - F.col("both"))
     best = alike.groupBy("y").agg(F.max_by("x", F.struct("both", "x")).alias("x"))
@@ -114,8 +118,9 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str
              .unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     groups = components(links).withColumnRenamed("component", "grouped")
     # the components are stored: only units and sets are read from here on
-    drop_tables(postings, texts, leaders, sketched, checked, crossing)
-    labels = sets.join(groups, "node", "left").withColumn("grouped", F.coalesce("grouped", "node"))
+    drop_tables(postings, wanted, leaders, sketched, checked, crossing)
+    labels = (sets.join(groups.withColumnRenamed("node", "row"), "row", "left")
+              .withColumn("grouped", F.coalesce("grouped", "row")))
     smallest = labels.groupBy("grouped").agg(F.min("first_id").alias("component_id"))
     labels = labels.join(smallest, "grouped").select("node", "component_id", "grouped")
     return (units.join(labels, "node", "left")

@@ -33,6 +33,8 @@ from .common import release_memory, small_batches, stored, with_row
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
 COUNT_TOKENS = 1 << 21
+SHORT_LIST, LONG_LIST = 64, 1024  # postings all compared with each other; times seen from which a list is dealt out
+TOKEN_BYTES, TOKEN_SHIFT = 6, np.uint64(16)  # postings keep the leading bits of a shingle: they name candidates only
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -233,21 +235,96 @@ def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
     return units, counts
 
 
+def in_buckets(rows: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Postings (token, node, place) by the bucket of their token, long lists dealt
+    over all buckets by node; each bucket's as one value, byte by byte so that
+    bytes that are alike lie together."""
+    token, node, place = rows
+    dealt = np.where(place & 1 == 1, mix(rows[1].view(np.uint64)), np.uint64(0))
+    bucket = ((mix(token.view(np.uint64)) ^ dealt) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    rows, bucket = rows[:, order], bucket[order]
+    begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)])
+    ends = np.r_[begins[1:], len(bucket)]
+    planes = [np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8) for column in rows]
+    values = [b"".join([planes[0][a:b, :TOKEN_BYTES].tobytes(), planes[1][a:b].tobytes(), planes[2][a:b].T.tobytes()])
+              for a, b in zip(begins.tolist(), ends.tolist())]
+    return pd.DataFrame({"bucket": bucket[begins].astype(np.int32), "postings": values})
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    """The postings of one value of ``in_buckets``."""
+    data = np.frombuffer(packed, np.uint8)
+    n = len(data) // (TOKEN_BYTES + 16)
+    token = np.zeros((n, 8), np.uint8)
+    token[:, :TOKEN_BYTES] = data[:TOKEN_BYTES * n].reshape(n, TOKEN_BYTES)
+    node = data[TOKEN_BYTES * n:(TOKEN_BYTES + 8) * n].reshape(n, 8)
+    place = np.ascontiguousarray(data[(TOKEN_BYTES + 8) * n:].reshape(8, n).T)
+    return np.stack([part.copy().view(np.int64).reshape(-1) for part in (token, node, place)])
+
+
+def having_partners(rows: np.ndarray, kind: Units) -> np.ndarray:
+    """Of whole lists of postings (token, node, place), in any order, one a node:
+    those with a partner that passes the length and positional filters, and all
+    of lists that are long or dealt out.
+
+    Two similar sets have their first common shingle in both prefixes, with all
+    that they share from there on, so their postings of it are partners.
+    """
+    rows = rows[:, np.argsort(rows[0])]
+    again = rows[0, 1:] == rows[0, :-1]
+    # most lists have one posting
+    listed = (rows[2] & 1).astype(bool)
+    listed[1:] |= again
+    listed[:-1] |= again
+    rows = rows[:, listed]
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    rows = rows[:, new]
+    token, _, place = rows
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    begins = np.flatnonzero(first)
+    lengths = np.diff(np.r_[begins, len(token)])
+    after = np.repeat(begins + lengths, lengths) - np.arange(len(token))  # postings of the list from here on
+    wanted = (place & 1).astype(bool) | (np.repeat(lengths, lengths) > SHORT_LIST)
+    n = place >> 32
+    left = n - ((place >> 1) & 0x7FFFFFFF)
+    at = np.flatnonzero(~wanted)
+    for step in range(1, SHORT_LIST):
+        at = at[after[at] > step]
+        if not len(at):
+            break
+        other = at + step
+        a, b = n[at], n[other]
+        fits = (100 * np.minimum(a, b) >= kind.percent * np.maximum(a, b)) & (np.minimum(left[at], left[other]) >= kind.overlap(a, b))
+        wanted[at[fits]] = True
+        wanted[other[fits]] = True
+    return rows[:, wanted]
+
+
 def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFrame:
-    """Prefix postings (token, node, n, pos) of tokens that two nodes of fitting
-    sizes share. Sets of one or two shingles are similar only to equal ones and
+    """Prefix postings (token, node, n, pos) that have a partner: another node's
+    posting of the token whose size and position allow the similarity. Long lists
+    are kept whole. Sets of one or two shingles are similar only to equal ones and
     have none (at 67 percent or more)."""
     top = counts.orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
     tokens = top.token.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     # levels 1, 2, ... for ever larger counts; 0 for all other tokens
-    levels = np.unique(top.seen.to_numpy(np.int64)[order], return_inverse=True)[1].astype(np.int64) + 1
-    frequent = rows.sparkSession.sparkContext.broadcast((tokens[order], levels))
+    counted, levels = np.unique(top.seen.to_numpy(np.int64)[order], return_inverse=True)
+    long_from = int(np.searchsorted(counted, LONG_LIST)) + 1
+    frequent = rows.sparkSession.sparkContext.broadcast((tokens[order], levels.astype(np.int64) + 1))
     least_size = 1 if kind.percent < 67 else 3
 
+    # the lists of a bucket are put together in one task, a few buckets a partition
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, min(8 * parts, 2048))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, level = frequent.value
-        met = Met()
+        met, held, n_held = Met(), [], 0
         for _, _, _, h, bounds, nodes in kind.chunks(batches):
             n = np.diff(bounds)
             fresh = met.new(nodes, n >= least_size)
@@ -266,41 +343,37 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
             pos = np.arange(len(h)) - np.repeat(begins, np.diff(np.r_[begins, len(h)]))
             size = n[owner]
             keep = pos <= size - kind.least(size)
-            # size, position and whether the token is frequent in one number: a short shuffle row
-            place = (size[keep].astype(np.int64) << 32) | (pos[keep] << 1) | (f[keep] > 0)
-            yield pd.DataFrame({"token": signed(h[keep]), "node": signed(nodes[owner[keep]]), "place": place})
+            # size, position and whether the list is dealt out, in one number
+            place = (size[keep].astype(np.int64) << 32) | (pos[keep] << 1) | (f[keep] >= long_from)
+            held.append(np.stack([(h[keep] >> TOKEN_SHIFT).view(np.int64), signed(nodes[owner[keep]]), place]))
+            n_held += held[-1].shape[1]
+            if n_held > COUNT_TOKENS:
+                yield in_buckets(np.concatenate(held, axis=1), buckets)
+                held, n_held = [], 0
+        if held:
+            yield in_buckets(np.concatenate(held, axis=1), buckets)
         release_memory()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of rows sorted by token, size and node: one for each node that has a
-        neighbour that fits, or whose token is frequent."""
-        last = None  # token, node, place of the row before, and whether it is wanted
+        """Of packed postings sorted by bucket: those that ``having_partners`` keeps."""
+        held, bucket = [], None
         for batch in batches:
-            token, node, place = (batch[c].to_numpy() for c in ("token", "node", "place"))
-            wanted = (place & 1).astype(bool)
-            if last is not None:
-                token, node, place = np.r_[last[0], token], np.r_[last[1], node], np.r_[last[2], place]
-                wanted = np.r_[last[3], wanted]
-            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-            token, node, place, wanted = token[new], node[new], place[new], wanted[new]
-            n = place >> 32
-            fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= kind.percent * n[1:])
-            wanted = wanted | np.r_[fits, False] | np.r_[False, fits]
-            last = token[-1], node[-1], place[-1], wanted[-1]
-            wanted[-1] = False
-            yield result(token[wanted], node[wanted], place[wanted])
-        if last is not None and last[3]:
-            yield result(*(np.array([x]) for x in last[:3]))
+            for now, packed in zip(batch.bucket.tolist(), batch.postings):
+                if now != bucket and held:
+                    yield result(*having_partners(np.concatenate(held, axis=1), kind))
+                    held = []
+                bucket = now
+                held.append(unpacked(packed))
+        if held:
+            yield result(*having_partners(np.concatenate(held, axis=1), kind))
         release_memory()
 
     def result(token, node, place):
         return pd.DataFrame({"token": token, "node": node, "n": (place >> 32).astype(np.int32),
                              "pos": ((place >> 1) & 0x7FFFFFFF).astype(np.int32)})
 
-    postings = rows.select("row", "text").mapInPandas(run, "token long, node long, place long")
-    # lists of frequent tokens are dealt over several tasks by node: they are kept whole anyway
-    salt = F.when(F.col("place").bitwiseAND(1) == 1, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(F.lit(0).cast("long"))
-    dealt = postings.repartition("token", salt).sortWithinPartitions("token", F.shiftright("place", 32), "node")
+    postings = rows.select("row", "text").mapInPandas(run, "bucket int, postings binary")
+    dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
     return stored(dealt.mapInPandas(shared, "token long, node long, n int, pos int"), "postings")
 
 
@@ -402,10 +475,14 @@ def leader_pairs(shared: DataFrame, kind: Units, rank: str, salts: int = 8) -> D
 def unit_texts(rows: DataFrame, units: DataFrame, kind: Units) -> DataFrame:
     """(node, text) of the given (row, unit, node), read from the rows once."""
     units = stored(units.select("row", "unit", "node"), "wanted")
-    found = rows.select("row", "text").filter(among(rows, units)).join(units, "row")
+    found = rows.select("row", "text").filter(among(rows, units))
     if not kind.lines:
-        return stored(found.select("node", "text"), "texts")
-    return stored(found.select("node", F.element_at(F.split("text", "\n", -1), F.col("unit") + 1).alias("text")), "texts")
+        return stored(found.join(units, "row").select("node", "text"), "texts")
+    # other lines of these rows need not be shuffled either
+    lines = found.select("row", F.posexplode(F.split("text", "\n", -1)).alias("unit", "text"))
+    place = F.xxhash64("row", "unit")
+    lines = lines.withColumn("place", place).filter(among(rows, units.select(place.alias("row")), of="place"))
+    return stored(lines.join(units, ["row", "unit"]).select("node", "text"), "texts")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool = False) -> DataFrame:
@@ -443,9 +520,9 @@ def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool
     names_out = [c.split()[0] for c in schema.split(", ")]
     # `both` in SQL is a word of its own, so columns are only used through the API
     pairs = stored(pairs.select("x", "y"), "pairs")
-    # texts of other sets need not be shuffled
-    asked = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row")))
-    texts = texts.filter(among(texts, asked, of="node"))
-    full = (pairs.select("x", "y").join(texts.select(F.col("node").alias("x"), F.col("text").alias("xt")), "x")
-            .join(texts.select(F.col("node").alias("y"), F.col("text").alias("yt")), "y"))
+    full = pairs
+    for side in ("x", "y"):
+        # texts of other sets need not be shuffled
+        asked = texts.filter(among(texts, pairs.select(F.col(side).alias("row")), of="node"))
+        full = full.join(asked.select(F.col("node").alias(side), F.col("text").alias(f"{side}t")), side)
     return full.select("x", "y", "xt", "yt").mapInPandas(run, schema)

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,60 @@ def test_tables_are_dropped(spark):
     assert [os.path.isdir(p) for p in places] == [False, True, False]
     drop_tables(b, spark.range(3))
     assert not os.path.isdir(places[1])
+
+
+def random_postings(seed, n, tokens):
+    rng = np.random.default_rng(seed)
+    place = (rng.integers(3, 40, n) << 32) | (rng.integers(0, 6, n) << 1)
+    return np.stack([rng.integers(0, tokens, n), rng.integers(-2**62, 2**62, n), place])
+
+
+def as_rows(postings):
+    return sorted(map(tuple, postings.T.tolist()))
+
+
+def test_packed_postings_read_back():
+    rows = random_postings(1, 3000, 2**40)
+    rows[2, ::7] |= 1  # dealt out by node
+    packed = setjoin.in_buckets(rows, 50)
+    assert packed.bucket.is_unique and packed.bucket.between(0, 49).all()
+    assert as_rows(np.concatenate([setjoin.unpacked(p) for p in packed.postings], axis=1)) == as_rows(rows)
+
+
+def test_only_postings_with_a_partner_are_kept():
+    """Length and positional filters against all pairs of each list."""
+    kind = setjoin.Units(lines=True)
+    rows = random_postings(2, 3000, 900)
+    lists = collections.defaultdict(list)
+    for row in as_rows(rows):
+        lists[row[0]].append(row)
+    want = set()
+    for members in lists.values():
+        for i, a in enumerate(members):
+            for b in members[:i]:
+                na, nb = a[2] >> 32, b[2] >> 32
+                left = min(na - ((a[2] & 0xFFFFFFFF) >> 1), nb - ((b[2] & 0xFFFFFFFF) >> 1))
+                if 100 * min(na, nb) >= 75 * max(na, nb) and left >= kind.overlap(na, nb):
+                    want |= {a, b}
+    assert as_rows(setjoin.having_partners(rows, kind)) == sorted(want)
+    assert 0 < len(want) < rows.shape[1]
+
+
+def test_long_and_dealt_lists_are_kept_whole():
+    rows = random_postings(3, setjoin.SHORT_LIST + 1, 1)
+    assert as_rows(setjoin.having_partners(rows, setjoin.Units())) == as_rows(rows)
+    alone = np.array([[7], [8], [(5 << 32) | 1]])
+    assert as_rows(setjoin.having_partners(alone, setjoin.Units())) == as_rows(alone)
+    assert setjoin.having_partners(np.empty((3, 0), np.int64), setjoin.Units()).shape == (3, 0)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """The setting that removes shuffle files holds while a table is written, and only then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    table = stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "test")
+    assert table.count() == 10 and table.agg(F.sum("count")).first()[0] == 1000
+    assert tracker.shuffleStatuses().size() <= held + 2  # at most the shuffles of the two checks above
+    assert spark.conf.get(name) == before
