@@ -34,7 +34,7 @@ FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
 COUNT_TOKENS = 1 << 21
 SHORT_LIST, LONG_LIST = 64, 1024  # postings all compared with each other; times seen from which a list is dealt out
-TOKEN_BYTES, TOKEN_SHIFT = 6, np.uint64(16)  # postings keep the leading bits of a shingle: they name candidates only
+TOKEN_BITS = 48  # postings keep the leading bits of a shingle: they name candidates only
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -235,32 +235,41 @@ def describe(rows: DataFrame, kind: Units) -> tuple[DataFrame, DataFrame]:
     return units, counts
 
 
+def _spread(node: np.ndarray, place: np.ndarray, buckets: int) -> np.ndarray:
+    """How far from its token's bucket a posting lies: lists that are dealt out go by node."""
+    return np.where(place & 1 == 1, mix(node.view(np.uint64)) % np.uint64(buckets), np.uint64(0)).astype(np.int64)
+
+
+def _token_bytes(buckets: int) -> int:
+    """Bytes that a token needs besides its bucket."""
+    return -(-(TOKEN_BITS - buckets.bit_length() + 1) // 8)
+
+
 def in_buckets(rows: np.ndarray, buckets: int) -> pd.DataFrame:
     """Postings (token, node, place) by the bucket of their token, long lists dealt
-    over all buckets by node; each bucket's as one value, byte by byte so that
-    bytes that are alike lie together."""
+    over all buckets by node; each bucket's as one value, without what the bucket
+    tells of the token, and byte by byte where bytes are alike."""
     token, node, place = rows
-    dealt = np.where(place & 1 == 1, mix(rows[1].view(np.uint64)), np.uint64(0))
-    bucket = ((mix(token.view(np.uint64)) ^ dealt) % np.uint64(buckets)).astype(np.int64)
+    bucket = (token % buckets + _spread(node, place, buckets)) % buckets
     order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-    rows, bucket = rows[:, order], bucket[order]
+    bucket, width = bucket[order], _token_bytes(buckets)
     begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)])
     ends = np.r_[begins[1:], len(bucket)]
-    planes = [np.ascontiguousarray(column).view(np.uint8).reshape(-1, 8) for column in rows]
-    values = [b"".join([planes[0][a:b, :TOKEN_BYTES].tobytes(), planes[1][a:b].tobytes(), planes[2][a:b].T.tobytes()])
-              for a, b in zip(begins.tolist(), ends.tolist())]
+    rest, nodes, places = (np.ascontiguousarray(column[order]).view(np.uint8).reshape(-1, 8) for column in (token // buckets, node, place))
+    values = [b"".join([rest[a:b, :width].tobytes(), nodes[a:b].tobytes(), places[a:b].T.tobytes()]) for a, b in zip(begins.tolist(), ends.tolist())]
     return pd.DataFrame({"bucket": bucket[begins].astype(np.int32), "postings": values})
 
 
-def unpacked(packed: bytes) -> np.ndarray:
+def unpacked(bucket: int, packed: bytes, buckets: int) -> np.ndarray:
     """The postings of one value of ``in_buckets``."""
-    data = np.frombuffer(packed, np.uint8)
-    n = len(data) // (TOKEN_BYTES + 16)
-    token = np.zeros((n, 8), np.uint8)
-    token[:, :TOKEN_BYTES] = data[:TOKEN_BYTES * n].reshape(n, TOKEN_BYTES)
-    node = data[TOKEN_BYTES * n:(TOKEN_BYTES + 8) * n].reshape(n, 8)
-    place = np.ascontiguousarray(data[(TOKEN_BYTES + 8) * n:].reshape(8, n).T)
-    return np.stack([part.copy().view(np.int64).reshape(-1) for part in (token, node, place)])
+    data, width = np.frombuffer(packed, np.uint8), _token_bytes(buckets)
+    n = len(data) // (width + 16)
+    rest = np.zeros((n, 8), np.uint8)
+    rest[:, :width] = data[:width * n].reshape(n, width)
+    rest = rest.view(np.int64).reshape(-1)
+    node = data[width * n:(width + 8) * n].copy().view(np.int64)
+    place = np.ascontiguousarray(data[(width + 8) * n:].reshape(8, n).T).view(np.int64).reshape(-1)
+    return np.stack([rest * buckets + (bucket - _spread(node, place, buckets)) % buckets, node, place])
 
 
 def having_partners(rows: np.ndarray, kind: Units) -> np.ndarray:
@@ -345,7 +354,7 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
             keep = pos <= size - kind.least(size)
             # size, position and whether the list is dealt out, in one number
             place = (size[keep].astype(np.int64) << 32) | (pos[keep] << 1) | (f[keep] >= long_from)
-            held.append(np.stack([(h[keep] >> TOKEN_SHIFT).view(np.int64), signed(nodes[owner[keep]]), place]))
+            held.append(np.stack([(h[keep] >> np.uint64(64 - TOKEN_BITS)).view(np.int64), signed(nodes[owner[keep]]), place]))
             n_held += held[-1].shape[1]
             if n_held > COUNT_TOKENS:
                 yield in_buckets(np.concatenate(held, axis=1), buckets)
@@ -363,7 +372,7 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
                     yield result(*having_partners(np.concatenate(held, axis=1), kind))
                     held = []
                 bucket = now
-                held.append(unpacked(packed))
+                held.append(unpacked(now, packed, buckets))
         if held:
             yield result(*having_partners(np.concatenate(held, axis=1), kind))
         release_memory()

@@ -230,12 +230,17 @@ def as_rows(postings):
     return sorted(map(tuple, postings.T.tolist()))
 
 
-def test_packed_postings_read_back():
-    rows = random_postings(1, 3000, 2**40)
+@pytest.mark.parametrize("buckets", [1, 50, 408, 70_000])
+def test_packed_postings_read_back(buckets):
+    rows = random_postings(1, 3000, 2**setjoin.TOKEN_BITS)
     rows[2, ::7] |= 1  # dealt out by node
-    packed = setjoin.in_buckets(rows, 50)
-    assert packed.bucket.is_unique and packed.bucket.between(0, 49).all()
-    assert as_rows(np.concatenate([setjoin.unpacked(p) for p in packed.postings], axis=1)) == as_rows(rows)
+    packed = setjoin.in_buckets(rows, buckets)
+    assert packed.bucket.is_unique and packed.bucket.between(0, buckets - 1).all()
+    back = [setjoin.unpacked(b, p, buckets) for b, p in zip(packed.bucket, packed.postings)]
+    assert as_rows(np.concatenate(back, axis=1)) == as_rows(rows)
+    # lists that are not dealt out are whole
+    whole = np.concatenate([p[0, p[2] & 1 == 0] % buckets - b for b, p in zip(packed.bucket, back)])
+    assert not whole.any()
 
 
 def test_only_postings_with_a_partner_are_kept():
