@@ -33,6 +33,7 @@ from .common import release_memory, small_batches, stored, with_row
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
 COUNT_TOKENS = 1 << 21
+POSTINGS = 1 << 19  # postings that a task packs at once; several times their 24 bytes are held then
 SHORT_LIST, LONG_LIST = 64, 1024  # postings all compared with each other; times seen from which a list is dealt out
 TOKEN_BITS = 48  # postings keep the leading bits of a shingle: they name candidates only
 _SPACE = np.zeros(256, bool)
@@ -40,7 +41,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTER[_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes with A-Z lower-cased and all white space as blanks.
+_PLAIN = bytes(32 if _SPACE[c] else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,39 +63,48 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-_POWERS = powers(_BASE, 1 << 12)
-
-
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of the texts, and which text it is of."""
-    return hash_words_and_ends(texts)[:2]
+_BLOCK = 1 << 16
+_UP, _DOWN = powers(_BASE, 2 * _BLOCK), powers(_INVERSE, 2 * _BLOCK)
+
+
+def hash_words(texts: list[bytes], *, ends: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hash of each word of the texts, and which text it is of; with
+    ``ends`` also the last two bytes of each word as one number."""
+    data = np.frombuffer((b" " + b" ".join(texts) + b" ").translate(_PLAIN), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begins, stops = edges[::2], edges[1::2]
+    lengths = stops - begins
+    sums = np.empty(len(begins), np.uint64)
+    # words by blocks of bytes: letters times powers by place in the block, added up and taken back to the word's begin
+    cuts = np.r_[np.searchsorted(begins, np.arange(0, len(data), _BLOCK)), len(begins)].tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        low, size = begins[a], int(stops[b - 1] - begins[a])
+        up, down = (_UP, _DOWN) if size <= len(_UP) else (powers(_BASE, size), powers(_INVERSE, size))
+        at = begins[a:b] - low
+        sums[a:b] = np.add.reduceat(_LETTER[data[low:low + size]] * up[:size], at) * down[at]
+    n_words = np.diff(np.r_[0, np.searchsorted(begins, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))])
+    found = mix(sums + lengths.astype(np.uint64)), np.repeat(np.arange(len(texts)), n_words)
+    if not ends:
+        return found
+    return *found, data[stops - 1].astype(np.int64) * 256 + np.where(lengths > 1, data[stops - 2], 0)
 
 
 def hash_words_and_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As :func:`hash_words`, and the last two bytes of each word as one number."""
-    data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
-    inside = ~_SPACE[data]
-    begins = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
-    if not len(begins):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    places = np.flatnonzero(inside)
-    lengths = np.diff(np.r_[np.searchsorted(places, begins), len(places)])
-    in_word = np.arange(len(places)) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
-    power = _POWERS if lengths.max() <= len(_POWERS) else powers(_BASE, int(lengths.max()))
-    sums = np.add.reduceat(_LETTER[data[places]] * power[in_word], np.r_[0, np.cumsum(lengths)[:-1]])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    last = begins + lengths - 1
-    tails = data[last].astype(np.int64) * 256 + np.where(lengths > 1, data[last - 1], 0)
-    return mix(sums + lengths.astype(np.uint64)), np.searchsorted(ends, begins, side="right"), tails
+    return hash_words(texts, ends=True)
 
 
 def by_owner(h: np.ndarray, owner: np.ndarray, n_owners: int) -> np.ndarray:
     """The order by owner, then hash, by one sort of owner and leading hash bits."""
     bits = np.uint64(max(1, n_owners.bit_length()))
     key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
-    order = np.argsort(key, kind="stable")
-    tied = key[order][1:] == key[order][:-1]
-    if (h[order][1:][tied] != h[order][:-1][tied]).any():  # different hashes alike in the leading bits
+    order = np.argsort(key)
+    key, h_sorted = key[order], h[order]
+    tied = np.flatnonzero(key[1:] == key[:-1])
+    if (h_sorted[tied + 1] != h_sorted[tied]).any():  # different hashes alike in the leading bits
         return np.lexsort((h, owner))
     return order
 
@@ -119,8 +132,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
         rolled[few[at]] = np.add.reduceat(part, at) + np.uint64(0x51ED270B) * size[few[at]].astype(np.uint64)
     keep = full | short
     h, owner = mix(rolled[keep]), owner[keep]
-    order = by_owner(h, owner, len(texts))
-    h, owner = h[order], owner[order]
+    h = h[by_owner(h, owner, len(texts))]  # owners are in order as they are
     new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.empty(0, bool)
     h, owner = h[new], owner[new]
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -135,6 +147,31 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
+class Levels:
+    """A sorted array of evenly spread 64-bit hashes with a number each, looked up
+    from where hashes of the same leading bits begin."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, bits: int = 19):
+        self.hashes, self.numbers, self.shift = hashes, numbers, np.uint64(64 - bits)
+        self.begin = np.searchsorted(hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The number of each of ``h``; 0 for those that are not there."""
+        out = np.zeros(len(h), np.int64)
+        lead = (h >> self.shift).astype(np.int32)
+        at, end = self.begin[lead], self.begin[lead + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], h[left]
+        while len(left):
+            here = self.hashes[at]
+            hit = here == wanted
+            out[left[hit]] = self.numbers[at[hit]]
+            at = at + 1
+            more = np.flatnonzero((here < wanted) & (at < end))
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+        return out
+
+
 @dataclass(frozen=True)
 class Units:
     """What a unit is, and how similar two must be (``percent`` of the union)."""
@@ -260,6 +297,19 @@ def in_buckets(rows: np.ndarray, buckets: int) -> pd.DataFrame:
     return pd.DataFrame({"bucket": bucket[begins].astype(np.int32), "postings": values})
 
 
+def packed(parts: Iterator[np.ndarray], buckets: int) -> Iterator[pd.DataFrame]:
+    """Postings ``in_buckets``, about ``POSTINGS`` of them at a time."""
+    held, n_held = [], 0
+    for part in parts:
+        held.append(part)
+        n_held += part.shape[1]
+        if n_held > POSTINGS:
+            yield in_buckets(np.concatenate(held, axis=1), buckets)
+            held, n_held = [], 0
+    if held:
+        yield in_buckets(np.concatenate(held, axis=1), buckets)
+
+
 def unpacked(bucket: int, packed: bytes, buckets: int) -> np.ndarray:
     """The postings of one value of ``in_buckets``."""
     data, width = np.frombuffer(packed, np.uint8), _token_bytes(buckets)
@@ -331,9 +381,9 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, min(8 * parts, 2048))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, level = frequent.value
-        met, held, n_held = Met(), [], 0
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        known = Levels(*frequent.value)
+        met = Met()
         for _, _, _, h, bounds, nodes in kind.chunks(batches):
             n = np.diff(bounds)
             fresh = met.new(nodes, n >= least_size)
@@ -341,38 +391,32 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
             h, owner = h[take], np.repeat(np.arange(len(n)), n)[take]
             if not len(h):
                 continue
-            f = np.zeros(len(h), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                f = np.where(known[at] == h, level[at], 0)
+            f = known.look_up(h)
             # stable, so that equal counts stay in hash order
-            order = np.argsort(owner.astype(np.int64) * (len(known) + 1) + f, kind="stable")
-            h, owner, f = h[order], owner[order], f[order]
+            order = np.argsort(owner * (len(known.hashes) + 1) + f, kind="stable")
+            h, f = h[order], f[order]  # owners are in order as they are
             begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             pos = np.arange(len(h)) - np.repeat(begins, np.diff(np.r_[begins, len(h)]))
             size = n[owner]
             keep = pos <= size - kind.least(size)
             # size, position and whether the list is dealt out, in one number
             place = (size[keep].astype(np.int64) << 32) | (pos[keep] << 1) | (f[keep] >= long_from)
-            held.append(np.stack([(h[keep] >> np.uint64(64 - TOKEN_BITS)).view(np.int64), signed(nodes[owner[keep]]), place]))
-            n_held += held[-1].shape[1]
-            if n_held > COUNT_TOKENS:
-                yield in_buckets(np.concatenate(held, axis=1), buckets)
-                held, n_held = [], 0
-        if held:
-            yield in_buckets(np.concatenate(held, axis=1), buckets)
+            yield np.stack([(h[keep] >> np.uint64(64 - TOKEN_BITS)).view(np.int64), signed(nodes[owner[keep]]), place])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from packed(prefixes(batches), buckets)
         release_memory()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of packed postings sorted by bucket: those that ``having_partners`` keeps."""
         held, bucket = [], None
         for batch in batches:
-            for now, packed in zip(batch.bucket.tolist(), batch.postings):
+            for now, value in zip(batch.bucket.tolist(), batch.postings):
                 if now != bucket and held:
                     yield result(*having_partners(np.concatenate(held, axis=1), kind))
                     held = []
                 bucket = now
-                held.append(unpacked(now, packed, buckets))
+                held.append(unpacked(now, value, buckets))
         if held:
             yield result(*having_partners(np.concatenate(held, axis=1), kind))
         release_memory()

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -280,3 +281,44 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert table.count() == 10 and table.agg(F.sum("count")).first()[0] == 1000
     assert tracker.shuffleStatuses().size() <= held + 2  # at most the shuffles of the two checks above
     assert spark.conf.get(name) == before
+
+
+def test_word_hashes_as_defined_across_blocks():
+    rng = random.Random(5)
+    texts = [" \tÄ b\x0bC ".encode(), b"", b"x" * (3 * setjoin._BLOCK) + b" Y", " ".join(
+        rng.choice("aBcé<") * rng.randint(1, 9) for _ in range(60_000)).encode(), b"\x0c", b"last"]
+
+    def one(word):
+        total, power = len(word), 1
+        for c in word:
+            total += int(setjoin._LETTER[c]) * power
+            power = power * int(setjoin._BASE) % 2**64
+        return total % 2**64
+
+    found = [(w.lower(), i) for i, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", t)]
+    made = {w: one(w) for w, _ in found}
+    hashes, owner, tails = setjoin.hash_words_and_ends(texts)
+    assert hashes.tolist() == setjoin.mix(np.array([made[w] for w, _ in found], np.uint64)).tolist()
+    assert owner.tolist() == [i for _, i in found]
+    assert tails.tolist() == [w[-1] * 256 + (w[-2] if len(w) > 1 else 0) for w, _ in found]
+
+
+def test_word_hashes_take_no_wide_numbers_for_every_byte():
+    text = b"shingle " * (1 << 17)
+    setjoin.hash_words([text])
+    tracemalloc.start()
+    try:
+        setjoin.hash_words([text])
+        assert tracemalloc.get_traced_memory()[1] < 16 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_levels_are_looked_up(n):
+    rng = np.random.default_rng(n)
+    known = np.unique(np.r_[rng.integers(0, 2**64, n, dtype=np.uint64), np.arange(min(n, 40), dtype=np.uint64) * 3])
+    numbers = np.arange(len(known)) + 1
+    asked = np.r_[known, known + np.uint64(1), rng.integers(0, 2**64, 100, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]
+    expected = dict(zip(known.tolist(), numbers.tolist()))
+    assert setjoin.Levels(known, numbers).look_up(asked).tolist() == [expected.get(x, 0) for x in asked.tolist()]
