@@ -14,6 +14,7 @@ rows give equal rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -339,9 +340,17 @@ class WordStore(dict):
         if len(self) > MAX_WORDS:
             self.clear()
         new = words.difference(self)
-        if new:
+        if not new:
+            return
+        # a list a word, none in a cycle: the collector would walk through them again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
             learned = self.bpe.encode_words(new)
             self.update(zip(learned, map(self.render, learned.values())))
+        finally:
+            if collects:
+                gc.enable()
 
 
 _ENCODERS: dict[str, SpeculativeBPE] = {}

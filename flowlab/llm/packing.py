@@ -35,12 +35,20 @@ from .common import release_memory, small_batches, stored
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 def pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece of each document's ids followed by ``end_id``; ``row``
     tells apart rows of equal ``doc_id``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(tokenizer_path)
-        store = word_store(tokenizer_path, "bytes", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        store = word_store(tokenizer_path, "bytes", id_bytes)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []

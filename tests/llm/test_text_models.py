@@ -421,3 +421,31 @@ def test_winnowing_guarantee_and_edits(spark):
     assert a & b
     plan = winnowing.with_edits(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_words_are_learned_without_collections():
+    """Each new word gives a list; the collector would walk through all of them time and again."""
+    import gc
+
+    store = bpe.WordStore(bpe.encoder(word_bpe_path()), packing.id_bytes)
+    words = {"".join(w) for w in itertools.islice(itertools.product("aeikmnostu", repeat=5), 20_000)}
+    runs = []
+
+    def count(phase, info):
+        runs.append(phase)
+
+    gc.collect()
+    gc.callbacks.append(count)
+    try:
+        store.meet(words)
+    finally:
+        gc.callbacks.remove(count)
+    assert len(runs) <= 2 and gc.isenabled()
+    own = bpe.SpeculativeBPE(word_bpe_path())
+    assert all(store[w] == np.array(own.encode(w), "<u4").tobytes() for w in sorted(words)[:50])
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 1000])
+def test_ids_as_bytes(n):
+    ids = list(range(49_000, 49_000 + n))
+    assert packing.id_bytes(ids) == np.array(ids, "<u4").tobytes()
