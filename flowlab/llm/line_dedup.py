@@ -79,7 +79,7 @@ def removed_lines(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str |
     bad = stored(bad, "bad")
     work.drop()
     # lines of other sets need not be shuffled
-    gone = units.filter(among(units, bad.withColumnRenamed("node", "row"), of="node")).join(bad, "node").filter("late or row <> first_row or unit <> first_unit")
+    gone = among(units, bad.select(F.col("node").alias("row")), of="node").join(bad, "node").filter("late or row <> first_row or unit <> first_unit")
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("unit")).alias("removed_lines"))
 
 
@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     # texts that lose nothing need not be shuffled
     gone = stored(gone, "removed")
     loses = fresh(base.columns, "__loses")
-    marked = base.withColumn(loses, among(base, gone.withColumnRenamed(key, "row"), of=key))
+    marked = among(base, gone.select(F.col(key).alias("row")), of=key, mark=loses)
     joined = marked.filter(F.col(loses)).join(gone, key, "left")
     changed = (joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(without_lines("text", numbers)))
                .withColumn("removed_lines", F.coalesce(numbers, F.array().cast("array<int>"))))

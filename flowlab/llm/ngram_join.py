@@ -46,7 +46,7 @@ def derived(pairs: DataFrame, references: DataFrame, kind: Units) -> tuple[DataF
             yield pd.DataFrame({"x": batch.x, "y": batch.y, "linked": np.array(linked, bool)})
 
     def side(name: str) -> DataFrame:
-        asked = references.filter(among(references, pairs.select(F.col(name).alias("row")), of="node"))
+        asked = among(references, pairs.select(F.col(name).alias("row")), of="node")
         return asked.select(F.col("node").alias(name), F.col("ref").alias(f"{name}r"), F.col("n").alias(f"{name}n"),
                             F.col("lacks").alias(f"{name}l"), F.col("extra").alias(f"{name}e"))
 
@@ -97,7 +97,7 @@ def ngram_components(docs: DataFrame, *, k: int = 5, percent: int = 75, row: str
     texts = rows.select(F.col("row").alias("node"), "text")
 
     leaders = stored(leader_pairs(postings, kind, "node"), "pairs")
-    sketched = stored(sketches(texts.filter(among(texts, wanted, of="node")), kind), "sketches")
+    sketched = stored(sketches(among(texts, wanted, of="node"), kind), "sketches")
     # of those that sketches leave, pairs that have half of their shingles in common serve as references
     checked = stored(verify(plausible(leaders, sketched, kind), texts, kind, differences=True), "answers")
     first = components(checked.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -138,6 +138,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     gone = stored(labels.join(first, "component").filter("row <> first.row").select("row"), "gone")
     # only rows that may go are shuffled
     may_go = fresh(marked.columns, "__may_go")
-    marked = marked.withColumn(may_go, among(marked, gone, of=key))
+    marked = among(marked, gone, of=key, mark=may_go)
     kept = marked.filter(F.col(may_go)).join(gone.withColumnRenamed("row", key), key, "left_anti")
     return marked.filter(~F.col(may_go)).unionByName(kept).select(*docs.columns)

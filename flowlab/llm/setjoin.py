@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches, stored, with_row
+from .common import fresh, release_memory, small_batches, stored, with_row
 
 FREQUENT = 200_000
 CHUNK_BYTES = 1 << 20
@@ -430,25 +430,28 @@ def shared_postings(rows: DataFrame, counts: DataFrame, kind: Units) -> DataFram
     return stored(dealt.mapInPandas(shared, "token long, node long, n int, pos int"), "postings")
 
 
-def among(rows: DataFrame, wanted: DataFrame, of: str = "row", bits: int = 1 << 23) -> Column:
-    """A test of column ``of`` that holds for every ``row`` in ``wanted`` and for few others.
+def among(rows: DataFrame, wanted: DataFrame, of: str = "row", bits: int = 1 << 23, mark: str | None = None) -> DataFrame:
+    """The rows whose column ``of`` is a ``row`` of ``wanted``, and few others; with
+    ``mark`` all rows, and that test as a column of this name.
 
-    A bit table of fixed size (1 MB), filled from all of ``wanted``. It only
-    spares shuffling texts that a join would drop: when it is full it spares
-    none, and the join after it gives the same result.
+    A bit table of fixed size (131,072 words of 64 bits, broadcast), filled from all of
+    ``wanted``. It only spares shuffling texts that a join would drop: when it is full it
+    spares none, and the join after it gives the same result.
     """
-    spot = F.pmod(F.xxhash64("row"), F.lit(bits))
-    words = (wanted.select((spot / 64).cast("int").alias("word"), F.pmod(spot, F.lit(64)).cast("int").alias("bit"))
-             .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("set")).toPandas())
-    table = np.zeros(bits // 64, np.int64)
-    table[words.word.to_numpy(np.int64)] = words.set.to_numpy(np.int64)
-    held = rows.sparkSession.sparkContext.broadcast(table)
+    word, held = (fresh([*rows.columns, mark or ""], name) for name in ("__word", "__held"))
 
-    @F.pandas_udf("boolean")
-    def test(spots: pd.Series) -> pd.Series:
-        x = spots.to_numpy(np.int64)
-        return pd.Series((held.value[x >> 6] >> (x & 63)) & 1 == 1)
-    return test(F.pmod(F.xxhash64(of), F.lit(bits)))
+    def place(column: str) -> tuple[Column, Column]:
+        spot = F.pmod(F.xxhash64(column), F.lit(bits))
+        return (spot / 64).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
+
+    row_word, row_bit = place("row")
+    words = (wanted.select(row_word.alias(word), row_bit.alias("bit"))
+             .groupBy(word).agg(F.expr("bit_or(shiftleft(1L, bit))").alias(held)))
+    of_word, of_bit = place(of)
+    if mark is None:
+        return rows.join(F.broadcast(words), of_word == F.col(word)).filter(F.getbit(held, of_bit) == 1).drop(word, held)
+    met = rows.join(F.broadcast(words), of_word == F.col(word), "left")
+    return met.withColumn(mark, F.coalesce(F.getbit(held, of_bit) == 1, F.lit(False))).drop(word, held)
 
 
 SKETCH_WORDS = 8
@@ -528,13 +531,13 @@ def leader_pairs(shared: DataFrame, kind: Units, rank: str, salts: int = 8) -> D
 def unit_texts(rows: DataFrame, units: DataFrame, kind: Units) -> DataFrame:
     """(node, text) of the given (row, unit, node), read from the rows once."""
     units = stored(units.select("row", "unit", "node"), "wanted")
-    found = rows.select("row", "text").filter(among(rows, units))
+    found = among(rows.select("row", "text"), units)
     if not kind.lines:
         return stored(found.join(units, "row").select("node", "text"), "texts")
     # other lines of these rows need not be shuffled either
     lines = found.select("row", F.posexplode(F.split("text", "\n", -1)).alias("unit", "text"))
     place = F.xxhash64("row", "unit")
-    lines = lines.withColumn("place", place).filter(among(rows, units.select(place.alias("row")), of="place"))
+    lines = among(lines.withColumn("place", place), units.select(place.alias("row")), of="place")
     return stored(lines.join(units, ["row", "unit"]).select("node", "text"), "texts")
 
 
@@ -576,6 +579,6 @@ def verify(pairs: DataFrame, texts: DataFrame, kind: Units, *, differences: bool
     full = pairs
     for side in ("x", "y"):
         # texts of other sets need not be shuffled
-        asked = texts.filter(among(texts, pairs.select(F.col(side).alias("row")), of="node"))
+        asked = among(texts, pairs.select(F.col(side).alias("row")), of="node")
         full = full.join(asked.select(F.col("node").alias(side), F.col("text").alias(f"{side}t")), side)
     return full.select("x", "y", "xt", "yt").mapInPandas(run, schema)

@@ -322,3 +322,27 @@ def test_levels_are_looked_up(n):
     asked = np.r_[known, known + np.uint64(1), rng.integers(0, 2**64, 100, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]
     expected = dict(zip(known.tolist(), numbers.tolist()))
     assert setjoin.Levels(known, numbers).look_up(asked).tolist() == [expected.get(x, 0) for x in asked.tolist()]
+
+
+def test_membership_is_tested_without_python_workers(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*range(300), 7, None]], "id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in (3, 3, 7, 999)], "row long")
+    left, marked = setjoin.among(rows, wanted, of="id"), setjoin.among(rows, wanted, of="id", mark="may")
+    assert sorted(r.id for r in left.collect()) == [3, 7, 7] and left.columns == ["id", "text"]
+    assert marked.columns == ["id", "text", "may"] and marked.count() == rows.count()
+    assert sorted(r.id for r in marked.filter("may").collect()) == [3, 7, 7]
+    assert marked.filter("not may").count() == rows.count() - 3
+    assert setjoin.among(rows, wanted.limit(0), of="id", mark="may").filter("may").count() == 0
+    assert "Python" not in left._jdf.queryExecution().toString() + marked._jdf.queryExecution().toString()
+
+
+def test_postings_are_packed_in_bounded_parts():
+    rng = np.random.default_rng(3)
+    parts = [np.stack([rng.integers(0, 2**48, n), rng.integers(0, 2**62, n), (rng.integers(1, 9, n) << 32)]) for n in [setjoin.POSTINGS // 4] * 10 + [0, 1]]
+    sizes, total = [], 0
+    for table in setjoin.packed(iter(parts), 400):
+        back = [setjoin.unpacked(b, v, 400) for b, v in zip(table.bucket.tolist(), table.postings)]
+        sizes.append(sum(x.shape[1] for x in back))
+        total += int(sum(x[1].sum() for x in back))
+    assert sum(sizes) == sum(p.shape[1] for p in parts) and max(sizes) <= 1.5 * setjoin.POSTINGS
+    assert total == int(sum(p[1].sum() for p in parts))
