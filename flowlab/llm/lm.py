@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, fresh, small_batches, stored, text_column, with_row
+from .common import drop_tables, fresh, release_memory, small_batches, stored, text_column, with_row
 from .setjoin import CHUNK_BYTES, COUNT_TOKENS, hash_words_and_ends, signed
 
 VOCABULARY, CLASS_SIZE, RARE, KNOWN = 1023, 32, 8, 100_000
@@ -319,6 +319,7 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes]]]:
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, rare, count) of all words of all training texts, words as hashes."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         held, n = [], 0
 
         def counted():
@@ -337,6 +338,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                     yield counted()
                     n = 0
         yield counted()
+        release_memory()
 
     each = small_batches(train).select("text").mapInPandas(run, "word long, rare long, count long")
     return stored(each.groupBy("word").agg(F.first("rare").alias("rare"), F.sum("count").alias("count")), "words")
@@ -396,6 +398,7 @@ def learned(train: DataFrame, model: Model, network: Network, rate: float) -> Ne
         seen = own.train(pieces(), rate=rate)
         if seen:
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "tokens": [seen], "weights": [own.packed()]})
+        release_memory()
 
     def average(group: pd.DataFrame) -> pd.DataFrame:
         group, total = group.sort_values("part"), int(group.tokens.sum())
@@ -491,6 +494,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     tail_counts.append(c)
                 yield pd.DataFrame({"row": batch.row.to_numpy()[a:b], "n_tokens": n + 1, "known": known, "base": base, "share": share,
                                     "words": tail_words, "times": tail_counts})
+        release_memory()
 
     schema = "row long, n_tokens long, known long, base double, share double, words array<long>, times array<long>"
     parts = stored(rows.select(F.col(key).alias("row"), text_column().alias("text")).mapInPandas(run, schema), "scores")

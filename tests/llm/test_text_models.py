@@ -449,3 +449,35 @@ def test_words_are_learned_without_collections():
 def test_ids_as_bytes(n):
     ids = list(range(49_000, 49_000 + n))
     assert packing.id_bytes(ids) == np.array(ids, "<u4").tobytes()
+
+
+def test_language_model_tasks_give_memory_back(spark, monkeypatch):
+    """Workers live on beside the executor's heap, so each task that read texts lets go of its memory."""
+    import pandas as pd
+
+    model = lm.Model(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 1, 2, 2, np.ones(lm.RARE), lm.END, None)
+    tasks, released = [], []
+
+    class Rows:
+        value, columns = model, []
+
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args, **kwargs):
+            return self
+
+        def mapInPandas(self, run, schema):
+            tasks.append(run)
+            return self
+
+    for name in ("small_batches", "stored", "with_row"):
+        monkeypatch.setattr(lm, name, lambda df, *args: df)
+    monkeypatch.setattr(lm, "release_memory", lambda *args, **kwargs: released.append(1))
+    lm.word_counts(Rows())
+    lm.score(Rows(), model, Rows())
+    assert len(tasks) == 2
+    for run in tasks:
+        released.clear()
+        assert len(list(run(iter([pd.DataFrame({"row": [1, 2], "text": ["a b a", None]})])))) == 1
+        assert released
