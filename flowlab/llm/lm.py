@@ -18,9 +18,11 @@ backpropagation over all its texts, piece by piece, from the weights of the last
 round, and the results are averaged by their tokens, ``TOGETHER_MODELS`` at a
 time, in tasks as well. Each window updates only the inputs and the classes it
 met, so its cost follows its tokens, not the vocabulary. Only the average passes
-through the driver. Scoring runs in the tasks: texts
-advance side by side, window after window, with their states carried on, so
-every token of every text counts.
+through the driver. Scoring runs in the tasks: about ``POOL`` tokens of texts go
+down lanes side by side, one text after the other, window after window, with
+their states carried on, so every token of every text counts. States stand in
+columns, led by a one for the biases; activations are worked on in blocks that
+stay in the cache.
 
 Words beyond the ``KNOWN`` most frequent are not sent to the tasks; their
 counts are joined by hash (64 bits) afterwards, summed up per text.
@@ -32,6 +34,7 @@ every token has probability 1 in the base and the score equals the base.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,13 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, fresh, release_memory, small_batches, stored, text_column, with_row
-from .setjoin import CHUNK_BYTES, COUNT_TOKENS, hash_words_and_ends, signed
+from .setjoin import CHUNK_BYTES, COUNT_TOKENS, Levels, by_owner, hash_words_and_ends, signed
 
 VOCABULARY, CLASS_SIZE, RARE, KNOWN = 1023, 32, 8, 100_000
 HIDDEN, WINDOW, TOGETHER = 16, 64, 512
 END = VOCABULARY  # the end token's number in the smallest vocabulary; rare classes follow
 OFTEN = 1000  # a word seen as often has enough to learn from
 PIECE, LANES, TOGETHER_MODELS = 1 << 18, 256, 16
+BLOCK = 1 << 17  # activations worked on at once
+POOL, STATES = 1 << 21, 1 << 16  # tokens of texts scored together, and states whose outputs are
 
 
 def rare_class(tails: np.ndarray) -> np.ndarray:
@@ -62,29 +67,59 @@ def class_size(vocabulary: int) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1.0
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax_at(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Of column i of ``x`` (in place), the entry ``place[i]``."""
-    x -= x.max(axis=0)
-    at = x[place, np.arange(len(place))]
-    np.exp(x, out=x)
-    return at - np.log(x.sum(axis=0))
+def _framed(weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """Outputs' weights with the biases above and ones below. For states in columns,
+    led by a one, ``framed[:-1].T @ states`` are the activations; for their exponentials
+    e, ``framed[1:] @ e`` are the weights summed up by e and, as last row, the sums of e."""
+    out = np.empty((*weights.shape[:-2], HIDDEN + 2, weights.shape[-1]), weights.dtype)
+    out[..., 0, :], out[..., 1:-1, :], out[..., -1, :] = biases, weights, 1
+    return out
 
 
-def _softmax_loss(x: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """In place: the gradient by ``x`` of the n-th part of the loss that column i
-    is for the entry ``place[i]``. Columns, as sums along them are fast."""
-    x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x *= (1.0 / n) / x.sum(axis=0)
-    x[place, np.arange(len(place))] -= 1.0 / n
-    return x
+def _plain(framed: np.ndarray, most: float = 1.0) -> bool:
+    """Whether activations from states in [-most, most] are so small that their
+    exponentials and sums of them need no shift by the largest."""
+    reach = most * np.abs(framed[..., 1:-1, :]).sum(axis=-2)
+    return bool((framed[..., 0, :] + reach).max() < 60 and (framed[..., 0, :] - reach).max(axis=-1).min() > -60)
+
+
+def _blocks(outputs: int, states: int) -> Iterator[slice]:
+    """Blocks of states whose activations stay in the cache."""
+    most = max(64, BLOCK // outputs)
+    return (slice(a, min(a + most, states)) for a in range(0, states, most))
+
+
+def _log_softmax_at(framed: np.ndarray, hs: np.ndarray, place: np.ndarray, most: float) -> np.ndarray:
+    """For each column of ``hs``, of numbers up to ``most``, the log of the share of the output ``place[i]``."""
+    out, plain = np.empty(len(place), hs.dtype), _plain(framed, most)
+    for part in _blocks(framed.shape[-1], len(place)):
+        x = framed[:-1].T @ hs[:, part]
+        if not plain:
+            x -= x.max(axis=0)
+        out[part] = x[place[part], np.arange(x.shape[1])]
+        np.exp(x, out=x)
+        out[part] -= np.log(x.sum(axis=0))
+    return out
+
+
+def _log_sums(framed: np.ndarray, hs: np.ndarray, plain: bool, sums: np.ndarray, grad: np.ndarray) -> None:
+    """Of the logs of the summed exponentials, which are a softmax's loss but for the
+    activations aimed at: ``sums`` gets the gradient by the states times the sums of the
+    exponentials, and these as last row; to ``grad`` that by biases and weights is added."""
+    for part in _blocks(framed.shape[-1], hs.shape[1]):
+        e = framed[:-1].T @ hs[:, part]
+        if not plain:
+            e -= e.max(axis=0)
+        np.exp(e, out=e)
+        got = np.matmul(framed[1:], e, out=sums[:, part])
+        grad += (hs[:, part] / got[-1]) @ e.T
 
 
 def _order(numbers: np.ndarray) -> np.ndarray:
@@ -125,24 +160,30 @@ class Network:
         """The number of the end token."""
         return self.weights["wb"].size - 1
 
-    def cell(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """The next state, from what the input adds to the gates and the state."""
-        b = h @ self.weights["u"]
-        zr = _sigmoid(a[:, :2 * HIDDEN] + b[:, :2 * HIDDEN])
-        z, r, bn = zr[:, :HIDDEN], zr[:, HIDDEN:], b[:, 2 * HIDDEN:]
-        n = r * bn
-        n += a[:, 2 * HIDDEN:]
+    def cell(self, a: np.ndarray, h: np.ndarray, kept: tuple | None = None) -> np.ndarray:
+        """The next states (in columns) from what the inputs add to the gates and the
+        states; ``kept`` gets both gates, the candidate and the state's part in it."""
+        zr, n, bn = kept or (None, None, None)
+        b = self.weights["u"].T @ h
+        zr = _sigmoid(np.add(a[:2 * HIDDEN], b[:2 * HIDDEN], out=zr))
+        if bn is not None:
+            bn[:] = b[2 * HIDDEN:]
+        n = np.multiply(zr[HIDDEN:], b[2 * HIDDEN:], out=n)
+        n += a[2 * HIDDEN:]
         np.tanh(n, out=n)
         new = h - n
-        new *= z
+        new *= zr[:HIDDEN]
         new += n
-        return new, (h, z, r, n, bn)
+        return new
 
     def inputs(self, token: np.ndarray) -> np.ndarray:
-        return self.weights["x"][token] + self.weights["g"]
+        """What the inputs add to the gates: by step, gates in rows, tokens in columns."""
+        fed = np.ascontiguousarray(np.moveaxis(self.weights["x"][token], -1, -2))
+        fed += self.weights["g"][:, None]
+        return fed
 
     def step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        return self.cell(self.inputs(token), h)
+        return self.cell(self.inputs(token), np.ascontiguousarray(h.T)).T, ()
 
     def class_of(self, token: np.ndarray) -> np.ndarray:
         plain, each = self.weights["wb"].shape
@@ -152,14 +193,16 @@ class Network:
         """Natural log of each target's class, and of the token in it if frequent."""
         p, order = self.weights, _order(target)
         plain, each = p["wb"].shape
-        hs, target = np.ascontiguousarray(h[order].T), target[order]
+        hs, target = np.empty((HIDDEN + 1, len(target)), h.dtype), target[order]
+        hs[0], hs[1:] = 1, np.take(h.T, order, axis=1)
         k, place = self.class_of(target), target % each
-        got = _log_softmax_at(p["c"].T @ hs + p["cb"][:, None], k).astype(float)
+        most = float(np.abs(hs).max(initial=1))
+        got = _log_softmax_at(_framed(p["c"], p["cb"]), hs, k, most).astype(float)
         for a, b in zip(*_runs(k)):
             c = k[a]
             if c >= plain:
                 break
-            got[a:b] += _log_softmax_at(p["w"][c].T @ hs[:, a:b] + p["wb"][c][:, None], place[a:b])
+            got[a:b] += _log_softmax_at(_framed(p["w"][c], p["wb"][c]), hs[:, a:b], place[a:b], most)
         out = np.empty_like(got)
         out[order] = got
         return out
@@ -186,22 +229,25 @@ class Network:
                 grad, h = self.gradient(x[:, :y.shape[1]], y, h)
                 t += 1
                 norm = math.sqrt(sum(float(np.vdot(g, g)) for _, g in grad.values()))
-                scale = min(1.0, 5.0 / max(norm, 1e-9))
+                # moments without their factors 0.1 and 0.01, which are in rate and floor
+                root = math.sqrt(0.01 / (1 - 0.99 ** t))
+                pace, floor = rate * 0.1 / (1 - 0.9 ** t) / root, 1e-6 / root
                 for k, (at, g) in grad.items():
                     # moments and weights of the rows met alone
-                    g *= scale
+                    if norm > 5.0:
+                        g *= 5.0 / norm
                     m, v = first[k][at], second[k][at]
                     m *= 0.9
-                    m += 0.1 * g
+                    m += g
                     g *= g
-                    g *= 0.01
                     v *= 0.99
                     v += g
-                    first[k][at], second[k][at] = m, v
-                    change = np.sqrt(v / (1 - 0.99 ** t))
-                    change += 1e-6
+                    if not isinstance(at, slice):
+                        first[k][at], second[k][at] = m, v
+                    change = np.sqrt(v, out=g)
+                    change += floor
                     np.divide(m, change, out=change)
-                    change *= rate / (1 - 0.9 ** t)
+                    change *= pace
                     p[k][at] -= change
         return seen
 
@@ -222,85 +268,135 @@ class Network:
         rows), all others being zero; the state after it, to carry on."""
         p, whole = self.weights, slice(None)
         n_lane, n_step = x.shape
-        met = np.ascontiguousarray(x.T)
-        going = (met != self.end)[:, :, None]  # a text starts without memory
+        met, target = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).reshape(-1)
         fed = self.inputs(met)
-        saved, hs = [], np.empty((n_step, n_lane, HIDDEN), fed.dtype)
+        going = (met != self.end)[:, None].astype(fed.dtype)  # a text starts without memory
+        before, n, bn = (np.empty((n_step, HIDDEN, n_lane), fed.dtype) for _ in range(3))
+        zr = np.empty((n_step, 2 * HIDDEN, n_lane), fed.dtype)
+        hs = np.ones((HIDDEN + 1, n_step, n_lane), fed.dtype)
+        h = np.ascontiguousarray(h.T)
         for j in range(n_step):
-            h, kept = self.cell(fed[j], h * going[j])
-            saved.append(kept)
-            hs[j] = h
-        hs, target = hs.reshape(-1, HIDDEN), y.T.reshape(-1)
+            np.multiply(h, going[j], out=before[j])
+            h = self.cell(fed[j], before[j], (zr[j], n[j], bn[j]))
+            hs[1:, j] = h
+        # the loss is the mean of the logs of summed exponentials less the activations aimed at
         plain, each = p["wb"].shape
         order = _order(target)
-        hs, place = np.ascontiguousarray(hs[order].T), target[order] % each
-        k = self.class_of(target[order])
-        d = _softmax_loss(p["c"].T @ hs + p["cb"][:, None], k, len(k))
-        grad = {"c": (whole, hs @ d.T), "cb": (whole, d.sum(axis=1))}
-        dh = p["c"] @ d
-        starts, stops = _runs(k)
-        classes = k[starts]
+        hs, target = np.take(hs.reshape(HIDDEN + 1, -1), order, axis=1), target[order]
+        starts, _ = _runs(target)
+        kinds, of_kind = target[starts], np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(target)]))
+        class_of_kind = self.class_of(kinds)
+        aimed = np.add.reduceat(hs, starts, axis=1)
+        of_classes = _framed(p["c"], p["cb"])
+        toward = of_classes[1:-1, class_of_kind]
+        dh, grad_c = np.empty_like(hs), np.zeros_like(of_classes[:-1])
+        _log_sums(of_classes, hs, _plain(of_classes), dh, grad_c)
+        dh[:-1] /= dh[-1]
+        firsts, _ = _runs(class_of_kind)
+        grad_c[:, class_of_kind[firsts]] -= np.add.reduceat(aimed, firsts, axis=1)
+        classes = class_of_kind[firsts]
         classes = classes[classes < plain]
-        of_words, of_biases = p["w"][classes], p["wb"][classes]
-        for i, (a, b) in enumerate(zip(starts[:len(classes)].tolist(), stops.tolist())):
-            part, w = hs[:, a:b], p["w"][classes[i]]
-            e = _softmax_loss(w.T @ part + p["wb"][classes[i]][:, None], place[a:b], len(k))
-            np.matmul(part, e.T, out=of_words[i])
-            np.sum(e, axis=1, out=of_biases[i])
-            dh[:, a:b] += w @ e
-        grad["w"], grad["wb"] = (classes, of_words), (classes, of_biases)
-        ahead = np.empty((len(k), HIDDEN), dh.dtype)
-        ahead[order] = dh.T
-        ahead = ahead.reshape(n_step, n_lane, HIDDEN)
+        of_words = np.zeros((len(classes), HIDDEN + 1, each), fed.dtype)
+        if len(classes):
+            bounds = np.r_[starts[firsts], len(target)][:len(classes) + 1].tolist()
+            framed = _framed(p["w"][classes], p["wb"][classes])
+            sums, no_shift = np.empty_like(hs[:, :bounds[-1]]), _plain(framed)
+            for f, g, a, b in zip(framed, of_words, bounds, bounds[1:]):
+                _log_sums(f, hs[:, a:b], no_shift, sums[:, a:b], g)
+            sums[:-1] /= sums[-1]
+            dh[:-1, :bounds[-1]] += sums[:-1]
+            frequent = int(np.searchsorted(kinds, self.end, side="right"))
+            at, place = np.searchsorted(classes, class_of_kind[:frequent]), kinds[:frequent] % each
+            toward[:, :frequent] += framed[at, 1:-1, place].T
+            of_words[at, :, place] -= aimed[:, :frequent].T
+        dh = dh[:-1]
+        dh -= np.take(toward, of_kind, axis=1)
+        for g in (dh, grad_c, of_words):
+            g *= 1 / len(target)
+        grad = {"c": (whole, grad_c[1:]), "cb": (whole, grad_c[0])}
+        if len(classes) == plain:
+            classes = whole
+        grad["w"], grad["wb"] = (classes, of_words[:, 1:]), (classes, of_words[:, 0])
+        back_to = np.empty_like(order)
+        back_to[order] = np.arange(len(order))
+        ahead = np.take(dh, back_to, axis=1).reshape(HIDDEN, n_step, n_lane)
+        # what a step's gradient is times, for all steps at once
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        to_n = 1 - z
+        to_z = before - n
+        to_z *= z
+        to_z *= to_n
+        to_n *= 1 - n * n
+        to_r = bn
+        to_r *= r
+        to_r *= 1 - r
         back = 0.0
-        da, db = np.empty_like(fed), np.empty_like(fed)
+        da, db_n = np.empty_like(fed), np.empty_like(before)
+        both = np.empty((3 * HIDDEN, n_lane), fed.dtype)
         for j in range(n_step - 1, -1, -1):
-            before, z, r, n, bn = saved[j]
-            g = ahead[j] + back
-            dn = g * (1 - z) * (1 - n * n)
-            da[j, :, :HIDDEN] = g * (before - n) * z * (1 - z)
-            da[j, :, HIDDEN:2 * HIDDEN] = dn * bn * r * (1 - r)
-            da[j, :, 2 * HIDDEN:] = dn
-            db[j, :, :2 * HIDDEN] = da[j, :, :2 * HIDDEN]
-            db[j, :, 2 * HIDDEN:] = dn * r
-            back = (g * z + db[j] @ p["u"].T) * going[j]
-        flat = da.reshape(-1, 3 * HIDDEN)
+            g = ahead[:, j] + back
+            dn = np.multiply(g, to_n[j], out=da[j, 2 * HIDDEN:])
+            np.multiply(g, to_z[j], out=da[j, :HIDDEN])
+            np.multiply(dn, to_r[j], out=da[j, HIDDEN:2 * HIDDEN])
+            np.multiply(dn, r[j], out=db_n[j])
+            both[:2 * HIDDEN], both[2 * HIDDEN:] = da[j, :2 * HIDDEN], db_n[j]
+            back = p["u"] @ both
+            g *= z[j]
+            back += g
+            back *= going[j]
+        flat = np.ascontiguousarray(da.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN)
         grad["g"] = whole, flat.sum(axis=0)
-        grad["u"] = whole, np.concatenate([kept[0] for kept in saved]).T @ db.reshape(-1, 3 * HIDDEN)
+        da[:, 2 * HIDDEN:] = db_n
+        grad["u"] = whole, np.matmul(before, da.transpose(0, 2, 1)).sum(axis=0)
         token = met.reshape(-1)
         order = _order(token)
         starts, _ = _runs(token[order])
         grad["x"] = token[order[starts]], np.add.reduceat(flat[order], starts, axis=0)
-        return grad, h
+        return grad, h.T
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sum of log probabilities of each text's tokens (the last is the end)."""
         out = np.zeros(len(texts))
+        if not texts:
+            return out
         sizes = np.array([len(t) for t in texts])
-        by_size = np.argsort(-sizes, kind="stable")
-        for s in range(0, len(texts), TOGETHER):
-            group = by_size[s:s + TOGETHER]
-            n = sizes[group]
-            flat = np.concatenate([texts[i] for i in group])
-            begins = np.r_[0, np.cumsum(n)[:-1]]
-            h = np.zeros((len(group), HIDDEN), np.float32)
-            last = np.full(len(group), self.end)
-            for a in range(0, int(n[0]), WINDOW):
-                live = int((n > a).sum())
-                steps = a + np.arange(min(WINDOW, int(n[0]) - a))
-                # texts are in order of size: those still going are the first
-                going = np.searchsorted(-n[:live], -steps, side="left")
-                tokens = flat[np.minimum(begins[:live, None] + steps, len(flat) - 1)]
-                h, fed = h[:live], self.inputs(np.c_[last[:live], tokens[:, :-1]].T)
-                states = []
-                for j, m in enumerate(going.tolist()):
-                    new, _ = self.cell(fed[j, :m], h[:m])
-                    h[:m] = new
-                    states.append(new)
-                last = tokens[:, -1]
-                owners = np.concatenate([np.arange(m) for m in going])
-                targets = np.concatenate([tokens[:m, j] for j, m in enumerate(going)])
-                out[group[:live]] += np.bincount(owners, self.log_probability(np.concatenate(states), targets), live)
+        # texts go one after the other down lanes of about the same length
+        lanes: list[list[int]] = [[] for _ in range(max(1, min(TOGETHER, int(sizes.sum() // sizes.max()))))]
+        filled = [(0, i) for i in range(len(lanes))]
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            n, lane = filled[0]
+            lanes[lane].append(i)
+            heapq.heapreplace(filled, (n + int(sizes[i]), lane))
+        lanes = [lanes[lane] for _, lane in sorted(filled, reverse=True)]
+        n = np.array([sizes[lane].sum() for lane in lanes])
+        flat = np.concatenate([texts[i] for lane in lanes for i in lane])
+        text = np.repeat(np.concatenate(lanes).astype(np.int32), sizes[np.concatenate(lanes)])
+        begins = np.r_[0, np.cumsum(n)[:-1]]
+        h = np.zeros((HIDDEN, len(lanes)), self.weights["u"].dtype)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for a in range(0, int(n[0]), WINDOW):
+            # lanes are in order of size: those still going are the first
+            live = int((n > a).sum())
+            steps = a + np.arange(min(WINDOW, int(n[0]) - a))
+            going = np.searchsorted(-n[:live], -steps, side="left")
+            at = np.minimum(begins[:live] + steps[:, None], len(flat) - 1)
+            starting = (text[at] != text[at - 1]) | (at == begins[:live])
+            some = starting.any(axis=1).tolist()
+            h, fed = h[:, :live], self.inputs(np.where(starting, self.end, flat[at - 1]))
+            met = at[np.arange(live) < going[:, None]]
+            states, done = np.empty((HIDDEN, len(met)), h.dtype), 0
+            for j, m in enumerate(going.tolist()):
+                if some[j]:
+                    h[:, starting[j]] = 0
+                h[:, :m] = states[:, done:done + m] = self.cell(fed[j, :, :m], h[:, :m])
+                done += m
+            held.append((states, met))
+            waiting += done
+            if waiting >= STATES or a + WINDOW >= n[0]:
+                met = np.concatenate([at for _, at in held])
+                out += np.bincount(text[met], self.log_probability(np.concatenate([of for of, _ in held], axis=1).T, flat[met]), len(texts))
+                held, waiting = [], 0
         return out
 
 
@@ -357,17 +453,15 @@ class Model:
     rare_mass: np.ndarray
     end: int
     network: Network | None
+    levels: Levels | None = None
 
     def look_up(self, words: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, token) of words; a count of -1 is still to be joined."""
-        count, token = np.full(len(words), -1), self.end + 1 + rare_class(tails)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            hit = self.words[at] == words
-            count[hit] = self.counts[at[hit]]
-            frequent = hit & (self.number[at] >= 0)
-            token[frequent] = self.number[at[frequent]]
-        return count, token
+        if self.levels is None:
+            self.levels = Levels(self.words, np.arange(1, len(self.words) + 1))
+        at = self.levels.look_up(words) - 1  # the last, at -1, stands for words that are not there
+        count, number = np.r_[self.counts, -1][at], np.r_[self.number, -1][at]
+        return count, np.where(number >= 0, number, self.end + 1 + rare_class(tails))
 
 
 def learned(train: DataFrame, model: Model, network: Network, rate: float) -> Network:
@@ -471,29 +565,46 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         log_rare = np.log10(m.rare_mass)
+        held: list[tuple[pd.DataFrame, list[np.ndarray]]] = []
+
+        def pooled() -> Iterator[pd.DataFrame]:
+            """What is held, texts scored together."""
+            scores = m.network.score([t for _, texts in held for t in texts]) / np.log(10) if m.network is not None else None
+            at = 0
+            for frame, _ in held:
+                if scores is not None:
+                    frame["share"] += scores[at:at + len(frame)]
+                at += len(frame)
+                yield frame
+            held.clear()
+
+        waiting = 0
         for batch in batches:
             for a, b, part in _chunks(batch.text.tolist()):
                 words, owner, tails = hash_words_and_ends(part)
                 count, token = m.look_up(words, tails)
                 n = np.bincount(owner, minlength=len(part))
-                edges = np.r_[0, np.cumsum(n)]
                 found = count >= 0
                 logs = np.where(found, np.log10(np.maximum(count, 0) + 1.0), 0.0)
                 rare = token > m.end
                 base = np.bincount(owner, logs, len(part)) + np.log10(m.end_count + 1.0)
                 known = np.bincount(owner[found & (count > 0)], minlength=len(part)) + (m.end_count > 0)
                 share = np.bincount(owner, np.where(rare, logs - log_rare[np.maximum(token - m.end - 1, 0)], 0.0), len(part))
-                if m.network is not None:
-                    texts = [np.r_[token[edges[i]:edges[i + 1]], m.end] for i in range(len(part))]
-                    share = share + m.network.score(texts) / np.log(10)
-                tail_words, tail_counts = [], []
-                for i in range(len(part)):
-                    own = words[edges[i]:edges[i + 1]][~found[edges[i]:edges[i + 1]]]
-                    w, c = np.unique(own, return_counts=True)
-                    tail_words.append(signed(w))
-                    tail_counts.append(c)
-                yield pd.DataFrame({"row": batch.row.to_numpy()[a:b], "n_tokens": n + 1, "known": known, "base": base, "share": share,
-                                    "words": tail_words, "times": tail_counts})
+                texts = np.split(np.insert(token.astype(np.int32), np.cumsum(n), m.end), np.cumsum(n + 1)[:-1])
+                # the distinct words of each text that are still to be joined
+                word, of = words[~found], owner[~found]
+                order = by_owner(word, of, len(part))
+                word, of = word[order], of[order]
+                first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (of[1:] != of[:-1])][:len(word)])
+                cuts = np.searchsorted(of[first], np.arange(1, len(part)))
+                held.append((pd.DataFrame({"row": batch.row.to_numpy()[a:b], "n_tokens": n + 1, "known": known, "base": base, "share": share,
+                                           "words": np.split(signed(word[first]), cuts),
+                                           "times": np.split(np.diff(np.r_[first, len(word)]), cuts)}), texts))
+                waiting += len(token)
+                if waiting >= POOL:
+                    yield from pooled()
+                    waiting = 0
+        yield from pooled()
         release_memory()
 
     schema = "row long, n_tokens long, known long, base double, share double, words array<long>, times array<long>"

@@ -312,6 +312,60 @@ def test_lm_scores_texts_side_by_side_as_one_by_one():
         assert score == pytest.approx(total, rel=1e-4)
 
 
+def lm_network(seed):
+    """A network of the smallest vocabulary with weights unlike those it starts from."""
+    rng = np.random.default_rng(seed)
+    net = lm.Network.start(np.full(32 + lm.RARE, 1 / (32 + lm.RARE)), np.full(1024, 1 / lm.CLASS_SIZE))
+    net.weights = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.weights.items()}
+    return net, rng
+
+
+def test_lm_scores_texts_of_several_chunks_together(spark, monkeypatch):
+    """The steps of the recurrence follow the tokens: long texts of different chunks
+    are not stepped through one after the other."""
+    import pandas as pd
+
+    net, rng = lm_network(8)
+    model = lm.Model(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 1, 2, 2, np.ones(lm.RARE), lm.END, net)
+    texts = [" ".join(f"w{rng.integers(50)}" for _ in range(400 if i % 40 == 7 else 8)) for i in range(240)]
+    tasks, steps, plain = [], [], lm.Network.cell
+    monkeypatch.setattr(lm.Network, "cell", lambda *args: (steps.append(1), plain(*args))[1])
+    monkeypatch.setattr(lm, "with_row", lambda df, name: df.withColumn(name, F.col("doc_id")))
+    monkeypatch.setattr(lm, "stored", lambda df, name: tasks.append(df) or df.sparkSession.createDataFrame([], df.schema))
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda df, run, schema: (tasks.append(run), spark.createDataFrame([], schema))[1])
+    lm.score(spark.createDataFrame([(1, "a")], SCHEMA), model, spark.createDataFrame([], "word long, count long"))
+    run = tasks[0]
+    frames = [pd.DataFrame({"row": range(a, a + 40), "text": texts[a:a + 40]}) for a in range(0, 240, 40)]
+    out = pd.concat(list(run(iter(frames))))
+    assert out.row.tolist() == list(range(240)) and len(steps) < 2 * 401
+    alone = pd.concat([next(run(iter([pd.DataFrame({"row": [i], "text": [t]})]))) for i, t in enumerate(texts)])
+    np.testing.assert_allclose(out.share, alone.share, rtol=1e-5)
+
+
+def test_lm_outputs_of_any_size_and_in_any_blocks(monkeypatch):
+    """Biases that exponentials cannot hold are the same softmax, and so are other blocks."""
+    net, rng = lm_network(9)
+    x, y = rng.integers(0, 1032, (40, 9)), rng.integers(0, 1032, (40, 9))
+    h = np.zeros((40, lm.HIDDEN), np.float32)
+    states, targets = np.tanh(rng.standard_normal((360, lm.HIDDEN))).astype(np.float32), y.reshape(-1)
+
+    def results():
+        grad, last = net.gradient(x, y, h)
+        return [g for _, (_, g) in sorted(grad.items())] + [last, net.log_probability(states, targets)]
+
+    want = results()
+    monkeypatch.setattr(lm, "BLOCK", 64)
+    for got, exact in zip(results(), want):
+        np.testing.assert_allclose(got, exact, rtol=1e-3, atol=1e-6)
+    for constant in (200.0, -200.0):
+        moved = dict(net.weights)
+        for k in ("cb", "wb"):
+            net.weights[k] = moved[k] + np.float32(constant)
+        for got, exact in zip(results(), want):
+            np.testing.assert_allclose(got, exact, rtol=1e-2, atol=1e-4)
+        net.weights = moved
+
+
 @pytest.mark.parametrize("vocabulary, each", [(1023, 32), (4095, 64), (20_000, 128), (100_000, 256)])
 def test_lm_classes_grow_with_the_vocabulary(vocabulary, each):
     assert lm.class_size(vocabulary) == each
